@@ -1 +1,301 @@
-"""Catalog module (filled in below)."""
+"""Catalog: regression, backtests and selection (ML1-ML19, SO6).
+
+Model fits have no SQL oracle (rows/property checks; Ridge and HAC are
+checked against published numbers in tests/test_golden.py). Where the
+operator is linear algebra with a closed form (one-feature ridge, fold
+layouts, standardisation, reconstruction from given predictions) an oracle
+is given.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from mensura.operators import backtest as bt
+from mensura.operators import linear as lin
+from mensura.operators import metrics as mt
+from mensura.operators import selection as sel
+from mensura.operators.reconstruct import reconstruct
+from mensura.operators.sort import rank_features
+from mensura.operators.windows import add_time_index, time_split
+from mensura.plans import panels
+from mensura.plans.cte import with_views
+from mensura.plans.flows import delevel_dataset
+from mensura.plans.registry import register
+from mensura.plans.util import r
+
+COVS = panels.REV_COVARIATES
+W = "PARTITION BY series_id ORDER BY period"
+TREES = {"num_trees": 20}
+
+
+def dataset(spark, sf):
+    """FW6 on the dense nation panel."""
+    return delevel_dataset(panels.rev_panel_dense(spark, sf), COVS)
+
+
+# ------------------------------------------------------------------ ML1
+@register("ml1_standardize", with_views("""
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY period DESC) AS rn FROM rev_panel_dense),
+st AS (SELECT series_id, """ + ", ".join(
+    f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in COVS) + """ FROM s WHERE rn > 12 GROUP BY 1)
+SELECT s.series_id, s.period, """ + ", ".join(
+    f"round(({c} - mu_{c}) / CASE WHEN sd_{c} IS NULL OR sd_{c} <= 1e-12 * greatest(1.0, abs(mu_{c})) "
+    f"THEN 1.0 ELSE sd_{c} END, 8) + 0.0 AS {c}" for c in COVS)
+    + " FROM s JOIN st ON s.series_id = st.series_id", "rev_panel_dense"))
+def ml1(spark, sf):
+    """Scale every row with the mean / population sigma of the series'
+    training rows (all but the last 12)."""
+    d = time_split(panels.rev_panel_dense(spark, sf), 12, check=False).select("series_id", "period", "split", *COVS)
+    z = lin.standardize(d.filter(F.col("split") == "train"), d, COVS)
+    return z.select("series_id", "period", *[(F.round(c, 8) + F.lit(0.0)).alias(c) for c in COVS])
+
+
+# ------------------------------------------------------------------ ML2
+@register("ml2_ridge_one_feature", with_views("""
+WITH d AS (SELECT series_id, mom_logdiff AS y, CAST(n_orders_chg1 AS DOUBLE) AS x FROM (
+             SELECT *, n_orders - lag(n_orders, 1) OVER (PARTITION BY series_id ORDER BY period) AS n_orders_chg1
+             FROM targets) WHERE mom_logdiff IS NOT NULL AND n_orders_chg1 IS NOT NULL),
+m AS (SELECT series_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS cxy, var_pop(x) AS vx
+      FROM d GROUP BY 1)
+SELECT series_id, round(my - (n * cxy / ((n + 5.0) * vx)) * mx, 8) AS intercept,
+       round(n * cxy / ((n + 5.0) * vx), 10) AS slope FROM m""", "targets"))
+def ml2_one(spark, sf):
+    """Ridge (alpha 5, standardised feature, free intercept) of the MoM log
+    change on the 1-step change of order count, per nation; closed form in
+    the oracle."""
+    d = dataset(spark, sf).withColumns({"x": F.array(F.col("n_orders_chg1").cast("double")),
+                                        "y": F.col("mom_logdiff")})
+    coef = lin.fit_ridge(d, alpha=5.0)
+    # coefficients are for the raw x here (no centring), so b0 is the intercept
+    return coef.select("series_id", F.round(F.col("coef")[0], 8).alias("intercept"),
+                       F.round(F.col("coef")[1], 10).alias("slope"))
+
+
+@register("ml2_ridge")
+def ml2(spark, sf):
+    """Ridge per nation on the full MoM feature set; (series, feature,
+    standardised coefficient)."""
+    d = bt.kind_rows(dataset(spark, sf), COVS, ["mom_logdiff"]).filter(F.col("eligible"))
+    coef = lin.fit_ridge(d, alpha=5.0)
+    names = [*COVS, *[f"{c}_chg1" for c in COVS], *[f"m_{k}" for k in range(2, 13)],
+             *[f"{c}_chg12" for c in COVS]]
+    z = coef.select("series_id", F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"),
+                                              F.slice("coef", F.col("p") + 2, F.col("p")).alias("coef"))
+                    .alias("z"))
+    return z.select("series_id", F.inline("z"))
+
+
+# ------------------------------------------------------------------ ML3-ML5, ML8, ML10
+def _wf_metrics(spark, sf, models, n_test, **kw):
+    preds = bt.walk_forward(dataset(spark, sf), COVS, models, n_test=n_test, **kw)
+    return mt.forecast_metrics(preds, keys=["series_id", "target_kind", "model"], which="B")
+
+
+@register("ml8_walk_forward")
+def ml8(spark, sf):
+    """Ridge walk-forward, last 24 months, all three target kinds, levels
+    reconstructed, metrics per (nation, kind)."""
+    return _wf_metrics(spark, sf, ["ridge"], 24)
+
+
+@register("ml3_forest")
+def ml3(spark, sf):
+    return _wf_metrics(spark, sf, ["forest"], 3, max_depth=5, min_leaf=3, **TREES)
+
+
+@register("ml4_boosting")
+def ml4(spark, sf):
+    return _wf_metrics(spark, sf, ["boosting"], 3, max_depth=3, learning_rate=0.05, **TREES)
+
+
+@register("ml5_boosting_colsample")
+def ml5(spark, sf):
+    return _wf_metrics(spark, sf, ["boosting_colsample"], 3, max_depth=2, learning_rate=0.03,
+                       subsample=0.7, **TREES)
+
+
+@register("ml10_grid")
+def ml10(spark, sf):
+    """Target kind x model grid with ranking (SO4) and thresholds (SC13)."""
+    m = _wf_metrics(spark, sf, ["ridge", "forest", "boosting"], 3, **TREES)
+    m = m.withColumn("combo", F.concat_ws(" | ", "target_kind", "model"))
+    return mt.threshold_check(mt.rank_combos(m, "MAPE_pct", "combo"))
+
+
+# ------------------------------------------------------------------ fold layouts
+def _indexed(spark, sf):
+    return add_time_index(panels.rev_panel_dense(spark, sf)).select("series_id", "period", "t")
+
+
+_LAYOUT_SQL = """
+WITH d AS (SELECT series_id, CAST(row_number() OVER ({W}) - 1 AS INTEGER) AS t FROM rev_panel_dense),
+n AS (SELECT series_id, count(*) AS n FROM d GROUP BY 1),
+p AS (SELECT series_id, {c0} AS c0, {step} AS step, {K} AS K, {h} AS h FROM n),
+f AS (SELECT series_id, c0, step, h, unnest(range(0, K)) AS k FROM p),
+c AS (SELECT series_id, k, c0 + k * step AS cutoff, h FROM f)
+SELECT c.series_id, CAST(c.k AS INTEGER) AS k, CAST(c.cutoff AS INTEGER) AS cutoff, count(*) AS n_train,
+       CAST(c.cutoff AS INTEGER) AS test_first_t, CAST(c.cutoff + c.h - 1 AS INTEGER) AS test_last_t
+FROM c JOIN d ON c.series_id = d.series_id AND d.t < c.cutoff GROUP BY 1, 2, 3, 5, 6"""
+
+_BLOCK = dict(
+    c0="CASE WHEN greatest(0, ceil((n - 12 + 1 - 24) / 6.0)) > 0 THEN 24 ELSE greatest(1, n - 12) END",
+    step="CASE WHEN greatest(0, ceil((n - 12 + 1 - 24) / 6.0)) > 0 THEN 6 ELSE 1 END",
+    K="CASE WHEN greatest(0, ceil((n - 12 + 1 - 24) / 6.0)) > 0 THEN CAST(ceil((n - 12 + 1 - 24) / 6.0) AS BIGINT) ELSE 1 END",
+    h="12")
+_KFOLD = dict(c0="n - least(4, n - 1) * (n // (least(4, n - 1) + 1))", step="n // (least(4, n - 1) + 1)",
+              K="least(4, n - 1)", h="n // (least(4, n - 1) + 1)")
+
+
+def _layout(spark, sf, plan, **kw):
+    d = bt.with_plan(_indexed(spark, sf), plan, ["series_id"], **kw)
+    lay = bt.fold_layout(d, ["series_id"])
+    return lay.select("series_id", F.col("k").cast("int").alias("k"), F.col("cutoff").cast("int").alias("cutoff"),
+                      "n_train", F.col("test_first_t").cast("int").alias("test_first_t"),
+                      F.col("test_last_t").cast("int").alias("test_last_t"))
+
+
+@register("ml7_block_layout", with_views(_LAYOUT_SQL.format(W=W, **_BLOCK), "rev_panel_dense"))
+def ml7_layout(spark, sf):
+    """Rolling-origin cutoffs range(24, n - 12 + 1, 6), 12-month blocks."""
+    return _layout(spark, sf, bt.plan_blocks, horizon=12, min_train=24, step=6)
+
+
+@register("ml9_kfold_layout", with_views(_LAYOUT_SQL.format(W=W, **_KFOLD), "rev_panel_dense"))
+def ml9_layout(spark, sf):
+    """Time-series 4-fold split: k+1 equal blocks, remainder to the first
+    training block."""
+    return _layout(spark, sf, bt.plan_kfold, n_splits=4)
+
+
+@register("ml7_block_backtest")
+def ml7(spark, sf):
+    """Block backtest of ridge on level features (train part), pooled
+    metrics per nation (micro average)."""
+    data, _ = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
+    scored = sel.block_backtest(data.filter(F.col("split") == "train"), "ridge")
+    return mt.forecast_metrics(scored, "y", "pred_target", ["series_id"], "A")
+
+
+@register("ml9_kfold_cv")
+def ml9(spark, sf):
+    """Ridge time-series 4-fold CV on level features: per-fold metrics
+    averaged (macro) next to pooled (micro)."""
+    data, _ = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
+    planned = bt.with_plan(data, bt.plan_kfold, ["series_id"], n_splits=4)
+    scored = bt.ridge_backtest(planned, ["series_id"])
+    return mt.macro_micro_metrics(scored, "k", "y", "pred_target", ["series_id"])
+
+
+# ------------------------------------------------------------------ ML11, ML14, ML15 (given predictions)
+def rule_predictions(spark, sf):
+    """Given predictions: each kind's change predicted by the mean of its
+    previous three values; levels reconstructed (ML11)."""
+    t = dataset(spark, sf)
+    t = t.withColumn("trend_next", F.regr_intercept("log_y", "t").over(
+        Window.partitionBy("series_id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1))
+        + F.regr_slope("log_y", "t").over(
+        Window.partitionBy("series_id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)) * F.col("t"))
+    t = t.withColumn("target_kind", F.explode(F.array(*[F.lit(k) for k in
+                                                        ("mom_logdiff", "yoy_logdiff", "trend_dev")])))
+    y = (F.when(F.col("target_kind") == "mom_logdiff", F.col("mom_logdiff"))
+         .when(F.col("target_kind") == "yoy_logdiff", F.col("yoy_logdiff")).otherwise(F.col("trend_dev")))
+    w = Window.partitionBy("series_id", "target_kind").orderBy("period").rowsBetween(-3, -1)
+    t = t.withColumn("y", y).withColumn("pred_target", F.when(F.count("y").over(w) == 3, F.avg("y").over(w)))
+    return reconstruct(t).select("series_id", "period", "target_kind", F.col("target").alias("actual"),
+                                 "predicted")
+
+
+_RULE_SQL = f"""
+WITH b AS (SELECT *, regr_intercept(log_y, t) OVER wt + regr_slope(log_y, t) OVER wt * t AS trend_next
+           FROM targets WINDOW wt AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT b.*, kk.target_kind,
+             CASE kk.target_kind WHEN 'mom_logdiff' THEN mom_logdiff WHEN 'yoy_logdiff' THEN yoy_logdiff
+                  ELSE trend_dev END AS y
+      FROM b CROSS JOIN (VALUES ('mom_logdiff'), ('yoy_logdiff'), ('trend_dev')) AS kk(target_kind)),
+p AS (SELECT *, CASE WHEN count(y) OVER w3 = 3 THEN avg(y) OVER w3 END AS pred_target FROM k
+      WINDOW w3 AS (PARTITION BY series_id, target_kind ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+rp AS (SELECT series_id, period, target_kind, target AS actual,
+              exp(CASE target_kind WHEN 'mom_logdiff' THEN log_lag1 WHEN 'yoy_logdiff' THEN log_lag12
+                  ELSE trend_next END + pred_target) AS predicted FROM p)"""
+
+
+@register("ml11_reconstruct", with_views(_RULE_SQL + """
+SELECT series_id, period, target_kind, round(predicted, 2) AS predicted FROM rp""", "targets"))
+def ml11(spark, sf):
+    return rule_predictions(spark, sf).select("series_id", "period", "target_kind", r("predicted", 2))
+
+
+@register("ml14_period_errors", with_views(_RULE_SQL + """
+SELECT series_id, period, target_kind, round(abs(predicted - actual) / actual * 100, 6) AS abs_pct_error
+FROM rp WHERE predicted IS NOT NULL AND actual <> 0""", "targets"))
+def ml14(spark, sf):
+    p = rule_predictions(spark, sf).filter(F.col("predicted").isNotNull() & (F.col("actual") != 0))
+    return mt.period_errors(p).select("series_id", "period", "target_kind", r("abs_pct_error", 6))
+
+
+_EXCL = ["1998-01", "1998-02", "1999-12"]
+
+
+@register("ml15_steady_state", with_views(_RULE_SQL + f"""
+SELECT series_id, target_kind, count(*) AS n,
+       round(avg(abs(actual - predicted)), 2) AS MAE,
+       round(avg(CASE WHEN actual <> 0 THEN abs(actual - predicted) / abs(actual) END) * 100, 6) AS MAPE_pct
+FROM rp WHERE predicted IS NOT NULL AND actual IS NOT NULL
+  AND strftime(period, '%Y-%m') NOT IN ({", ".join(f"'{m}'" for m in _EXCL)})
+GROUP BY 1, 2""", "targets"))
+def ml15(spark, sf):
+    m = mt.steady_state(rule_predictions(spark, sf), _EXCL, keys=["series_id", "target_kind"])
+    return m.select("series_id", "target_kind", "n", r("MAE", 2), r("MAPE_pct", 6))
+
+
+# ------------------------------------------------------------------ ML13, ML16, ML19, SO6
+@register("ml13_auto_select")
+def ml13(spark, sf):
+    """Candidates (ridge per nation, pooled forest and boosting) scored by
+    block backtest on the train part; best by RMSE; refit; train/hold-out
+    metrics."""
+    _, best, split_metrics, _ = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
+                                                ("ridge", "forest", "boosting"), **TREES)
+    return split_metrics
+
+
+@register("ml19_summary")
+def ml19(spark, sf):
+    """Hold-out metrics of every candidate (rounded), one row per (nation, model)."""
+    _, _, _, preds = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
+                                     ("ridge", "forest", "boosting"), **TREES)
+    m = mt.forecast_metrics(preds.filter(F.col("split") == "test"), "y", "prediction",
+                            ["series_id", "model"], "A")
+    return m.select("series_id", "model", *[F.round(c, 4).alias(c) for c in mt.METRIC_NAMES_A])
+
+
+@register("ml16_feature_effects")
+def ml16(spark, sf):
+    data, feats = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
+    ridge = sel.feature_effects(data, feats, "ridge")
+    forest = sel.feature_effects(data, feats, "forest", **TREES).withColumn("series_id", F.lit(None).cast("string"))
+    return ridge.unionByName(forest)
+
+
+@register("so6_rank_features")
+def so6(spark, sf):
+    data, feats = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
+    return rank_features(sel.feature_effects(data, feats, "ridge"), "importance", ["series_id"])
+
+
+@register("ml17_hac_ols")
+def ml17(spark, sf):
+    """Full-sample OLS of trend_dev on covariates, their changes and month
+    dummies with Newey-West errors; month effects vs January."""
+    feats = [*COVS, *[f"{c}_chg1" for c in COVS], *[f"m_{k}" for k in range(2, 13)]]
+    res = lin.hac_ols(dataset(spark, sf), "trend_dev", feats)
+    return res.filter(F.col("feature").startswith("m_"))
+
+
+@register("ml18_nowcast")
+def ml18(spark, sf):
+    """Nowcast of each nation's last month (covariates known, target not):
+    ridge on MoM log change refitted on all earlier months."""
+    return bt.nowcast(dataset(spark, sf), COVS, "mom_logdiff", "ridge")
