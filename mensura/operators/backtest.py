@@ -140,7 +140,10 @@ def tree_backtest(df: DataFrame, keys: Sequence[str], model: str, x="x", y="y",
     value, e.g. target kind): trains on every series' rows before its own
     cutoff_k, scores its fold-k test rows. Returns the scored rows with
     ``k`` and ``pred_target``."""
-    d = df.withColumn("features", array_to_vector(F.col(x)))
+    # iterative fits re-read their input many times: materialise it once in
+    # the shared checkpoint folder (reliable, survives executor loss)
+    complete = F.forall(F.col(x), lambda v: v.isNotNull())
+    d = df.withColumn("features", F.when(complete, array_to_vector(F.col(x)))).checkpoint(eager=True)
     ks = [r[0] for r in d.select(F.max("K")).collect()]
     n_folds = int(ks[0] or 0)
     groups = [tuple(r) for r in d.select(*group_by).distinct().collect()] if group_by else [()]

@@ -65,7 +65,8 @@ def auto_select(panel: DataFrame, covariates: Sequence[str], candidates: Sequenc
     """
     keys = list(keys)
     data, _ = level_dataset(panel, covariates, test_months, keys)
-    data = data.filter(F.col("split") != "error")
+    # every candidate re-reads the same rows: materialise them once
+    data = data.filter(F.col("split") != "error").checkpoint(eager=True)
     train = data.filter(F.col("split") == "train")
     bm, preds = [], []
     for m in candidates:
