@@ -48,7 +48,12 @@ SELECT CAST(count(*) AS BIGINT) AS count, round(avg(total), 4) AS mean, round(st
        round(quantile_cont(total, 0.75), 4) AS p75, max(total) AS max,
        min(period) AS first_period, max(period) AS last_period,
        (SELECT CAST(count(*) AS BIGINT) FROM sp WHERE period NOT IN (SELECT period FROM s)) AS n_missing,
-       CAST(0 AS BIGINT) AS n_duplicate_rows, CAST(0.0 AS DOUBLE) AS max_abs_diff
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT count(*) OVER (PARTITION BY series_id, period) AS c
+                                              FROM rev_panel) WHERE c > 1) AS n_duplicate_rows,
+       (SELECT coalesce(max(abs(round(sm - fy, 2))), 0.0) + 0.0 FROM (
+          SELECT year(period) AS y, sum(target) AS sm,
+                 sum(CAST(target AS DECIMAL(18,2))) AS fy_dec, CAST(sum(CAST(target AS DECIMAL(18,2))) AS DOUBLE) AS fy
+          FROM rev_panel GROUP BY 1)) AS max_abs_diff
 FROM s""", "rev_panel"))
 def fw1(spark, sf):
     """EDA report of the monthly series built from the wide text table:
