@@ -299,7 +299,7 @@ def shifted_events(spark, sf):
                     F.expr("ts + make_interval(0, cast(2 * user_id as int))").alias("ts"), "value")
 
 
-@register("ag6_resample_monthly", """
+_AG6_SQL = """
 WITH e AS (SELECT event_type AS series_id, ts + to_months(CAST(2 * user_id AS INTEGER)) AS ts, value
            FROM events),
 a AS (SELECT series_id, CAST(date_trunc('month', ts) AS DATE) AS period, avg(value) AS value
@@ -308,7 +308,10 @@ s AS (SELECT series_id, CAST(unnest(generate_series(CAST(min(period) AS TIMESTAM
              CAST(max(period) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS period
       FROM a GROUP BY 1)
 SELECT s.series_id, s.period, round(a.value, 6) AS value
-FROM s LEFT JOIN a ON s.series_id = a.series_id AND s.period = a.period""")
+FROM s LEFT JOIN a ON s.series_id = a.series_id AND s.period = a.period"""
+
+
+@register("ag6_resample_monthly", _AG6_SQL)
 def ag6(spark, sf):
     d = ag.resample_monthly(shifted_events(spark, sf), "ts", "value")
     return d.select("series_id", "period", r("value", 6))
@@ -382,3 +385,19 @@ def so5(spark, sf):
 
 # keep Window imported for catalogs that extend this module
 _ = Window
+
+
+# --------------------------------------------------------------- streaming
+@register("ag6_resample_stream", _AG6_SQL)
+def ag6_stream(spark, sf):
+    """AG6 as a Structured Streaming job: the shifted events land as four
+    parquet files, a file-source stream folds them one file per micro-batch
+    into running monthly means, and the landed batches are read back
+    latest-wins on the month spine."""
+    from mensura.session import scratch_dir
+    from mensura.streaming.resample import read_monthly_mean, run_monthly_mean_stream
+    base = scratch_dir(spark, "ag6stream")
+    shifted_events(spark, sf).repartition(4).write.parquet(f"{base}/src")
+    run_monthly_mean_stream(spark, f"{base}/src", "series_id string, ts timestamp_ntz, value double", "ts",
+                            "value", f"{base}/out", f"{base}/ckpt", files_per_batch=1)
+    return read_monthly_mean(spark, f"{base}/out").select("series_id", "period", r("value", 6))
