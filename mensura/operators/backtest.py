@@ -222,6 +222,9 @@ def walk_forward(dataset: DataFrame, covariates: Sequence[str], models: Sequence
     d = kind_rows(dataset, covariates, kinds, keys)
     d = d.withColumn("trend_next", fold_trend(kk))
     d = with_plan(d, plan_walk_forward, kk, n_test=n_test)
+    # the panel is small next to the raw tables it came from: materialise it
+    # once (reliable checkpoint) so the fit/score branches do not recompute it
+    d = d.checkpoint(eager=True)
     outs = []
     for m in models:
         try:
@@ -255,7 +258,7 @@ def nowcast(dataset: DataFrame, covariates: Sequence[str], kind: str = "mom_logd
     kk = keys + ["target_kind"]
     d = kind_rows(dataset, covariates, [kind], keys)
     d = d.withColumn("trend_next", fold_trend(kk))
-    d = with_plan(d, plan_walk_forward, kk, n_test=1)
+    d = with_plan(d, plan_walk_forward, kk, n_test=1).checkpoint(eager=True)
     scored = backtest(d, kk, model, alpha=alpha, group_by=["target_kind"], **tree_params)
     rec = reconstruct(scored, "target_kind", "pred_target", "trend_next")
     return rec.select(*keys, "period", "predicted", F.col("target").alias("actual"))

@@ -217,6 +217,8 @@ def hac_ols(df: DataFrame, y: str, features: Sequence[str], keys: Sequence[str]
                   for c in features])
     d = d.withColumns({"z": z, "sd": F.array(*[sds[c] for c in features]),
                        "yc": F.col(y) - F.avg(y).over(wall)})
+    # used by the Gram, the residual and the sigma branches: materialise once
+    d = d.checkpoint(eager=True)
     g = gram(d, keys, "z", "yc")
     sol = g.withColumn("p", F.lit(p)).withColumn("w", ols_solve("gram", "p"))
     r = d.join(sol.select(*keys, "w"), keys)

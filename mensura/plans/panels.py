@@ -94,22 +94,28 @@ def month_spine(panel: DataFrame, keys=("series_id",), order: str = "period",
 
 def densify(panel: DataFrame, value_cols, keys=("series_id",), order: str = "period",
             policy: str = "ffill") -> DataFrame:
-    """Right-join the panel to its month spine and fill the holes.
-
-    ``policy='ffill'`` carries the last observed value forward; ``'zero'``
-    fills 0. A flag column ``imputed`` marks filled rows.
+    """Put every month between a series' first and last period under it and
+    fill the holes.
+
+    Each observed row expands itself over the gap up to the next observed
+    month (``lead`` + ``explode(sequence)``), so ``policy='ffill'`` carries
+    the last value forward without a spine join; ``'zero'`` fills 0. One
+    window, one exchange, one pass over the panel. A flag column
+    ``imputed`` marks filled rows.
     """
     keys = list(keys)
-    spine = month_spine(panel, keys, order)
-    d = spine.join(panel.withColumn("_seen", F.lit(True)), keys + [order], "left")
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy(order)
+    p = panel.withColumn("_last", F.coalesce(F.add_months(F.lead(order).over(w), -1), F.col(order)))
+    d = p.select(*keys, F.col(order).alias("_obs"), *value_cols,
+                 F.explode(F.sequence(F.col(order), F.col("_last"), F.expr("interval 1 month"))).alias(order))
+    imputed = F.col(order) != F.col("_obs")
     cols = []
     for c in value_cols:
         if policy == "ffill":
-            cols.append(F.last(c, ignorenulls=True).over(w).alias(c))
+            cols.append(F.col(c))
         else:
-            cols.append(F.coalesce(F.col(c), F.lit(0).cast(panel.schema[c].dataType)).alias(c))
-    return d.select(*keys, order, *cols, F.col("_seen").isNull().alias("imputed"))
+            cols.append(F.when(imputed, F.lit(0).cast(panel.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+    return d.select(*keys, order, *cols, imputed.alias("imputed"))
 
 
 def rev_panel_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
