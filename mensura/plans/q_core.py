@@ -12,7 +12,7 @@ from mensura.operators.reconstruct import zero_change_forecasts
 from mensura.plans import panels
 from mensura.plans.cte import with_views
 from mensura.plans.registry import register
-from mensura.plans.util import r
+from mensura.plans.util import money_mean_4, r, sql_money_mean_4
 
 W = "PARTITION BY series_id ORDER BY period"
 
@@ -272,14 +272,16 @@ def ag1(spark, sf):
 
 
 @register("ag4_describe", with_views("""
-SELECT series_id, CAST(count(target) AS BIGINT) AS count, round(avg(target), 4) AS mean,
+SELECT series_id, CAST(count(target) AS BIGINT) AS count, """ + sql_money_mean_4("target") + """ AS mean,
        round(stddev_samp(target), 4) AS std, min(target) AS min,
        round(quantile_cont(target, 0.25), 4) AS p25, round(quantile_cont(target, 0.5), 4) AS p50,
        round(quantile_cont(target, 0.75), 4) AS p75, max(target) AS max
 FROM rev_panel GROUP BY 1""", "rev_panel"))
 def ag4(spark, sf):
-    d = ag.describe_series(panels.rev_panel(spark, sf))
-    return d.select("series_id", "count", r("mean", 4), r("std", 4), "min", r("p25", 4),
+    p = panels.rev_panel(spark, sf)
+    d = ag.describe_series(p).join(p.groupBy("series_id").agg(money_mean_4("target").alias("mean4")),
+                                   "series_id")
+    return d.select("series_id", "count", F.col("mean4").alias("mean"), r("std", 4), "min", r("p25", 4),
                     r("p50", 4), r("p75", 4), "max")
 
 

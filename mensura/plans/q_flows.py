@@ -17,7 +17,7 @@ from mensura.plans.cte import with_views
 from mensura.plans.flows import delevel_dataset, level_features
 from mensura.plans.q_reshape import _order_covs, _ship_covs
 from mensura.plans.registry import register
-from mensura.plans.util import r
+from mensura.plans.util import money_mean_4, r, sql_money_mean_4
 from mensura.session import scratch_dir
 from mensura.sources import csv_io
 
@@ -43,7 +43,7 @@ _FW1_SERIES = "(SELECT period, CAST(SUM(CAST(target AS DECIMAL(38,2))) AS DOUBLE
 WITH s AS {_FW1_SERIES},
 sp AS (SELECT CAST(unnest(generate_series(CAST(min(period) AS TIMESTAMP), CAST(max(period) AS TIMESTAMP),
               INTERVAL 1 MONTH)) AS DATE) AS period FROM s)
-SELECT CAST(count(*) AS BIGINT) AS count, round(avg(total), 4) AS mean, round(stddev_samp(total), 4) AS std,
+SELECT CAST(count(*) AS BIGINT) AS count, """ + sql_money_mean_4("total") + """ AS mean, round(stddev_samp(total), 4) AS std,
        min(total) AS min, round(quantile_cont(total, 0.25), 4) AS p25, round(quantile_cont(total, 0.5), 4) AS p50,
        round(quantile_cont(total, 0.75), 4) AS p75, max(total) AS max,
        min(period) AS first_period, max(period) AS last_period,
@@ -61,7 +61,8 @@ def fw1(spark, sf):
     long table (AG7), and the largest |sum of months - reported total| (AG3)."""
     long, series = monthly_series_from_wide(spark, sf)
     series = series.withColumn("series_id", F.lit("all"))
-    d = ag.describe_series(series, "total").join(ag.span(series), "series_id")
+    d = ag.describe_series(series, "total").join(ag.span(series), "series_id").join(
+        series.groupBy("series_id").agg(money_mean_4("total").alias("mean4")), "series_id")
     # distinct month starts: months on the spine minus months present
     d = d.withColumn("n_missing", (F.months_between("last_period", "first_period").cast("bigint") + 1
                                    - F.col("count")))
@@ -72,7 +73,7 @@ def fw1(spark, sf):
     diff = rec.agg(F.coalesce(F.max(F.abs(F.round("Diff", 2))), F.lit(0.0)).alias("max_abs_diff")) \
         .withColumn("series_id", F.lit("all"))
     out = d.join(dups, "series_id").join(diff, "series_id")  # one-row frames on a constant key
-    return out.select("count", r("mean", 4), r("std", 4), "min", r("p25", 4), r("p50", 4), r("p75", 4), "max",
+    return out.select("count", F.col("mean4").alias("mean"), r("std", 4), "min", r("p25", 4), r("p50", 4), r("p75", 4), "max",
                       "first_period", "last_period", "n_missing", "n_duplicate_rows",
                       (F.col("max_abs_diff") + F.lit(0.0)).alias("max_abs_diff"))
 

@@ -19,3 +19,20 @@ def rs(cols, digits: int) -> list[Column]:
 
 def sql_r(col: str, digits: int, name: str | None = None) -> str:
     return f"round({col}, {digits}) AS {name or col}"
+
+
+def money_mean_4(col: str) -> Column:
+    """Aggregate: mean of a non-negative 2-decimal money column, rounded
+    HALF_UP to 4 decimals in exact integer arithmetic (cents), so a value
+    sitting exactly on a rounding tie cannot round differently depending on
+    the floating summation order of an engine."""
+    cents = F.sum(F.round(F.col(col) * 100).cast("bigint"))
+    n = F.count(col)
+    num, den = cents * 200 + n, n * 2
+    return (num - F.pmod(num, den)) / den / 10000.0
+
+
+def sql_money_mean_4(col: str) -> str:
+    """DuckDB twin of ``money_mean_4``."""
+    s = f"sum(CAST(round({col} * 100) AS BIGINT))"
+    return f"((2 * {s} * 100 + count({col})) // (2 * count({col}))) / 10000.0"
