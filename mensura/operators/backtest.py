@@ -81,19 +81,21 @@ def _bucket(t: Column) -> Column:
 
 
 def fold_ridge(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", t: str = "t",
-               eligible: str = "eligible", alpha: float = 5.0) -> DataFrame:
+               eligible: str = "eligible", alpha: float = 5.0, p: int | None = None) -> DataFrame:
     """Ridge per (keys, fold k) under the plan columns; returns
-    (keys, k, p, coef)."""
+    (keys, k, p, coef).
+
+    Spark sums Gram contributions per (series, bucket) with partial
+    aggregation (the O(rows p^2) part); each series' <= K+1 bucket Grams are
+    then added cumulatively and solved in one grouped pandas call."""
     keys = list(keys)
+    if p is None:
+        p = int(df.select(F.max(F.size(x))).first()[0])
     tr = df.filter(F.col(eligible)).withColumn("b", _bucket(F.col(t))).filter(F.col("b") < F.col("K"))
-    gb = lin.gram(tr, keys + ["b"], x, y)
-    folds = df.select(*keys, "K").distinct().select(
-        *keys, F.explode(F.sequence(F.lit(0), F.col("K") - 1)).alias("k"))
-    exp = gb.join(folds, keys).filter(F.col("b") <= F.col("k"))
-    gk = lin.vec_sum(exp, keys + ["k"], F.col("gram"), "gram")
-    p = df.groupBy(*keys).agg(F.max(F.size(x)).alias("p"))
-    return gk.join(p, keys).select(*keys, "k", "p",
-                                   lin.ridge_solve("gram", "p", F.lit(float(alpha))).alias("coef"))
+    gb = lin.gram(tr, keys + ["K", "b"], x, y, p=p)
+    types = [df.schema[k].dataType.simpleString() for k in keys]
+    fn, schema = lin.prefix_ridge_solve(keys, p, float(alpha), types)
+    return gb.groupBy(*keys).applyInPandas(fn, schema)
 
 
 def test_rows(df: DataFrame, t: str = "t") -> DataFrame:
@@ -105,10 +107,10 @@ def test_rows(df: DataFrame, t: str = "t") -> DataFrame:
 
 
 def ridge_backtest(df: DataFrame, keys: Sequence[str], x="x", y="y", t="t",
-                   eligible="eligible", alpha=5.0) -> DataFrame:
+                   eligible="eligible", alpha=5.0, p: int | None = None) -> DataFrame:
     """Fit per fold and score that fold's test rows: adds ``k`` and
     ``pred_target``."""
-    coef = fold_ridge(df, keys, x, y, t, eligible, alpha)
+    coef = fold_ridge(df, keys, x, y, t, eligible, alpha, p)
     te = test_rows(df, t).filter(F.forall(F.col(x), lambda v: v.isNotNull()))
     j = te.join(coef, [*keys, "k"])
     return j.withColumn("pred_target", lin.predict_linear(j)).drop("coef", "p")
@@ -143,7 +145,7 @@ def tree_backtest(df: DataFrame, keys: Sequence[str], model: str, x="x", y="y",
     # iterative fits re-read their input many times: materialise it once in
     # the shared checkpoint folder (reliable, survives executor loss)
     complete = F.forall(F.col(x), lambda v: v.isNotNull())
-    d = df.withColumn("features", F.when(complete, array_to_vector(F.col(x)))).checkpoint(eager=True)
+    d = lin.materialize(df.withColumn("features", F.when(complete, array_to_vector(F.col(x)))), keys)
     ks = [r[0] for r in d.select(F.max("K")).collect()]
     n_folds = int(ks[0] or 0)
     groups = [tuple(r) for r in d.select(*group_by).distinct().collect()] if group_by else [()]
@@ -166,9 +168,9 @@ def tree_backtest(df: DataFrame, keys: Sequence[str], model: str, x="x", y="y",
 
 
 def backtest(df: DataFrame, keys: Sequence[str], model: str, alpha: float = 5.0,
-             group_by: Sequence[str] = (), **params) -> DataFrame:
+             group_by: Sequence[str] = (), p: int | None = None, **params) -> DataFrame:
     if model == "ridge":
-        return ridge_backtest(df, keys, alpha=alpha)
+        return ridge_backtest(df, keys, alpha=alpha, p=p)
     return tree_backtest(df, keys, model, group_by=group_by, **params)
 
 
@@ -200,6 +202,11 @@ def kind_rows(df: DataFrame, covariates: Sequence[str], kinds: Sequence[str],
     return d.withColumn("eligible", F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
 
 
+def n_features(covariates: Sequence[str]) -> int:
+    """Length of the ``x`` array built by ``kind_rows``."""
+    return 3 * len(covariates) + 11
+
+
 def fold_trend(keys: Sequence[str], t: str = "t", order: str = "period") -> Column:
     """Trend of ``log_y`` on ``t`` fitted on the *eligible* rows before this
     one (the fold's training slice), evaluated at this row's ``t``."""
@@ -224,11 +231,12 @@ def walk_forward(dataset: DataFrame, covariates: Sequence[str], models: Sequence
     d = with_plan(d, plan_walk_forward, kk, n_test=n_test)
     # the panel is small next to the raw tables it came from: materialise it
     # once (reliable checkpoint) so the fit/score branches do not recompute it
-    d = d.checkpoint(eager=True)
+    d = lin.materialize(d, kk)
+    p = n_features(covariates)
     outs = []
     for m in models:
         try:
-            scored = backtest(d, kk, m, alpha=alpha, group_by=["target_kind"], **tree_params)
+            scored = backtest(d, kk, m, alpha=alpha, group_by=["target_kind"], p=p, **tree_params)
             rec = reconstruct(scored, "target_kind", "pred_target", "trend_next")
             outs.append(rec.select(*kk, F.lit(m).alias("model"), "period",
                                    F.col("target").alias("actual"), "predicted", "pred_target",
@@ -258,7 +266,8 @@ def nowcast(dataset: DataFrame, covariates: Sequence[str], kind: str = "mom_logd
     kk = keys + ["target_kind"]
     d = kind_rows(dataset, covariates, [kind], keys)
     d = d.withColumn("trend_next", fold_trend(kk))
-    d = with_plan(d, plan_walk_forward, kk, n_test=1).checkpoint(eager=True)
-    scored = backtest(d, kk, model, alpha=alpha, group_by=["target_kind"], **tree_params)
+    d = lin.materialize(with_plan(d, plan_walk_forward, kk, n_test=1), kk)
+    scored = backtest(d, kk, model, alpha=alpha, group_by=["target_kind"], p=n_features(covariates),
+                      **tree_params)
     rec = reconstruct(scored, "target_kind", "pred_target", "trend_next")
     return rec.select(*keys, "period", "predicted", F.col("target").alias("actual"))

@@ -30,8 +30,15 @@ EPS = np.finfo(float).eps
 
 
 # ------------------------------------------------------------ array helpers
-def upper_outer(z: Column) -> Column:
-    """Flattened upper triangle (row-major, diagonal included) of z z'."""
+def upper_outer(z: Column, q: int | None = None) -> Column:
+    """Flattened upper triangle (row-major, diagonal included) of z z'.
+
+    With the length ``q`` known at plan time the products are spelled out
+    as one array of element products (code-generated); otherwise nested
+    higher-order functions are used (interpreted, ~2x slower)."""
+    if q is not None:
+        iu = np.triu_indices(q)
+        return F.array(*[z[int(i)] * z[int(j)] for i, j in zip(*iu)])
     n = F.size(z)
     return F.flatten(F.transform(z, lambda a, i: F.transform(F.slice(z, i + 1, n - i),
                                                               lambda b: a * b)))
@@ -52,10 +59,13 @@ def vec_sum(df: DataFrame, keys: Sequence[str], arr: Column, name: str) -> DataF
     return g.select(*keys, vector_to_array("_v").alias(name))
 
 
-def gram(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", name: str = "gram") -> DataFrame:
-    """Upper-triangle sums of ``[1, x, y][1, x, y]'`` per group."""
+def gram(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", name: str = "gram",
+         p: int | None = None) -> DataFrame:
+    """Upper-triangle sums of ``[1, x, y][1, x, y]'`` per group (``p`` = the
+    length of ``x`` when known at plan time)."""
     z = F.concat(F.array(F.lit(1.0)), F.col(x), F.array(F.col(y).cast("double")))
-    return vec_sum(df, keys, upper_outer(z), name)
+    d = df.withColumn("_z", z)
+    return vec_sum(d, keys, upper_outer(F.col("_z"), None if p is None else p + 2), name)
 
 
 def unpack_upper(flat: np.ndarray, q: int) -> np.ndarray:
@@ -71,6 +81,42 @@ def _stack(s: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=float) for v in s])
 
 
+def materialize(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Reliable checkpoint (shared ``spark.checkpoint.dir``) of a small,
+    reused frame, hash-partitioned by ``keys`` over the shuffle partitions:
+    the rows are few but the per-row work that follows (outer products,
+    fits) is heavy, so keep every core busy instead of the few partitions
+    AQE would coalesce such a small frame into."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).checkpoint(eager=True)
+
+
+def prefix_ridge_solve(keys: Sequence[str], p: int, alpha: float, key_types: Sequence[str]):
+    """Grouped function for ``applyInPandas``: for one group it receives the
+    bucket Grams (``b``, ``K``, ``gram``), adds them cumulatively (fold ``k``
+    uses buckets ``<= k``) and solves every fold. A group has at most K + 1
+    rows, however large the series."""
+    q = p + 2
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        K = int(pdf["K"].iloc[0])
+        acc = np.zeros((K, q * (q + 1) // 2))
+        np.add.at(acc, pdf["b"].to_numpy().astype(int), _stack(pdf["gram"]))
+        cum = np.cumsum(acc, axis=0)
+        ks = np.nonzero(cum[:, 0] > 0)[0]
+        out = {k: [pdf[k].iloc[0]] * len(ks) for k in keys}
+        if len(ks):
+            res = ridge_from_gram(unpack_upper(cum[ks], q), p, alpha)
+            coefs = [r.tolist() for r in res]
+        else:
+            coefs = []
+        out.update({"k": ks.astype("int32"), "p": np.full(len(ks), p, dtype="int32"), "coef": coefs})
+        return pd.DataFrame(out)
+
+    schema = ", ".join(f"{k} {t}" for k, t in zip(keys, key_types)) + ", k int, p int, coef array<double>"
+    return fn, schema
+
+
 # ------------------------------------------------------------ centring / standardising
 def center_features(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("series_id",),
                     name: str = "x") -> DataFrame:
@@ -137,11 +183,11 @@ def ridge_solve(gram_col: pd.Series, p_col: pd.Series, alpha_col: pd.Series) ->
 
 
 def fit_ridge(df: DataFrame, x: str = "x", y: str = "y", keys: Sequence[str] = ("series_id",),
-              alpha: float = 5.0) -> DataFrame:
+              alpha: float = 5.0, p: int | None = None) -> DataFrame:
     """ML2: one ridge per group. Returns keys + ``coef`` =
     ``[b0, beta(p), w_std(p), n]`` (beta applies to the same ``x`` array)."""
     d = df.filter(F.col(y).isNotNull() & F.forall(F.col(x), lambda v: v.isNotNull()))
-    g = gram(d, keys, x, y)
+    g = gram(d, keys, x, y, p=p)
     p = F.first(F.size(F.col(x)))
     sizes = d.groupBy(*keys).agg(p.alias("p"))
     return g.join(sizes, list(keys)).select(
@@ -218,8 +264,8 @@ def hac_ols(df: DataFrame, y: str, features: Sequence[str], keys: Sequence[str]
     d = d.withColumns({"z": z, "sd": F.array(*[sds[c] for c in features]),
                        "yc": F.col(y) - F.avg(y).over(wall)})
     # used by the Gram, the residual and the sigma branches: materialise once
-    d = d.checkpoint(eager=True)
-    g = gram(d, keys, "z", "yc")
+    d = materialize(d, keys)
+    g = gram(d, keys, "z", "yc", p=p)
     sol = g.withColumn("p", F.lit(p)).withColumn("w", ols_solve("gram", "p"))
     r = d.join(sol.select(*keys, "w"), keys)
     r = r.withColumn("u", F.col("yc") - dot(F.col("z"), F.col("w")))

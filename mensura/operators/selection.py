@@ -43,11 +43,11 @@ def block_backtest(train: DataFrame, model: str, keys: Sequence[str] = ("series_
 
 
 def refit_predict(data: DataFrame, model: str, keys: Sequence[str] = ("series_id",),
-                  alpha: float = 5.0, **tree_params) -> DataFrame:
+                  alpha: float = 5.0, p: int | None = None, **tree_params) -> DataFrame:
     """Fit on ``split = 'train'`` rows, predict every row (``prediction``)."""
     train = data.filter(F.col("split") == "train")
     if model == "ridge":
-        coef = lin.fit_ridge(train, keys=keys, alpha=alpha)
+        coef = lin.fit_ridge(train, keys=keys, alpha=alpha, p=p)
         j = data.join(coef, list(keys))
         return j.withColumn("prediction", lin.predict_linear(j)).drop("coef", "p")
     d = data.withColumn("features", array_to_vector("x"))
@@ -64,17 +64,17 @@ def auto_select(panel: DataFrame, covariates: Sequence[str], candidates: Sequenc
     Returns ``(backtest_metrics, best, split_metrics, predictions)``.
     """
     keys = list(keys)
-    data, _ = level_dataset(panel, covariates, test_months, keys)
+    data, feats = level_dataset(panel, covariates, test_months, keys)
     # every candidate re-reads the same rows: materialise them once
-    data = data.filter(F.col("split") != "error").checkpoint(eager=True)
+    data = lin.materialize(data.filter(F.col("split") != "error"), keys)
     train = data.filter(F.col("split") == "train")
     bm, preds = [], []
     for m in candidates:
-        scored = block_backtest(train, m, keys, **kw)
+        scored = block_backtest(train, m, keys, p=len(feats), **kw)
         bm.append(forecast_metrics(scored.withColumn("model", F.lit(m)), "y", "pred_target",
                                    keys + ["model"], "A"))
-        preds.append(refit_predict(data, m, keys, **{k: v for k, v in kw.items()
-                                                    if k not in ("horizon", "min_train", "step")})
+        preds.append(refit_predict(data, m, keys, p=len(feats), **{k: v for k, v in kw.items()
+                                                                    if k not in ("horizon", "min_train", "step")})
                      .select(*keys, "period", "split", "y", "prediction").withColumn("model", F.lit(m)))
     metrics = bm[0]
     for b in bm[1:]:
@@ -96,7 +96,7 @@ def feature_effects(data: DataFrame, feats: Sequence[str], model: str = "ridge",
     names = F.array(*[F.lit(f) for f in feats])
     train = data.filter(F.col("split") == "train")
     if model == "ridge":
-        coef = lin.fit_ridge(train, keys=keys, alpha=alpha)
+        coef = lin.fit_ridge(train, keys=keys, alpha=alpha, p=len(feats))
         w = F.slice("coef", F.col("p") + 2, F.col("p"))
         z = coef.select(*keys, F.arrays_zip(names.alias("feature"), w.alias("importance")).alias("z"))
         return z.select(*keys, F.lit("ridge").alias("model"), F.inline("z"))

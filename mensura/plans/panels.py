@@ -80,6 +80,29 @@ def part_panel(spark: SparkSession, sf_dir: str, key: str = "p_brand") -> DataFr
         F.round(F.sum(_line_revenue()), 2).cast("double").alias("target"))
 
 
+SUPP_COVARIATES = ["n_lines", "quantity", "avg_disc", "avg_tax"]
+
+
+def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly shipped revenue per supplier: the many-series panel (its
+    series count grows with the data). A single scan of lineitem and one
+    partially aggregated ``groupBy``; no join, since the ship month is on
+    the line itself."""
+    li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_extendedprice",
+               "l_discount", "l_quantity", "l_tax")
+    return li.groupBy(F.col("l_suppkey").cast("string").alias("series_id"),
+                      F.trunc("l_shipdate", "MM").alias("period")).agg(
+        F.round(F.sum(_line_revenue()), 2).cast("double").alias("target"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum("l_quantity").cast("double").alias("quantity"),
+        (F.sum(F.col("l_discount").cast("decimal(4,2)")).cast("double") / F.count(F.lit(1))).alias("avg_disc"),
+        (F.sum(F.col("l_tax").cast("decimal(4,2)")).cast("double") / F.count(F.lit(1))).alias("avg_tax"))
+
+
+def supplier_panel_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return densify(supplier_panel(spark, sf_dir), ["target"] + SUPP_COVARIATES)
+
+
 def month_spine(panel: DataFrame, keys=("series_id",), order: str = "period",
                 start=None) -> DataFrame:
     """Every month from max(start, first) to last period, per series."""

@@ -8,6 +8,7 @@ from mensura.functions.clean import MONTH_ABBR, month_start, parse_date, parse_m
 from mensura.operators import aggregate as ag
 from mensura.operators import backtest as bt
 from mensura.operators import filters as fl
+from mensura.operators import linear as lin
 from mensura.operators import metrics as mt
 from mensura.operators import reshape as rs
 from mensura.operators import selection as sel
@@ -220,7 +221,7 @@ def fw10(spark, sf):
     hold-out metrics of every model."""
     panel = add_yoy_pct(panels.rev_panel_dense(spark, sf), "target")
     data, _ = sel.level_dataset(panel, COVS + ["target_yoy_pct"])
-    data = data.filter(F.col("split") != "error").checkpoint(eager=True)
+    data = lin.materialize(data.filter(F.col("split") != "error"), ["series_id"])
     train = data.filter(F.col("split") == "train")
     rows = []
     for m in ("forest", "boosting"):
