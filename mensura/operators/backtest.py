@@ -137,7 +137,8 @@ def tree_model(kind: str, seed: int = 42, **params):
 
 
 def tree_backtest(df: DataFrame, keys: Sequence[str], model: str, x="x", y="y", t="t",
-                  eligible="eligible", group_by: Sequence[str] = (), **params) -> DataFrame:
+                  eligible="eligible", group_by: Sequence[str] = (), parallelism: int = 4,
+                  **params) -> DataFrame:
     """Pooled tree fits, one per fold index ``k`` (and per ``group_by``
     value, e.g. target kind): trains on every series' rows before its own
     cutoff_k, scores its fold-k test rows. Returns the scored rows with
@@ -150,7 +151,7 @@ def tree_backtest(df: DataFrame, keys: Sequence[str], model: str, x="x", y="y",
     n_folds = int(ks[0] or 0)
     groups = [tuple(r) for r in d.select(*group_by).distinct().collect()] if group_by else [()]
     te_all = test_rows(d, t).filter(F.forall(F.col(x), lambda v: v.isNotNull()))
-    outs = []
+    tasks = []
     for g in groups:
         cond = F.lit(True)
         for c, v in zip(group_by, g):
@@ -159,8 +160,18 @@ def tree_backtest(df: DataFrame, keys: Sequence[str], model: str, x="x", y="y",
             cut = F.col("c0") + F.lit(k) * F.col("step")
             train = d.filter(cond & F.col(eligible) & (F.col(t) < cut) & (F.lit(k) < F.col("K")))
             test = te_all.filter(cond & (F.col("k") == k))
-            fitted = tree_model(model, **params).fit(train.select("features", F.col(y).alias("y")))
-            outs.append(fitted.transform(test).withColumnRenamed("prediction", "pred_target"))
+            tasks.append((train.select("features", F.col(y).alias("y")), test))
+
+    def fit(task):
+        train, test = task
+        return tree_model(model, **params).fit(train).transform(test) \
+            .withColumnRenamed("prediction", "pred_target")
+
+    # the fits are independent Spark jobs: submit them from a few driver
+    # threads so small fits share the cluster instead of queueing
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(tasks)) or 1) as pool:
+        outs = list(pool.map(fit, tasks))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)

@@ -85,10 +85,12 @@ def materialize(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Reliable checkpoint (shared ``spark.checkpoint.dir``) of a small,
     reused frame, hash-partitioned by ``keys`` over the shuffle partitions:
     the rows are few but the per-row work that follows (outer products,
-    fits) is heavy, so keep every core busy instead of the few partitions
+    fits) is heavy, so spread them over as many partitions as there are
+    cores (capped by the shuffle partitions) instead of the few partitions
     AQE would coalesce such a small frame into."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).checkpoint(eager=True)
+    spark = df.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(max(1, n), *keys).checkpoint(eager=True)
 
 
 def prefix_ridge_solve(keys: Sequence[str], p: int, alpha: float, key_types: Sequence[str]):

@@ -145,10 +145,17 @@ def add_expanding_trend(df: DataFrame, y="log_y", t="t", keys=DEFAULT_KEYS, orde
 
 
 def build_targets(df: DataFrame, target: str = "target", keys=DEFAULT_KEYS,
-                  order: str = "period", calendar: bool = False) -> DataFrame:
+                  order: str = "period", calendar: bool = False, trend: str = "full") -> DataFrame:
     """WN10 (+WN7, SC11): ``t``, ``log_y``, ``mom_logdiff``, ``yoy_logdiff``,
-    ``trend_dev`` (full-sample trend, reference parity), plus the anchors
-    ``log_lag1``/``log_lag12`` used for level reconstruction (JN4)."""
+    ``trend_dev``, plus the anchors ``log_lag1``/``log_lag12`` used for level
+    reconstruction (JN4).
+
+    ``trend='full'`` measures ``trend_dev`` against the full-sample trend
+    (parity with the published runs, but the label of an early row then
+    depends on later rows); ``trend='expanding'`` uses the trend fitted on
+    strictly earlier rows, the same trend the reconstruction adds back, so
+    no label looks ahead.
+    """
     w = series_window(keys, order)
     out = df.withColumns({"t": F.row_number().over(w) - 1, "log_y": log_target(target)})
     out = out.withColumns({
@@ -159,6 +166,11 @@ def build_targets(df: DataFrame, target: str = "target", keys=DEFAULT_KEYS,
         "mom_logdiff": F.col("log_y") - F.col("log_lag1"),
         "yoy_logdiff": F.col("log_y") - F.col("log_lag12"),
     })
+    if trend == "expanding":
+        nxt = expanding_trend("log_y", "t", keys, order)
+        return out.withColumns({"trend_full": nxt, "trend_dev": F.col("log_y") - nxt})
+    if trend != "full":
+        raise ValueError(f"trend must be 'full' or 'expanding', not {trend!r}")
     return add_trend_dev(out, "log_y", "t", keys)
 
 

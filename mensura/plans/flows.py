@@ -20,10 +20,12 @@ LEVEL_LAGS = (1, 2, 3, 12, 13)
 
 
 def delevel_dataset(panel: DataFrame, covariates: Sequence[str], target: str = "target",
-                    keys: Sequence[str] = ("series_id",), order: str = "period") -> DataFrame:
+                    keys: Sequence[str] = ("series_id",), order: str = "period",
+                    trend: str = "full") -> DataFrame:
     """FW6: time index, log target, month dummies m_2..m_12, 1- and 12-step
-    covariate changes, and the three de-levelled targets."""
-    d = wn.build_targets(panel, target, keys, order)
+    covariate changes, and the three de-levelled targets (``trend`` as in
+    ``build_targets``)."""
+    d = wn.build_targets(panel, target, keys, order, trend=trend)
     d = month_dummies(d, order)
     return wn.add_diffs(d, covariates, (1, 12), keys, order)
 

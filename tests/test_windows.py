@@ -117,3 +117,18 @@ def test_build_targets(spark):
     assert t[1].mom_logdiff == pytest.approx(np.log(1.01))
     assert t[12].yoy_logdiff == pytest.approx(12 * np.log(1.01))
     assert abs(t[20].trend_dev) < 1e-9  # exact exponential growth: no deviation
+
+
+def test_expanding_trend_labels_do_not_look_ahead(spark):
+    vals = [100.0 * (1.01 ** i) for i in range(30)]
+    df = spark.createDataFrame([("s", d, v) for d, v in zip(months(2015, 30), vals)],
+                               "series_id string, period date, target double")
+    changed = df.withColumn("target", F.when(F.col("period") >= "2016-06-01", F.col("target") * 2)
+                            .otherwise(F.col("target")))
+    a = {r.period: r.trend_dev for r in wn.build_targets(df, trend="expanding").collect()}
+    b = {r.period: r.trend_dev for r in wn.build_targets(changed, trend="expanding").collect()}
+    early = [p for p in a if p < dt.date(2016, 6, 1)]
+    assert all(a[p] == b[p] for p in early)
+    full_a = {r.period: r.trend_dev for r in wn.build_targets(df).collect()}
+    full_b = {r.period: r.trend_dev for r in wn.build_targets(changed).collect()}
+    assert any(full_a[p] != full_b[p] for p in early)  # Q3: the full-sample label looks ahead
