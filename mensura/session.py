@@ -40,6 +40,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings every job relies on, applied to any session: UTC session time
+    (periods are UTC calendar months; epoch and formatted timestamps must not
+    move with the caller's zone) and a reliable checkpoint folder."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
