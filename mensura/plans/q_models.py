@@ -100,6 +100,60 @@ def ml8(spark, sf):
     return _wf_metrics(spark, sf, ["ridge"], 24)
 
 
+_WF1_SQL = f"""
+WITH b AS (SELECT *, CAST(n_orders - lag(n_orders, 1) OVER ({W}) AS DOUBLE) AS x FROM targets),
+k AS (SELECT b.*, kk.target_kind,
+             CASE kk.target_kind WHEN 'mom_logdiff' THEN mom_logdiff WHEN 'yoy_logdiff' THEN yoy_logdiff
+                  ELSE trend_dev END AS y
+      FROM b CROSS JOIN (VALUES ('mom_logdiff'), ('yoy_logdiff'), ('trend_dev')) AS kk(target_kind)),
+e AS (SELECT *, y IS NOT NULL AND x IS NOT NULL AS ok,
+             count(*) OVER (PARTITION BY series_id, target_kind) AS n_all FROM k),
+f AS (SELECT *,
+        count(CASE WHEN ok THEN 1 END) OVER wp AS n,
+        avg(CASE WHEN ok THEN x END) OVER wp AS mx, avg(CASE WHEN ok THEN y END) OVER wp AS my,
+        covar_pop(CASE WHEN ok THEN y END, CASE WHEN ok THEN x END) OVER wp AS cxy,
+        var_pop(CASE WHEN ok THEN x END) OVER wp AS vx,
+        regr_intercept(CASE WHEN ok THEN log_y END, t) OVER wp
+          + regr_slope(CASE WHEN ok THEN log_y END, t) OVER wp * t AS trend_next
+      FROM e WINDOW wp AS (PARTITION BY series_id, target_kind ORDER BY period
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT series_id, target_kind, target AS actual,
+             exp(CASE target_kind WHEN 'mom_logdiff' THEN log_lag1 WHEN 'yoy_logdiff' THEN log_lag12
+                 ELSE trend_next END
+                 + (my - (n * cxy / ((n + 5.0) * vx)) * mx) + (n * cxy / ((n + 5.0) * vx)) * x) AS predicted
+      FROM f WHERE t >= n_all - 24 AND n > 0 AND x IS NOT NULL)
+SELECT series_id, target_kind, count(*) AS n,
+       round(CASE WHEN var_pop(actual) > 0
+             THEN 1 - sum((actual - predicted) ^ 2) / (var_pop(actual) * count(*)) END, 6) AS R2,
+       round(avg(CASE WHEN actual <> 0 THEN abs(actual - predicted) / abs(actual) END) * 100, 6) AS MAPE_pct,
+       round(sqrt(sum((actual - predicted) ^ 2) / count(*)), 2) AS RMSE
+FROM p WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY 1, 2"""
+
+
+@register("ml8_walk_forward_one_feature", with_views(_WF1_SQL, "targets"))
+def ml8_one(spark, sf):
+    """Walk-forward ridge (24 one-step folds, three target kinds, levels
+    reconstructed) with a single feature, the 1-step change of the order
+    count. It runs the same fold plan, bucket Grams, prefix solve, scoring
+    and reconstruction as the full grid; with one feature the fold models
+    have a closed form, so the oracle recomputes them with expanding SQL
+    window aggregates."""
+    ds = dataset(spark, sf)
+    kk = ["series_id", "target_kind"]
+    d = ds.withColumn("target_kind", F.explode(F.array(*[F.lit(k) for k in
+                                                        ("mom_logdiff", "yoy_logdiff", "trend_dev")])))
+    y = (F.when(F.col("target_kind") == "mom_logdiff", F.col("mom_logdiff"))
+         .when(F.col("target_kind") == "yoy_logdiff", F.col("yoy_logdiff")).otherwise(F.col("trend_dev")))
+    d = d.withColumns({"x": F.array(F.col("n_orders_chg1").cast("double")), "y": y})
+    d = d.withColumn("eligible", F.col("y").isNotNull() & F.col("x")[0].isNotNull())
+    d = d.withColumn("trend_next", bt.fold_trend(kk))
+    d = lin.materialize(bt.with_plan(d, bt.plan_walk_forward, kk, n_test=24), kk)
+    scored = bt.ridge_backtest(d, kk, p=1)
+    rec = reconstruct(scored).select(*kk, F.col("target").alias("actual"), "predicted")
+    m = mt.forecast_metrics(rec, keys=kk, which="B")
+    return m.select(*kk, "n", r("R2", 6), r("MAPE_pct", 6), r("RMSE", 2))
+
+
 @register("ml8_walk_forward_suppliers")
 def ml8_supp(spark, sf):
     """The same ridge walk-forward grid over the supplier panel: one series
@@ -179,6 +233,54 @@ def ml9_layout(spark, sf):
     return _layout(spark, sf, bt.plan_kfold, n_splits=4)
 
 
+_FOLD1_SQL = """
+WITH d AS (SELECT series_id, period, target AS y, lag(target, 1) OVER ({W}) AS x,
+                  CAST(row_number() OVER ({W}) - 1 AS INTEGER) AS t FROM rev_panel_dense),
+n AS (SELECT series_id, count(*) AS n FROM d GROUP BY 1),
+pl AS (SELECT series_id, {c0} AS c0, {step} AS step, {K} AS n_folds, {h} AS h FROM n),
+f AS (SELECT series_id, c0 + fold * step AS cutoff, h, fold AS k
+      FROM (SELECT series_id, c0, step, h, unnest(range(0, n_folds)) AS fold FROM pl)),
+m AS (SELECT f.series_id, f.k, f.cutoff, f.h, count(*) AS nn, avg(d.x) AS mx, avg(d.y) AS my,
+             covar_pop(d.y, d.x) AS cxy, var_pop(d.x) AS vx
+      FROM f JOIN d ON d.series_id = f.series_id AND d.t < f.cutoff AND d.x IS NOT NULL AND d.y IS NOT NULL
+      GROUP BY 1, 2, 3, 4),
+p AS (SELECT d.series_id, d.y,
+             (m.my - (m.nn * m.cxy / ((m.nn + 5.0) * m.vx)) * m.mx) + (m.nn * m.cxy / ((m.nn + 5.0) * m.vx)) * d.x
+               AS pred
+      FROM m JOIN d ON d.series_id = m.series_id AND d.t >= m.cutoff AND d.t < m.cutoff + m.h
+      WHERE d.x IS NOT NULL)
+SELECT series_id, count(*) AS n, round(avg(abs(y - pred)), 2) AS MAE,
+       round(sqrt(sum((y - pred) ^ 2) / count(*)), 2) AS RMSE,
+       round(avg(CASE WHEN y <> 0 THEN abs(y - pred) / abs(y) END) * 100, 6) AS MAPE_pct
+FROM p WHERE y IS NOT NULL AND pred IS NOT NULL GROUP BY 1"""
+
+
+def _fold_one_feature(spark, sf, plan, **kw):
+    d = add_time_index(panels.rev_panel_dense(spark, sf))
+    d = d.withColumns({"x": F.array(F.lag("target", 1).over(Window.partitionBy("series_id").orderBy("period"))),
+                       "y": F.col("target")})
+    d = d.withColumn("eligible", F.col("x")[0].isNotNull() & F.col("y").isNotNull())
+    d = lin.materialize(bt.with_plan(d, plan, ["series_id"], **kw), ["series_id"])
+    sc = bt.ridge_backtest(d, ["series_id"], p=1)
+    m = mt.forecast_metrics(sc, "y", "pred_target", ["series_id"], "A")
+    return m.select("series_id", "n", r("MAE", 2), r("RMSE", 2), r("MAPE_pct", 6))
+
+
+@register("ml7_block_backtest_one_feature", with_views(_FOLD1_SQL.format(W=W, **_BLOCK), "rev_panel_dense"))
+def ml7_one(spark, sf):
+    """Rolling-origin block backtest (cutoffs range(24, n-12+1, 6), 12-month
+    blocks, pooled) of a one-feature ridge, level on last month's level;
+    closed-form oracle per fold."""
+    return _fold_one_feature(spark, sf, bt.plan_blocks, horizon=12, min_train=24, step=6)
+
+
+@register("ml9_kfold_one_feature", with_views(_FOLD1_SQL.format(W=W, **_KFOLD), "rev_panel_dense"))
+def ml9_one(spark, sf):
+    """Time-series 4-fold CV of the same one-feature ridge, predictions
+    pooled; closed-form oracle per fold."""
+    return _fold_one_feature(spark, sf, bt.plan_kfold, n_splits=4)
+
+
 @register("ml7_block_backtest")
 def ml7(spark, sf):
     """Block backtest of ridge on level features (train part), pooled
