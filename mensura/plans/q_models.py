@@ -406,6 +406,35 @@ def ml17(spark, sf):
     return res.filter(F.col("feature").startswith("m_"))
 
 
+_HAC1_SQL = f"""
+WITH d AS (SELECT series_id, period, trend_dev AS y,
+                  CAST(n_orders - lag(n_orders, 1) OVER ({W}) AS DOUBLE) AS x FROM targets),
+e AS (SELECT * FROM d WHERE y IS NOT NULL AND x IS NOT NULL),
+s AS (SELECT *, (x - avg(x) OVER ws) / CASE WHEN stddev_pop(x) OVER ws > 0 THEN stddev_pop(x) OVER ws ELSE 1 END AS z,
+             y - avg(y) OVER ws AS yc, stddev_pop(x) OVER ws AS sd, count(*) OVER ws AS n
+      FROM e WINDOW ws AS (PARTITION BY series_id)),
+w AS (SELECT series_id, sum(z * yc) / sum(z * z) AS w FROM s GROUP BY 1),
+g AS (SELECT s.*, s.z * (s.yc - s.z * w.w) AS g FROM s JOIN w ON s.series_id = w.series_id),
+h AS (SELECT *, 0.75 * coalesce(lag(g, 1) OVER wo, 0) + 0.5 * coalesce(lag(g, 2) OVER wo, 0)
+                + 0.25 * coalesce(lag(g, 3) OVER wo, 0) AS hh
+      FROM g WINDOW wo AS (PARTITION BY series_id ORDER BY period)),
+m AS (SELECT series_id, sum(g * g + 2 * g * hh) AS S, sum(z * z) AS zz, max(sd) AS sd FROM h GROUP BY 1)
+SELECT m.series_id, 'n_orders_chg1' AS feature, round(w.w / m.sd, 8) + 0.0 AS coef,
+       round(sqrt(m.S) / m.zz / m.sd, 8) AS std_err, round(w.w * m.zz / sqrt(m.S), 6) + 0.0 AS z
+FROM m JOIN w ON m.series_id = w.series_id"""
+
+
+@register("ml17_hac_one_feature", with_views(_HAC1_SQL, "targets"))
+def ml17_one(spark, sf):
+    """OLS of trend_dev on one regressor with Newey-West (Bartlett, 3 lags)
+    standard errors, per nation: Gram aggregation, residual join, lagged
+    score windows, meat aggregation and sandwich as in the full model; with
+    one regressor the sandwich has a closed form for the oracle."""
+    res = lin.hac_ols(dataset(spark, sf), "trend_dev", ["n_orders_chg1"])
+    return res.select("series_id", "feature", (F.round("coef", 8) + F.lit(0.0)).alias("coef"),
+                      F.round("std_err", 8).alias("std_err"), (F.round("z", 6) + F.lit(0.0)).alias("z"))
+
+
 @register("ml18_nowcast")
 def ml18(spark, sf):
     """Nowcast of each nation's last month (covariates known, target not):
