@@ -179,13 +179,13 @@ def fw6(spark, sf):
                                      for c in COVS for k in (1, 12)])
 
 
-# ------------------------------------------------------------------ FW7-FW10 (model pipelines)
+# ------------------------------------------------------------------ FW7-FW10 (model flows)
 TREES = {"num_trees": 20}
 
 
 @register("fw7_auto_select_errors")
 def fw7(spark, sf):
-    """Auto-select pipeline: candidates by block backtest, best per nation,
+    """Auto-select flow: candidates by block backtest, best per nation,
     refit, then the hold-out per-month errors of the chosen model (ML14)."""
     _, best, _, preds = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
                                         ("ridge", "forest", "boosting"), **TREES)
@@ -207,7 +207,7 @@ def fw8(spark, sf):
 
 @register("fw9_nowcast_forest")
 def fw9(spark, sf):
-    """Nowcast pipeline: YoY log change with a pooled forest refitted on all
+    """Nowcast flow: YoY log change with a pooled forest refitted on all
     earlier months; level reconstructed from the same month a year before."""
     ds = delevel_dataset(panels.rev_panel_dense(spark, sf), COVS)
     return bt.nowcast(ds, COVS, "yoy_logdiff", "forest", **TREES)
