@@ -125,8 +125,8 @@ def fw4(spark, sf):
     """Raw region file (``M/d/yy`` dates, blank rows) -> strict date parse
     (SC4) -> blank rows dropped (FL3) -> clean CSV written (SNK1) -> read."""
     p = panels.rev_panel(spark, sf).select("series_id", F.date_format("period", "M/d/yy").alias("date"), "target")
-    blank = p.limit(3).select(F.lit(None).cast("string").alias("series_id"), F.lit(None).cast("string").alias("date"),
-                              F.lit(None).cast("double").alias("target"))
+    blank = p.select(F.lit(None).cast("string").alias("series_id"), F.lit(None).cast("string").alias("date"),
+                     F.lit(None).cast("double").alias("target")).distinct()  # one blank row
     raw_path = csv_io.write_csv(p.unionByName(blank), scratch_dir(spark, "fw4raw"))
     raw = spark.read.option("header", True).csv(raw_path)
     clean = fl.drop_blank_rows(raw).select(

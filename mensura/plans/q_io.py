@@ -105,7 +105,7 @@ def fl4(spark, sf):
     ``_cN`` columns (FL4) and the all-null rows (FL3), then type."""
     p = _panel(spark, sf)
     lines = csv_io.csv_lines(p, extra_blank_cols=3)
-    blank = lines.limit(0).unionByName(p.limit(3).select(F.lit(",,,,,,,,,").alias("value")))
+    blank = p.select(F.lit(",,,,,,,,,").alias("value")).distinct()  # one blank line
     path = csv_io.write_text_with_header(lines.unionByName(blank), scratch_dir(spark, "fl4"),
                                          [",".join(PANEL_COLS) + ",,,"])
     raw = spark.read.option("header", True).csv(path)

@@ -16,9 +16,14 @@ def upsert_periods(existing: DataFrame, batch: DataFrame, keys: Sequence[str],
 
     One shuffle by ``keys``; a key present in a single load passes through.
     """
-    u = existing.unionByName(batch, allowMissingColumns=True)
+    return latest_wins(existing.unionByName(batch, allowMissingColumns=True), keys, load_col)
+
+
+def latest_wins(df: DataFrame, keys: Sequence[str], load_col: str = "load_id") -> DataFrame:
+    """Keep, per key, the row with the highest ``load_col`` (a key has one
+    row per load, so the window group is bounded by the number of loads)."""
     w = Window.partitionBy(*keys).orderBy(F.col(load_col).desc())
-    return u.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def write_partitions(df: DataFrame, path: str, partition_cols: Sequence[str]) -> str:

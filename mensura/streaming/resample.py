@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.plans.panels import month_spine
-from mensura.sources.upsert import upsert_periods
+from mensura.sources.upsert import latest_wins
 
 
 def run_monthly_mean_stream(spark: SparkSession, source_dir: str, schema: str, ts: str, value: str,
@@ -52,6 +52,6 @@ def read_monthly_mean(spark: SparkSession, out_dir: str, keys: Sequence[str] = (
     month spine of each series."""
     keys = list(keys)
     landed = spark.read.parquet(out_dir)
-    latest = upsert_periods(landed.limit(0), landed, [*keys, "period"], "batch_id").drop("batch_id")
+    latest = latest_wins(landed, [*keys, "period"], "batch_id").drop("batch_id")
     spine = month_spine(latest, keys, "period")
     return spine.join(latest, [*keys, "period"], "left").select(*keys, "period", name)
