@@ -204,6 +204,36 @@ def predict_linear(df: DataFrame, coef: str = "coef", x: str = "x", p: str = "p"
     return F.element_at(F.col(coef), 1) + dot(beta, F.col(x))
 
 
+def fit_ridge_pooled(df: DataFrame, x: str = "x", y: str = "y", alpha: float = 5.0):
+    """ML2, pooled: one ridge over all rows (all series together) with
+    ``pyspark.ml`` LinearRegression (normal equations, distributed).
+
+    Features are standardised with the pooled mean and *population* sigma;
+    Spark's penalty is expressed per row and in label-sigma units, so
+    ``regParam = alpha / n * sigma_y`` gives the same coefficients as the
+    per-series closed form. Returns ``(intercept, beta)`` in the units of
+    ``x``.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    d = df.filter(F.col(y).isNotNull() & F.forall(F.col(x), lambda v: v.isNotNull()))
+    d = materialize(d.select(x, y), [])  # read by the statistics pass and the fit
+    p = int(d.select(F.max(F.size(x))).first()[0])
+    stats = d.select(F.count(F.lit(1)).alias("n"), F.stddev_pop(y).alias("sy"),
+                     *[F.avg(F.col(x)[i]).alias(f"m{i}") for i in range(p)],
+                     *[F.stddev_pop(F.col(x)[i]).alias(f"s{i}") for i in range(p)]).first()
+    mu = np.array([stats[f"m{i}"] for i in range(p)])
+    sd = np.array([stats[f"s{i}"] or 0.0 for i in range(p)])
+    sd = np.where(sd <= 1e-9 * np.maximum(1.0, np.abs(mu)), 1.0, sd)
+    z = F.array(*[(F.col(x)[i] - F.lit(float(mu[i]))) / F.lit(float(sd[i])) for i in range(p)])
+    zd = d.select(array_to_vector(z).alias("features"), F.col(y).alias("label"))
+    model = LinearRegression(solver="normal", regParam=alpha / stats["n"] * stats["sy"],
+                             elasticNetParam=0.0, standardization=False).fit(zd)
+    beta = np.asarray(model.coefficients.toArray()) / sd
+    return float(model.intercept - beta @ mu), beta
+
+
 # ------------------------------------------------------------ OLS with HAC errors
 def _pinv_sym(G: np.ndarray, rcond: float = 1e-10) -> np.ndarray:
     lam, V = np.linalg.eigh(G)

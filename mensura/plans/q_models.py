@@ -87,6 +87,19 @@ def ml2(spark, sf):
     return z.select("series_id", F.inline("z"))
 
 
+@register("ml2_ridge_pooled")
+def ml2_pooled(spark, sf):
+    """One ridge pooled over all nations (MoM log change on the MoM feature
+    set, features centred per nation) with pyspark.ml LinearRegression;
+    (feature, coefficient)."""
+    d = bt.kind_rows(dataset(spark, sf), COVS, ["mom_logdiff"]).filter(F.col("eligible"))
+    b0, beta = lin.fit_ridge_pooled(d, alpha=5.0)
+    names = [*COVS, *[f"{c}_chg1" for c in COVS], *[f"m_{k}" for k in range(2, 13)],
+             *[f"{c}_chg12" for c in COVS]]
+    rows = [("(intercept)", b0)] + [(n, float(v)) for n, v in zip(names, beta)]
+    return spark.createDataFrame(rows, "feature string, coef double")
+
+
 # ------------------------------------------------------------------ ML3-ML5, ML8, ML10
 def _wf_metrics(spark, sf, models, n_test, **kw):
     preds = bt.walk_forward(dataset(spark, sf), COVS, models, n_test=n_test, **kw)

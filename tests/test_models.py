@@ -171,3 +171,13 @@ def test_select_best_tie_break(spark):
                                "series_id string, model string, RMSE double")
     assert mt.select_best(df, "RMSE", "model").first().model == "a"
     assert mt.select_best(df, "RMSE", "model", mode="max").first().model == "c"
+
+
+def test_pooled_ridge_equals_per_series_form(spark):
+    rng = np.random.default_rng(10)
+    X = rng.normal(size=(80, 3)) * [1, 50, 0.1] + [2, 1e3, 0]
+    y = X @ [0.4, 0.01, -3.0] + rng.normal(size=80)
+    b0, beta = lin.fit_ridge_pooled(frame(spark, X, y), alpha=5.0)
+    rb0, rbeta = np_ridge(X, y, 5.0)
+    assert b0 == pytest.approx(rb0, rel=1e-9)
+    assert np.allclose(beta, rbeta, rtol=1e-9)
