@@ -298,8 +298,9 @@ def ml9_one(spark, sf):
 def ml7(spark, sf):
     """Block backtest of ridge on level features (train part), pooled
     metrics per nation (micro average)."""
-    data, _ = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
-    scored = sel.block_backtest(data.filter(F.col("split") == "train"), "ridge")
+    data, feats = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
+    data = lin.materialize(data.filter(F.col("split") == "train"), ["series_id"])
+    scored = sel.block_backtest(data, "ridge", p=len(feats))
     return mt.forecast_metrics(scored, "y", "pred_target", ["series_id"], "A")
 
 
@@ -307,9 +308,9 @@ def ml7(spark, sf):
 def ml9(spark, sf):
     """Ridge time-series 4-fold CV on level features: per-fold metrics
     averaged (macro) next to pooled (micro)."""
-    data, _ = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
-    planned = bt.with_plan(data, bt.plan_kfold, ["series_id"], n_splits=4)
-    scored = bt.ridge_backtest(planned, ["series_id"])
+    data, feats = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
+    planned = lin.materialize(bt.with_plan(data, bt.plan_kfold, ["series_id"], n_splits=4), ["series_id"])
+    scored = bt.ridge_backtest(planned, ["series_id"], p=len(feats))
     return mt.macro_micro_metrics(scored, "k", "y", "pred_target", ["series_id"])
 
 
