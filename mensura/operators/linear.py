@@ -146,6 +146,21 @@ def standardize(train: DataFrame, apply_to: DataFrame, cols: Sequence[str],
     return j.withColumns(out).drop(*[f"_mu_{c}" for c in cols], *[f"_sd_{c}" for c in cols])
 
 
+def fold_scaler_stats(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("series_id",),
+                      order: str = "period") -> DataFrame:
+    """ML1 per fold: mean and population sigma of each column over the rows
+    strictly before each row, i.e. the scaler a fold cut at that row is
+    fitted with. An expanding window per series, no (fold x row) expansion;
+    adds ``{c}_mu`` and ``{c}_sd`` (sigma 0 -> 1, as the scaler does)."""
+    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = {}
+    for c in cols:
+        mu, sd = F.avg(c).over(frame), F.stddev_pop(c).over(frame)
+        out[f"{c}_mu"] = mu
+        out[f"{c}_sd"] = F.when(sd <= F.lit(1e-12) * F.greatest(F.lit(1.0), F.abs(mu)), F.lit(1.0)).otherwise(sd)
+    return df.withColumns(out)
+
+
 # ------------------------------------------------------------ ridge
 def ridge_from_gram(G: np.ndarray, p: int, alpha: float) -> np.ndarray:
     """Ridge on standardised features (train mean, population sigma),

@@ -52,6 +52,25 @@ def ml1(spark, sf):
     return z.select("series_id", "period", *[(F.round(c, 8) + F.lit(0.0)).alias(c) for c in COVS])
 
 
+@register("ml1_fold_scaler", with_views(f"""
+SELECT series_id, period, """ + ", ".join(
+    f"round(avg({c}) OVER wf, 6) AS {c}_mu, "
+    f"round(CASE WHEN stddev_pop({c}) OVER wf <= 1e-12 * greatest(1.0, abs(avg({c}) OVER wf)) THEN 1.0 "
+    f"ELSE stddev_pop({c}) OVER wf END, 6) AS {c}_sd" for c in COVS) + f"""
+FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY period DESC) AS rn FROM rev_panel_dense)
+WINDOW wf AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+QUALIFY rn <= 24""", "rev_panel_dense"))
+def ml1_folds(spark, sf):
+    """Scaler statistics (mean, population sigma) of every covariate for
+    each of the 24 walk-forward folds: the expanding window up to each fold
+    cutoff."""
+    from pyspark.sql import Window as Wd
+    d = lin.fold_scaler_stats(panels.rev_panel_dense(spark, sf), COVS)
+    d = d.withColumn("_rn", F.row_number().over(Wd.partitionBy("series_id").orderBy(F.col("period").desc())))
+    return d.filter(F.col("_rn") <= 24).select(
+        "series_id", "period", *[r(f"{c}_{s_}", 6) for c in COVS for s_ in ("mu", "sd")])
+
+
 # ------------------------------------------------------------------ ML2
 @register("ml2_ridge_one_feature", with_views("""
 WITH d AS (SELECT series_id, mom_logdiff AS y, CAST(n_orders_chg1 AS DOUBLE) AS x FROM (
