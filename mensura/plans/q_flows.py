@@ -181,6 +181,9 @@ def fw6(spark, sf):
 
 # ------------------------------------------------------------------ FW7-FW10 (model flows)
 TREES = {"num_trees": 20}
+# ridge per series, pooled forest, pooled boosting, pooled boosting with
+# column sampling (the optional fourth candidate)
+CANDIDATES = ("ridge", "forest", "boosting", "boosting_colsample")
 
 
 @register("fw7_auto_select_errors")
@@ -188,7 +191,7 @@ def fw7(spark, sf):
     """Auto-select flow: candidates by block backtest, best per nation,
     refit, then the hold-out per-month errors of the chosen model (ML14)."""
     _, best, _, preds = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
-                                        ("ridge", "forest", "boosting"), **TREES)
+                                        CANDIDATES, **TREES)
     chosen = preds.join(best, "series_id").filter((F.col("model") == F.col("best_model"))
                                                   & (F.col("split") == "test"))
     e = mt.period_errors(chosen, "y", "prediction")

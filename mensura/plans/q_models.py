@@ -28,6 +28,9 @@ from mensura.plans.util import r
 COVS = panels.REV_COVARIATES
 W = "PARTITION BY series_id ORDER BY period"
 TREES = {"num_trees": 20}
+# ridge per series, pooled forest, pooled boosting, pooled boosting with
+# column sampling (the optional fourth candidate)
+CANDIDATES = ("ridge", "forest", "boosting", "boosting_colsample")
 
 
 def dataset(spark, sf):
@@ -398,11 +401,11 @@ def ml15(spark, sf):
 # ------------------------------------------------------------------ ML13, ML16, ML19, SO6
 @register("ml13_auto_select")
 def ml13(spark, sf):
-    """Candidates (ridge per nation, pooled forest and boosting) scored by
-    block backtest on the train part; best by RMSE; refit; train/hold-out
-    metrics."""
+    """Candidates (ridge per nation; pooled forest, boosting, and boosting
+    with column sampling) scored by block backtest on the train part; best
+    by RMSE; refit; train/hold-out metrics."""
     _, best, split_metrics, _ = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
-                                                ("ridge", "forest", "boosting"), **TREES)
+                                                CANDIDATES, **TREES)
     return split_metrics
 
 
@@ -410,7 +413,7 @@ def ml13(spark, sf):
 def ml19(spark, sf):
     """Hold-out metrics of every candidate (rounded), one row per (nation, model)."""
     _, _, _, preds = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
-                                     ("ridge", "forest", "boosting"), **TREES)
+                                     CANDIDATES, **TREES)
     m = mt.forecast_metrics(preds.filter(F.col("split") == "test"), "y", "prediction",
                             ["series_id", "model"], "A")
     return m.select("series_id", "model", *[F.round(c, 4).alias(c) for c in mt.METRIC_NAMES_A])
