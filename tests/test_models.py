@@ -181,3 +181,22 @@ def test_pooled_ridge_equals_per_series_form(spark):
     rb0, rbeta = np_ridge(X, y, 5.0)
     assert b0 == pytest.approx(rb0, rel=1e-9)
     assert np.allclose(beta, rbeta, rtol=1e-9)
+
+
+def test_tree_refit_every_is_out_of_sample(spark):
+    rng = np.random.default_rng(13)
+    n = 40
+    X = rng.normal(size=(n, 2))
+    y = X @ [1.0, -1.0] + rng.normal(scale=0.1, size=n)
+    y2 = y.copy()
+    y2[34:] += 50.0  # change targets from the third of six folds on
+    preds = []
+    for yy in (y, y2):
+        df = frame(spark, X, yy).withColumn("eligible", F.lit(True))
+        planned = bt.with_plan(df, bt.plan_walk_forward, ["series_id"], n_test=6)
+        sc = bt.tree_backtest(planned, ["series_id"], "forest", refit_every=3, num_trees=5, max_depth=3)
+        preds.append({r.t: r.pred_target for r in sc.collect()})
+    assert sorted(preds[0]) == list(range(34, 40))
+    # folds 0-2 (t = 34..36) share a model trained on t < 34: unaffected
+    for t in (34, 35, 36):
+        assert preds[0][t] == pytest.approx(preds[1][t])
