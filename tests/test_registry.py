@@ -6,8 +6,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+import tests.oracle_check as oc
 from tests.oracle_check import TABLES, digest
 
+oc.STRICT = True  # floats must match bit for bit (both sides round identically)
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
