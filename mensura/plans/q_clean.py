@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from mensura.functions import clean as C
 from mensura.operators import filters as fl
-from mensura.operators import metrics as mt
 from mensura.plans import panels
 from mensura.plans.cte import with_views
 from mensura.plans.q_core import targets, zero_fc
@@ -250,6 +249,3 @@ SELECT obj_id FROM objs WHERE lon BETWEEN 0 AND 5000 AND lat BETWEEN 5 AND 15
 def fl9(spark, sf):
     return fl.bbox_filter(panels.objs(spark, sf), (0, 5, 5000, 15), "shop", ["node"]).select("obj_id")
 
-
-# metrics helper kept importable for flows
-_ = mt

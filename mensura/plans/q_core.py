@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mensura.operators import aggregate as ag
@@ -385,9 +384,6 @@ def so5(spark, sf):
     return wn.time_split(panels.rev_panel(spark, sf), 12).select("series_id", "period", "split")
 
 
-# keep Window imported for catalogs that extend this module
-_ = Window
-
 
 # --------------------------------------------------------------- streaming
 @register("ag6_resample_stream", _AG6_SQL)

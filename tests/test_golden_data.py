@@ -4,7 +4,6 @@ header in ``MENSURA_GOLDEN_DIR``; skipped when the folder is absent)."""
 from __future__ import annotations
 
 import csv
-import datetime as dt
 import glob
 import os
 
@@ -165,7 +164,6 @@ def test_net_new_is_one_step_difference(spark):
         assert d.filter(F.abs(F.col("c_chg1") - F.col("n")) > 1e-9).count() == 0
         checked += 1
     assert checked >= 1
-    _ = dt
 
 
 def _value(v):

@@ -2,8 +2,6 @@
 money aggregates are partial (map-side), hot keys aggregate correctly."""
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 from mensura.operators import filters as fl
 from mensura.operators import linear as lin
