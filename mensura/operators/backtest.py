@@ -288,3 +288,20 @@ def nowcast(dataset: DataFrame, covariates: Sequence[str], kind: str = "mom_logd
                       **tree_params)
     rec = reconstruct(scored, "target_kind", "pred_target", "trend_next")
     return rec.select(*keys, "period", "predicted", F.col("target").alias("actual"))
+
+
+def nowcast_next(panel: DataFrame, next_rows: DataFrame, covariates: Sequence[str],
+                 kind: str = "mom_logdiff", model: str = "ridge", alpha: float = 5.0,
+                 keys: Sequence[str] = ("series_id",), **tree_params) -> DataFrame:
+    """ML18 for a month not yet in the data: ``next_rows`` holds
+    (keys, period, covariates) of the coming month per series (inputs known
+    in advance). They are appended with an unknown target, the de-levelled
+    features of the new month are computed by the same windows from the
+    months before it, the model is refitted on all history and the level is
+    reconstructed. Returns (keys, period, predicted)."""
+    from mensura.plans.flows import delevel_dataset
+    future = next_rows.select(*keys, "period", *covariates).withColumn("target", F.lit(None).cast("double"))
+    full = panel.select(*keys, "period", "target", *covariates).unionByName(future)
+    ds = delevel_dataset(full, covariates, keys=keys)
+    out = nowcast(ds, covariates, kind, model, alpha, keys, **tree_params)
+    return out.join(future.select(*keys, "period"), [*keys, "period"], "left_semi").select(*keys, "period", "predicted")

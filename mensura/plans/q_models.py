@@ -471,6 +471,18 @@ def ml17_one(spark, sf):
                       F.round("std_err", 8).alias("std_err"), (F.round("z", 6) + F.lit(0.0)).alias("z"))
 
 
+@register("ml18_nowcast_next_month")
+def ml18_next(spark, sf):
+    """Nowcast of the month after each nation's last month. The coming
+    month's covariates are taken as known inputs; here they are the last
+    observed month's values (a stand-in for published indicators)."""
+    from pyspark.sql import Window as Wd
+    panel = panels.rev_panel_dense(spark, sf)
+    last = panel.withColumn("_rn", F.row_number().over(Wd.partitionBy("series_id").orderBy(F.col("period").desc())))
+    nxt = last.filter("_rn = 1").select("series_id", F.add_months("period", 1).alias("period"), *COVS)
+    return bt.nowcast_next(panel, nxt, COVS, "mom_logdiff", "ridge")
+
+
 @register("ml18_nowcast")
 def ml18(spark, sf):
     """Nowcast of each nation's last month (covariates known, target not):

@@ -200,3 +200,15 @@ def test_tree_refit_every_is_out_of_sample(spark):
     # folds 0-2 (t = 34..36) share a model trained on t < 34: unaffected
     for t in (34, 35, 36):
         assert preds[0][t] == pytest.approx(preds[1][t])
+
+
+def test_nowcast_next_uses_last_level(spark):
+    """A series growing exactly 1 % a month with constant covariates: the MoM
+    nowcast for the coming month is the last level x 1.01."""
+    months = [dt.date(2015 + i // 12, i % 12 + 1, 1) for i in range(40)]
+    rows = [("s", m, 100.0 * 1.01 ** i, 1.0 + (i % 3)) for i, m in enumerate(months)]
+    panel = spark.createDataFrame(rows, "series_id string, period date, target double, c double")
+    nxt = spark.createDataFrame([("s", dt.date(2018, 5, 1), 2.0)], "series_id string, period date, c double")
+    got = bt.nowcast_next(panel, nxt, ["c"], "mom_logdiff", "ridge").collect()
+    assert len(got) == 1 and got[0].period == dt.date(2018, 5, 1)
+    assert got[0].predicted == pytest.approx(100.0 * 1.01 ** 40, rel=1e-6)
