@@ -95,6 +95,34 @@ def ml2_one(spark, sf):
                        F.round(F.col("coef")[1], 10).alias("slope"))
 
 
+@register("ml2_ridge_two_features", with_views(f"""
+WITH d AS (SELECT series_id, mom_logdiff AS y,
+                  CAST(n_orders - lag(n_orders, 1) OVER ({W}) AS DOUBLE) AS x1,
+                  avg_disc - lag(avg_disc, 1) OVER ({W}) AS x2 FROM targets),
+e AS (SELECT * FROM d WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
+m AS (SELECT series_id, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my,
+             stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r12,
+             covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y FROM e GROUP BY 1),
+w AS (SELECT *, n * c1y / s1 AS b1, n * c2y / s2 AS b2,
+             (n + 5.0) * (n + 5.0) - (n * r12) * (n * r12) AS det FROM m),
+z AS (SELECT *, ((n + 5.0) * b1 - n * r12 * b2) / det / s1 AS beta1,
+                ((n + 5.0) * b2 - n * r12 * b1) / det / s2 AS beta2 FROM w)
+SELECT series_id, round(my - beta1 * m1 - beta2 * m2, 8) + 0.0 AS intercept,
+       round(beta1, 8) + 0.0 AS beta_n_orders_chg1, round(beta2, 6) + 0.0 AS beta_avg_disc_chg1 FROM z""",
+                                                "targets"))
+def ml2_two(spark, sf):
+    """Ridge (alpha 5, standardised, free intercept) of the MoM log change on
+    two regressors per nation; with two features the solve is a closed-form
+    2x2 system in the oracle, so the off-diagonal Gram terms are checked."""
+    d = dataset(spark, sf).withColumns({
+        "x": F.array(F.col("n_orders_chg1").cast("double"), F.col("avg_disc_chg1").cast("double")),
+        "y": F.col("mom_logdiff")})
+    coef = lin.fit_ridge(d, alpha=5.0, p=2)
+    return coef.select("series_id", (F.round(F.col("coef")[0], 8) + F.lit(0.0)).alias("intercept"),
+                       (F.round(F.col("coef")[1], 8) + F.lit(0.0)).alias("beta_n_orders_chg1"),
+                       (F.round(F.col("coef")[2], 6) + F.lit(0.0)).alias("beta_avg_disc_chg1"))
+
+
 @register("ml2_ridge")
 def ml2(spark, sf):
     """Ridge per nation on the full MoM feature set; (series, feature,
