@@ -239,7 +239,8 @@ def walk_forward(dataset: DataFrame, covariates: Sequence[str], models: Sequence
     every (target kind x model), refitting (and re-standardising) at every
     step, with levels reconstructed (ML11). ``dataset`` is the de-levelled
     table (FW6). Returns (keys, target_kind, model, period, actual,
-    predicted, pred_target); a failing model yields one row with ``error``.
+    predicted, pred_target). A model whose plan or fit fails (tree fits run
+    eagerly) is recorded as one row with ``error`` instead of stopping the grid.
     """
     keys = list(keys)
     kk = keys + ["target_kind"]

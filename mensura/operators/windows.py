@@ -3,8 +3,8 @@
 All functions share one window spec ``partitionBy(keys).orderBy(order)``;
 Catalyst evaluates window expressions with the same spec in one Window
 operator after a single ``hashpartitioning(keys)`` exchange, so chaining
-these functions costs one shuffle, not one per feature. Partitions hold one
-series each: at most one row per (series, period), so the frame size is
+these functions costs one shuffle, not one per feature. A window group is
+one series: at most one row per (series, period), so a group's size is
 bounded by the number of periods, not by the data volume.
 
 Lags are positional by default (row ``i-k`` after ordering, as in the
