@@ -117,21 +117,48 @@ def ridge_backtest(df: DataFrame, keys: Sequence[str], x="x", y="y", t="t",
 
 
 # ------------------------------------------------------------ trees
-def tree_model(kind: str, seed: int = 42, **params):
+# Tree settings of the three published model sets (trees,
+# depth, minimum leaf size, feature subset per split; boosting rounds,
+# depth, learning rate, row subsample, column subsample).
+TREE_PROFILES = {
+    "delevel": {
+        "forest": {"num_trees": 400, "max_depth": 5, "min_leaf": 3, "feature_subset": "all"},
+        "boosting": {"num_trees": 300, "max_depth": 3, "learning_rate": 0.05, "subsample": 1.0},
+    },
+    "level": {
+        "forest": {"num_trees": 300, "max_depth": 5, "min_leaf": 3, "feature_subset": "sqrt"},
+        "boosting": {"num_trees": 150, "max_depth": 2, "learning_rate": 0.03, "subsample": 0.7},
+        "boosting_colsample": {"num_trees": 200, "max_depth": 2, "learning_rate": 0.03, "subsample": 0.7,
+                               "feature_subset": "0.7"},
+    },
+    "comparison": {
+        "forest": {"num_trees": 300, "max_depth": 6, "min_leaf": 2, "feature_subset": "all"},
+        "boosting": {"num_trees": 200, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.8},
+        "boosting_colsample": {"num_trees": 300, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.8,
+                               "feature_subset": "0.8"},
+    },
+}
+
+
+def tree_model(kind: str, seed: int = 42, profile: str = "delevel", **params):
+    """pyspark.ml regressor for ``kind`` with the settings of ``profile``;
+    keyword arguments override single settings (e.g. ``num_trees``)."""
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+    base = dict(TREE_PROFILES[profile].get(kind, TREE_PROFILES["delevel"].get(kind, {})))
+    base.update({k: v for k, v in params.items() if v is not None})
     if kind == "forest":
         return RandomForestRegressor(
-            numTrees=params.get("num_trees", 400), maxDepth=params.get("max_depth", 5),
-            minInstancesPerNode=params.get("min_leaf", 3),
-            featureSubsetStrategy=params.get("feature_subset", "all"), maxBins=256, seed=seed,
+            numTrees=base.get("num_trees", 400), maxDepth=base.get("max_depth", 5),
+            minInstancesPerNode=base.get("min_leaf", 3),
+            featureSubsetStrategy=base.get("feature_subset", "all"), maxBins=256, seed=seed,
             featuresCol="features", labelCol="y")
     if kind in ("boosting", "boosting_colsample"):
         return GBTRegressor(
-            maxIter=params.get("num_trees", 300), maxDepth=params.get("max_depth", 3),
-            stepSize=params.get("learning_rate", 0.05),
-            subsamplingRate=params.get("subsample", 1.0),
-            featureSubsetStrategy=params.get("feature_subset",
-                                             "0.7" if kind == "boosting_colsample" else "all"),
+            maxIter=base.get("num_trees", 300), maxDepth=base.get("max_depth", 3),
+            stepSize=base.get("learning_rate", 0.05),
+            subsamplingRate=base.get("subsample", 1.0),
+            featureSubsetStrategy=base.get("feature_subset",
+                                           "0.7" if kind == "boosting_colsample" else "all"),
             maxBins=256, seed=seed, featuresCol="features", labelCol="y")
     raise ValueError(f"unknown tree model {kind}")
 

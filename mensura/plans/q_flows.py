@@ -191,7 +191,7 @@ def fw7(spark, sf):
     """Auto-select flow: candidates by block backtest, best per nation,
     refit, then the hold-out per-month errors of the chosen model (ML14)."""
     _, best, _, preds = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
-                                        CANDIDATES, **TREES)
+                                        CANDIDATES, profile="level", **TREES)
     chosen = preds.join(best, "series_id").filter((F.col("model") == F.col("best_model"))
                                                   & (F.col("split") == "test"))
     e = mt.period_errors(chosen, "y", "prediction")
@@ -213,7 +213,7 @@ def fw9(spark, sf):
     """Nowcast flow: YoY log change with a pooled forest refitted on all
     earlier months; level reconstructed from the same month a year before."""
     ds = delevel_dataset(panels.rev_panel_dense(spark, sf), COVS)
-    return bt.nowcast(ds, COVS, "yoy_logdiff", "forest", **TREES)
+    return bt.nowcast(ds, COVS, "yoy_logdiff", "forest", profile="delevel", **TREES)
 
 
 @register("fw10_tree_comparison")
@@ -229,10 +229,10 @@ def fw10(spark, sf):
     rows = []
     for m in ("forest", "boosting"):
         planned = bt.with_plan(train, bt.plan_kfold, ["series_id"], n_splits=4)
-        scored = bt.tree_backtest(planned, ["series_id"], m, **TREES)
+        scored = bt.tree_backtest(planned, ["series_id"], m, profile="comparison", **TREES)
         cv = mt.forecast_metrics(scored, "y", "pred_target", ["series_id", "k"], "A").groupBy("series_id").agg(
             F.avg("R2").alias("cv_R2"))
-        hold = sel.refit_predict(data, m, **TREES).filter(F.col("split") == "test")
+        hold = sel.refit_predict(data, m, profile="comparison", **TREES).filter(F.col("split") == "test")
         hm = mt.forecast_metrics(hold, "y", "prediction", ["series_id"], "A")
         rows.append(cv.join(hm, "series_id").withColumn("model", F.lit(m)))
     allm = rows[0].unionByName(rows[1])

@@ -27,6 +27,8 @@ from mensura.plans.util import r
 
 COVS = panels.REV_COVARIATES
 W = "PARTITION BY series_id ORDER BY period"
+# registry runs use the published settings with fewer trees (runtime);
+# full settings: pass num_trees=None
 TREES = {"num_trees": 20}
 # ridge per series, pooled forest, pooled boosting, pooled boosting with
 # column sampling (the optional fourth candidate)
@@ -229,24 +231,23 @@ def ml8_supp(spark, sf):
 
 @register("ml3_forest")
 def ml3(spark, sf):
-    return _wf_metrics(spark, sf, ["forest"], 3, max_depth=5, min_leaf=3, **TREES)
+    return _wf_metrics(spark, sf, ["forest"], 3, profile="delevel", **TREES)
 
 
 @register("ml4_boosting")
 def ml4(spark, sf):
-    return _wf_metrics(spark, sf, ["boosting"], 3, max_depth=3, learning_rate=0.05, **TREES)
+    return _wf_metrics(spark, sf, ["boosting"], 3, profile="delevel", **TREES)
 
 
 @register("ml5_boosting_colsample")
 def ml5(spark, sf):
-    return _wf_metrics(spark, sf, ["boosting_colsample"], 3, max_depth=2, learning_rate=0.03,
-                       subsample=0.7, **TREES)
+    return _wf_metrics(spark, sf, ["boosting_colsample"], 3, profile="level", **TREES)
 
 
 @register("ml10_grid")
 def ml10(spark, sf):
     """Target kind x model grid with ranking (SO4) and thresholds (SC13)."""
-    m = _wf_metrics(spark, sf, ["ridge", "forest", "boosting"], 3, **TREES)
+    m = _wf_metrics(spark, sf, ["ridge", "forest", "boosting"], 3, profile="delevel", **TREES)
     m = m.withColumn("combo", F.concat_ws(" | ", "target_kind", "model"))
     return mt.threshold_check(mt.rank_combos(m, "MAPE_pct", "combo"))
 
@@ -433,7 +434,7 @@ def ml13(spark, sf):
     with column sampling) scored by block backtest on the train part; best
     by RMSE; refit; train/hold-out metrics."""
     _, best, split_metrics, _ = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
-                                                CANDIDATES, **TREES)
+                                                CANDIDATES, profile="level", **TREES)
     return split_metrics
 
 
@@ -441,7 +442,7 @@ def ml13(spark, sf):
 def ml19(spark, sf):
     """Hold-out metrics of every candidate (rounded), one row per (nation, model)."""
     _, _, _, preds = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
-                                     CANDIDATES, **TREES)
+                                     CANDIDATES, profile="level", **TREES)
     m = mt.forecast_metrics(preds.filter(F.col("split") == "test"), "y", "prediction",
                             ["series_id", "model"], "A")
     return m.select("series_id", "model", *[F.round(c, 4).alias(c) for c in mt.METRIC_NAMES_A])
@@ -451,7 +452,7 @@ def ml19(spark, sf):
 def ml16(spark, sf):
     data, feats = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
     ridge = sel.feature_effects(data, feats, "ridge")
-    forest = sel.feature_effects(data, feats, "forest", **TREES).withColumn("series_id", F.lit(None).cast("string"))
+    forest = sel.feature_effects(data, feats, "forest", profile="level", **TREES).withColumn("series_id", F.lit(None).cast("string"))
     return ridge.unionByName(forest)
 
 

@@ -212,3 +212,14 @@ def test_nowcast_next_uses_last_level(spark):
     got = bt.nowcast_next(panel, nxt, ["c"], "mom_logdiff", "ridge").collect()
     assert len(got) == 1 and got[0].period == dt.date(2018, 5, 1)
     assert got[0].predicted == pytest.approx(100.0 * 1.01 ** 40, rel=1e-6)
+
+
+def test_tree_profiles_and_overrides(spark):
+    f = bt.tree_model("forest", profile="level")
+    assert f.getNumTrees() == 300 and f.getFeatureSubsetStrategy() == "sqrt" and f.getMaxDepth() == 5
+    assert bt.tree_model("forest", profile="level", num_trees=20).getNumTrees() == 20
+    assert bt.tree_model("forest", profile="level", num_trees=None).getNumTrees() == 300
+    g = bt.tree_model("boosting", profile="comparison")
+    assert g.getMaxIter() == 200 and g.getSubsamplingRate() == 0.8 and g.getStepSize() == 0.05
+    c = bt.tree_model("boosting_colsample", profile="level")
+    assert c.getFeatureSubsetStrategy() == "0.7" and c.getMaxDepth() == 2
