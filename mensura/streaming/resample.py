@@ -27,15 +27,26 @@ from mensura.sources.upsert import latest_wins
 
 def run_monthly_mean_stream(spark: SparkSession, source_dir: str, schema: str, ts: str, value: str,
                             out_dir: str, checkpoint_dir: str, keys: Sequence[str] = ("series_id",),
-                            name: str = "value", files_per_batch: int | None = None) -> None:
+                            name: str = "value", files_per_batch: int | None = None,
+                            late_delay: str | None = None) -> None:
     """Process every file currently in ``source_dir`` (``availableNow``) and
-    stop; re-running later picks up only new files (checkpointed offsets)."""
+    stop; re-running later picks up only new files (checkpointed offsets).
+
+    ``late_delay`` (e.g. ``"62 days"``) puts a watermark on the month-start
+    column, which is also the grouping key, so Spark evicts the state of
+    months older than the watermark and ignores rows that arrive for them:
+    bounded state for an endless stream. Without it every month stays
+    updatable (exact, state grows with series x months).
+    """
     keys = list(keys)
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    src = reader.parquet(source_dir)
-    agg = src.groupBy(*keys, F.trunc(ts, "MM").alias("period")).agg(F.avg(value).alias(name))
+    src = reader.parquet(source_dir).withColumn("_month", F.date_trunc("month", F.col(ts)))
+    if late_delay:
+        src = src.withWatermark("_month", late_delay)
+    agg = (src.groupBy(*keys, "_month").agg(F.avg(value).alias(name))
+           .select(*keys, F.to_date("_month").alias("period"), name))
 
     def land(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(

@@ -95,3 +95,24 @@ def test_stream_resample_matches_batch_and_is_incremental(spark):
     batch = resample_monthly(spark.createDataFrame(rows1 + rows2, schema), "ts", "value")
     want = {(r.series_id, r.period): r.value for r in batch.collect()}
     assert got == want and got[("a", dt.date(2020, 1, 1))] == 1.5
+
+
+def test_stream_watermark_drops_late_months(spark):
+    from mensura.streaming.resample import read_monthly_mean, run_monthly_mean_stream
+    schema = "series_id string, ts timestamp_ntz, value double"
+    b1 = [("a", dt.datetime(2020, m, 10), float(m)) for m in (1, 2, 3)]
+    b2 = [("a", dt.datetime(2020, m, 10), float(m)) for m in (4, 5, 6)] + [("a", dt.datetime(2020, 1, 20), 100.0)]
+    got = {}
+    for delay in ("31 days", None):
+        base = tmp()
+        spark.createDataFrame(b1, schema).coalesce(1).write.parquet(f"{base}/src/p1")
+        run_monthly_mean_stream(spark, f"{base}/src/*", schema, "ts", "value", f"{base}/out", f"{base}/ck",
+                                late_delay=delay)
+        spark.createDataFrame(b2, schema).coalesce(1).write.parquet(f"{base}/src/p2")
+        run_monthly_mean_stream(spark, f"{base}/src/*", schema, "ts", "value", f"{base}/out", f"{base}/ck",
+                                late_delay=delay)
+        got[delay] = {r.period: r.value for r in read_monthly_mean(spark, f"{base}/out").collect()}
+    jan = dt.date(2020, 1, 1)
+    assert got["31 days"][jan] == 1.0      # the late January row arrived after the watermark
+    assert got[None][jan] == 50.5          # without a watermark January is updated
+    assert got["31 days"][dt.date(2020, 6, 1)] == 6.0
