@@ -339,7 +339,7 @@ def hac_ols(df: DataFrame, y: str, features: Sequence[str], keys: Sequence[str]
     coef = F.col("w")[F.col("i")] / scale
     se = F.sqrt(F.col("vdiag")[F.col("i")]) / scale
     out = rows.select(*keys, "feature", coef.alias("coef"), se.alias("std_err"))
-    out = out.withColumn("z", F.col("coef") / F.col("std_err"))
+    out = out.withColumn("z", F.try_divide(F.col("coef"), F.col("std_err")))
     # two-sided normal p-value: erfc(|z| / sqrt 2)
     out = out.withColumn("p_value", _erfc(F.abs(F.col("z")) / F.lit(np.sqrt(2.0))))
     return out.withColumn("pct_effect", F.expm1("coef") * 100)

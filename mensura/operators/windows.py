@@ -76,13 +76,13 @@ def add_prev_yoy(df: DataFrame, col: str, keys=DEFAULT_KEYS, order="period") ->
     """WN4: prior-known YoY growth ``(lag1 - lag13) / lag13``."""
     l1 = lag_col(col, 1, keys, order)
     l13 = lag_col(col, 13, keys, order)
-    return df.withColumn(f"{col}_prev_yoy_pct", (l1 - l13) / l13)
+    return df.withColumn(f"{col}_prev_yoy_pct", F.try_divide(l1 - l13, l13))  # null for a 0 base
 
 
 def add_yoy_pct(df: DataFrame, col: str, keys=DEFAULT_KEYS, order="period") -> DataFrame:
     """WN5: current-row ``pct_change(12)``. Uses the current target, so it
     leaks when used as a feature for that target; never in default features."""
-    return df.withColumn(f"{col}_yoy_pct", F.col(col) / lag_col(col, 12, keys, order) - 1)
+    return df.withColumn(f"{col}_yoy_pct", F.try_divide(F.col(col), lag_col(col, 12, keys, order)) - 1)
 
 
 def add_local_features(df: DataFrame, keys=DEFAULT_KEYS, order="period",
@@ -103,7 +103,7 @@ def add_local_features(df: DataFrame, keys=DEFAULT_KEYS, order="period",
     if r:
         l1, l12 = lag_col(r, 1, keys, order), lag_col(r, 12, keys, order)
         out.update({"ridership_lag1": l1, "ridership_lag12": l12,
-                    "ridership_yoy": (l1 - l12) / (l12 + F.lit(1e-9))})
+                    "ridership_yoy": F.try_divide(l1 - l12, l12 + F.lit(1e-9))})
     s = first_present(shops)
     if s:
         out["shop_count_lag1"] = lag_col(s, 1, keys, order)

@@ -132,3 +132,20 @@ def test_expanding_trend_labels_do_not_look_ahead(spark):
     full_a = {r.period: r.trend_dev for r in wn.build_targets(df).collect()}
     full_b = {r.period: r.trend_dev for r in wn.build_targets(changed).collect()}
     assert any(full_a[p] != full_b[p] for p in early)  # Q3: the full-sample label looks ahead
+
+
+def test_zero_and_negative_targets_do_not_fail(spark):
+    """zero_neg fixture: targets 0 and -1 give null logs / ratios, not errors
+    (ANSI mode raises on a plain division by zero)."""
+    from mensura.operators import metrics as mt
+    vals = [5.0, 0.0, -1.0] + [float(i + 1) for i in range(14)]
+    df = spark.createDataFrame([("s", d, v) for d, v in zip(months(2015, len(vals)), vals)],
+                               "series_id string, period date, target double")
+    t = wn.build_targets(df).orderBy("period").collect()
+    assert t[1].log_y is None and t[2].log_y is None and t[1].mom_logdiff is None
+    y = wn.add_yoy_pct(wn.add_prev_yoy(df, "target"), "target").orderBy("period").collect()
+    assert y[13].target_yoy_pct is None          # base 12 months earlier is 0
+    assert y[14].target_prev_yoy_pct is None      # lag13 is 0
+    m = mt.forecast_metrics(df.select("series_id", F.col("target").alias("actual"),
+                                      (F.col("target") + 1).alias("predicted"))).first()
+    assert m.MAPE_pct is not None and m.RMSE == 1.0
