@@ -90,7 +90,7 @@ def month_number(mon) -> Column:
     pairs = []
     for i, m in enumerate(MONTH_ABBR):
         pairs += [F.lit(m), F.lit(i + 1)]
-    return F.element_at(F.create_map(*pairs), _c(mon))
+    return F.try_element_at(F.create_map(*pairs), _c(mon))  # unknown name -> null
 
 
 def month_start(year, mon) -> Column:

@@ -74,3 +74,8 @@ def test_threshold_label(spark):
     per_series = df.withColumn("bar", F.lit(1e7))
     got = [r[0] for r in per_series.select(C.threshold_label("r2", "mape", "rmse", rmse_max=F.col("bar"))).collect()]
     assert got == ["PASS", "PASS"]
+
+
+def test_month_start_unknown_name_is_null(spark):
+    df = spark.createDataFrame([(2015, "Foo"), (2015, "Jan")], "y int, m string")
+    assert [r[0] for r in df.select(C.month_start("y", "m")).collect()] == [None, D(2015, 1, 1)]
