@@ -43,15 +43,23 @@ def read_csv_skip(spark: SparkSession, path: str, n_skip: int, schema_ddl: str,
                   sep: str = ",") -> DataFrame:
     """SRC2: CSV whose header follows ``n_skip`` preamble lines.
 
-    Each file is read whole (``wholetext``, one task per file: a preamble
-    file is positional, hence not splittable), split into numbered lines,
-    the preamble and header dropped, and the rest parsed by ``from_csv`` with
-    a fixed schema; files are processed in parallel.
+    Splittable: lines are read by the text source in blocks. Only the lines
+    of each file's first block (``_metadata.file_block_start = 0``, at most
+    one block of text per file) are numbered, in read order, to drop the
+    preamble and the header; every later block is data as it stands. The
+    rest is parsed by ``from_csv`` with a fixed schema.
     """
-    t = spark.read.text(path, wholetext=True)
-    lines = t.select(F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("pos", "line"))
-    body = lines.filter((F.col("pos") > n_skip) & (F.length(F.trim("line")) > 0))
-    parsed = body.select(F.from_csv("line", schema_ddl, {"sep": sep}).alias("r"))
+    from pyspark.sql import Window
+
+    t = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"))
+    first = t.filter(F.col("_block") == 0).withColumn("_id", F.monotonically_increasing_id())
+    pos = F.row_number().over(Window.partitionBy("_file").orderBy("_id")) - 1
+    head_block = first.withColumn("_pos", pos).filter(F.col("_pos") > n_skip).select("value")
+    lines = head_block.unionByName(t.filter(F.col("_block") > 0).select("value"))
+    body = lines.filter(F.length(F.trim("value")) > 0)
+    parsed = body.select(F.from_csv("value", schema_ddl, {"sep": sep}).alias("r"))
     return parsed.select("r.*")
 
 

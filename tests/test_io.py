@@ -42,6 +42,21 @@ def test_preamble_skip(spark):
     assert sorted(tuple(r) for r in df.collect()) == [(2015, 1.5, 2.5), (2016, 3.5, None)]
 
 
+def test_preamble_skip_across_many_blocks(spark):
+    lines = [f"preamble line {i}" for i in range(11)] + ["Year,Jan,Feb"]
+    lines += [f"{2000 + i},{i}.5,{i}.25" for i in range(200)]
+    p = write(tmp(), "big.csv", "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")  # many blocks per file
+    try:
+        df = csv_io.read_csv_skip(spark, p, 11, "Year int, Jan double, Feb double")
+        assert spark.read.text(p).rdd.getNumPartitions() > 5
+        got = sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(2000 + i, i + 0.5, i + 0.25) for i in range(200)]
+
+
 def test_json_shapes(spark):
     p1 = write(tmp(), "r.json", '{"result":[{"timestamp":"2020-01-01T00:00:00Z","value":1.5}]}\n{"other":1}\n')
     assert [tuple(r) for r in json_io.json_result_rows(spark, p1).collect()] == [("2020-01-01T00:00:00Z", 1.5)]
