@@ -88,11 +88,10 @@ def materialize(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     fits) is heavy, so spread them over as many partitions as there are
     cores (capped by the shuffle partitions) instead of the few partitions
     AQE would coalesce such a small frame into."""
-    from mensura.session import ensure_checkpoint_dir
+    from mensura.session import ensure_checkpoint_dir, parallelism
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(max(1, n), *keys).checkpoint(eager=True)
+    return df.repartition(max(1, parallelism(spark)), *keys).checkpoint(eager=True)
 
 
 def prefix_ridge_solve(keys: Sequence[str], p: int, alpha: float, key_types: Sequence[str]):

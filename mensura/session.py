@@ -35,7 +35,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
     b = b.config("spark.driver.memory", os.environ.get("MENSURA_DRIVER_MEMORY", "8g"))
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -50,24 +52,42 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None under Spark Connect (no driver-side context)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions raise here
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     The cluster's ``spark.checkpoint.dir`` wins; only when it is unset (local
-    runs and tests) a fresh folder is created and registered.
+    runs and tests) a fresh folder is created and registered. Under Spark
+    Connect the setting is read and written as a session conf only.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    sc = _context(spark)
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="mensura-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
+    if sc is None:
+        return conf_dir
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores available to the job (shuffle partitions under Spark Connect)."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sc = _context(spark)
+    return min(shuffle, sc.defaultParallelism) if sc is not None else shuffle
+
+
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh, unique folder under the shared checkpoint location.
 
