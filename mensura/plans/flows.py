@@ -46,3 +46,16 @@ def level_features(panel: DataFrame, covariates: Sequence[str], target: str = "t
              + [f"{target}_roll3_mean", f"{target}_roll12_mean", f"{target}_prev_yoy_pct"])
     d = d.na.drop("any", subset=feats + [target])
     return d, feats
+
+
+def warmup_report(panel: DataFrame, featured: DataFrame, keys: Sequence[str] = ("series_id",),
+                  order: str = "period") -> DataFrame:
+    """Rows per series before and after the feature warm-up drop, the real
+    number dropped, and the first usable period (Q6: a 13-month lag drops 13
+    rows, not 12)."""
+    keys = list(keys)
+    before = panel.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_before"))
+    after = featured.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_after"),
+                                        F.min(order).alias("first_usable"))
+    out = before.join(after, keys, "left").withColumn("rows_after", F.coalesce("rows_after", F.lit(0)))
+    return out.withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after"))

@@ -165,6 +165,31 @@ def fw5(spark, sf):
                     r("target_roll3_mean", 4), r("target_roll12_mean", 4), r("target_prev_yoy_pct", 9))
 
 
+@register("fw5_warmup_report", with_views(f"""
+WITH f AS (SELECT series_id, period, target, {", ".join(COVS)},
+  lag(target, 1) OVER ({W}) AS l1, lag(target, 2) OVER ({W}) AS l2, lag(target, 3) OVER ({W}) AS l3,
+  lag(target, 12) OVER ({W}) AS l12, lag(target, 13) OVER ({W}) AS l13,
+  count(target) OVER ({W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS c3,
+  count(target) OVER ({W} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS c12
+  FROM rev_panel_dense),
+a AS (SELECT series_id, count(*) AS rows_after, min(period) AS first_usable FROM f
+      WHERE {" AND ".join(f"{c} IS NOT NULL" for c in COVS)} AND target IS NOT NULL AND l1 IS NOT NULL
+        AND l2 IS NOT NULL AND l3 IS NOT NULL AND l12 IS NOT NULL AND l13 IS NOT NULL
+        AND c3 = 3 AND c12 = 12 AND l13 <> 0
+      GROUP BY 1),
+b AS (SELECT series_id, count(*) AS rows_before FROM rev_panel_dense GROUP BY 1)
+SELECT b.series_id, b.rows_before, coalesce(a.rows_after, 0) AS rows_after, a.first_usable,
+       b.rows_before - coalesce(a.rows_after, 0) AS rows_dropped
+FROM b LEFT JOIN a ON a.series_id = b.series_id""", "rev_panel_dense"))
+def fw5_warmup(spark, sf):
+    """How many months the level-feature warm-up really drops per nation
+    (lags up to 13 and the 12-month trailing mean)."""
+    from mensura.plans.flows import warmup_report
+    panel = panels.rev_panel_dense(spark, sf)
+    featured, _ = level_features(panel, COVS)
+    return warmup_report(panel, featured)
+
+
 # ------------------------------------------------------------------ FW6
 @register("fw6_delevel_dataset", with_views(f"""
 SELECT series_id, period, t, round(mom_logdiff, 10) AS mom_logdiff, round(yoy_logdiff, 10) AS yoy_logdiff,
