@@ -2,6 +2,7 @@
 money aggregates are partial (map-side), hot keys aggregate correctly."""
 
 import numpy as np
+import pytest
 
 from mensura.operators import filters as fl
 from mensura.operators import linear as lin
@@ -55,3 +56,34 @@ def test_hot_key_gram_is_exact(spark):
     z = np.column_stack([np.ones(m.sum()), X[m], y[m]])
     full = z.T @ z
     assert np.allclose(hot, full[np.triu_indices(5)], rtol=1e-10)
+
+
+def test_supplier_panel_with_hot_supplier_matches_pandas(spark, tmp_path):
+    """One supplier holds a third of all lines: the panel (one partially
+    aggregated groupBy) still equals a direct pandas computation."""
+    import datetime as dt
+
+    import pandas as pd
+
+    rng = np.random.default_rng(14)
+    n = 6000
+    supp = np.where(np.arange(n) % 3 == 0, 7, rng.integers(0, 40, n))
+    ship = [dt.datetime(2020, 1, 1) + dt.timedelta(days=int(d)) for d in rng.integers(0, 365, n)]
+    pdf = pd.DataFrame({"l_suppkey": supp.astype("int64"), "l_shipdate": ship,
+                        "l_extendedprice": np.round(rng.uniform(1, 1000, n), 2),
+                        "l_discount": np.round(rng.integers(0, 11, n) / 100, 2),
+                        "l_quantity": rng.integers(1, 50, n).astype(float),
+                        "l_tax": np.round(rng.integers(0, 9, n) / 100, 2)})
+    spark.createDataFrame(pdf).repartition(8).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r.series_id, r.period): (r.target, r.n_lines)
+           for r in panels.supplier_panel(spark, str(tmp_path)).collect()}
+    pdf["period"] = pdf.l_shipdate.dt.to_period("M").dt.to_timestamp().dt.date
+    pdf["rev_cents"] = (np.round(pdf.l_extendedprice * 100).astype("int64")
+                        * (100 - np.round(pdf.l_discount * 100).astype("int64")))
+    want = pdf.groupby(["l_suppkey", "period"]).agg(rev=("rev_cents", "sum"), n=("rev_cents", "size"))
+    assert len(got) == len(want)
+    for (s, p), row in want.iterrows():
+        target, n_lines = got[(str(s), p)]
+        assert n_lines == row.n
+        assert target == pytest.approx(row.rev / 10000, abs=0.006)
+    assert sum(v[1] for k, v in got.items() if k[0] == "7") >= n // 3
