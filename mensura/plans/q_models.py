@@ -456,6 +456,36 @@ def ml16(spark, sf):
     return ridge.unionByName(forest)
 
 
+@register("so6_rank_features_two", with_views(f"""
+WITH d AS (SELECT series_id, mom_logdiff AS y,
+                  CAST(n_orders - lag(n_orders, 1) OVER ({W}) AS DOUBLE) AS x1,
+                  avg_disc - lag(avg_disc, 1) OVER ({W}) AS x2 FROM targets),
+e AS (SELECT * FROM d WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
+m AS (SELECT series_id, count(*) AS n, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r12,
+             covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y FROM e GROUP BY 1),
+w AS (SELECT *, n * c1y / s1 AS b1, n * c2y / s2 AS b2,
+             (n + 5.0) * (n + 5.0) - (n * r12) * (n * r12) AS det FROM m),
+z AS (SELECT series_id, 'n_orders_chg1' AS feature, ((n + 5.0) * b1 - n * r12 * b2) / det AS importance FROM w
+      UNION ALL
+      SELECT series_id, 'avg_disc_chg1' AS feature, ((n + 5.0) * b2 - n * r12 * b1) / det AS importance FROM w)
+SELECT series_id, feature, round(importance, 8) + 0.0 AS importance,
+       CAST(row_number() OVER (PARTITION BY series_id ORDER BY abs(importance) DESC, feature) AS INTEGER) AS rank
+FROM z""", "targets"))
+def so6_two(spark, sf):
+    """Standardised ridge coefficients of two regressors ranked by absolute
+    size per nation (the ranking of ML16 effects); the 2x2 closed form gives
+    the oracle."""
+    d = dataset(spark, sf).withColumns({
+        "x": F.array(F.col("n_orders_chg1").cast("double"), F.col("avg_disc_chg1").cast("double")),
+        "y": F.col("mom_logdiff")})
+    coef = lin.fit_ridge(d, alpha=5.0, p=2)
+    names = F.array(F.lit("n_orders_chg1"), F.lit("avg_disc_chg1"))
+    z = coef.select("series_id", F.inline(F.arrays_zip(names.alias("feature"),
+                                                       F.slice("coef", 4, 2).alias("importance"))))
+    ranked = rank_features(z, "importance", ["series_id"])
+    return ranked.select("series_id", "feature", (F.round("importance", 8) + F.lit(0.0)).alias("importance"), "rank")
+
+
 @register("so6_rank_features")
 def so6(spark, sf):
     data, feats = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
