@@ -2,6 +2,11 @@
 names, order-insensitive value hash). Usage:
 
     python tests/oracle_check.py [sf_dir] [name-prefix ...]
+
+ORACLE_STRICT=1 compares floats bit for bit (default: rounded to 6
+decimals); ORACLE_BARE=1 runs the queries in a plain SparkSession with
+default settings, as an external driver would (ORACLE_BARE_MEM sets its
+driver heap, default 16g).
 """
 
 from __future__ import annotations
@@ -49,7 +54,11 @@ def main():
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     prefixes = sys.argv[2:]
-    spark = get_session()
+    if os.environ.get("ORACLE_BARE"):  # a plain session, as an external driver would make
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", os.environ.get("ORACLE_BARE_MEM", "16g")).getOrCreate()
+    else:
+        spark = get_session()
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
