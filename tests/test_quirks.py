@@ -73,8 +73,8 @@ def test_one_row_series_metrics(spark):
 
 def test_exclude_periods_and_select_resolved(spark):
     df = spark.createDataFrame([("s", dt.date(2021, 1, 1), 1.0, 7.0), ("s", dt.date(2021, 2, 1), 2.0, 8.0)],
-                               "series_id string, period date, CHMR double, CTA double")
+                               "series_id string, period date, revenue_raw double, CTA double")
     assert fl.exclude_periods(df, ["2021-01"]).count() == 1
     out = fl.select_resolved(df, ["series_id", "period"], ["target", "ridership", "missing"],
-                             {"target": ["CHMR"], "ridership": ["CTA"]})
+                             {"target": ["revenue_raw"], "ridership": ["CTA"]})
     assert out.columns == ["series_id", "period", "target", "ridership"]
