@@ -223,6 +223,27 @@ def fw7(spark, sf):
     return e.select("series_id", "period", "best_model", "y", "prediction", "abs_pct_error")
 
 
+@register("fw7_auto_select_report")
+def fw7_report(spark, sf):
+    """Auto-select report per nation: chosen model (ML7 + AG12), hold-out
+    metrics of the refit (ML13), steady-state hold-out MAPE without the first
+    hold-out month (ML15), and the share of hold-out months above the
+    training maximum (AG8)."""
+    _, best, split_metrics, preds = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
+                                                    CANDIDATES, profile="level", **TREES)
+    chosen = preds.join(best, "series_id").filter(F.col("model") == F.col("best_model"))
+    test = chosen.filter(F.col("split") == "test")
+    first_test = test.groupBy("series_id").agg(F.min("period").alias("_first"))
+    steady = mt.forecast_metrics(test.join(first_test, "series_id").filter(F.col("period") > F.col("_first")),
+                                 "y", "prediction", ["series_id"], "A").select(
+        "series_id", F.col("MAPE_pct").alias("steady_MAPE_pct"))
+    above = ag.share_above_train_max(chosen.filter(F.col("split") != "error"), "y").select(
+        "series_id", "pct_above_train_max")
+    hold = split_metrics.filter(F.col("split") == "test").select(
+        "series_id", "best_model", "R2", "MAE", "RMSE", "MAPE_pct", "sMAPE_pct")
+    return hold.join(steady, "series_id", "left").join(above, "series_id", "left")
+
+
 @register("fw8_delevel_grid")
 def fw8(spark, sf):
     """De-levelled grid: ridge walk-forward over the last 24 months for
