@@ -399,3 +399,26 @@ def ag6_stream(spark, sf):
     run_monthly_mean_stream(spark, f"{base}/src", "series_id string, ts timestamp_ntz, value double", "ts",
                             "value", f"{base}/out", f"{base}/ckpt", files_per_batch=1)
     return read_monthly_mean(spark, f"{base}/out").select("series_id", "period", r("value", 6))
+
+
+@register("ag6_resample_stream_watermark", _AG6_SQL)
+def ag6_stream_wm(spark, sf):
+    """The streaming resample with bounded state: a watermark of 31 days on
+    the month key evicts finished months. The shifted events land as four
+    files in time order (oldest range first), so no row arrives after its
+    month was evicted and the result equals the batch resample."""
+    from mensura.session import scratch_dir
+    from mensura.streaming.resample import read_monthly_mean, run_monthly_mean_stream
+    base = scratch_dir(spark, "ag6wm")
+    ev = shifted_events(spark, sf).withColumn("_m", F.date_trunc("month", "ts"))
+    lo, hi = ev.agg(F.min("_m"), F.max("_m")).first()
+    span = (hi.year - lo.year) * 12 + hi.month - lo.month + 1
+    step = -(-span // 4)
+    for i in range(4):  # one landing per time range, oldest first
+        a = F.add_months(F.lit(lo).cast("date"), i * step)
+        b = F.add_months(F.lit(lo).cast("date"), (i + 1) * step)
+        part = ev.filter((F.to_date("_m") >= a) & (F.to_date("_m") < b)).drop("_m")
+        part.coalesce(1).write.parquet(f"{base}/src/part{i}")
+    run_monthly_mean_stream(spark, f"{base}/src/*", "series_id string, ts timestamp_ntz, value double", "ts",
+                            "value", f"{base}/out", f"{base}/ckpt", files_per_batch=1, late_delay="31 days")
+    return read_monthly_mean(spark, f"{base}/out").select("series_id", "period", r("value", 6))
