@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import mixing, naming, ring
+from mensura.llm import dac, mixing, naming, packing, ring
 from mensura.llm.common import read
+from mensura.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_token_codes")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as directly addressable codes and read back."""
+    path = scratch_dir(spark, "token-codes")
+    dac.write_tokens(read(spark, sf_dir, "documents"), path)
+    return dac.read_tokens(spark, path)
+
+
 @register("op4_block_naming_dedup", r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents)
@@ -51,3 +60,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return ring.shard(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@register("op10_minimum_slack")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2048 ids."""
+    return packing.pack(read(spark, sf_dir, "documents"))
