@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import dac, mixing, naming, packing, ring
+from mensura.llm import dac, forest, mixing, naming, packing, ring
 from mensura.llm.common import read
 from mensura.session import scratch_dir
 
@@ -33,6 +33,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(spark, path)
 
 
+@register("op3_lsh_forest")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies of every document: 3-word shingles, 85 per cent."""
+    return forest.near_groups(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @register("op4_block_naming_dedup", r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents)
