@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import dac, forest, mixing, naming, packing, ring
+from mensura.llm import dac, forest, kdtree, mixing, naming, packing, ring, rules
 from mensura.llm.common import read
 from mensura.session import scratch_dir
 
@@ -55,6 +55,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@register("op6_rule_ensemble")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = rules.fit(docs, read(spark, sf_dir, "labels"))
+    return rules.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 @register("op7_fair_queue_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes of each."""
@@ -62,6 +70,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op8_kd_tree_search", r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(
+  CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every fiftieth vector with all others."""
+    return kdtree.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @register("op9_bounded_ring")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
