@@ -183,6 +183,8 @@ def labels(found: list[Block]) -> list[bool]:
 
     told = any(b.region and not b.aside for b in found)
     known = [first(b, told) for b in found]
+    if not any(known):  # no block is decided to be main text: what is undecided is all there is
+        return [k is None for k in known]
     n = len(found)
     before: list[int | None] = [None] * n
     after: list[int | None] = [None] * n
