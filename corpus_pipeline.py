@@ -9,24 +9,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import mixing, naming
+from mensura.llm import forest, mixing, naming, packing, rules
 from mensura.llm.common import keep_rows, read, stage_table
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, learnt from ``labels``, predicts good."""
+    model = rules.fit(docs, read(spark, sf_dir, "labels"))
+    return rules.keep(docs, model)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal without white space."""
     groups = naming.exact_groups(docs)
     return keep_rows(docs, groups.select("doc_id", "row_key", F.col("kept").cast("int").alias("copies")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, 80 per cent."""
+    groups = stage_table(forest.near_groups(docs, words=5, least=80), "near_groups")
+    return keep_rows(docs, forest.one_of_each(groups), once=True)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (0, 1 or 2 times)."""
     return keep_rows(docs, mixing.mix(docs).select("doc_id", "row_key", "copies"))
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents in sequences of 2048 ids."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("keep_quality", keep_quality),
     ("drop_copies", drop_copies),
+    ("drop_near_copies", drop_near_copies),
     ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
 #: A fitted classifier and packing cannot be said in SQL; the stages are tested against brute force.

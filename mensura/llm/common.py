@@ -110,15 +110,17 @@ def sorted_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
             .drop("_part", "_start", "_at"))
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+def keep_rows(docs: DataFrame, decisions: DataFrame, once: bool = False) -> DataFrame:
     """Rows of ``docs`` as often as ``decisions`` says.
 
     ``decisions`` has one row per row of ``docs``: ``doc_id``, ``row_key``
     (``row_key(docs)``) and ``copies``. Rows that repeat each other wholly
-    share their copies. The columns of ``docs`` come back unchanged.
+    share their copies; with ``once`` they have one at most. The columns of
+    ``docs`` come back unchanged.
     """
+    copies = F.max("copies") if once else F.sum("copies")
     wanted = (decisions.groupBy(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"))
-              .agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+              .agg(copies.cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
               .filter("_copies > 0"))
     wanted = stage_table(wanted, "wanted")
     keyed = docs.withColumn("_row_key", row_key(docs))

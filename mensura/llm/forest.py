@@ -36,9 +36,8 @@ DEPTH = 10
 PREFIX = 3
 #: Regions up to this size give all pairs; larger ones go deeper.
 REGION = 40
-#: A signature that agrees in less than this share of its values rules a pair out
-#: (at 0.85 and 160 values, six standard deviations below).
-AGREE = 0.68
+#: A signature that agrees in so many standard deviations less than asked rules a pair out.
+DEVIATIONS = 6.0
 _KNOWN: dict[bytes, int] = {}
 _KEEP = 500_000
 
@@ -266,10 +265,11 @@ def _linked(least: int):
 
 
 def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES,
-          depth: int = DEPTH, prefix: int = PREFIX, region: int = REGION, agree: float = AGREE) -> DataFrame:
+          depth: int = DEPTH, prefix: int = PREFIX, region: int = REGION) -> DataFrame:
     """Pairs of distinct sets at or above the similarity, confirmed on the
     full sets of the whole texts in ``docs``."""
     pairs = candidates(sets, trees, depth, least, prefix, region)
+    agree = least / 100 - DEVIATIONS * (least / 100 * (1 - least / 100) / (trees * depth)) ** 0.5
     signed = sets.select("id", "labels")
     pairs = (pairs.join(signed.select(F.col("id").alias("a"), F.col("labels").alias("_x")), "a")
              .join(signed.select(F.col("id").alias("b"), F.col("labels").alias("_y")), "b")
@@ -294,7 +294,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, least: int = LEA
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES, depth: int = DEPTH,
-                prefix: int = PREFIX, region: int = REGION, agree: float = AGREE) -> DataFrame:
+                prefix: int = PREFIX, region: int = REGION) -> DataFrame:
     """Groups of near copies.
 
     Returns one row per row of ``docs``: ``doc_id``, ``row_key``,
@@ -309,7 +309,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees:
     # equal sets are one; their smallest doc_id stands for them
     sets = stage_table(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(
         F.min("doc_id").alias("id"), F.first("labels").alias("labels")), "classes")
-    found = components(links(docs, sets, words, least, trees, depth, prefix, region, agree))
+    found = components(links(docs, sets, words, least, trees, depth, prefix, region))
     classes = sets.select(F.col("n").alias("_n"), F.col("name").alias("_name"), "id")
     classes = stage_table(classes.join(found, classes["id"] == found["node"], "left").select(
         "_n", "_name", F.coalesce("label", "id").alias("_component")), "labelled")
@@ -318,3 +318,13 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees:
     return rows.drop("labels").join(classes, on, "left").select(
         "doc_id", "row_key", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def one_of_each(groups: DataFrame) -> DataFrame:
+    """Decisions for ``common.keep_rows``: of each group of ``near_groups``
+    one row of the document that names it; rows without doc_id all stay."""
+    first = groups.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.min("row_key").alias("_first"))
+    return groups.join(first, F.col("doc_id") == F.col("_doc"), "left").select(
+        "doc_id", "row_key", (F.col("kept") & (F.col("doc_id").isNull() | (F.col("row_key") == F.col("_first")))
+                              ).cast("int").alias("copies"))

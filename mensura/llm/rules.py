@@ -172,3 +172,9 @@ def score(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> Da
     return scored.select(
         *[F.col(f"`{c}`") for c in names], held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
         (F.col("_score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, unchanged."""
+    scored = with_statistics(docs).withColumn("_score", model.score())
+    return scored.filter(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
