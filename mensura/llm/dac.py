@@ -146,7 +146,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for i, x in encode_slices(vocabulary, batch.column("text").to_pylist(), end_id):
+            for i, x in encode_slices(vocabulary, batch.column("text"), end_id):
                 ids.append(x)
                 names.append(doc_ids[i])
                 lengths.append(len(x))

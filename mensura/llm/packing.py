@@ -85,7 +85,7 @@ def cut(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             rows = []
-            for i, ids in encode_slices(vocabulary, batch.column("text").to_pylist(), end_id):
+            for i, ids in encode_slices(vocabulary, batch.column("text"), end_id):
                 stops = range(len(ids) % capacity or min(capacity, len(ids)), len(ids) + 1, capacity)
                 start = 0
                 for k, stop in enumerate(stops):

@@ -1,27 +1,33 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
 The vocabulary splits text before single spaces, so the ids of a text are the
-ids of its space-separated words strung together, and words recur. Words not
-met before go through the ``tokenizers`` library many at a time and are then
-remembered, up to a bound per Python worker. Texts with runs of white space
-that the vocabulary does not split this way go through the library whole.
-The result equals ``Tokenizer.encode(text, add_special_tokens=False).ids``.
+ids of its space-separated words strung together, and words recur. Each slice
+of texts is split and its distinct words found in Arrow; words not met lately
+go through the ``tokenizers`` library many at a time and are remembered, up to
+a bound per Python worker; the ids of all words are then gathered in NumPy.
+Texts with runs of white space that the vocabulary does not split this way go
+through the library whole. The result equals
+``Tokenizer.encode(text, add_special_tokens=False).ids``.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Words remembered per Python worker (about 200 bytes each).
-REMEMBER = 600_000
+#: Words remembered per Python worker, in two generations (about 200 bytes each).
+REMEMBER = 800_000
+#: Characters encoded together.
+SLICE = 4 << 20
 #: A space inside or at the end of a run of white space: not a word boundary.
-_RUN = re.compile(r"\s \s|\s \Z")
+_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_RUN = rf"{_SPACE} {_SPACE}|{_SPACE} \z|\A \z"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -30,7 +36,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Encodes batches of texts; one per vocabulary file and worker."""
+    """Encodes slices of texts; one per vocabulary file and worker."""
 
     _made: dict[str, Encoder] = {}
 
@@ -40,12 +46,13 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # words are remembered here
         size = self.library.get_vocab_size()
         #: Ids whose token begins with a space.
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.words: dict[str, bytes] = {}   # ids of " " + word
-        self.firsts: dict[str, bytes] = {}  # ids of a first word, without a space
-        self.rare = False                   # met a word that begins with an uncommon white space
+        self.young: dict[str, bytes] = {}  # ids of " " + word
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -53,76 +60,89 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _whole(self, texts: Sequence[str]) -> list[bytes]:
+    def whole(self, texts: Sequence[str]) -> list[bytes]:
+        if not texts:
+            return []
         out = self.library.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
 
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        for at in range(0, len(plain), 4096):
-            some = plain[at:at + 4096]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids,
-                           dtype="<u4")
+        for at in range(0, len(plain), 1024):
+            some = plain[at:at + 1024]
+            ids = np.frombuffer(self.whole([" " + " ".join(some)])[0], dtype="<u4")
             cuts = np.flatnonzero(self.spaced[ids])
             if len(cuts) == len(some):
                 raw, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
                 for w, a, b in zip(some, (cuts * 4).tolist(), ends):
-                    self.words[w] = raw[a:b]
+                    self.young[w] = raw[a:b]
             else:
-                self.words.update(zip(some, self._whole([" " + w for w in some])))
+                self.young.update(zip(some, self.whole([" " + w for w in some])))
         odd = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
-        if odd:
-            self.rare = self.rare or any(w and w[0] not in "\n\t\r" and w[0].isspace() for w in odd)
-            self.words.update(zip(odd, self._whole([" " + w for w in odd])))
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        split = [(i, t.split(" ")) for i, t in enumerate(texts)]
-        if len(self.words) > REMEMBER:
-            self.words.clear()
-        if len(self.firsts) > REMEMBER // 8:
-            self.firsts.clear()
-        new = set()
-        for _, words in split:
-            new.update(words[1:])
-        new.difference_update(self.words)
-        if new:
-            self._learn(list(new))
-        firsts = list({words[0] for _, words in split}.difference(self.firsts))
-        if firsts:
-            self.firsts.update(zip(firsts, self._whole(firsts)))
-        get = self.words.__getitem__
-        whole = []
-        for i, words in split:
-            if self._runs(texts[i]):
-                whole.append(i)
-                continue
-            out[i] = self.firsts[words[0]] + b"".join(map(get, words[1:]))
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]) if whole else []):
-            out[i] = ids
+        self.young.update(zip(odd, self.whole([" " + w for w in odd])))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each with a space before it."""
+        if len(self.young) > REMEMBER // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        found = list(map(young.get, words))
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        if absent:
+            known = {w: ids for w in (words[i] for i in absent) if (ids := old.get(w)) is not None}
+            young.update(known)
+            self._learn([words[i] for i in absent if words[i] not in known])
+            for i in absent:
+                found[i] = young[words[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (no nulls)."""
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts, " ")
+        starts = split.offsets.to_numpy()
+        starts = starts - starts[0]
+        coded = split.flatten().dictionary_encode()
+        index = coded.indices.to_numpy().copy()
+        # a text's first word has no space before it: an entry of its own behind the others
+        firsts = coded.dictionary.take(pa.array(index[starts[:-1]]))
+        firsts = firsts.dictionary_encode()
+        entries = self._words(coded.dictionary.to_pylist()) + self.whole(firsts.dictionary.to_pylist())
+        index[starts[:-1]] = firsts.indices.to_numpy() + len(coded.dictionary)
+
+        # an Arrow string array has less than 2^31 bytes, and so fewer ids
+        size = np.fromiter(map(len, entries), dtype=np.int32, count=len(entries)) // 4
+        flat = np.frombuffer(b"".join(entries), dtype="<u4")
+        where = np.cumsum(size, dtype=np.int32) - size
+        each = size[index]
+        ends = np.cumsum(each, dtype=np.int32)
+        place = np.repeat(where[index] - (ends - each), each)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = flat[place]
+        bounds = np.concatenate([[0], ends])[starts]
+        out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        runs = np.flatnonzero(pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False))
+        if len(runs):
+            for i, raw in zip(runs.tolist(), self.whole(texts.take(pa.array(runs)).to_pylist())):
+                out[i] = np.frombuffer(raw, dtype="<u4")
         return out
 
-    def _runs(self, text: str) -> bool:
-        """Whether some space is not a word boundary; the cheap looks first."""
-        if "  " in text or text[-1:] == " ":
-            return True
-        if self.rare or " \n" in text or " \t" in text or " \r" in text:
-            return _RUN.search(text) is not None
-        return False
 
-
-def encode_slices(path: str, texts: Sequence[str | None], end_id: int | None = END_ID, chars: int = 1 << 20):
-    """Yield (position, ids as an array) for each text, encoding about
-    ``chars`` characters at a time. A null text is empty."""
+def encode_slices(path: str, texts: pa.Array | Sequence[str | None], end_id: int | None = END_ID,
+                  size: int = SLICE) -> Iterator[tuple[int, np.ndarray]]:
+    """Yield (position, ids) for each text, encoding about ``size`` bytes at a
+    time. A null text is empty."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.string())
+    texts = pc.fill_null(texts.cast(pa.string()), "")
     coder = Encoder.of(path)
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], dtype="<u4")
+    lengths = pc.binary_length(texts).to_numpy()
     at = 0
     while at < len(texts):
-        stop, n = at, 0
-        while stop < len(texts) and (stop == at or n + len(texts[stop] or "") <= chars):
-            n += len(texts[stop] or "")
-            stop += 1
-        for i, raw in enumerate(coder.encode([t or "" for t in texts[at:stop]])):
-            yield at + i, np.frombuffer(raw + end, dtype="<u4")
-        at = stop
+        upto = np.cumsum(lengths[at:], dtype=np.int64)
+        n = max(1, int(np.searchsorted(upto, size, side="right")))
+        for i, ids in enumerate(coder.encode(texts.slice(at, n))):
+            yield at + i, np.concatenate([ids, end])
+        at += n
