@@ -17,13 +17,15 @@ to the folds that include them (``bucket <= k``) and summed again. Cost per
 series is O(rows p^2 + folds^2 p^2) instead of O(rows folds p^2).
 
 Tree models (pyspark.ml) are fitted pooled over all series, one fit per fold
-index, as independent Spark jobs.
+date on the rows of all series before it, as independent Spark jobs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,10 +69,9 @@ def fold_layout(df: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
     f = df.select(*keys, "c0", "step", "K", "h").distinct()
     f = f.select(*keys, "c0", "step", "h", F.explode(F.sequence(F.lit(0), F.col("K") - 1)).alias("k"))
     f = f.withColumn("cutoff", F.col("c0") + F.col("k") * F.col("step"))
-    rows = df.select(*keys, t)
-    j = rows.join(f, list(keys)).filter(F.col(t) < F.col("cutoff"))
-    return j.groupBy(*keys, "k", "cutoff", "h").agg(F.count(F.lit(1)).alias("n_train")).select(
-        *keys, "k", "cutoff", "n_train", F.col("cutoff").alias("test_first_t"),
+    # ``t`` runs 0..n-1 without holes, so the rows before a cutoff need no counting
+    return f.select(
+        *keys, "k", "cutoff", F.col("cutoff").cast("long").alias("n_train"), F.col("cutoff").alias("test_first_t"),
         (F.col("cutoff") + F.col("h") - 1).alias("test_last_t"))
 
 
@@ -110,6 +111,9 @@ def ridge_backtest(df: DataFrame, keys: Sequence[str], x="x", y="y", t="t",
                    eligible="eligible", alpha=5.0, p: int | None = None) -> DataFrame:
     """Fit per fold and score that fold's test rows: adds ``k`` and
     ``pred_target``."""
+    if p is None:
+        p = int(df.select(F.max(F.size(x))).first()[0])
+    df = lin.center(df, p, keys, x)
     coef = fold_ridge(df, keys, x, y, t, eligible, alpha, p)
     te = test_rows(df, t).filter(F.forall(F.col(x), lambda v: v.isNotNull()))
     j = te.join(coef, [*keys, "k"])
@@ -164,36 +168,41 @@ def tree_model(kind: str, seed: int = 42, profile: str = "delevel", **params):
 
 
 def tree_backtest(df: DataFrame, keys: Sequence[str], model: str, x="x", y="y", t="t",
-                  eligible="eligible", group_by: Sequence[str] = (), parallelism: int = 4,
-                  refit_every: int = 1, **params) -> DataFrame:
-    """Pooled tree fits, one per fold index ``k`` (and per ``group_by``
-    value, e.g. target kind): trains on every series' rows before its own
-    cutoff_k, scores its fold-k test rows. Returns the scored rows with
-    ``k`` and ``pred_target``.
-
-    ``refit_every = r > 1`` fits once per ``r`` consecutive folds (trained
-    before the first of them) and scores all ``r`` folds with it: still out
-    of sample, ``r`` times fewer distributed fits on a large panel; the
-    default 1 refits every fold like the reference.
+                  eligible="eligible", group_by: Sequence[str] = (), parallelism: int = 8,
+                  refit_every: int = 1, order: str = "period", **params) -> DataFrame:
+    """Pooled tree fits, one per fold date (and per ``group_by`` value, e.g.
+    target kind). A fold's date is the ``order`` value of its first test row;
+    the fit of a date trains on the rows of all series before it and scores
+    the folds of that date, so no series sees another's later months. Returns
+    the scored rows with ``k`` and ``pred_target``.
+
+    ``refit_every = r > 1`` fits once per ``r`` consecutive dates (trained
+    before the first of them) and scores all ``r`` with it: still out of
+    sample, ``r`` times fewer distributed fits on a large panel; the default
+    1 refits at every date.
     """
     # iterative fits re-read their input many times: materialise it once in
     # the shared checkpoint folder (reliable, survives executor loss)
     complete = F.forall(F.col(x), lambda v: v.isNotNull())
     d = lin.materialize(df.withColumn("features", F.when(complete, array_to_vector(F.col(x)))), keys)
-    ks = [r[0] for r in d.select(F.max("K")).collect()]
-    n_folds = int(ks[0] or 0)
     groups = [tuple(r) for r in d.select(*group_by).distinct().collect()] if group_by else [()]
+    dates = d.select(*keys, F.col(t).alias("_cut"), F.col(order).alias("_date"))
     te_all = test_rows(d, t).filter(F.forall(F.col(x), lambda v: v.isNotNull()))
+    te_all = te_all.withColumn("_cut", F.col("c0") + F.col("k") * F.col("step")).join(dates, [*keys, "_cut"])
+    te_all = lin.materialize(te_all.drop("_cut"), keys)
+    # one date per calendar period of the panel at most
+    cuts = [r[0] for r in te_all.select("_date").distinct().orderBy("_date").collect()]
     tasks = []
     for g in groups:
         cond = F.lit(True)
         for c, v in zip(group_by, g):
             cond = cond & (F.col(c) == F.lit(v))
-        for k in range(0, n_folds, refit_every):
-            cut = F.col("c0") + F.lit(k) * F.col("step")
-            train = d.filter(cond & F.col(eligible) & (F.col(t) < cut) & (F.lit(k) < F.col("K")))
-            test = te_all.filter(cond & (F.col("k") >= k) & (F.col("k") < k + refit_every))
+        for i in range(0, len(cuts), refit_every):
+            train = d.filter(cond & F.col(eligible) & (F.col(order) < F.lit(cuts[i])))
+            test = te_all.filter(cond & F.col("_date").isin(cuts[i:i + refit_every]))
             tasks.append((train.select("features", F.col(y).alias("y")), test))
+    if not tasks:
+        return te_all.withColumn("pred_target", F.lit(None).cast("double")).drop("features", "_date")
 
     def fit(task):
         train, test = task
@@ -208,7 +217,7 @@ def tree_backtest(df: DataFrame, keys: Sequence[str], model: str, x="x", y="y",
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
-    return out.drop("features")
+    return out.drop("features", "_date")
 
 
 def backtest(df: DataFrame, keys: Sequence[str], model: str, alpha: float = 5.0,
@@ -222,7 +231,7 @@ def backtest(df: DataFrame, keys: Sequence[str], model: str, alpha: float = 5.0,
 def kind_rows(df: DataFrame, covariates: Sequence[str], kinds: Sequence[str],
               keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """One row per (series, period, target kind) with the kind's feature
-    array ``x`` (centred per series), label ``y`` and ``eligible``.
+    array ``x`` (raw), label ``y`` and ``eligible``.
 
     Features per kind: covariates, their 1-step changes, month dummies, and
     for ``yoy_logdiff`` also the 12-step changes (zeros for other kinds: a
@@ -232,17 +241,14 @@ def kind_rows(df: DataFrame, covariates: Sequence[str], kinds: Sequence[str],
     dummies = [f"m_{k}" for k in range(2, 13)]
     base = list(covariates) + [f"{c}_chg1" for c in covariates] + dummies
     yoy_extra = [f"{c}_chg12" for c in covariates]
-    w = Window.partitionBy(*keys)
-    centred = {c: F.col(c).cast("double") - F.avg(c).over(w) for c in base + yoy_extra}
-    d = df.withColumns({f"_c_{c}": v for c, v in centred.items()})
-    d = d.withColumn("target_kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
+    d = df.withColumn("target_kind", F.explode(F.array(*[F.lit(k) for k in kinds])))
     is_yoy = F.col("target_kind") == "yoy_logdiff"
-    x = F.array(*[F.col(f"_c_{c}") for c in base],
-                *[F.when(is_yoy, F.col(f"_c_{c}")).otherwise(F.lit(0.0)) for c in yoy_extra])
+    x = F.array(*[F.col(c).cast("double") for c in base],
+                *[F.when(is_yoy, F.col(c).cast("double")).otherwise(F.lit(0.0)) for c in yoy_extra])
     y = (F.when(F.col("target_kind") == "mom_logdiff", F.col("mom_logdiff"))
          .when(F.col("target_kind") == "yoy_logdiff", F.col("yoy_logdiff"))
          .when(F.col("target_kind") == "trend_dev", F.col("trend_dev")))
-    d = d.withColumns({"x": x, "y": y}).drop(*[f"_c_{c}" for c in centred])
+    d = d.withColumns({"x": x, "y": y})
     return d.withColumn("eligible", F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
 
 
@@ -266,8 +272,10 @@ def walk_forward(dataset: DataFrame, covariates: Sequence[str], models: Sequence
     every (target kind x model), refitting (and re-standardising) at every
     step, with levels reconstructed (ML11). ``dataset`` is the de-levelled
     table (FW6). Returns (keys, target_kind, model, period, actual,
-    predicted, pred_target). A model whose plan or fit fails (tree fits run
-    eagerly) is recorded as one row with ``error`` instead of stopping the grid.
+    predicted, pred_target, error). A model that is unknown or cannot be
+    fitted (tree fits run eagerly) is recorded as one row per series and kind
+    with ``error``, without period and prediction; ``forecast_metrics`` keeps
+    it through the ranking.
     """
     keys = list(keys)
     kk = keys + ["target_kind"]
@@ -286,10 +294,9 @@ def walk_forward(dataset: DataFrame, covariates: Sequence[str], models: Sequence
             outs.append(rec.select(*kk, F.lit(m).alias("model"), "period",
                                    F.col("target").alias("actual"), "predicted", "pred_target",
                                    "error"))
-        except Exception as ex:  # noqa: BLE001 - a failing combo is recorded, not fatal
-            err = dataset.sparkSession.createDataFrame(
-                [(m, str(ex)[:500])], "model string, error string")
-            outs.append(err)
+        except (ValueError, PySparkException, Py4JJavaError) as ex:
+            outs.append(d.select(*kk).distinct().select(
+                *kk, F.lit(m).alias("model"), F.lit(str(ex)[:500]).alias("error")))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o, allowMissingColumns=True)

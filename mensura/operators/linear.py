@@ -9,9 +9,9 @@ all rows is still combined in parallel before the shuffle. Only the
 resulting ``O(p^2)`` arrays reach Python, in Arrow batches, where NumPy
 solves all groups of a batch at once.
 
-Features are centred per series (by the full-series mean) before the
-products are formed: the fitted model is shift-invariant, and centring keeps
-raw cross-products of values around 1e7 from losing digits.
+Features are centred per series (``center``) before the products are formed:
+a ridge is shift-invariant, and centring keeps raw cross-products of values
+around 1e7 from losing digits. Trees get the raw features.
 """
 
 from __future__ import annotations
@@ -82,16 +82,11 @@ def _stack(s: pd.Series) -> np.ndarray:
 
 
 def materialize(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Reliable checkpoint (shared ``spark.checkpoint.dir``) of a small,
-    reused frame, hash-partitioned by ``keys`` over the shuffle partitions:
-    the rows are few but the per-row work that follows (outer products,
-    fits) is heavy, so spread them over as many partitions as there are
-    cores (capped by the shuffle partitions) instead of the few partitions
-    AQE would coalesce such a small frame into."""
-    from mensura.session import ensure_checkpoint_dir, parallelism
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.repartition(max(1, parallelism(spark)), *keys).checkpoint(eager=True)
+    """Reliable checkpoint (shared ``spark.checkpoint.dir``) of a reused
+    frame, partitioned by ``keys``. AQE sizes the partitions from the data."""
+    from mensura.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return (df.repartition(*keys) if keys else df).checkpoint(eager=True)
 
 
 def prefix_ridge_solve(keys: Sequence[str], p: int, alpha: float, key_types: Sequence[str]):
@@ -121,12 +116,13 @@ def prefix_ridge_solve(keys: Sequence[str], p: int, alpha: float, key_types: Seq
 
 
 # ------------------------------------------------------------ centring / standardising
-def center_features(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ("series_id",),
-                    name: str = "x") -> DataFrame:
-    """Array column of features minus their full-series mean (nulls kept)."""
+def center(df: DataFrame, p: int, keys: Sequence[str] = ("series_id",), x: str = "x") -> DataFrame:
+    """Array column ``x`` (length ``p``) minus its mean per series (nulls
+    kept). Only for ridge, whose predictions a shift does not change; models
+    that a shift can change get the raw features, since the mean looks
+    ahead."""
     w = Window.partitionBy(*keys)
-    return df.withColumn(name, F.array(*[(F.col(c).cast("double") - F.avg(c).over(w))
-                                         for c in features]))
+    return df.withColumn(x, F.array(*[F.col(x)[i] - F.avg(F.col(x)[i]).over(w) for i in range(p)]))
 
 
 def standardize(train: DataFrame, apply_to: DataFrame, cols: Sequence[str],

@@ -24,7 +24,9 @@ def forecast_metrics(df: DataFrame, actual: str = "actual", pred: str = "predict
     """AG9 (``which='A'``: R2, MAE, RMSE, MAPE %, sMAPE %) or AG10 (``'B'``:
     R2, MAPE %, RMSE) per group.
 
-    Rows with a null actual or prediction are not scored. MAPE skips rows
+    Rows with a null actual or prediction are not scored. If ``df`` has an
+    ``error`` column, a group that has nothing to score but an error comes
+    back with ``n`` 0, null metrics and its ``error``. MAPE skips rows
     with actual 0 (null if all are 0); R2 is null for a constant actual.
     sMAPE adds 1e-9 to its denominator.
     """
@@ -44,7 +46,15 @@ def forecast_metrics(df: DataFrame, actual: str = "actual", pred: str = "predict
         "RMSE": F.sqrt(F.col("_sse") / F.col("n")),
     })
     names = METRIC_NAMES_A if which == "A" else METRIC_NAMES_B
-    return agg.select(*keys, "n", *names)
+    out = agg.select(*keys, "n", *names)
+    if "error" not in df.columns:
+        return out
+    # a group without errors has a null one; one with errors alone is not in ``out``
+    failed = df.groupBy(*keys).agg(F.min("error").alias("error"), F.count(F.when(a.isNotNull() & p.isNotNull(), 1))
+                                   .alias("_n")).filter("_n = 0 AND error IS NOT NULL").drop("_n")
+    failed = failed.select(*keys, F.lit(0).cast("long").alias("n"),
+                           *[F.lit(None).cast("double").alias(m) for m in names], "error")
+    return out.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
 
 
 def macro_micro_metrics(df: DataFrame, fold: str = "fold", actual="actual", pred="predicted",

@@ -39,16 +39,11 @@ def month_spine_of(df: DataFrame, keys=("series_id",), order="period", start=Non
 
 
 def join_covariates(base: DataFrame, covs: DataFrame, on: Sequence[str],
-                    cols: Sequence[str] | None = None, broadcast_rows: int | None = None) -> DataFrame:
+                    cols: Sequence[str] | None = None) -> DataFrame:
     """JN1: left join of covariates, right side pruned to ``on + cols``.
-
-    ``broadcast_rows`` marks the right side for broadcast only when the caller
-    knows a bound on its row count (e.g. one row per month of a calendar);
-    otherwise the planner decides from statistics (AQE at run time).
-    """
+    Whether the right side is broadcast is the planner's decision from its
+    size (AQE at run time)."""
     right = covs.select(*on, *(cols or [c for c in covs.columns if c not in on]))
-    if broadcast_rows is not None:
-        right = F.broadcast(right)
     return base.join(right, list(on), "left")
 
 

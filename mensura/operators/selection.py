@@ -24,12 +24,12 @@ from mensura.plans.flows import level_features
 def level_dataset(panel: DataFrame, covariates: Sequence[str], test_months: int = 12,
                   keys: Sequence[str] = ("series_id",)) -> tuple[DataFrame, list[str]]:
     """FW5 + SO5: level features, ``split`` (last ``test_months`` = test),
-    time index ``t`` over usable rows, centred feature array ``x``, ``y``."""
+    time index ``t`` over usable rows, raw feature array ``x``, ``y``."""
     d, feats = level_features(panel, covariates)
     d = time_split(d, test_months, keys)
     d = add_time_index(d, keys)
-    d = lin.center_features(d, feats, keys).withColumns(
-        {"y": F.col("target"), "eligible": F.lit(True)})
+    d = d.withColumns({"x": F.array(*[F.col(c).cast("double") for c in feats]), "y": F.col("target"),
+                       "eligible": F.lit(True)})
     return d, feats
 
 
@@ -45,9 +45,9 @@ def block_backtest(train: DataFrame, model: str, keys: Sequence[str] = ("series_
 def refit_predict(data: DataFrame, model: str, keys: Sequence[str] = ("series_id",),
                   alpha: float = 5.0, p: int | None = None, **tree_params) -> DataFrame:
     """Fit on ``split = 'train'`` rows, predict every row (``prediction``)."""
-    train = data.filter(F.col("split") == "train")
     if model == "ridge":
-        coef = lin.fit_ridge(train, keys=keys, alpha=alpha, p=p)
+        data = lin.center(data, p or int(data.select(F.max(F.size("x"))).first()[0]), keys)
+        coef = lin.fit_ridge(data.filter(F.col("split") == "train"), keys=keys, alpha=alpha, p=p)
         j = data.join(coef, list(keys))
         return j.withColumn("prediction", lin.predict_linear(j)).drop("coef", "p")
     d = data.withColumn("features", array_to_vector("x"))
@@ -63,6 +63,15 @@ def auto_select(panel: DataFrame, covariates: Sequence[str], candidates: Sequenc
 
     Returns ``(backtest_metrics, best, split_metrics, predictions)``.
     """
+    metrics, allp = candidate_scores(panel, covariates, candidates, test_months, keys, **kw)
+    return metrics, *choose(metrics, allp, keys), allp
+
+
+def candidate_scores(panel: DataFrame, covariates: Sequence[str], candidates: Sequence[str] = ("ridge",),
+                     test_months: int = 12, keys: Sequence[str] = ("series_id",), **kw):
+    """Block backtest metrics (keys, model, ...) and, refitted on the training
+    rows, predictions of all rows (keys, period, split, y, prediction, model)
+    of every candidate."""
     keys = list(keys)
     data, feats = level_dataset(panel, covariates, test_months, keys)
     # every candidate re-reads the same rows: materialise them once
@@ -82,10 +91,15 @@ def auto_select(panel: DataFrame, covariates: Sequence[str], candidates: Sequenc
     allp = preds[0]
     for p in preds[1:]:
         allp = allp.unionByName(p)
+    return metrics, allp
+
+
+def choose(metrics: DataFrame, allp: DataFrame, keys: Sequence[str] = ("series_id",)):
+    """The best candidate per series by RMSE, and its metrics by split."""
+    keys = list(keys)
     best = select_best(metrics, "RMSE", "model", keys, "min").select(*keys, F.col("model").alias("best_model"))
     chosen = allp.join(best, keys).filter(F.col("model") == F.col("best_model"))
-    split_metrics = forecast_metrics(chosen, "y", "prediction", keys + ["best_model", "split"], "A")
-    return metrics, best, split_metrics, allp
+    return best, forecast_metrics(chosen, "y", "prediction", keys + ["best_model", "split"], "A")
 
 
 def feature_effects(data: DataFrame, feats: Sequence[str], model: str = "ridge",
@@ -96,7 +110,7 @@ def feature_effects(data: DataFrame, feats: Sequence[str], model: str = "ridge",
     names = F.array(*[F.lit(f) for f in feats])
     train = data.filter(F.col("split") == "train")
     if model == "ridge":
-        coef = lin.fit_ridge(train, keys=keys, alpha=alpha, p=len(feats))
+        coef = lin.fit_ridge(lin.center(train, len(feats), keys), keys=keys, alpha=alpha, p=len(feats))
         w = F.slice("coef", F.col("p") + 2, F.col("p"))
         z = coef.select(*keys, F.arrays_zip(names.alias("feature"), w.alias("importance")).alias("z"))
         return z.select(*keys, F.lit("ridge").alias("model"), F.inline("z"))
@@ -106,3 +120,24 @@ def feature_effects(data: DataFrame, feats: Sequence[str], model: str = "ridge",
     spark = data.sparkSession
     rows = [(model, f, v) for f, v in zip(feats, imp)]
     return spark.createDataFrame(rows, "model string, feature string, importance double")
+
+
+def chosen_effects(data: DataFrame, feats: Sequence[str], best: DataFrame, candidates: Sequence[str],
+                   keys: Sequence[str] = ("series_id",), alpha: float = 5.0, **tree_params) -> DataFrame:
+    """ML16 for the selected models: ``best`` has (keys, best_model). Series
+    that chose ridge get their own coefficients, the others the importances
+    of the pooled tree model they chose; (keys, model, feature, importance)."""
+    keys = list(keys)
+    out = None
+    for m in candidates:
+        chose = best.filter(F.col("best_model") == m).select(*keys)
+        effects = feature_effects(data, feats, m, keys, alpha, **tree_params)
+        if m == "ridge":
+            effects = chose.join(effects, keys)
+        else:  # one number per feature
+            both = F.array(*[F.struct(F.lit(r.feature).alias("feature"), F.lit(r.importance).alias("importance"))
+                             for r in effects.collect()])
+            effects = chose.select(*keys, F.lit(m).alias("model"), F.inline(both))
+        effects = effects.select(*keys, "model", "feature", "importance")
+        out = effects if out is None else out.unionByName(effects)
+    return out

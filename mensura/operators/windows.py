@@ -86,14 +86,13 @@ def add_yoy_pct(df: DataFrame, col: str, keys=DEFAULT_KEYS, order="period") -> D
 
 
 def add_local_features(df: DataFrame, keys=DEFAULT_KEYS, order="period",
-                       ridership=("ridership", "CTA", "metro_ridership"),
-                       shops=("osm_shop_count",), net_new=("osm_net_new",),
-                       sentiment=("sentiment", "search_sentiment")) -> DataFrame:
+                       ridership: Sequence[str] = (), shops: Sequence[str] = (), net_new: Sequence[str] = (),
+                       sentiment: Sequence[str] = ()) -> DataFrame:
     """WN6: optional covariate block, built only from columns that exist.
 
     ridership: lag1, lag12, ``(lag1 - lag12)/(lag12 + 1e-9)``; shop count and
     net-new: lag1; sentiment: lag1 and trailing-3 mean. Each group takes the
-    first alias present in the frame.
+    first of its names present in the frame; a group without names is left out.
     """
     def first_present(names):
         return next((n for n in names if n in df.columns), None)
@@ -145,16 +144,16 @@ def add_expanding_trend(df: DataFrame, y="log_y", t="t", keys=DEFAULT_KEYS, orde
 
 
 def build_targets(df: DataFrame, target: str = "target", keys=DEFAULT_KEYS,
-                  order: str = "period", calendar: bool = False, trend: str = "full") -> DataFrame:
+                  order: str = "period", calendar: bool = False, trend: str = "expanding") -> DataFrame:
     """WN10 (+WN7, SC11): ``t``, ``log_y``, ``mom_logdiff``, ``yoy_logdiff``,
     ``trend_dev``, plus the anchors ``log_lag1``/``log_lag12`` used for level
     reconstruction (JN4).
 
-    ``trend='full'`` measures ``trend_dev`` against the full-sample trend
-    (parity with the published runs, but the label of an early row then
-    depends on later rows); ``trend='expanding'`` uses the trend fitted on
+    ``trend='expanding'`` measures ``trend_dev`` against the trend fitted on
     strictly earlier rows, the same trend the reconstruction adds back, so
-    no label looks ahead.
+    no label looks ahead; ``trend='full'`` uses the full-sample trend (parity
+    with the published runs, but the label of an early row then depends on
+    later rows).
     """
     w = series_window(keys, order)
     out = df.withColumns({"t": F.row_number().over(w) - 1, "log_y": log_target(target)})

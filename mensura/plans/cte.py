@@ -58,15 +58,14 @@ WINDOW w AS (PARTITION BY s.series_id ORDER BY s.period
 
 view("targets", ("rev_panel_dense",), f"""
 SELECT *, log_y - log_lag1 AS mom_logdiff, log_y - log_lag12 AS yoy_logdiff,
-       regr_intercept(log_y, t) OVER (PARTITION BY series_id)
-         + regr_slope(log_y, t) OVER (PARTITION BY series_id) * t AS trend_full,
-       log_y - (regr_intercept(log_y, t) OVER (PARTITION BY series_id)
-         + regr_slope(log_y, t) OVER (PARTITION BY series_id) * t) AS trend_dev
+       regr_intercept(log_y, t) OVER before + regr_slope(log_y, t) OVER before * t AS trend_full,
+       log_y - (regr_intercept(log_y, t) OVER before + regr_slope(log_y, t) OVER before * t) AS trend_dev
 FROM (SELECT *, lag(log_y, 1) OVER ({_WIN}) AS log_lag1,
              lag(log_y, 12) OVER ({_WIN}) AS log_lag12
       FROM (SELECT *, CAST(row_number() OVER ({_WIN}) - 1 AS INTEGER) AS t,
                    CASE WHEN target > 0 THEN ln(target) END AS log_y
-            FROM rev_panel_dense))""")
+            FROM rev_panel_dense))
+WINDOW before AS ({_WIN} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 
 view("zero_fc", ("targets",), f"""
 SELECT series_id, period, k.target_kind, target AS actual,
@@ -87,7 +86,7 @@ SELECT event_type AS series_id, CAST(ts AS DATE) AS period,
 FROM events GROUP BY 1, 2""")
 
 view("posts", (), """
-SELECT d.doc_id AS post_id, split_part(d.text, chr(10), 1) AS title,
+SELECT d.doc_id AS post_id, d.text AS title,
        CAST(epoch_us(e.ts) // 1000000 AS BIGINT) AS created_utc
 FROM documents d JOIN events e ON d.doc_id = e.event_id""")
 

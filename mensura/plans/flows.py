@@ -21,7 +21,7 @@ LEVEL_LAGS = (1, 2, 3, 12, 13)
 
 def delevel_dataset(panel: DataFrame, covariates: Sequence[str], target: str = "target",
                     keys: Sequence[str] = ("series_id",), order: str = "period",
-                    trend: str = "full") -> DataFrame:
+                    trend: str = "expanding") -> DataFrame:
     """FW6: time index, log target, month dummies m_2..m_12, 1- and 12-step
     covariate changes, and the three de-levelled targets (``trend`` as in
     ``build_targets``)."""

@@ -156,10 +156,8 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents joined to events: (post_id, title = first line, created_utc)."""
-    # the title is cut before the join so whole texts never enter a shuffle
-    d = table(spark, sf_dir, "documents", "doc_id", "text").select(
-        "doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    """documents joined to events: (post_id, title = whole text, created_utc)."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.col("text").alias("title"))
     e = table(spark, sf_dir, "events", "event_id", "ts")
     return d.join(e, d.doc_id == e.event_id).select(
         F.col("doc_id").alias("post_id"), "title", F.unix_timestamp("ts").alias("created_utc"))

@@ -224,10 +224,12 @@ def wn7(spark, sf):
 
 
 @register("wn8_trend_dev", with_views("""
-SELECT series_id, period, round(trend_full, 8) AS trend_full, round(trend_dev, 8) AS trend_dev
-FROM targets""", "targets"))
+SELECT series_id, period, round(trend, 8) AS trend_full, round(log_y - trend, 8) AS trend_dev
+FROM (SELECT *, regr_intercept(log_y, t) OVER (PARTITION BY series_id)
+                + regr_slope(log_y, t) OVER (PARTITION BY series_id) * t AS trend FROM targets)""", "targets"))
 def wn8(spark, sf):
-    return targets(spark, sf).select("series_id", "period", r("trend_full", 8), r("trend_dev", 8))
+    """Full-sample trend and the deviation from it."""
+    return wn.build_targets(panels.rev_panel_dense(spark, sf), trend="full").select("series_id", "period", r("trend_full", 8), r("trend_dev", 8))
 
 
 @register("wn9_expanding_trend", with_views(f"""
@@ -243,11 +245,12 @@ def wn9(spark, sf):
 
 @register("wn10_targets", with_views("""
 SELECT series_id, period, t, round(log_y, 10) AS log_y, round(mom_logdiff, 10) AS mom_logdiff,
-       round(yoy_logdiff, 10) AS yoy_logdiff, round(trend_dev, 8) AS trend_dev FROM targets""",
+       round(yoy_logdiff, 10) AS yoy_logdiff, round(trend_dev, 8) + 0.0 AS trend_dev FROM targets""",
                                      "targets"))
 def wn10(spark, sf):
     return targets(spark, sf).select("series_id", "period", "t", r("log_y", 10),
-                                     r("mom_logdiff", 10), r("yoy_logdiff", 10), r("trend_dev", 8))
+                                     r("mom_logdiff", 10), r("yoy_logdiff", 10),
+                                     (F.round("trend_dev", 8) + F.lit(0.0)).alias("trend_dev"))
 
 
 @register("jn4_anchor", with_views(f"""
@@ -388,25 +391,27 @@ def so5(spark, sf):
 # --------------------------------------------------------------- streaming
 @register("ag6_resample_stream", _AG6_SQL)
 def ag6_stream(spark, sf):
-    """AG6 as a Structured Streaming job: the shifted events land as four
-    parquet files, a file-source stream folds them one file per micro-batch
-    into running monthly means, and the landed batches are read back
-    latest-wins on the month spine."""
+    """AG6 as a Structured Streaming job: the shifted events land as parquet
+    files, a file-source stream folds them a few files per micro-batch into
+    running monthly means, and the landed batches are read back latest-wins
+    on the month spine."""
     from mensura.session import scratch_dir
     from mensura.streaming.resample import read_monthly_mean, run_monthly_mean_stream
     base = scratch_dir(spark, "ag6stream")
-    shifted_events(spark, sf).repartition(4).write.parquet(f"{base}/src")
+    shifted_events(spark, sf).write.parquet(f"{base}/src")
     run_monthly_mean_stream(spark, f"{base}/src", "series_id string, ts timestamp_ntz, value double", "ts",
-                            "value", f"{base}/out", f"{base}/ckpt", files_per_batch=1)
+                            "value", f"{base}/out", f"{base}/ckpt", files_per_batch=8)
     return read_monthly_mean(spark, f"{base}/out").select("series_id", "period", r("value", 6))
 
 
 @register("ag6_resample_stream_watermark", _AG6_SQL)
 def ag6_stream_wm(spark, sf):
     """The streaming resample with bounded state: a watermark of 31 days on
-    the month key evicts finished months. The shifted events land as four
-    files in time order (oldest range first), so no row arrives after its
-    month was evicted and the result equals the batch resample."""
+    the month key evicts finished months. The shifted events land in four
+    time ranges, oldest first, each as many files as it has partitions; the
+    stream is resumed from its checkpoint after each landing and takes it as
+    one micro-batch, so no row arrives after its month was evicted and the
+    result equals the batch resample."""
     from mensura.session import scratch_dir
     from mensura.streaming.resample import read_monthly_mean, run_monthly_mean_stream
     base = scratch_dir(spark, "ag6wm")
@@ -418,7 +423,7 @@ def ag6_stream_wm(spark, sf):
         a = F.add_months(F.lit(lo).cast("date"), i * step)
         b = F.add_months(F.lit(lo).cast("date"), (i + 1) * step)
         part = ev.filter((F.to_date("_m") >= a) & (F.to_date("_m") < b)).drop("_m")
-        part.coalesce(1).write.parquet(f"{base}/src/part{i}")
-    run_monthly_mean_stream(spark, f"{base}/src/*", "series_id string, ts timestamp_ntz, value double", "ts",
-                            "value", f"{base}/out", f"{base}/ckpt", files_per_batch=1, late_delay="31 days")
+        part.write.parquet(f"{base}/src/part{i}")
+        run_monthly_mean_stream(spark, f"{base}/src/*", "series_id string, ts timestamp_ntz, value double", "ts",
+                                "value", f"{base}/out", f"{base}/ckpt", late_delay="31 days")
     return read_monthly_mean(spark, f"{base}/out").select("series_id", "period", r("value", 6))

@@ -105,7 +105,7 @@ def fl4(spark, sf):
     ``_cN`` columns (FL4) and the all-null rows (FL3), then type."""
     p = _panel(spark, sf)
     lines = csv_io.csv_lines(p, extra_blank_cols=3)
-    blank = p.select(F.lit(",,,,,,,,,").alias("value")).distinct()  # one blank line
+    blank = spark.range(1).select(F.lit(",,,,,,,,,").alias("value"))  # one blank line
     path = csv_io.write_text_with_header(lines.unionByName(blank), scratch_dir(spark, "fl4"),
                                          [",".join(PANEL_COLS) + ",,,"])
     raw = spark.read.option("header", True).csv(path)
@@ -160,7 +160,7 @@ def src6(spark, sf):
 @register("src7_json_posts", with_views("SELECT title, created_utc FROM posts", "posts"))
 def src7(spark, sf):
     """``{"data": [{title, created_utc}]}`` documents of at most 100 posts
-    each (blocks of post ids), like paged API responses."""
+    each (blocks of post ids), like paged API responses; titles are whole texts."""
     p = panels.posts(spark, sf)
     docs = p.groupBy(F.floor(F.col("post_id") / 100).alias("page")).agg(
         F.collect_list(F.struct("title", "created_utc")).alias("data"))

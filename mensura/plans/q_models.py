@@ -23,13 +23,10 @@ from mensura.plans import panels
 from mensura.plans.cte import with_views
 from mensura.plans.flows import delevel_dataset
 from mensura.plans.registry import register
-from mensura.plans.util import r
+from mensura.plans.util import r, stored
 
 COVS = panels.REV_COVARIATES
 W = "PARTITION BY series_id ORDER BY period"
-# registry runs use the published settings with fewer trees (runtime);
-# full settings: pass num_trees=None
-TREES = {"num_trees": 20}
 # ridge per series, pooled forest, pooled boosting, pooled boosting with
 # column sampling (the optional fourth candidate)
 CANDIDATES = ("ridge", "forest", "boosting", "boosting_colsample")
@@ -153,16 +150,45 @@ def ml2_pooled(spark, sf):
 
 
 # ------------------------------------------------------------------ ML3-ML5, ML8, ML10
-def _wf_metrics(spark, sf, models, n_test, **kw):
-    preds = bt.walk_forward(dataset(spark, sf), COVS, models, n_test=n_test, **kw)
-    return mt.forecast_metrics(preds, keys=["series_id", "target_kind", "model"], which="B")
+def walk_forward_predictions(spark, sf, models, profile="delevel"):
+    """Walk-forward predictions over 24 fold dates and three target kinds.
+    The fits of a model at the published settings take minutes, so the
+    queries of one application share them."""
+    out = None
+    for m in models:
+        p = stored(spark, sf, f"walk_forward_{profile}_{m}",
+                   lambda m=m: bt.walk_forward(dataset(spark, sf), COVS, [m], n_test=24, profile=profile))
+        out = p if out is None else out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def _wf_metrics(spark, sf, models, profile="delevel"):
+    return mt.forecast_metrics(walk_forward_predictions(spark, sf, models, profile),
+                               keys=["series_id", "target_kind", "model"], which="B")
+
+
+def auto_selection(spark, sf):
+    """Block backtest metrics and predictions of all candidates on the nation
+    panel, shared like ``walk_forward_predictions``; then best and split
+    metrics as ``selection.auto_select`` gives them."""
+    parts = {}
+
+    def scores(k):
+        if not parts:
+            parts["metrics"], parts["predictions"] = sel.candidate_scores(
+                panels.rev_panel_dense(spark, sf), COVS, CANDIDATES, profile="level")
+        return parts[k]
+
+    metrics = stored(spark, sf, "candidate_metrics", lambda: scores("metrics"))
+    preds = stored(spark, sf, "candidate_predictions", lambda: scores("predictions"))
+    return metrics, *sel.choose(metrics, preds), preds
 
 
 @register("ml8_walk_forward")
 def ml8(spark, sf):
     """Ridge walk-forward, last 24 months, all three target kinds, levels
     reconstructed, metrics per (nation, kind)."""
-    return _wf_metrics(spark, sf, ["ridge"], 24)
+    return _wf_metrics(spark, sf, ["ridge"])
 
 
 _WF1_SQL = f"""
@@ -231,27 +257,47 @@ def ml8_supp(spark, sf):
 
 @register("ml3_forest")
 def ml3(spark, sf):
-    return _wf_metrics(spark, sf, ["forest"], 3, profile="delevel", **TREES)
+    """Pooled forest at the published settings, 24 fold dates, three kinds."""
+    return _wf_metrics(spark, sf, ["forest"])
 
 
 @register("ml4_boosting")
 def ml4(spark, sf):
-    return _wf_metrics(spark, sf, ["boosting"], 3, profile="delevel", **TREES)
+    """Pooled boosting at the published settings, 24 fold dates, three kinds."""
+    return _wf_metrics(spark, sf, ["boosting"])
 
 
 @register("ml5_boosting_colsample")
 def ml5(spark, sf):
-    return _wf_metrics(spark, sf, ["boosting_colsample"], 3, profile="level", **TREES)
+    """Pooled boosting with column sampling at the published settings, 24
+    fold dates, three kinds."""
+    return _wf_metrics(spark, sf, ["boosting_colsample"], "level")
 
 
 @register("ml10_grid")
 def ml10(spark, sf):
-    """Target kind x model grid with ranking (SO4) and thresholds (SC13)."""
-    m = _wf_metrics(spark, sf, ["ridge", "forest", "boosting"], 3, profile="delevel", **TREES)
+    """Target kind x model grid over 24 fold dates with ranking (SO4) and
+    thresholds (SC13); a failing combo keeps its ``error``."""
+    return _grid(spark, sf, ["ridge", "forest", "boosting"])
+
+
+def _grid(spark, sf, models):
+    m = _wf_metrics(spark, sf, models)
     m = m.withColumn("combo", F.concat_ws(" | ", "target_kind", "model"))
     return mt.threshold_check(mt.rank_combos(m, "MAPE_pct", "combo"))
 
 
+@register("ml10_grid_failing_model", with_views("""
+SELECT series_id, k.target_kind, m.model, CAST(CASE WHEN m.model = 'ridge' THEN least(24, count(*) - 13) ELSE 0 END AS BIGINT) AS n,
+       CASE WHEN m.model = 'ridge' THEN NULL ELSE 'unknown tree model nosuch' END AS error
+FROM targets CROSS JOIN (VALUES ('mom_logdiff'), ('yoy_logdiff'), ('trend_dev')) AS k(target_kind)
+CROSS JOIN (VALUES ('ridge'), ('nosuch')) AS m(model) GROUP BY 1, 2, 3""", "targets"))
+def ml10_failing(spark, sf):
+    """The grid with a model that does not exist: its combos stay, with their
+    error and nothing scored, behind those that ran."""
+    return _grid(spark, sf, ["ridge", "nosuch"]).select("series_id", "target_kind", "model", "n", "error")
+
+
 # ------------------------------------------------------------------ fold layouts
 def _indexed(spark, sf):
     return add_time_index(panels.rev_panel_dense(spark, sf)).select("series_id", "period", "t")
@@ -357,9 +403,10 @@ def ml7(spark, sf):
 
 @register("ml9_kfold_cv")
 def ml9(spark, sf):
-    """Ridge time-series 4-fold CV on level features: per-fold metrics
-    averaged (macro) next to pooled (micro)."""
+    """Ridge time-series 4-fold CV on level features of the training months:
+    per-fold metrics averaged (macro) next to pooled (micro)."""
     data, feats = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
+    data = data.filter(F.col("split") == "train")
     planned = lin.materialize(bt.with_plan(data, bt.plan_kfold, ["series_id"], n_splits=4), ["series_id"])
     scored = bt.ridge_backtest(planned, ["series_id"], p=len(feats))
     return mt.macro_micro_metrics(scored, "k", "y", "pred_target", ["series_id"])
@@ -433,16 +480,14 @@ def ml13(spark, sf):
     """Candidates (ridge per nation; pooled forest, boosting, and boosting
     with column sampling) scored by block backtest on the train part; best
     by RMSE; refit; train/hold-out metrics."""
-    _, best, split_metrics, _ = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
-                                                CANDIDATES, profile="level", **TREES)
+    _, best, split_metrics, _ = auto_selection(spark, sf)
     return split_metrics
 
 
 @register("ml19_summary")
 def ml19(spark, sf):
     """Hold-out metrics of every candidate (rounded), one row per (nation, model)."""
-    _, _, _, preds = sel.auto_select(panels.rev_panel_dense(spark, sf), COVS,
-                                     CANDIDATES, profile="level", **TREES)
+    _, _, _, preds = auto_selection(spark, sf)
     m = mt.forecast_metrics(preds.filter(F.col("split") == "test"), "y", "prediction",
                             ["series_id", "model"], "A")
     return m.select("series_id", "model", *[F.round(c, 4).alias(c) for c in mt.METRIC_NAMES_A])
@@ -450,10 +495,12 @@ def ml19(spark, sf):
 
 @register("ml16_feature_effects")
 def ml16(spark, sf):
+    """Effects of each nation's chosen model (ML13): its own ridge
+    coefficients, or the importances of the pooled tree model."""
+    _, best, _, _ = auto_selection(spark, sf)
     data, feats = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
-    ridge = sel.feature_effects(data, feats, "ridge")
-    forest = sel.feature_effects(data, feats, "forest", profile="level", **TREES).withColumn("series_id", F.lit(None).cast("string"))
-    return ridge.unionByName(forest)
+    data = lin.materialize(data.filter(F.col("split") != "error"), ["series_id"])
+    return sel.chosen_effects(data, feats, best, CANDIDATES, profile="level")
 
 
 @register("so6_rank_features_two", with_views(f"""

@@ -101,8 +101,8 @@ def jn1(spark, sf):
     one row per calendar month (bounded by the calendar, not the data), so it
     is broadcast."""
     base = panels.rev_panel(spark, sf).select("series_id", "period", "target")
-    j = rs.join_covariates(base, _order_covs(spark, sf), ["period"], broadcast_rows=12 * 200)
-    j = rs.join_covariates(j, _ship_covs(spark, sf), ["period"], ["n_shipped"], broadcast_rows=12 * 200)
+    j = rs.join_covariates(base, _order_covs(spark, sf), ["period"])
+    j = rs.join_covariates(j, _ship_covs(spark, sf), ["period"], ["n_shipped"])
     return j.select("series_id", "period", "target", r("avg_order_price", 4), "n_all_orders", "n_shipped")
 
 

@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mensura.session import scratch_dir
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of one application start from (fitted
+    models' predictions): written to the shared folder when first asked for
+    and read from there afterwards."""
+    key = (spark.conf.get("spark.app.id"), sf_dir, name)
+    if key not in _STORED:
+        path = f"{scratch_dir(spark, 'stored')}/{name}"
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
 
 def r(col: str, digits: int, name: str | None = None) -> Column:
     """Round a double for cross-engine comparison (float sums differ in the

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,18 +25,26 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app: str = "mensura") -> SparkSession:
     """Build (or reuse) a session with UTC time, AQE and Arrow enabled.
 
-    On a cluster the master and the shuffle partition count come from the
-    submit configuration; locally they default to ``local[*]`` and 8.
+    A submitted job (``spark-submit``, or ``--conf`` in
+    ``PYSPARK_SUBMIT_ARGS``) keeps its master, shuffle partitions and driver
+    memory; arguments given here win. A plain local run defaults to
+    ``local[*]``, 8 shuffle partitions and an 8 GB driver.
     """
+    args = os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
     b = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
+    if master or not (submitted or "--master" in args or "spark.master" in args or os.environ.get("SPARK_MASTER")):
         b = b.master(master or "local[*]")
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-    b = b.config("spark.driver.memory", os.environ.get("MENSURA_DRIVER_MEMORY", "8g"))
+    if not submitted and "driver-memory" not in args and "spark.driver.memory" not in args:
+        b = b.config("spark.driver.memory", os.environ.get("MENSURA_DRIVER_MEMORY", "8g"))
     spark = b.getOrCreate()
     sc = _context(spark)
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    elif sc is not None and _local(sc.master) and not sc.getConf().contains("spark.sql.shuffle.partitions"):
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
     if sc is not None:
         sc.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -63,9 +72,10 @@ def _context(spark: SparkSession):
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    The cluster's ``spark.checkpoint.dir`` wins; only when it is unset (local
-    runs and tests) a fresh folder is created and registered. Under Spark
-    Connect the setting is read and written as a session conf only.
+    The cluster's ``spark.checkpoint.dir`` wins; only a local run without it
+    gets a fresh folder of this machine. On a cluster an unset folder is an
+    error: executors do not share local disks. Under Spark Connect the
+    setting is read as a session conf only.
     """
     sc = _context(spark)
     current = sc.getCheckpointDir() if sc is not None else None
@@ -73,6 +83,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc is None or not _local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="mensura-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc is None:
@@ -81,11 +93,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Cores available to the job (shuffle partitions under Spark Connect)."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sc = _context(spark)
-    return min(shuffle, sc.defaultParallelism) if sc is not None else shuffle
+def _local(master: str) -> bool:
+    """Whether driver and executors are one process (``local-cluster`` is not)."""
+    return re.match(r"local(\[|$)", master) is not None
 
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,22 +85,15 @@ def write_text_with_header(lines: DataFrame, path: str, header_lines: Sequence[s
     """Write a one-column ``value`` frame as text files, each file starting
     with ``header_lines`` (preamble and/or header row).
 
-    Runs per partition (``mapInPandas`` keeps partition order), so the
-    header is repeated in every part file and nothing funnels through one
-    task.
+    The header goes before the first row of every partition, so it is
+    repeated in every part file and nothing funnels through one task.
     """
-    head = list(header_lines)
-
-    def add_head(it):
-        first = True
-        for pdf in it:
-            if first:
-                yield pd.DataFrame({"value": head})
-                first = False
-            yield pdf[["value"]]
-
-    out = lines.select(F.col("value").cast("string").alias("value"))
-    out.mapInPandas(add_head, "value string").write.mode("overwrite").text(path)
+    head = [F.lit(x) for x in header_lines]
+    value = F.col("value").cast("string")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # the place in the partition
+    out = lines.select(value.alias("value"), first.alias("_first")).select(
+        F.explode(F.when(F.col("_first"), F.array(*head, F.col("value"))).otherwise(F.array("value"))).alias("value"))
+    out.write.mode("overwrite").text(path)
     return path
 
 

@@ -105,7 +105,7 @@ def test_ridge_walk_forward_matches_published(spark, region):
     assert tables, "no published result tables found"
     hit = False
     for path, tcol in _inputs(spec):
-        ds = delevel_dataset(_panel(spark, path, spec, tcol), spec[2])
+        ds = delevel_dataset(_panel(spark, path, spec, tcol), spec[2], trend="full")
         m = forecast_metrics(walk_forward(ds, spec[2], ["ridge"], n_test=24),
                              keys=["series_id", "target_kind", "model"], which="B").collect()
         assert all(r.n == 24 for r in m)
@@ -128,7 +128,7 @@ def test_hac_month_effects_match_published(spark, region):
     feats = covs + [f"{c}_chg1" for c in covs] + [f"m_{k}" for k in range(2, 13)]
     hit = False
     for path, tcol in _inputs(spec):
-        ds = delevel_dataset(_panel(spark, path, spec, tcol), covs)
+        ds = delevel_dataset(_panel(spark, path, spec, tcol), covs, trend="full")
         res = {r.feature: (r.coef, r.p_value, r.pct_effect) for r in hac_ols(ds, "trend_dev", feats).collect()}
         if any(_matches_effects(res, t) for t in tables):
             hit = True

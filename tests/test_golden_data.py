@@ -223,8 +223,8 @@ def test_covariate_merge(spark):
         base = _read(spark, b).withColumn("date", parse_date("date", ["M/d/yy"]))
         for o in osm:
             for s_ in sent:
-                j = join_covariates(base, _read(spark, o).withColumn("date", F.to_date("date")), ["date"], broadcast_rows=1000)
-                j = join_covariates(j, _read(spark, s_).withColumn("date", F.to_date("date")), ["date"], broadcast_rows=1000)
+                j = join_covariates(base, _read(spark, o).withColumn("date", F.to_date("date")), ["date"])
+                j = join_covariates(j, _read(spark, s_).withColumn("date", F.to_date("date")), ["date"])
                 j = j.withColumnRenamed("date", "date_dt").select(*merged[0][1][0])
                 ours = {r[0].isoformat(): [("" if v is None else str(v)) for v in r[1:]] for r in j.collect()}
                 want = {r[0]: r[1:] for r in merged[0][1][1:]}

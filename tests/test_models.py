@@ -194,7 +194,7 @@ def test_tree_refit_every_is_out_of_sample(spark):
     for yy in (y, y2):
         df = frame(spark, X, yy).withColumn("eligible", F.lit(True))
         planned = bt.with_plan(df, bt.plan_walk_forward, ["series_id"], n_test=6)
-        sc = bt.tree_backtest(planned, ["series_id"], "forest", refit_every=3, num_trees=5, max_depth=3)
+        sc = bt.tree_backtest(planned, ["series_id"], "forest", refit_every=3, order="t", num_trees=5, max_depth=3)
         preds.append({r.t: r.pred_target for r in sc.collect()})
     assert sorted(preds[0]) == list(range(34, 40))
     # folds 0-2 (t = 34..36) share a model trained on t < 34: unaffected
@@ -223,3 +223,67 @@ def test_tree_profiles_and_overrides(spark):
     assert g.getMaxIter() == 200 and g.getSubsamplingRate() == 0.8 and g.getStepSize() == 0.05
     c = bt.tree_model("boosting_colsample", profile="level")
     assert c.getFeatureSubsetStrategy() == "0.7" and c.getMaxDepth() == 2
+
+
+def _panel(spark, change_from=None, only=None):
+    """Two series that end in different months; ``change_from`` alters
+    targets and covariates of later months."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for name, n in (("a", 40), ("b", 46)):
+        for i in range(n):
+            m = dt.date(2015 + i // 12, i % 12 + 1, 1)
+            y, c = 100 + 10 * rng.random() + i, float(rng.integers(0, 9))
+            if change_from and m >= change_from and only in (None, name):
+                y, c = y * 3 + 7 * i, c + 100
+            rows.append((name, m, y, c))
+    return spark.createDataFrame(rows, "series_id string, period date, target double, c double")
+
+
+@pytest.mark.parametrize("model", ["forest", "boosting"])
+def test_trees_do_not_look_ahead(spark, model):
+    from mensura.plans.flows import delevel_dataset
+
+    def predictions(panel):
+        out = bt.walk_forward(delevel_dataset(panel, ["c"]), ["c"], [model], n_test=6, kinds=["mom_logdiff"],
+                              num_trees=3, max_depth=2)
+        return {(r.series_id, r.period): r.predicted for r in out.collect()}
+
+    before = predictions(_panel(spark))
+    # a's six last months lie before b's last six: b's later months must not reach a's models
+    later = predictions(_panel(spark, dt.date(2018, 5, 1), "b"))
+    assert {k: v for k, v in before.items() if k[0] == "a"} == {k: v for k, v in later.items() if k[0] == "a"}
+    # changed hold-out months leave the predictions of earlier months alone
+    cut = dt.date(2018, 3, 1)
+    held = predictions(_panel(spark, cut))
+    early = [k for k in before if k[1] < cut]
+    assert early and all(before[k] == held[k] for k in early)
+    assert any(before[k] != held[k] for k in before)
+
+
+def test_failing_model_keeps_its_rows(spark):
+    from mensura.operators.metrics import forecast_metrics, rank_combos
+    from mensura.plans.flows import delevel_dataset
+    preds = bt.walk_forward(delevel_dataset(_panel(spark), ["c"]), ["c"], ["ridge", "nosuch"], n_test=6)
+    m = forecast_metrics(preds, keys=["series_id", "target_kind", "model"], which="B")
+    ranked = rank_combos(m.withColumn("combo", F.concat_ws("|", "target_kind", "model"))).collect()
+    assert len(ranked) == 2 * 3 * 2
+    for r in ranked:
+        assert (r.error is None) == (r.model == "ridge") and (r["n"] == 0) == (r.model == "nosuch")
+        assert r.model == "ridge" or (r.R2 is None and r["rank"] > 3)
+
+
+def test_shared_selection_equals_auto_select(spark):
+    from mensura.operators import selection as sel
+    kw = dict(min_train=12, horizon=6, step=6)
+    metrics, allp = sel.candidate_scores(_panel(spark), ["c"], ["ridge"], 6, **kw)
+    best, by_split = sel.choose(metrics, allp)
+    want = sel.auto_select(_panel(spark), ["c"], ["ridge"], 6, **kw)
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want[1].collect()))
+    assert sorted(map(tuple, by_split.collect())) == sorted(map(tuple, want[2].collect()))
+    data, feats = sel.level_dataset(_panel(spark), ["c"], 6)
+    effects = sel.chosen_effects(data, feats, best, ["ridge", "forest"], num_trees=3).collect()
+    assert len(effects) == 2 * len(feats) and {r.model for r in effects} == {"ridge"}
+    forest = best.select("series_id", F.lit("forest").alias("best_model"))
+    effects = sel.chosen_effects(data, feats, forest, ["ridge", "forest"], num_trees=3).collect()
+    assert {(r.series_id, r.model) for r in effects} == {("a", "forest"), ("b", "forest")}

@@ -48,6 +48,6 @@ def test_join_covariates_left_and_pruned(spark):
     base = spark.createDataFrame([("a", dt.date(2020, 1, 1)), ("a", dt.date(2020, 2, 1))],
                                  "series_id string, period date")
     covs = spark.createDataFrame([(dt.date(2020, 1, 1), 1.0, 9.0)], "period date, c1 double, unused double")
-    out = rs.join_covariates(base, covs, ["period"], ["c1"], broadcast_rows=12)
+    out = rs.join_covariates(base, covs, ["period"], ["c1"])
     assert out.columns == ["period", "series_id", "c1"]
     assert sorted((r.period, r.c1) for r in out.collect()) == [(dt.date(2020, 1, 1), 1.0), (dt.date(2020, 2, 1), None)]
