@@ -44,11 +44,6 @@ def upper_outer(z: Column, q: int | None = None) -> Column:
                                                               lambda b: a * b)))
 
 
-def full_outer(a: Column, b: Column) -> Column:
-    """Flattened (row-major) a b'."""
-    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * y)))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -246,41 +241,46 @@ def fit_ridge_pooled(df: DataFrame, x: str = "x", y: str = "y", alpha: float = 5
 
 # ------------------------------------------------------------ OLS with HAC errors
 def _pinv_sym(G: np.ndarray, rcond: float = 1e-10) -> np.ndarray:
+    """Pseudo-inverses of a stack of symmetric matrices."""
     lam, V = np.linalg.eigh(G)
-    keep = lam > rcond * lam.max()
+    keep = lam > rcond * lam.max(axis=-1, keepdims=True)
     inv = np.where(keep, 1.0 / np.where(keep, lam, 1.0), 0.0)
-    return (V * inv) @ V.T
+    return (V * inv[..., None, :]) @ V.swapaxes(-1, -2)
+
+
+def _by_length(p_col: pd.Series):
+    """(p, positions) of the groups of a batch with p features."""
+    p = p_col.to_numpy().astype(int)
+    return [(int(k), np.flatnonzero(p == k)) for k in np.unique(p)]
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def ols_solve(gram_col: pd.Series, p_col: pd.Series) -> pd.Series:
     """Minimum-norm OLS slopes on standardised, centred features from the Gram
     of ``[1, z, y_c]`` (eigen-decomposition, eigenvalues below 1e-10 of the
-    largest dropped)."""
-    out = []
-    for flat, p in zip(gram_col, p_col):
-        p = int(p)
-        G = unpack_upper(np.asarray(flat, dtype=float)[None], p + 2)[0]
-        n = G[0, 0]
-        ZZ = G[1:p + 1, 1:p + 1] / n
-        Zy = G[1:p + 1, p + 1] / n
-        w = _pinv_sym(ZZ) @ Zy
-        out.append(w.tolist())
+    largest dropped), then the flattened inverse of ``Z'Z``; a whole batch at
+    once."""
+    out = [None] * len(gram_col)
+    for p, at in _by_length(p_col):
+        G = unpack_upper(_stack(gram_col.iloc[at]), p + 2)
+        n = G[:, 0, 0][:, None, None]
+        inv = _pinv_sym(G[:, 1:p + 1, 1:p + 1] / n)
+        w = (inv @ (G[:, 1:p + 1, p + 1:p + 2] / n))[..., 0]
+        for i, row in zip(at, np.concatenate([w, (inv / n).reshape(len(at), -1)], axis=1)):
+            out[i] = row.tolist()
     return pd.Series(out)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hac_cov(gram_col: pd.Series, meat_col: pd.Series, p_col: pd.Series) -> pd.Series:
-    """Sandwich ``B S B`` with ``B = pinv(Z'Z)``; returns the diagonal."""
-    out = []
-    for flat, meat, p in zip(gram_col, meat_col, p_col):
-        p = int(p)
-        G = unpack_upper(np.asarray(flat, dtype=float)[None], p + 2)[0]
-        n = G[0, 0]
-        B = _pinv_sym(G[1:p + 1, 1:p + 1] / n) / n
-        S = np.asarray(meat, dtype=float).reshape(p, p)
-        V = B @ S @ B
-        out.append(np.diagonal(V).tolist())
+def hac_cov(solved_col: pd.Series, meat_col: pd.Series, p_col: pd.Series) -> pd.Series:
+    """Sandwich ``B S B`` with ``B = pinv(Z'Z)`` from ``ols_solve`` and the
+    upper triangle of ``S``; returns the diagonal."""
+    out = [None] * len(solved_col)
+    for p, at in _by_length(p_col):
+        B = _stack(solved_col.iloc[at])[:, p:].reshape(-1, p, p)
+        V = B @ unpack_upper(_stack(meat_col.iloc[at]), p) @ B
+        for i, row in zip(at, np.diagonal(V, axis1=1, axis2=2)):
+            out[i] = row.tolist()
     return pd.Series(out)
 
 
@@ -310,7 +310,8 @@ def hac_ols(df: DataFrame, y: str, features: Sequence[str], keys: Sequence[str]
     # used by the Gram, the residual and the sigma branches: materialise once
     d = materialize(d, keys)
     g = gram(d, keys, "z", "yc", p=p)
-    sol = g.withColumn("p", F.lit(p)).withColumn("w", ols_solve("gram", "p"))
+    sol = g.withColumn("p", F.lit(p)).withColumn("solved", ols_solve("gram", "p")).withColumn(
+        "w", F.slice("solved", 1, p))
     r = d.join(sol.select(*keys, "w"), keys)
     r = r.withColumn("u", F.col("yc") - dot(F.col("z"), F.col("w")))
     r = r.withColumn("g", F.transform("z", lambda v: v * F.col("u")))
@@ -321,12 +322,13 @@ def hac_ols(df: DataFrame, y: str, features: Sequence[str], keys: Sequence[str]
         gl = F.coalesce(F.lag("g", lag).over(ws), F.array_repeat(F.lit(0.0), p))
         h = F.zip_with(h, gl, _weighted_add(wl))
     r = r.withColumn("h", h)
-    contrib = F.zip_with(F.zip_with(full_outer(F.col("g"), F.col("g")), full_outer(F.col("g"), F.col("h")),
-                                    lambda a, b: a + b),
-                         full_outer(F.col("h"), F.col("g")), lambda a, b: a + b)
+    # symmetric: the upper triangle of g g' + g h' + h g', spelled out for code generation
+    gc, hc = F.col("g"), F.col("h")
+    contrib = F.array(*[gc[int(i)] * gc[int(j)] + gc[int(i)] * hc[int(j)] + hc[int(i)] * gc[int(j)]
+                        for i, j in zip(*np.triu_indices(p))])
     meat = vec_sum(r, keys, contrib, "meat")
     sd = d.groupBy(*keys).agg(F.first("sd").alias("sd"))
-    res = sol.join(meat, keys).join(sd, keys).withColumn("vdiag", hac_cov("gram", "meat", "p"))
+    res = sol.join(meat, keys).join(sd, keys).withColumn("vdiag", hac_cov("solved", "meat", "p"))
     feats = F.array(*[F.lit(c) for c in features])
     rows = res.select(*keys, F.posexplode(feats).alias("i", "feature"), "w", "vdiag", "sd")
     sdi = F.col("sd")[F.col("i")]
