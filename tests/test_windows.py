@@ -125,12 +125,12 @@ def test_expanding_trend_labels_do_not_look_ahead(spark):
                                "series_id string, period date, target double")
     changed = df.withColumn("target", F.when(F.col("period") >= "2016-06-01", F.col("target") * 2)
                             .otherwise(F.col("target")))
-    a = {r.period: r.trend_dev for r in wn.build_targets(df, trend="expanding").collect()}
-    b = {r.period: r.trend_dev for r in wn.build_targets(changed, trend="expanding").collect()}
+    a = {r.period: r.trend_dev for r in wn.build_targets(df).collect()}
+    b = {r.period: r.trend_dev for r in wn.build_targets(changed).collect()}
     early = [p for p in a if p < dt.date(2016, 6, 1)]
     assert all(a[p] == b[p] for p in early)
-    full_a = {r.period: r.trend_dev for r in wn.build_targets(df).collect()}
-    full_b = {r.period: r.trend_dev for r in wn.build_targets(changed).collect()}
+    full_a = {r.period: r.trend_dev for r in wn.build_targets(df, trend="full").collect()}
+    full_b = {r.period: r.trend_dev for r in wn.build_targets(changed, trend="full").collect()}
     assert any(full_a[p] != full_b[p] for p in early)  # Q3: the full-sample label looks ahead
 
 
