@@ -25,11 +25,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared folder and read it back."""
+def stage_table(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+    """Write ``df`` under the shared folder and read it back. Most such
+    tables are hashes and counts, which do not compress; the codecs' buffers
+    outside the heap would pile up over many small files."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark, 'llm')}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

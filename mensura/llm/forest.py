@@ -32,22 +32,16 @@ WORDS = 3
 LEAST = 85           # per cent
 TREES = 16
 DEPTH = 10
+#: Trees whose neighbours are joined first, before all trees look across what that joined.
+FIRST_TREES = 4
 #: Prefix length from which neighbours are candidates: at similarity s a pair shares it in a tree with chance s^3.
 PREFIX = 3
-#: Regions up to this size give all pairs; larger ones go deeper.
-REGION = 40
+#: A region gives all its pairs of different parts if they are at most so many per label; others go deeper.
+REGION = 16
+#: Labels to either side that a label meets in any case.
+NEAR = 6
 #: A signature that agrees in so many standard deviations less than asked rules a pair out.
 DEVIATIONS = 6.0
-_KNOWN: dict[bytes, int] = {}
-_KEEP = 500_000
-
-
-def _word_hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    if len(_KNOWN) >= _KEEP:
-        _KNOWN.clear()
-    _KNOWN[word] = h
-    return h
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,8 +59,7 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.empty(0, dtype=np.uint64)
-    get = _KNOWN.get
-    h = np.array([get(x) or _word_hash(x) for x in w], dtype=np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), dtype=np.uint64, count=len(w))
     n = min(words, len(h))
     out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for k in range(n):
@@ -97,22 +90,24 @@ def signatures(sets: list[np.ndarray], values: int, chunk: int = 1 << 15) -> np.
     return out
 
 
-def neighbours(regions: np.ndarray, labels: np.ndarray, prefix: int = PREFIX, region: int = REGION
-               ) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of positions in sorted labels (rows of values).
+def neighbours(zones: np.ndarray, labels: np.ndarray, parts: np.ndarray, prefix: int = PREFIX, region: int = REGION,
+               near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of positions in sorted labels (rows of values), of
+    different ``parts`` each.
 
-    ``regions`` tells apart what must not meet (trees). Two neighbours that
-    share ``prefix`` values are always a pair. A run of labels with a common
-    prefix gives all its pairs if it has at most ``region`` labels; otherwise
-    it is split by the next value. Runs of wholly equal labels that are still
-    larger give each label the next two.
+    ``zones`` tells apart what must not meet (trees). Two neighbours that
+    share ``prefix`` values are always a pair; with ``region`` 0 that is all.
+    Otherwise each label also meets the next ``near`` that share the prefix,
+    and a run of labels with a common prefix gives all its pairs of different
+    parts if they are at most ``region`` per label, or is split by the next
+    value. So the pairs are in proportion to the labels.
     """
     n, depth = labels.shape
     if n < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     differ = labels[1:] != labels[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
-    common[regions[1:] != regions[:-1]] = -1
+    common[zones[1:] != zones[:-1]] = -1
     left, right = [], []
 
     def runs(lo: int, hi: int, at: int):
@@ -122,24 +117,31 @@ def neighbours(regions: np.ndarray, labels: np.ndarray, prefix: int = PREFIX, re
             if b - a > 1:
                 yield int(a), int(b)
 
-    todo = [(a, b, prefix) for a, b in runs(0, n, prefix)]
+    left.append(np.flatnonzero(common >= prefix))
+    right.append(left[0] + 1)
+    todo = [(a, b, prefix) for a, b in runs(0, n, prefix)] if region else []
     while todo:
         a, b, at = todo.pop()
-        if b - a <= region:
-            i, j = np.triu_indices(b - a, 1)
-            left.append(i + a)
-            right.append(j + a)
-            continue
-        left.append(np.arange(a, b - 1))
-        right.append(np.arange(a + 1, b))
-        if at < depth:
+        m = b - a
+        _, inverse, sizes = np.unique(parts[a:b], return_inverse=True, return_counts=True)
+        pairs = (m * m - int((sizes.astype(np.int64) ** 2).sum())) // 2
+        if pairs <= region * m:
+            # the largest part's labels meet all others; the others meet among themselves
+            big = inverse == np.argmax(sizes)
+            x, y = np.flatnonzero(big) + a, np.flatnonzero(~big) + a
+            i, j = np.triu_indices(len(y), 1)
+            left += [np.repeat(x, len(y)), y[i]]
+            right += [np.tile(y, len(x)), y[j]]
+        elif at < depth:
             todo += [(x, y, at + 1) for x, y in runs(a, b, at + 1)]
-        else:
-            left.append(np.arange(a, b - 2))
-            right.append(np.arange(a + 2, b))
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+    shared = common
+    for step in range(2, near + 1 if region else 0):
+        shared = np.minimum(shared[:-1], common[step - 1:])
+        left.append(np.flatnonzero(shared >= prefix))
+        right.append(left[-1] + step)
+    i, j = np.concatenate(left), np.concatenate(right)
+    fit = parts[i] != parts[j]
+    return i[fit], j[fit]
 
 
 def _sets(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
@@ -168,11 +170,14 @@ def _sets(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
 
 
 def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends: bool) -> DataFrame:
-    """Pairs ``a``, ``b`` of sorted ``rows`` (``zone``, ``label``, ``id``,
-    ``n``). With ``ends``, also the labels (kind 1) of the runs at both ends
+    """Pairs ``a`` < ``b`` of sorted ``rows`` (``zone``, ``label``, ``id``,
+    ``n``, ``part``) of different parts ``pa`` and ``pb``. With ``ends``, also the labels (kind 1) of the runs at both ends
     of the partition, under the number of the end they stand at."""
+    columns = ["kind", "a", "b", "pa", "pb", "label", "n"]
+    keep = max(2 * region, 2)
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
+        number = TaskContext.get().partitionId()
         kept: pd.DataFrame | None = None
         first, last = True, None
 
@@ -185,16 +190,21 @@ def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends:
 
         def made(frame: pd.DataFrame) -> pd.DataFrame:
             labels = np.array([np.frombuffer(x, dtype=">u2") for x in frame["label"]])
-            i, j = neighbours(frame["zone"].to_numpy(), labels, prefix, region)
-            ids, n = frame["id"].to_numpy(), frame["n"].to_numpy()
-            a, b = ids[i], ids[j]
-            fit = (100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])) & (a != b)
-            return pd.DataFrame({"kind": 0, "a": np.minimum(a, b)[fit], "b": np.maximum(a, b)[fit],
-                                 "zone": None, "label": None, "n": None}).astype({"kind": "int32"})
+            ids, n, part = (frame[c].to_numpy() for c in ("id", "n", "part"))
+            i, j = neighbours(frame["zone"].to_numpy(), labels, part, prefix, region)
+            fit = 100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])
+            if region:  # beyond neighbours, a tree proposes pairs that agree in its own values as asked
+                i, j = i[fit], j[fit]
+                fit = ((np.abs(i - j) == 1)
+                       | (100 * (labels[i] == labels[j]).sum(axis=1) >= least * labels.shape[1]))
+            i, j = i[fit], j[fit]
+            i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+            out = pd.DataFrame({"a": ids[i], "b": ids[j], "pa": part[i], "pb": part[j]}).drop_duplicates()
+            return out.assign(kind=0, label=None, n=None)[columns].astype({"kind": "int32"})
 
         def end_rows(frame: pd.DataFrame, at: int) -> pd.DataFrame:
-            return pd.DataFrame({"kind": 1, "a": frame["id"], "b": at * 256 + frame["zone"], "zone": frame["zone"],
-                                 "label": frame["label"], "n": frame["n"]}).astype({"kind": "int32"})
+            return pd.DataFrame({"kind": 1, "a": frame["id"], "b": at * 256 + frame["zone"], "pa": frame["part"],
+                                 "pb": 0, "label": frame["label"], "n": frame["n"]}).astype({"kind": "int32"})
 
         for frame in batches:
             if not len(frame):
@@ -203,45 +213,47 @@ def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends:
                 frame = pd.concat([kept, frame], ignore_index=True)
             # a run that may go on in the next batch waits for it; a long one hands on its last labels only
             cut = tail(frame)
-            if ends and first and (cut or len(frame) > 4 * region):
+            if ends and first and (cut or len(frame) > 4 * keep):
                 same = ((frame["zone"] == frame["zone"].iloc[0])
                         & (frame["label"].str[:2 * prefix] == frame["label"].iloc[0][:2 * prefix]))
-                yield end_rows(frame[same][:region], part - 1)
+                yield end_rows(frame[same][:keep], number - 1)
                 first = False
             if len(frame) - cut > 4096:
                 yield made(frame)
-                kept = frame.iloc[len(frame) - region:]
+                kept = frame.iloc[len(frame) - keep:]
             else:
                 if cut:
                     yield made(frame.iloc[:cut])
                 kept = frame.iloc[cut:]
-            last = frame.iloc[max(cut, len(frame) - region):]
+            last = frame.iloc[max(cut, len(frame) - keep):]
         if kept is not None and len(kept):
             yield made(kept)
             if ends:
                 if first:
-                    yield end_rows(kept[:region], part - 1)
-                yield end_rows(last, part)
+                    yield end_rows(kept[:keep], number - 1)
+                yield end_rows(last, number)
 
-    return rows.mapInPandas(scan, "kind int, a bigint, b bigint, zone bigint, label binary, n bigint")
+    return rows.mapInPandas(scan, "kind int, a bigint, b bigint, pa bigint, pb bigint, label binary, n bigint")
 
 
 def candidates(sets: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, prefix: int = PREFIX,
                region: int = REGION) -> DataFrame:
     """Distinct candidate pairs ``a`` < ``b`` of ``sets`` (``id``, ``n``,
-    ``labels``)."""
+    ``labels``, ``part``) of different parts ``pa`` and ``pb``."""
     width = 2 * depth
-    rows = sets.select("id", "n", F.posexplode(F.transform(
+    rows = sets.select("id", "n", "part", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: F.substring("labels", t * width + 1, F.lit(width)))).alias("zone", "label"))
-    rows = rows.select(F.col("zone").cast("long").alias("zone"), "label", "id", "n")
+    rows = rows.select(F.col("zone").cast("long").alias("zone"), "label", "id", "n", "part")
     order = ["zone", "label", "id"]
     found = stage_table(_pairs_in_order(
         rows.repartitionByRange(*order).sortWithinPartitions(*order), least, prefix, region, True), "found")
     # what meets at the end of a partition: at most two short runs per end
-    ends = found.filter("kind = 1").select(F.col("b").alias("zone"), "label", F.col("a").alias("id"), "n")
+    ends = found.filter("kind = 1").select(F.col("b").alias("zone"), "label", F.col("a").alias("id"), "n",
+                                           F.col("pa").alias("part"))
     across = _pairs_in_order(ends.repartition("zone").sortWithinPartitions(*order), least, prefix, region, False)
-    return found.filter("kind = 0").select("a", "b").unionByName(across.select("a", "b")).distinct()
+    pair = ["a", "b", "pa", "pb"]
+    return found.filter("kind = 0").select(*pair).unionByName(across.select(*pair)).distinct()
 
 
 def _agree(least: float):
@@ -252,45 +264,37 @@ def _agree(least: float):
     return agree
 
 
-def _linked(least: int):
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * both >= least * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
-    return linked
-
-
-def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES,
-          depth: int = DEPTH, prefix: int = PREFIX, region: int = REGION) -> DataFrame:
-    """Pairs of distinct sets at or above the similarity, confirmed on the
-    full sets of the whole texts in ``docs``."""
-    pairs = candidates(sets, trees, depth, least, prefix, region)
-    agree = least / 100 - DEVIATIONS * (least / 100 * (1 - least / 100) / (trees * depth)) ** 0.5
+def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int = WORDS, least: int = LEAST,
+              values: int = TREES * DEPTH) -> DataFrame:
+    """The ``pairs`` (ids ``a`` and ``b`` of ``sets``) that are at or above
+    the similarity: first by their signatures, with room for chance, then on
+    the full sets of the whole texts in ``docs``."""
+    agree = least / 100 - DEVIATIONS * (least / 100 * (1 - least / 100) / values) ** 0.5
     signed = sets.select("id", "labels")
-    pairs = (pairs.join(signed.select(F.col("id").alias("a"), F.col("labels").alias("_x")), "a")
-             .join(signed.select(F.col("id").alias("b"), F.col("labels").alias("_y")), "b")
-             .filter(_agree(agree)("_x", "_y")).select("a", "b"))
-    pairs = stage_table(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = stage_table(needed, "needed")
+    pairs = stage_table(
+        pairs.join(signed.select(F.col("id").alias("a"), F.col("labels").alias("_x")), "a")
+        .join(signed.select(F.col("id").alias("b"), F.col("labels").alias("_y")), "b")
+        .filter(_agree(agree)("_x", "_y")).drop("_x", "_y"), "pairs")
+    needed = stage_table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+                         .distinct(), "needed")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 batch = big.slice(at, 512)
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "shingles": pa.array(
-                    [shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()], pa.binary())})
+                some = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+                ends = np.cumsum([0] + [len(s) for s in some])
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "shingles": pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(np.concatenate(some).view(np.int64)))})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(needed, "id", "left_semi")
-    shingles = stage_table(texts.mapInArrow(full, "id bigint, shingles binary"), "shingles")
+    shingles = stage_table(texts.mapInArrow(full, "id bigint, shingles array<bigint>"), "shingles")
+    # in the JVM, row by row: Arrow batches of two whole sets a row could be large
+    both = F.size(F.array_intersect("_x", "_y"))
     return (pairs.join(shingles.select(F.col("id").alias("a"), F.col("shingles").alias("_x")), "a")
             .join(shingles.select(F.col("id").alias("b"), F.col("shingles").alias("_y")), "b")
-            .filter(_linked(least)("_x", "_y")).select("a", "b"))
+            .filter(100 * both >= least * (F.size("_x") + F.size("_y") - both)).drop("_x", "_y"))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES, depth: int = DEPTH,
@@ -302,17 +306,31 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees:
     links of at least ``least`` per cent, itself included) and ``kept``
     (doc_id = component_id). Texts without words, and null ones, are linked
     with nothing. Rows without doc_id name no component: they get a null one
-    and are kept. Rows of one doc_id are one document. An empty table gives
-    an empty result; other columns are ignored.
+    and are kept. A doc_id should name one text; rows of one doc_id with
+    several go by their own text each, and sets named by the same doc_id are
+    one group. An empty table gives an empty result; other columns are
+    ignored.
+
+    Neighbours in the first sorted orders are confirmed first. All orders and
+    their regions then give pairs between different components only, so a
+    large group of near copies is joined by its neighbours and costs no pairs
+    within it.
     """
     rows = stage_table(_sets(docs, words, trees, depth), "sets")
     # equal sets are one; their smallest doc_id stands for them
     sets = stage_table(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(
         F.min("doc_id").alias("id"), F.first("labels").alias("labels")), "classes")
-    found = components(links(docs, sets, words, least, trees, depth, prefix, region))
-    classes = sets.select(F.col("n").alias("_n"), F.col("name").alias("_name"), "id")
-    classes = stage_table(classes.join(found, classes["id"] == found["node"], "left").select(
-        "_n", "_name", F.coalesce("label", "id").alias("_component")), "labelled")
+    first = candidates(sets.withColumn("part", F.col("id")), min(FIRST_TREES, trees), depth, least, prefix, 0)
+    tried = stage_table(first, "tried")
+    near = components(confirmed(docs, sets, tried.select("a", "b"), words, least, trees * depth))
+    parts = stage_table(sets.join(near, sets["id"] == near["node"], "left").select(
+        "n", "name", "id", "labels", F.coalesce("label", "id").alias("part")), "parts")
+    rest = candidates(parts, trees, depth, least, prefix, region).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = confirmed(docs, parts, rest, words, least, trees * depth)
+    joined = components(more.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    classes = stage_table(parts.join(joined, parts["part"] == joined["node"], "left").select(
+        F.col("n").alias("_n"), F.col("name").alias("_name"), F.coalesce("label", "part").alias("_component")),
+        "labelled")
     on = (rows["n"] == classes["_n"]) & (rows["name"] == classes["_name"]) & rows["doc_id"].isNotNull()
     component = F.coalesce("_component", "doc_id")
     return rows.drop("labels").join(classes, on, "left").select(
