@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import WORD, stage_table, text_or_empty
+from mensura.llm.common import SPACES, stage_table, text_or_empty
 
 #: Bound of the labelled rows that a fit uses.
 MAX_LABELS = 20_000
@@ -43,16 +43,20 @@ def statistics(text: Column) -> dict[str, Column]:
     def among(characters: str) -> Column:
         return share(chars - F.char_length(F.translate(text, characters, "")), chars)
 
+    def matching(runs: str) -> Column:
+        """Share of the characters in such runs; cheaper than counting matches."""
+        return share(chars - F.char_length(F.regexp_replace(text, F.lit(runs), F.lit(""))), chars)
+
     n_words = F.size(words)
     return {
         "log_words": F.log1p(n_words.cast("double")),
-        "word_length": share(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]")), n_words),
-        "distinct_words": share(F.size(F.array_distinct(words)), n_words),
-        "variety": F.when(n_words > 1, F.log(F.size(F.array_distinct(words)).cast("double"))
+        "word_length": share(F.char_length(F.translate(text, SPACES, "")), n_words),
+        "distinct_words": share(F.col("_distinct"), n_words),
+        "variety": F.when(n_words > 1, F.log(F.col("_distinct").cast("double"))
                           / F.log(n_words.cast("double"))).otherwise(F.lit(0.0)),
         "distinct_lines": share(F.size(F.array_distinct(F.split(text, "\n"))), F.size(F.split(text, "\n"))),
-        "upper": share(F.regexp_count(text, F.lit(r"\p{Lu}")), chars),
-        "letters": share(F.regexp_count(text, F.lit(r"\p{L}")), chars),
+        "upper": matching(r"\p{Lu}+"),
+        "letters": matching(r"\p{L}+"),
         "digits": among("0123456789"),
         "marks": among("#*$%&@^~=+_<>\\"),
         "bars": among("|"),
@@ -67,11 +71,17 @@ NAMES = ["log_words", "word_length", "distinct_words", "variety", "distinct_line
 
 
 def with_statistics(docs: DataFrame, prefix: str = "_s_") -> DataFrame:
-    """Add the statistics of ``text`` (null: empty) to every row."""
-    d = docs.withColumn("_text", text_or_empty()).withColumn(
-        "_words", F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))
+    """Add the statistics of ``text`` (null: empty) to every row.
+
+    They come out of a generator of one row, so that a filter on a score is
+    never pushed below them, where each rule would compute its statistics
+    from the text again."""
+    spaced = F.trim(F.translate(F.lower("_text"), SPACES, " " * len(SPACES)))
+    d = docs.withColumn("_text", text_or_empty()).withColumn("_words", F.array_remove(F.split(spaced, " "), ""))
+    d = d.withColumn("_distinct", F.size(F.array_distinct("_words")))
     stats = statistics(F.col("_text"))
-    return d.withColumns({prefix + n: stats[n] for n in NAMES}).drop("_text", "_words")
+    row = F.struct(*[stats[n].cast("double").alias(prefix + n) for n in NAMES])
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(row)))
 
 
 def held_out(doc_id: Column) -> Column:
