@@ -149,7 +149,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``, ties to
     the smaller vec_id. Repeated rows are rows of their own: only the query's
     own row is left out. Vectors of another length are not compared. Fewer
-    candidates give fewer rows; an empty table gives none.
+    candidates give fewer rows; an empty table gives none. Scores must fit
+    in 64 bits.
 
     Every query meets every shard, in blocks, because the answer is exact;
     what moves is blocks of queries and whole trees, never pairs.
