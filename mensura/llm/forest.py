@@ -4,7 +4,8 @@ Every distinct shingle set gets one label per tree: a sequence of MinHash
 values. Sorting a tree's labels puts sets with long common prefixes side by
 side; a region is a run of labels with a common prefix. A small region gives
 all its pairs; a larger one gives its neighbours and is then looked at one
-value deeper, until its parts are small or the labels end. Pairs whose sizes
+value deeper, until its parts are small. The sets of those still large where
+the labels end meet in a join on their rarest shingles. Pairs whose sizes
 or signatures rule out the asked similarity go, the rest are compared on
 their full sets, and links are followed to connected components.
 
@@ -40,6 +41,8 @@ PREFIX = 3
 REGION = 16
 #: Labels to either side that a label meets in any case.
 NEAR = 6
+#: Counts of shingles, in so many slots, tell the rare ones.
+SLOTS = 1 << 20
 #: A signature that agrees in so many standard deviations less than asked rules a pair out.
 DEVIATIONS = 6.0
 
@@ -91,7 +94,7 @@ def signatures(sets: list[np.ndarray], values: int, chunk: int = 1 << 15) -> np.
 
 
 def neighbours(zones: np.ndarray, labels: np.ndarray, parts: np.ndarray, prefix: int = PREFIX, region: int = REGION,
-               near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+               near: int = NEAR, rest: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of positions in sorted labels (rows of values), of
     different ``parts`` each.
 
@@ -100,7 +103,8 @@ def neighbours(zones: np.ndarray, labels: np.ndarray, parts: np.ndarray, prefix:
     Otherwise each label also meets the next ``near`` that share the prefix,
     and a run of labels with a common prefix gives all its pairs of different
     parts if they are at most ``region`` per label, or is split by the next
-    value. So the pairs are in proportion to the labels.
+    value. So the pairs are in proportion to the labels. The positions of
+    regions that are still larger where the labels end are added to ``rest``.
     """
     n, depth = labels.shape
     if n < 2:
@@ -134,6 +138,8 @@ def neighbours(zones: np.ndarray, labels: np.ndarray, parts: np.ndarray, prefix:
             right += [np.tile(y, len(x)), y[j]]
         elif at < depth:
             todo += [(x, y, at + 1) for x, y in runs(a, b, at + 1)]
+        elif rest is not None:
+            rest.append(np.arange(a, b))
     shared = common
     for step in range(2, near + 1 if region else 0):
         shared = np.minimum(shared[:-1], common[step - 1:])
@@ -172,7 +178,8 @@ def _sets(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
 def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends: bool) -> DataFrame:
     """Pairs ``a`` < ``b`` of sorted ``rows`` (``zone``, ``label``, ``id``,
     ``n``, ``part``) of different parts ``pa`` and ``pb``. With ``ends``, also the labels (kind 1) of the runs at both ends
-    of the partition, under the number of the end they stand at."""
+    of the partition, under the number of the end they stand at. Sets in
+    regions too large for their labels come as kind 2, ``a`` and ``pa``."""
     columns = ["kind", "a", "b", "pa", "pb", "label", "n"]
     keep = max(2 * region, 2)
 
@@ -191,7 +198,8 @@ def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends:
         def made(frame: pd.DataFrame) -> pd.DataFrame:
             labels = np.array([np.frombuffer(x, dtype=">u2") for x in frame["label"]])
             ids, n, part = (frame[c].to_numpy() for c in ("id", "n", "part"))
-            i, j = neighbours(frame["zone"].to_numpy(), labels, part, prefix, region)
+            rest: list[np.ndarray] = []
+            i, j = neighbours(frame["zone"].to_numpy(), labels, part, prefix, region, rest=rest)
             fit = 100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])
             if region:  # beyond neighbours, a tree proposes pairs that agree in its own values as asked
                 i, j = i[fit], j[fit]
@@ -200,7 +208,12 @@ def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends:
             i, j = i[fit], j[fit]
             i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
             out = pd.DataFrame({"a": ids[i], "b": ids[j], "pa": part[i], "pb": part[j]}).drop_duplicates()
-            return out.assign(kind=0, label=None, n=None)[columns].astype({"kind": "int32"})
+            out = out.assign(kind=0, label=None, n=None)
+            if rest:
+                at = np.concatenate(rest)
+                out = pd.concat([out, pd.DataFrame({"kind": 2, "a": ids[at], "b": ids[at], "pa": part[at],
+                                                    "pb": part[at], "label": None, "n": None})], ignore_index=True)
+            return out[columns].astype({"kind": "int32"})
 
         def end_rows(frame: pd.DataFrame, at: int) -> pd.DataFrame:
             return pd.DataFrame({"kind": 1, "a": frame["id"], "b": at * 256 + frame["zone"], "pa": frame["part"],
@@ -237,9 +250,11 @@ def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends:
 
 
 def candidates(sets: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, prefix: int = PREFIX,
-               region: int = REGION) -> DataFrame:
+               region: int = REGION) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs ``a`` < ``b`` of ``sets`` (``id``, ``n``,
-    ``labels``, ``part``) of different parts ``pa`` and ``pb``."""
+    ``labels``, ``part``) of different parts ``pa`` and ``pb``; and the sets
+    (``id``, ``part``) that the labels do not tell apart, whose pairs are for
+    ``rarest_pairs``."""
     width = 2 * depth
     rows = sets.select("id", "n", "part", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
@@ -251,9 +266,84 @@ def candidates(sets: DataFrame, trees: int = TREES, depth: int = DEPTH, least: i
     # what meets at the end of a partition: at most two short runs per end
     ends = found.filter("kind = 1").select(F.col("b").alias("zone"), "label", F.col("a").alias("id"), "n",
                                            F.col("pa").alias("part"))
-    across = _pairs_in_order(ends.repartition("zone").sortWithinPartitions(*order), least, prefix, region, False)
-    pair = ["a", "b", "pa", "pb"]
-    return found.filter("kind = 0").select(*pair).unionByName(across.select(*pair)).distinct()
+    across = stage_table(_pairs_in_order(
+        ends.repartition("zone").sortWithinPartitions(*order), least, prefix, region, False), "across")
+    both = found.unionByName(across)
+    pairs = both.filter("kind = 0").select("a", "b", "pa", "pb").distinct()
+    return pairs, both.filter("kind = 2").select(F.col("a").alias("id"), F.col("pa").alias("part")).distinct()
+
+
+def _shingles(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """``id`` and ``shingles`` of the rows of ``docs`` named in ``needed`` (``id``)."""
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 512):
+                batch = big.slice(at, 512)
+                some = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+                ends = np.cumsum([0] + [len(s) for s in some])
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "shingles": pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(np.concatenate(some).view(np.int64)))})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return stage_table(texts.join(needed, "id", "left_semi").mapInArrow(full, "id bigint, shingles array<bigint>"),
+                       "shingles")
+
+
+def rarest_pairs(docs: DataFrame, left: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """All pairs of the sets in ``left`` (``id``, ``part``) of different
+    parts that can be at or above the similarity, without chance: ``a`` <
+    ``b``, ``pa`` and ``pb``.
+
+    Each set's shingles are put in one order for all, rare ones first. Sets
+    of x and y shingles with at least ``need`` = least (x + y) / (100 + least)
+    in common have their first common shingle within the first x - need + 1
+    and y - need + 1. The smaller set so needs few shingles; in a family of
+    pages with a common body those are its own. How rare a shingle is comes
+    from counts in a fixed number of slots: any common order is right, and
+    clashes only make it less sharp.
+    """
+    shingles = _shingles(docs, left, words)
+    slot = F.col("s").bitwiseAND(F.lit(SLOTS - 1))
+    seen = (shingles.select(F.explode("shingles").alias("s")).groupBy(slot.alias("slot"))
+            .agg(F.count(F.lit(1)).alias("n")).toPandas())
+    often = np.zeros(SLOTS, dtype=np.uint32)
+    often[seen["slot"].to_numpy(np.int64)] = np.minimum(seen["n"].to_numpy(np.int64), 2**32 - 1)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 512):
+                batch = big.slice(at, 512)
+                sets = [x.values.to_numpy() for x in batch.column("shingles")]
+                n = np.array([len(s) for s in sets], dtype=np.int64)
+                held = n - (least * n + 99) // 100 + 1
+                short = n - (2 * least * n + 99 + least) // (100 + least) + 1
+                first = [s[np.lexsort((s, often[s & (SLOTS - 1)]))[:k]] for s, k in zip(sets, held)]
+                place = np.concatenate([np.arange(k) for k in held])
+                each = pa.array(np.repeat(np.arange(len(sets)), held))
+                yield pa.RecordBatch.from_pydict({
+                    "token": pa.array(np.concatenate(first)), "at": pa.array(place),
+                    "id": batch.column("id").take(each), "part": batch.column("part").take(each),
+                    "n": pa.array(np.repeat(n, held)), "short": pa.array(place < np.repeat(short, held))})
+
+    rows = stage_table(shingles.join(left.dropDuplicates(["id"]), "id").mapInArrow(
+        rare, "token bigint, at bigint, id bigint, part bigint, n bigint, short boolean"), "rarest")
+    # a part's sets need not meet each other: of the part most frequent at a shingle only the others are met
+    most = (rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("_n"), F.max("short").alias("_short"))
+            .groupBy("token").agg(F.max_by("part", F.struct("_n", "part")).alias("most"),
+                                  F.count(F.lit(1)).alias("_parts"), F.max("_short").alias("_short"))
+            .filter("_parts > 1 AND _short").select("token", "most"))
+    rows = stage_table(rows.join(most, "token"), "meeting")
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        need = f"(({least} * (x.n + y.n) + {99 + least}) div {100 + least})"
+        return x.alias("x").join(y.alias("y"), F.expr(
+            f"x.token = y.token AND x.part <> y.part AND (x.n < y.n OR (x.n = y.n AND x.id < y.id)) "
+            f"AND 100 * x.n >= {least} * y.n AND x.at <= x.n - {need} AND y.at <= y.n - {need}")).selectExpr(
+            "least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b",
+            "IF(x.id < y.id, x.part, y.part) AS pa", "IF(x.id < y.id, y.part, x.part) AS pb")
+
+    return met(rows.filter("short AND part <> most"), rows).unionByName(
+        met(rows.filter("short AND part = most"), rows.filter("part <> most"))).distinct()
 
 
 def _agree(least: float):
@@ -278,18 +368,7 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int = W
     needed = stage_table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
                          .distinct(), "needed")
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
-                some = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-                ends = np.cumsum([0] + [len(s) for s in some])
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "shingles": pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.concatenate(some).view(np.int64)))})
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(needed, "id", "left_semi")
-    shingles = stage_table(texts.mapInArrow(full, "id bigint, shingles array<bigint>"), "shingles")
+    shingles = _shingles(docs, needed, words)
     # in the JVM, row by row: Arrow batches of two whole sets a row could be large
     both = F.size(F.array_intersect("_x", "_y"))
     return (pairs.join(shingles.select(F.col("id").alias("a"), F.col("shingles").alias("_x")), "a")
@@ -320,12 +399,16 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees:
     # equal sets are one; their smallest doc_id stands for them
     sets = stage_table(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(
         F.min("doc_id").alias("id"), F.first("labels").alias("labels")), "classes")
-    first = candidates(sets.withColumn("part", F.col("id")), min(FIRST_TREES, trees), depth, least, prefix, 0)
+    first, _ = candidates(sets.withColumn("part", F.col("id")), min(FIRST_TREES, trees), depth, least, prefix, 0)
     tried = stage_table(first, "tried")
     near = components(confirmed(docs, sets, tried.select("a", "b"), words, least, trees * depth))
     parts = stage_table(sets.join(near, sets["id"] == near["node"], "left").select(
         "n", "name", "id", "labels", F.coalesce("label", "id").alias("part")), "parts")
-    rest = candidates(parts, trees, depth, least, prefix, region).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    rest, left = candidates(parts, trees, depth, least, prefix, region)
+    left = stage_table(left, "left")
+    if not left.isEmpty():
+        rest = rest.unionByName(rarest_pairs(docs, left, words, least)).distinct()
+    rest = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = confirmed(docs, parts, rest, words, least, trees * depth)
     joined = components(more.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
     classes = stage_table(parts.join(joined, parts["part"] == joined["node"], "left").select(

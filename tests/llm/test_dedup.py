@@ -119,6 +119,31 @@ def test_one_large_group_and_small_regions(spark):
     assert {r.doc_id: r.component_id for r in out} == {i: 0 if i < 1000 else i for i, _ in rows}
 
 
+def family(pages, planted, body=122, own=18, less=10):
+    """Pages with a common body, at 0.77 to each other; the ``planted`` ones have less of their own and are at 0.857."""
+    base = " ".join(f"b{i}" for i in range(body))
+    return [(i, " ".join([base, *(f"u{i}x{k}" for k in range(less if i in planted else own))])) for i in range(pages)]
+
+
+def test_links_in_a_large_family_below_the_threshold(spark):
+    rows = family(2500, {600, 1900})
+    out = forest.near_groups(table(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: 600 if i == 1900 else i for i, _ in rows}
+
+
+@pytest.mark.parametrize("words,least", [(3, 85), (5, 80)])
+def test_rarest_pairs_leave_no_link_out(spark, words, least):
+    rows = corpus(words + 10, 240) + [(10_000 + i, t) for i, t in family(30, {3, 20})]
+    sets = {i: shingles(t, words) for i, t in rows}
+    part = {i: i % 50 for i in sets}
+    left = spark.createDataFrame([(i, part[i]) for i in sets if sets[i]], "id long, part long")
+    got = {(r.a, r.b): (r.pa, r.pb) for r in forest.rarest_pairs(table(spark, rows), left, words, least).collect()}
+    assert all(a < b and parts == (part[a], part[b]) and parts[0] != parts[1] for (a, b), parts in got.items())
+    links = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and part[a] != part[b]
+             and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+    assert links and links <= set(got)
+
+
 def test_near_groups_repeated_rows_and_no_rows(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (9, "A B C D"), (9, "x y z"), (11, "x y z")]
     docs = table(spark, rows)
