@@ -11,7 +11,8 @@ their full sets, and links are followed to connected components.
 
 Sets that are equal are one set from the start, so a group of copies, however
 large, takes part once. A sort has no groups: partitions end anywhere, and
-what a region loses at such an end is looked at in a second, small pass.
+the runs at such an end are put together in a second, small pass; runs too
+long for one task meet on their rarest shingles too.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ PREFIX = 3
 REGION = 16
 #: Labels to either side that a label meets in any case.
 NEAR = 6
+#: Labels of one run that a task looks at together; the sets of longer runs meet on their rarest shingles.
+HELD = 1 << 14
 #: Counts of shingles, in so many slots, tell the rare ones.
 SLOTS = 1 << 20
 #: A signature that agrees in so many standard deviations less than asked rules a pair out.
@@ -175,25 +178,27 @@ def _sets(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
         one, "doc_id bigint, row_key bigint, n bigint, name binary, labels binary")
 
 
-def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends: bool) -> DataFrame:
-    """Pairs ``a`` < ``b`` of sorted ``rows`` (``zone``, ``label``, ``id``,
-    ``n``, ``part``) of different parts ``pa`` and ``pb``. With ``ends``, also the labels (kind 1) of the runs at both ends
-    of the partition, under the number of the end they stand at. Sets in
-    regions too large for their labels come as kind 2, ``a`` and ``pa``."""
+def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends: bool, held: int = HELD) -> DataFrame:
+    """What sorted ``rows`` (``zone``, ``label``, ``id``, ``n``, ``part``) give, by ``kind``:
+
+    0: pairs ``a`` < ``b`` of different parts ``pa`` and ``pb``.
+    1: with ``ends``, labels that may go on in another partition: its first and
+       last run (``a`` id, ``b`` zone, ``pa`` part), or with ``region`` 0 its
+       first and last label, under the number of the end they stand at.
+    2: sets in regions too large for their labels (``a`` id, ``pa`` part).
+    3: labels, as in 1, of runs of more than ``held`` labels; none of their pairs are in 0.
+    """
     columns = ["kind", "a", "b", "pa", "pb", "label", "n"]
-    keep = max(2 * region, 2)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId()
-        kept: pd.DataFrame | None = None
-        first, last = True, None
 
-        def tail(frame: pd.DataFrame) -> int:
-            """Where the last run (same zone and prefix) of a frame starts."""
-            same = ((frame["zone"] == frame["zone"].iloc[-1])
-                    & (frame["label"].str[:2 * prefix] == frame["label"].iloc[-1][:2 * prefix])).to_numpy()
-            other = np.flatnonzero(~same)
-            return int(other[-1]) + 1 if len(other) else 0
+        def like(frame: pd.DataFrame, zone: int, start: bytes) -> np.ndarray:
+            """Labels of a frame that are of the run (zone and prefix)."""
+            return ((frame["zone"] == zone) & (frame["label"].str[:2 * prefix] == start)).to_numpy()
+
+        def run_of(frame: pd.DataFrame, at: int) -> tuple[int, bytes]:
+            return frame["zone"].iloc[at], frame["label"].iloc[at][:2 * prefix]
 
         def made(frame: pd.DataFrame) -> pd.DataFrame:
             labels = np.array([np.frombuffer(x, dtype=">u2") for x in frame["label"]])
@@ -215,46 +220,67 @@ def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends:
                                                     "pb": part[at], "label": None, "n": None})], ignore_index=True)
             return out[columns].astype({"kind": "int32"})
 
-        def end_rows(frame: pd.DataFrame, at: int) -> pd.DataFrame:
-            return pd.DataFrame({"kind": 1, "a": frame["id"], "b": at * 256 + frame["zone"], "pa": frame["part"],
+        def handed(frame: pd.DataFrame, kind: int, at: int = 0) -> pd.DataFrame:
+            return pd.DataFrame({"kind": kind, "a": frame["id"], "b": at * 256 + frame["zone"], "pa": frame["part"],
                                  "pb": 0, "label": frame["label"], "n": frame["n"]}).astype({"kind": "int32"})
 
-        for frame in batches:
-            if not len(frame):
-                continue
-            if kept is not None:
-                frame = pd.concat([kept, frame], ignore_index=True)
-            # a run that may go on in the next batch waits for it; a long one hands on its last labels only
-            cut = tail(frame)
-            if ends and first and (cut or len(frame) > 4 * keep):
-                same = ((frame["zone"] == frame["zone"].iloc[0])
-                        & (frame["label"].str[:2 * prefix] == frame["label"].iloc[0][:2 * prefix]))
-                yield end_rows(frame[same][:keep], number - 1)
-                first = False
-            if len(frame) - cut > 4096:
+        def adjacent() -> Iterator[pd.DataFrame]:
+            last: pd.DataFrame | None = None
+            for frame in batches:
+                if not len(frame):
+                    continue
+                if last is not None:
+                    frame = pd.concat([last, frame], ignore_index=True)
+                elif ends:
+                    yield handed(frame.iloc[:1], 1, number - 1)
                 yield made(frame)
-                kept = frame.iloc[len(frame) - keep:]
-            else:
+                last = frame.iloc[len(frame) - 1:]
+            if last is not None and ends:
+                yield handed(last, 1, number)
+
+        def regions() -> Iterator[pd.DataFrame]:
+            kept: pd.DataFrame | None = None         # the open run
+            long: tuple[int, bytes] | None = None    # or what it is, if it is too long to keep
+            first = ends
+            for frame in batches:
+                if long is not None and len(frame):
+                    more = int(like(frame, *long).sum())
+                    if more:
+                        yield handed(frame.iloc[:more], 3)
+                        frame = frame.iloc[more:]
+                    if len(frame):
+                        long, first = None, False
+                if not len(frame):
+                    continue
+                if kept is not None:
+                    frame = pd.concat([kept, frame], ignore_index=True)
+                cut = len(frame) - int(like(frame, *run_of(frame, -1)).sum())
                 if cut:
-                    yield made(frame.iloc[:cut])
+                    done = frame.iloc[:cut]
+                    if first:
+                        head = int(like(done, *run_of(done, 0)).sum())
+                        yield handed(done.iloc[:head], 1)
+                        done, first = done.iloc[head:], False
+                    if len(done):
+                        yield made(done)
                 kept = frame.iloc[cut:]
-            last = frame.iloc[max(cut, len(frame) - keep):]
-        if kept is not None and len(kept):
-            yield made(kept)
-            if ends:
-                if first:
-                    yield end_rows(kept[:keep], number - 1)
-                yield end_rows(last, number)
+                if len(kept) > held:
+                    yield handed(kept, 3)
+                    kept, long = None, run_of(kept, 0)
+            if kept is not None:
+                yield handed(kept, 1) if ends else made(kept)
+
+        yield from regions() if region else adjacent()
 
     return rows.mapInPandas(scan, "kind int, a bigint, b bigint, pa bigint, pb bigint, label binary, n bigint")
 
 
 def candidates(sets: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, prefix: int = PREFIX,
-               region: int = REGION) -> tuple[DataFrame, DataFrame]:
+               region: int = REGION, held: int = HELD) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs ``a`` < ``b`` of ``sets`` (``id``, ``n``,
     ``labels``, ``part``) of different parts ``pa`` and ``pb``; and the sets
-    (``id``, ``part``) that the labels do not tell apart, whose pairs are for
-    ``rarest_pairs``."""
+    (``id``, ``part``) that the labels do not tell apart, or that stand in
+    runs of more than ``held`` labels, whose pairs are for ``rarest_pairs``."""
     width = 2 * depth
     rows = sets.select("id", "n", "part", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
@@ -262,15 +288,29 @@ def candidates(sets: DataFrame, trees: int = TREES, depth: int = DEPTH, least: i
     rows = rows.select(F.col("zone").cast("long").alias("zone"), "label", "id", "n", "part")
     order = ["zone", "label", "id"]
     found = stage_table(_pairs_in_order(
-        rows.repartitionByRange(*order).sortWithinPartitions(*order), least, prefix, region, True), "found")
-    # what meets at the end of a partition: at most two short runs per end
-    ends = found.filter("kind = 1").select(F.col("b").alias("zone"), "label", F.col("a").alias("id"), "n",
-                                           F.col("pa").alias("part"))
-    across = stage_table(_pairs_in_order(
-        ends.repartition("zone").sortWithinPartitions(*order), least, prefix, region, False), "across")
+        rows.repartitionByRange(*order).sortWithinPartitions(*order), least, prefix, region, True, held), "found")
+
+    def handed(df: DataFrame, kind: int) -> DataFrame:
+        return df.filter(F.col("kind") == kind).select(
+            F.col("b").alias("zone"), "label", F.col("a").alias("id"), "n", F.col("pa").alias("part"),
+            F.substring("label", 1, 2 * prefix).alias("start"))
+
+    run = ["zone", "start"]
+    # what meets at the end of a partition; a run that is long in one partition is long
+    long = handed(found, 3).select(*run).distinct()
+    ends = handed(found, 1)
+    short = ends.join(long, run, "left_anti") if region else ends
+    keys = run if region else ["zone"]
+    across = stage_table(_pairs_in_order(short.repartition(*keys).sortWithinPartitions(*order).select(*order, "n", "part"),
+                                         least, prefix, region, False, held), "across")
     both = found.unionByName(across)
     pairs = both.filter("kind = 0").select("a", "b", "pa", "pb").distinct()
-    return pairs, both.filter("kind = 2").select(F.col("a").alias("id"), F.col("pa").alias("part")).distinct()
+    left = both.filter("kind = 2").select(F.col("a").alias("id"), F.col("pa").alias("part"))
+    # long runs of one part have nothing to meet
+    whole = handed(both, 3).unionByName(ends.join(long, run, "left_semi"))
+    mixed = whole.groupBy(*run).agg(F.min("part").alias("_x"), F.max("part").alias("_y")).filter("_x < _y").select(*run)
+    left = left.unionByName(whole.join(mixed, run, "left_semi").select("id", "part"))
+    return pairs, left.distinct()
 
 
 def _shingles(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
@@ -377,7 +417,7 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int = W
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES, depth: int = DEPTH,
-                prefix: int = PREFIX, region: int = REGION) -> DataFrame:
+                prefix: int = PREFIX, region: int = REGION, held: int = HELD) -> DataFrame:
     """Groups of near copies.
 
     Returns one row per row of ``docs``: ``doc_id``, ``row_key``,
@@ -404,7 +444,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees:
     near = components(confirmed(docs, sets, tried.select("a", "b"), words, least, trees * depth))
     parts = stage_table(sets.join(near, sets["id"] == near["node"], "left").select(
         "n", "name", "id", "labels", F.coalesce("label", "id").alias("part")), "parts")
-    rest, left = candidates(parts, trees, depth, least, prefix, region)
+    rest, left = candidates(parts, trees, depth, least, prefix, region, held)
     left = stage_table(left, "left")
     if not left.isEmpty():
         rest = rest.unionByName(rarest_pairs(docs, left, words, least)).distinct()

@@ -131,6 +131,28 @@ def test_links_in_a_large_family_below_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in out} == {i: 600 if i == 1900 else i for i, _ in rows}
 
 
+@pytest.mark.parametrize("held", [20, forest.HELD])
+def test_long_runs_across_batches_and_partitions(spark, held):
+    """Labels of one run, nearly all of one part: the others meet all of it, wherever batches and partitions end."""
+    start = np.array([1, 2, 3], dtype=">u2").tobytes()
+    rest = np.random.default_rng(0).integers(5, 9, (600, 1)).repeat(7, axis=1).astype(">u2")
+    rows = [(i, 100, bytearray(start + rest[i].tobytes()), 7 if i % 200 else 1000 + i) for i in range(600)]
+    sets = spark.createDataFrame(rows, "id long, n long, labels binary, part long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        pairs, left = forest.candidates(sets, trees=1, held=held)
+        pairs, left = {(r.a, r.b) for r in pairs.collect()}, {r.id for r in left.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {(min(a, b), max(a, b)) for a in (0, 200, 400) for b in range(600)
+            if a != b and (rest[a] == rest[b]).all()}
+    assert all((a, b) in pairs or {a, b} <= left for a, b in want)
+    assert bool(left) == (held == 20)
+
+
 @pytest.mark.parametrize("words,least", [(3, 85), (5, 80)])
 def test_rarest_pairs_leave_no_link_out(spark, words, least):
     rows = corpus(words + 10, 240) + [(10_000 + i, t) for i, t in family(30, {3, 20})]
