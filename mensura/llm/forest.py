@@ -206,10 +206,9 @@ def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends:
             rest: list[np.ndarray] = []
             i, j = neighbours(frame["zone"].to_numpy(), labels, part, prefix, region, rest=rest)
             fit = 100 * np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])
-            if region:  # beyond neighbours, a tree proposes pairs that agree in its own values as asked
+            if region:  # beyond neighbours, half of a tree's values agree: with the prefix given, nearly sure from 80 per cent
                 i, j = i[fit], j[fit]
-                fit = ((np.abs(i - j) == 1)
-                       | (100 * (labels[i] == labels[j]).sum(axis=1) >= least * labels.shape[1]))
+                fit = (np.abs(i - j) == 1) | (2 * (labels[i] == labels[j]).sum(axis=1) >= labels.shape[1])
             i, j = i[fit], j[fit]
             i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
             out = pd.DataFrame({"a": ids[i], "b": ids[j], "pa": part[i], "pb": part[j]}).drop_duplicates()

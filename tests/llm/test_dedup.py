@@ -131,6 +131,15 @@ def test_links_in_a_large_family_below_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in out} == {i: 600 if i == 1900 else i for i, _ in rows}
 
 
+def test_region_pairs_leave_room_for_chance(spark):
+    """Two labels of a region, far apart, that agree in seven of ten values are a pair."""
+    labels = [[1, 2, 3, 0, 0, 0, 9, 9, 9, 9], [1, 2, 3, 90, 90, 90, 9, 9, 9, 9]]
+    labels += [[1, 2, 3, k] + [100 + k] * 6 for k in range(1, 20)]
+    rows = [(i, 100, bytearray(np.array(x, dtype=">u2").tobytes()), i) for i, x in enumerate(labels)]
+    pairs, left = forest.candidates(spark.createDataFrame(rows, "id long, n long, labels binary, part long"), trees=1)
+    assert (0, 1) in {(r.a, r.b) for r in pairs.collect()} and left.isEmpty()
+
+
 @pytest.mark.parametrize("held", [20, forest.HELD])
 def test_long_runs_across_batches_and_partitions(spark, held):
     """Labels of one run, nearly all of one part: the others meet all of it, wherever batches and partitions end."""
