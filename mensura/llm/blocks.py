@@ -29,6 +29,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var br wbr img".split())
+PARAGRAPHS = frozenset("p pre blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold main text.
 ASIDE = frozenset(
@@ -55,6 +56,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 LONG, SHORT = 15, 10         # words
 STOPS_HIGH, STOPS_LOW = 0.2, 0.08
 LINKS_HIGH = 0.5
+#: In a region, stop words so many standard deviations fewer than those of text tell a block that is none.
+DEVIATIONS = 4.0
 
 
 @dataclass(slots=True)
@@ -64,6 +67,7 @@ class Block:
     aside: bool       # stands in a menu, form, notice, ...
     region: int       # number of the article or main element around it, 0 for none
     heading: bool
+    paragraph: bool   # marked up as running or preformatted text
 
 
 def _marked(attributes: str) -> bool:
@@ -90,7 +94,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(1.0, linked / len(text)), state[1], state[2], state[4]))
+            out.append(Block(text, min(1.0, linked / len(text)), state[1], state[2], state[4],
+                             next((s[0] for s in reversed(stack) if s[0] not in INLINE), "") in PARAGRAPHS))
         parts.clear()
         linked = 0
 
@@ -166,23 +171,36 @@ def blocks(page: str) -> list[Block]:
 
 def labels(found: list[Block]) -> list[bool]:
     """True for blocks of main text."""
-    def first(b: Block, told: bool) -> bool | None:
-        if b.aside or (told and not b.region):
-            return False
+    counted = []
+    for b in found:
         words = [w.lower() for w in _WORD.findall(b.text)]
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.region:
-            if b.links > LINKS_HIGH:
-                return None
-            return True if len(words) >= SHORT or stops >= STOPS_HIGH else None
-        if b.links > LINKS_HIGH or "©" in b.text:
+        counted.append((len(words), sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0))
+    plain = [not b.aside and b.links <= LINKS_HIGH for b in found]
+    good = [ok and n >= LONG and stops >= STOPS_HIGH for ok, (n, stops) in zip(plain, counted)]
+    # articles without any text may be teasers of a page whose text stands elsewhere
+    textual = {b.region for b, yes in zip(found, good) if yes}
+    # few stop words say something only where the page is in a language that has them here
+    known_language = bool(textual)
+
+    def first(i: int) -> bool | None:
+        b, (n, stops) = found[i], counted[i]
+        if b.aside:
             return False
-        if len(words) >= LONG and stops >= STOPS_HIGH:
-            return True
-        return False if len(words) >= LONG and stops < STOPS_LOW else None
+        if b.links > LINKS_HIGH:
+            return None if b.heading and b.region else False
+        if good[i]:
+            return b.region > 0 or "©" not in b.text
+        if b.region and (b.region in textual or 0 not in textual):
+            room = DEVIATIONS * (n * STOPS_HIGH * (1 - STOPS_HIGH)) ** 0.5
+            if known_language and not b.paragraph and stops < STOPS_LOW and stops * n + room < STOPS_HIGH * n:
+                return False
+            return True if n >= SHORT or stops >= STOPS_HIGH else None
+        if b.region or "©" in b.text:
+            return False
+        return False if told or n >= LONG and stops < STOPS_LOW else None
 
-    told = any(b.region and not b.aside for b in found)
-    known = [first(b, told) for b in found]
+    told = any(b.region and not b.aside and (b.region in textual or 0 not in textual) for b in found)
+    known = [first(i) for i in range(len(found))]
     if not any(known):  # no block is decided to be main text: what is undecided is all there is
         return [k is None for k in known]
     n = len(found)

@@ -96,6 +96,25 @@ def test_page_without_article_uses_density():
     assert blocks.main_text(page) == f"Head {good} Short. {good}"
 
 
+GOOD = "The man was in the house of the king and it was not at all what he had thought that it would be."
+LINKS = "<ul>" + "".join(f'<li><a href="{i}">A link of number {i} to the other pages of it</a>' for i in range(9)) + "</ul>"
+
+
+@pytest.mark.parametrize("page,text", [
+    # links and keywords inside a region
+    (f"<main><h1>Head</h1><p>{GOOD}</p>{LINKS}<p>Short.</p><p>{GOOD}</p><div>{' '.join(f'Keyword{i}' for i in range(90))}</div></main>",
+     f"Head {GOOD} Short. {GOOD}"),
+    # articles that are teasers of a page whose text stands outside
+    (f"<div><p>{GOOD}</p><p>{GOOD}</p></div>" + '<article><h3><a href="x">Other</a></h3><p>Read on now.</p></article>' * 3,
+     f"{GOOD} {GOOD}"),
+    # text before the article counts, menus without a mark do not
+    (f"<p>{GOOD}</p><div>Log out</div><article><h1>Head</h1><p>{GOOD}</p></article><div>Top</div>", f"{GOOD} Head {GOOD}"),
+    # a language without stop words here
+    ("<article><p>" + "слово " * 30 + "</p><p>" + "дело " * 12 + "</p></article>", ("слово " * 30 + "дело " * 12).strip())])
+def test_rules_inside_and_outside_regions(page, text):
+    assert blocks.main_text(page) == text
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a b"), ("<script>x", ""), ("<!-- x", ""), ("<b>a</b>b", "ab"),
     ("a<br>b", "a b"), ("<p hidden>x</p><p>y", "y"), ("<nav>m</nav><p>only this</p>", "only this"), ("<", "<"), ("a &amp &zz; b", "a & &zz; b")])
