@@ -42,6 +42,12 @@ MARKED = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs toolbar pagination pager footer masthead comment comments "
     "commentlist reply replies respond disqus discussion share sharing social related recommended recommendations "
     "teaser teasers tags skip copyright complementary contentinfo search form".split())
+#: Marked words of what may hold articles of its own.
+OWN_ARTICLES = frozenset(
+    "comment comments commentlist reply replies respond disqus discussion related recommended recommendations "
+    "teaser teasers ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: Names that begin so say something about an element and not what it is.
+QUALIFIERS = frozenset("has with no without not hide show".split())
 #: Opening one of these closes an open one of the same kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}}
@@ -70,23 +76,27 @@ class Block:
     paragraph: bool   # marked up as running or preformatted text
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, names: bool) -> int:
+    """2: never main text; 1: not main text but for an article or main inside; 0: not marked."""
     if not attributes or attributes.isspace():
-        return False
+        return 0
     if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMES.finditer(attributes):
-        words = re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())
-        if not MARKED.isdisjoint(words):
-            return True
-    return False
+        return 2
+    out = 0
+    for m in _NAMES.finditer(attributes) if names else ():
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = re.findall(r"[a-z]+", name)
+            if words and words[0] not in QUALIFIERS and not MARKED.isdisjoint(words):
+                out = max(out, 1 if OWN_ARTICLES.isdisjoint(words) else 2)
+    return out
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, without empty ones."""
+def blocks(page: str, names: bool = True) -> list[Block]:
+    """The blocks of a page in order, without empty ones. Without ``names``,
+    class, id and role mark nothing."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool, bool]] = []  # tag, aside, region, link, heading
-    state = ("", False, 0, False, False)
+    stack: list[tuple[str, int, int, bool, bool]] = []  # tag, aside (as _marked), region, link, heading
+    state = ("", 0, 0, False, False)
     parts: list[str] = []
     linked, regions, at = 0, 0, 0
 
@@ -94,7 +104,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(1.0, linked / len(text)), state[1], state[2], state[4],
+            out.append(Block(text, min(1.0, linked / len(text)), state[1] > 0, state[2], state[4],
                              next((s[0] for s in reversed(stack) if s[0] not in INLINE), "") in PARAGRAPHS))
         parts.clear()
         linked = 0
@@ -131,17 +141,17 @@ def blocks(page: str) -> list[Block]:
             if tag not in INLINE:
                 close()
             if depth >= 0:
-                if any(s[1] != (stack[depth - 1][1] if depth else False) for s in stack[depth:]):
+                if any(s[1] != (stack[depth - 1][1] if depth else 0) for s in stack[depth:]):
                     close()
                 del stack[depth:]
-            state = stack[-1] if stack else ("", False, 0, False, False)
+            state = stack[-1] if stack else ("", 0, 0, False, False)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
             pos = end.end() if end else n
             continue
         block = tag not in INLINE
-        marked = tag in ASIDE or _marked(attributes) or (tag == "header" and not state[2])
+        marked = 2 if tag in ASIDE or (tag == "header" and not state[2]) else _marked(attributes, names)
         if block or marked:
             close()
         if block and stack and stack[-1][0] == "p":
@@ -153,16 +163,17 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[depth][0] in _HOLDERS:
                     break
-        state = stack[-1] if stack else ("", False, 0, False, False)
+        state = stack[-1] if stack else ("", 0, 0, False, False)
         if tag in VOID or attributes.endswith("/") and tag not in ("p", "div"):
             continue
         region = state[2]
-        if tag in ("article", "main") and not state[1] and not region:
+        aside = max(state[1], 0 if tag in ("html", "body", "main") else marked)
+        if tag in ("article", "main") and aside < 2 and not region:
+            # names around it, or its own, do not take a page's article away
+            aside = 0
             regions += 1
             region = regions
-        state = (tag, state[1] or (marked and tag not in ("html", "body", "main", "article") or
-                                   (marked and tag == "article")), region, state[3] or tag == "a",
-                 tag in HEADINGS or (state[4] and not block))
+        state = (tag, aside, region, state[3] or tag == "a", tag in HEADINGS or (state[4] and not block))
         stack.append(state)
         at += 1
     close()
@@ -238,8 +249,12 @@ def labels(found: list[Block]) -> list[bool]:
 def main_text(page: str | None) -> str:
     """Main text of a whole page: character references decoded, white space
     inside a block turned into one space, blocks joined by one space."""
-    found = blocks(page or "")
-    return " ".join(b.text for b, good in zip(found, labels(found)) if good)
+    for names in (True, False):  # names that would leave nothing of a page are no marks
+        found = blocks(page or "", names)
+        text = " ".join(b.text for b, good in zip(found, labels(found)) if good)
+        if text or not any(b.aside for b in found):
+            break
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

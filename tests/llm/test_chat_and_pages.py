@@ -115,6 +115,17 @@ def test_rules_inside_and_outside_regions(page, text):
     assert blocks.main_text(page) == text
 
 
+@pytest.mark.parametrize("open_,close", [
+    ('<div class="layout has-sidebar">', "</div>"), ('<div id="content" class="with-nav">', "</div>"),
+    ('<article class="post tags">', "</article>"), ('<div class="menu page"><article>', "</article></div>"),
+    ('<div class="sidebar-layout"><main>', "</main></div>"), ('<div class="page widget">', "</div>")])
+def test_names_of_wrappers_do_not_empty_a_page(open_, close):
+    assert blocks.main_text(f"<body>{open_}<h1>Head</h1><p>{GOOD}</p>{close}</body>") == f"Head {GOOD}"
+    comments = f'<div class="comments"><article><p>{GOOD}</p></article></div>'
+    menu = f'<nav>{LINKS}</nav>'
+    assert blocks.main_text(f"<body>{menu}<article><p>{GOOD}</p></article>{comments}</body>") == GOOD
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a b"), ("<script>x", ""), ("<!-- x", ""), ("<b>a</b>b", "ab"),
     ("a<br>b", "a b"), ("<p hidden>x</p><p>y", "y"), ("<nav>m</nav><p>only this</p>", "only this"), ("<", "<"), ("a &amp &zz; b", "a & &zz; b")])
