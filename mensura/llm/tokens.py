@@ -5,8 +5,8 @@ ids of its space-separated words strung together, and words recur. Each slice
 of texts is split and its distinct words found in Arrow; words not met lately
 go through the ``tokenizers`` library many at a time and are remembered, up to
 a bound per Python worker; the ids of all words are then gathered in NumPy.
-Texts with runs of white space that the vocabulary does not split this way go
-through the library whole. The result equals
+Texts with runs of white space that the vocabulary does not split this way, or
+with strings of its added tokens, go through the library whole. The result equals
 ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 """
 
@@ -45,9 +45,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        if hasattr(self.library.model, "_resize_cache"):
-            self.library.model._resize_cache(0)  # words are remembered here
+        self.ordinary = Tokenizer.from_file(path)  # for words: strings of special tokens are ordinary text
+        self.ordinary.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        for library in (self.library, self.ordinary):
+            if hasattr(library.model, "_resize_cache"):
+                library.model._resize_cache(0)  # words are remembered here
         size = self.library.get_vocab_size()
         #: Ids whose token begins with a space.
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
@@ -60,10 +63,10 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def whole(self, texts: Sequence[str]) -> list[bytes]:
+    def whole(self, texts: Sequence[str], library=None) -> list[bytes]:
         if not texts:
             return []
-        out = self.library.encode_batch_fast(list(texts), add_special_tokens=False)
+        out = (library or self.ordinary).encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
 
     def _learn(self, words: list[str]) -> None:
@@ -126,6 +129,11 @@ class Encoder:
         if len(runs):
             for i, raw in zip(runs.tolist(), self.whole(texts.take(pa.array(runs)).to_pylist())):
                 out[i] = np.frombuffer(raw, dtype="<u4")
+        for string in self.added:
+            special = np.flatnonzero(pc.match_substring(texts, string).to_numpy(zero_copy_only=False))
+            if len(special):
+                for i, raw in zip(special.tolist(), self.whole(texts.take(pa.array(special)).to_pylist(), self.library)):
+                    out[i] = np.frombuffer(raw, dtype="<u4")
         return out
 
 

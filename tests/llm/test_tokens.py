@@ -141,3 +141,13 @@ def test_pack_round_trip(spark):
 
 def test_pack_empty_table(spark):
     assert packing.pack(docs(spark, [])).collect() == []
+
+
+def test_strings_of_added_tokens_as_in_the_library():
+    from tokenizers import Tokenizer
+    path = vocabulary_path()
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z", "plain text", "<|endoftext", ""]
+    fresh = Tokenizer.from_file(path)
+    assert any(t.content == "<|endoftext|>" for t in fresh.get_added_tokens_decoder().values())
+    got = [ids.tolist() for _, ids in encode_slices(path, texts, end_id=None)]
+    assert got == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
