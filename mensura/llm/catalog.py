@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import blocks, chat, dac, forest, kdtree, mixing, naming, packing, ring, rules
+from mensura.llm import (blocks, chat, dac, forest, kdtree, licences, mixing, naming, negatives, packing, ring, rules,
+                         whitening)
 from mensura.llm.common import read, stage_table
 from mensura.session import scratch_dir
 
@@ -124,3 +125,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 2048 ids."""
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@register("op11_lanczos_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their four leading components, whitened."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@register("op12_one_bit_negatives", r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS r2, b.vec_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, r2) AS k
+  FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+    s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.r2 ORDER BY s.score DESC, s.vec_id, s.r2) AS rank
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 3""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with a seventh of the labels moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+@register("op13_rare_word_licences", licences.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document."""
+    return licences.scan(read(spark, sf_dir, "documents"))
