@@ -16,7 +16,8 @@ bucket (partial aggregation), and only those small bucket Grams are expanded
 to the folds that include them (``bucket <= k``) and summed again. Cost per
 series is O(rows p^2 + folds^2 p^2) instead of O(rows folds p^2).
 
-Tree models (pyspark.ml) are fitted pooled over all series, one fit per fold
+Tree models are fitted per series, all folds together (``operators.trees``).
+With ``pooled`` they are pyspark.ml models over all series, one fit per fold
 date on the rows of all series before it, as independent Spark jobs.
 """
 
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.operators import linear as lin
+from mensura.operators import trees as tr
 from mensura.operators.reconstruct import reconstruct
 
 MODELS = ("ridge", "forest", "boosting")
@@ -123,7 +125,7 @@ def ridge_backtest(df: DataFrame, keys: Sequence[str], x="x", y="y", t="t",
 # ------------------------------------------------------------ trees
 # Tree settings of the three published model sets (trees,
 # depth, minimum leaf size, feature subset per split; boosting rounds,
-# depth, learning rate, row subsample, column subsample).
+# depth, learning rate, row subsample, column subsample, leaf penalty).
 TREE_PROFILES = {
     "delevel": {
         "forest": {"num_trees": 400, "max_depth": 5, "min_leaf": 3, "feature_subset": "all"},
@@ -133,13 +135,13 @@ TREE_PROFILES = {
         "forest": {"num_trees": 300, "max_depth": 5, "min_leaf": 3, "feature_subset": "sqrt"},
         "boosting": {"num_trees": 150, "max_depth": 2, "learning_rate": 0.03, "subsample": 0.7},
         "boosting_colsample": {"num_trees": 200, "max_depth": 2, "learning_rate": 0.03, "subsample": 0.7,
-                               "feature_subset": "0.7"},
+                               "feature_subset": "0.7", "l2": 2.0},
     },
     "comparison": {
         "forest": {"num_trees": 300, "max_depth": 6, "min_leaf": 2, "feature_subset": "all"},
         "boosting": {"num_trees": 200, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.8},
         "boosting_colsample": {"num_trees": 300, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.8,
-                               "feature_subset": "0.8"},
+                               "feature_subset": "0.8", "l2": 2.0},
     },
 }
 
@@ -220,11 +222,24 @@ def tree_backtest(df: DataFrame, keys: Sequence[str], model: str, x="x", y="y",
     return out.drop("features", "_date")
 
 
+def series_tree_backtest(df: DataFrame, keys: Sequence[str], model: str, t: str = "t", **params) -> DataFrame:
+    """Trees per group (``keys``) and fold, all folds of a group grown
+    together (``operators.trees``): the scored rows with ``k``,
+    ``pred_target`` and the fold's ``importance`` per feature."""
+    found = tr.fold_predictions(df, keys, tr.settings(model, TREE_PROFILES, **params), t=t).withColumnRenamed("t", t)
+    rows = test_rows(df, t).filter(F.forall("x", lambda v: v.isNotNull()))
+    return rows.join(found, list(dict.fromkeys([*keys, t, "k"])))
+
+
 def backtest(df: DataFrame, keys: Sequence[str], model: str, alpha: float = 5.0,
              group_by: Sequence[str] = (), p: int | None = None, **params) -> DataFrame:
+    """One model per group and fold; with ``pooled`` a tree model per fold
+    date over all series (``tree_backtest``), its ``group_by`` apart."""
     if model == "ridge":
         return ridge_backtest(df, keys, alpha=alpha, p=p)
-    return tree_backtest(df, keys, model, group_by=group_by, **params)
+    if params.pop("pooled", False):
+        return tree_backtest(df, keys, model, group_by=group_by, **params)
+    return series_tree_backtest(df, keys, model, **params)
 
 
 # ------------------------------------------------------------ de-levelled walk-forward (ML8)

@@ -2,20 +2,22 @@
 
 Candidates are scored by a rolling-origin block backtest on the training
 part of every series, the best one per series is picked by RMSE, refitted on
-the whole training part and scored on train and hold-out. Ridge is fitted
-per series (Gram aggregation + solve); trees are pooled over all series.
+the whole training part and scored on train and hold-out. All models are
+fitted per series: ridge by Gram aggregation and solve, trees by
+``operators.trees``. What a refitted model makes of its features (ML16) is
+kept beside its predictions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mensura.operators import backtest as bt
 from mensura.operators import linear as lin
+from mensura.operators import trees as tr
 from mensura.operators.metrics import forecast_metrics, select_best
 from mensura.operators.windows import add_time_index, time_split
 from mensura.plans.flows import level_features
@@ -44,16 +46,18 @@ def block_backtest(train: DataFrame, model: str, keys: Sequence[str] = ("series_
 
 def refit_predict(data: DataFrame, model: str, keys: Sequence[str] = ("series_id",),
                   alpha: float = 5.0, p: int | None = None, **tree_params) -> DataFrame:
-    """Fit on ``split = 'train'`` rows, predict every row (``prediction``)."""
+    """Fit on ``split = 'train'`` rows, predict every row (``prediction``);
+    ``importance``: standardised coefficients of a ridge, shares of the gain
+    of a tree model, in the order of the features."""
+    keys = list(keys)
     if model == "ridge":
         data = lin.center(data, p or int(data.select(F.max(F.size("x"))).first()[0]), keys)
         coef = lin.fit_ridge(data.filter(F.col("split") == "train"), keys=keys, alpha=alpha, p=p)
-        j = data.join(coef, list(keys))
-        return j.withColumn("prediction", lin.predict_linear(j)).drop("coef", "p")
-    d = data.withColumn("features", array_to_vector("x"))
-    fitted = bt.tree_model(model, **tree_params).fit(
-        d.filter(F.col("split") == "train").select("features", F.col("y").alias("y")))
-    return fitted.transform(d).drop("features")
+        j = data.join(coef, keys)
+        return j.withColumns({"prediction": lin.predict_linear(j), "importance": F.slice("coef", F.col("p") + 2, F.col("p"))}
+                             ).drop("coef", "p")
+    found = tr.split_predictions(data, keys, tr.settings(model, bt.TREE_PROFILES, **tree_params))
+    return data.join(found, [*keys, "t"])
 
 
 def auto_select(panel: DataFrame, covariates: Sequence[str], candidates: Sequence[str] = ("ridge",),
@@ -70,8 +74,8 @@ def auto_select(panel: DataFrame, covariates: Sequence[str], candidates: Sequenc
 def candidate_scores(panel: DataFrame, covariates: Sequence[str], candidates: Sequence[str] = ("ridge",),
                      test_months: int = 12, keys: Sequence[str] = ("series_id",), **kw):
     """Block backtest metrics (keys, model, ...) and, refitted on the training
-    rows, predictions of all rows (keys, period, split, y, prediction, model)
-    of every candidate."""
+    rows, predictions of all rows (keys, period, split, y, prediction,
+    importance, model) of every candidate."""
     keys = list(keys)
     data, feats = level_dataset(panel, covariates, test_months, keys)
     # every candidate re-reads the same rows: materialise them once
@@ -84,7 +88,7 @@ def candidate_scores(panel: DataFrame, covariates: Sequence[str], candidates: Se
                                    keys + ["model"], "A"))
         preds.append(refit_predict(data, m, keys, p=len(feats), **{k: v for k, v in kw.items()
                                                                     if k not in ("horizon", "min_train", "step")})
-                     .select(*keys, "period", "split", "y", "prediction").withColumn("model", F.lit(m)))
+                     .select(*keys, "period", "split", "y", "prediction", "importance").withColumn("model", F.lit(m)))
     metrics = bm[0]
     for b in bm[1:]:
         metrics = metrics.unionByName(b)
@@ -104,40 +108,25 @@ def choose(metrics: DataFrame, allp: DataFrame, keys: Sequence[str] = ("series_i
 
 def feature_effects(data: DataFrame, feats: Sequence[str], model: str = "ridge",
                     keys: Sequence[str] = ("series_id",), alpha: float = 5.0, **tree_params) -> DataFrame:
-    """ML16: standardised ridge coefficients per series, or the pooled tree
-    model's feature importances, as (keys?, model, feature, importance)."""
-    keys = list(keys)
+    """ML16: per series the standardised ridge coefficients, or the shares
+    of the gain of its tree model, as (keys, model, feature, importance)."""
+    preds = refit_predict(data, model, keys, alpha, len(feats), **tree_params).withColumn("model", F.lit(model))
+    return effects_of(preds, feats, keys)
+
+
+def effects_of(preds: DataFrame, feats: Sequence[str], keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """(keys, model, feature, importance) of models whose predictions
+    (``refit_predict``, ``candidate_scores``) are at hand: no second fit."""
+    models = preds.groupBy(*keys, "model").agg(F.first("importance").alias("importance"))
     names = F.array(*[F.lit(f) for f in feats])
-    train = data.filter(F.col("split") == "train")
-    if model == "ridge":
-        coef = lin.fit_ridge(lin.center(train, len(feats), keys), keys=keys, alpha=alpha, p=len(feats))
-        w = F.slice("coef", F.col("p") + 2, F.col("p"))
-        z = coef.select(*keys, F.arrays_zip(names.alias("feature"), w.alias("importance")).alias("z"))
-        return z.select(*keys, F.lit("ridge").alias("model"), F.inline("z"))
-    d = train.withColumn("features", array_to_vector("x"))
-    fitted = bt.tree_model(model, **tree_params).fit(d.select("features", F.col("y").alias("y")))
-    imp = [float(v) for v in fitted.featureImportances.toArray()]
-    spark = data.sparkSession
-    rows = [(model, f, v) for f, v in zip(feats, imp)]
-    return spark.createDataFrame(rows, "model string, feature string, importance double")
-
-
-def chosen_effects(data: DataFrame, feats: Sequence[str], best: DataFrame, candidates: Sequence[str],
-                   keys: Sequence[str] = ("series_id",), alpha: float = 5.0, **tree_params) -> DataFrame:
-    """ML16 for the selected models: ``best`` has (keys, best_model). Series
-    that chose ridge get their own coefficients, the others the importances
-    of the pooled tree model they chose; (keys, model, feature, importance)."""
+    z = models.select(*keys, "model", F.arrays_zip(names.alias("feature"), F.col("importance")).alias("z"))
+    return z.select(*keys, "model", F.inline("z"))
+
+
+def chosen_effects(preds: DataFrame, feats: Sequence[str], best: DataFrame,
+                   keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """ML16 for the selected models: ``best`` has (keys, best_model),
+    ``preds`` the candidates' predictions."""
     keys = list(keys)
-    out = None
-    for m in candidates:
-        chose = best.filter(F.col("best_model") == m).select(*keys)
-        effects = feature_effects(data, feats, m, keys, alpha, **tree_params)
-        if m == "ridge":
-            effects = chose.join(effects, keys)
-        else:  # one number per feature
-            both = F.array(*[F.struct(F.lit(r.feature).alias("feature"), F.lit(r.importance).alias("importance"))
-                             for r in effects.collect()])
-            effects = chose.select(*keys, F.lit(m).alias("model"), F.inline(both))
-        effects = effects.select(*keys, "model", "feature", "importance")
-        out = effects if out is None else out.unionByName(effects)
-    return out
+    chosen = preds.join(best, keys).filter(F.col("model") == F.col("best_model"))
+    return effects_of(chosen, feats, keys)

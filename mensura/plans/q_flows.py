@@ -262,7 +262,7 @@ def fw8_effects(spark, sf):
 @register("fw9_nowcast_forest")
 def fw9(spark, sf):
     """Nowcast flow for the month after each nation's last: YoY log change
-    with a pooled forest refitted on all months; level reconstructed from the
+    with a forest refitted on all its months; level reconstructed from the
     same month a year before. The coming month's covariates are inputs; here
     they are the last month's values (a stand-in for published indicators)."""
     panel = panels.rev_panel_dense(spark, sf)
@@ -286,7 +286,8 @@ def fw10(spark, sf):
     rows = []
     for m in ("forest", "boosting", "boosting_colsample"):
         planned = bt.with_plan(train, bt.plan_kfold, ["series_id"], n_splits=4)
-        scored = bt.tree_backtest(planned, ["series_id"], m, profile="comparison")
+        scored = lin.materialize(bt.backtest(planned, ["series_id"], m, profile="comparison").select(
+            "series_id", "k", "y", "pred_target"), ["series_id"])
         cv = mt.forecast_metrics(scored, "y", "pred_target", ["series_id", "k"], "A").groupBy("series_id").agg(
             *[F.avg(c).alias(f"cv_{c}") for c in mt.METRIC_NAMES_A])
         fitted = lin.materialize(sel.refit_predict(data, m, profile="comparison")

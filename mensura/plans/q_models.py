@@ -27,8 +27,8 @@ from mensura.plans.util import r, stored
 
 COVS = panels.REV_COVARIATES
 W = "PARTITION BY series_id ORDER BY period"
-# ridge per series, pooled forest, pooled boosting, pooled boosting with
-# column sampling (the optional fourth candidate)
+# all per series; the last, with column sampling and leaf penalty, is the
+# optional fourth candidate
 CANDIDATES = ("ridge", "forest", "boosting", "boosting_colsample")
 
 
@@ -229,22 +229,97 @@ def ml8_one(spark, sf):
     and reconstruction as the full grid; with one feature the fold models
     have a closed form, so the oracle recomputes them with expanding SQL
     window aggregates."""
-    ds = dataset(spark, sf)
     kk = ["series_id", "target_kind"]
-    d = ds.withColumn("target_kind", F.explode(F.array(*[F.lit(k) for k in
-                                                        ("mom_logdiff", "yoy_logdiff", "trend_dev")])))
+    return _one_feature_metrics(bt.ridge_backtest(_one_feature(spark, sf), kk, p=1))
+
+
+def _one_feature(spark, sf):
+    """The walk-forward plan over the 1-step change of the order count."""
+    kk = ["series_id", "target_kind"]
+    d = dataset(spark, sf).withColumn("target_kind", F.explode(F.array(*[F.lit(k) for k in
+                                                                         ("mom_logdiff", "yoy_logdiff", "trend_dev")])))
     y = (F.when(F.col("target_kind") == "mom_logdiff", F.col("mom_logdiff"))
          .when(F.col("target_kind") == "yoy_logdiff", F.col("yoy_logdiff")).otherwise(F.col("trend_dev")))
     d = d.withColumns({"x": F.array(F.col("n_orders_chg1").cast("double")), "y": y})
     d = d.withColumn("eligible", F.col("y").isNotNull() & F.col("x")[0].isNotNull())
     d = d.withColumn("trend_next", bt.fold_trend(kk))
-    d = lin.materialize(bt.with_plan(d, bt.plan_walk_forward, kk, n_test=24), kk)
-    scored = bt.ridge_backtest(d, kk, p=1)
+    return lin.materialize(bt.with_plan(d, bt.plan_walk_forward, kk, n_test=24), kk)
+
+
+def _one_feature_metrics(scored):
+    kk = ["series_id", "target_kind"]
     rec = reconstruct(scored).select(*kk, F.col("target").alias("actual"), "predicted")
     m = mt.forecast_metrics(rec, keys=kk, which="B")
     return m.select(*kk, "n", r("R2", 6), r("MAPE_pct", 6), r("RMSE", 2))
 
 
+def _one_split_sql(rate: float, penalty: float, min_leaf: int) -> str:
+    """One tree of one split per fold: the best cut from running sums over
+    the fold's training rows in order of ``x``, the lowest of equal ones."""
+    side = f"CASE WHEN f.x <= c.cut THEN c.s_le / (c.n_le + {penalty}) ELSE (c.s - c.s_le) / (c.n - c.n_le + {penalty}) END"
+    return f"""
+WITH b AS (SELECT *, CAST(n_orders - lag(n_orders, 1) OVER ({W}) AS DOUBLE) AS x FROM targets),
+k AS (SELECT b.*, kk.target_kind,
+             CASE kk.target_kind WHEN 'mom_logdiff' THEN mom_logdiff WHEN 'yoy_logdiff' THEN yoy_logdiff
+                  ELSE trend_dev END AS y
+      FROM b CROSS JOIN (VALUES ('mom_logdiff'), ('yoy_logdiff'), ('trend_dev')) AS kk(target_kind)),
+e AS (SELECT *, y IS NOT NULL AND x IS NOT NULL AS ok,
+             count(*) OVER (PARTITION BY series_id, target_kind) AS n_all FROM k),
+f AS (SELECT *, regr_intercept(CASE WHEN ok THEN log_y END, t) OVER wp
+          + regr_slope(CASE WHEN ok THEN log_y END, t) OVER wp * t AS trend_next
+      FROM e WINDOW wp AS (PARTITION BY series_id, target_kind ORDER BY period
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT f.series_id, f.target_kind, f.t, j.x, j.y - avg(j.y) OVER w AS r, avg(j.y) OVER w AS mean, count(*) OVER w AS n
+      FROM f JOIN e j ON f.series_id = j.series_id AND f.target_kind = j.target_kind AND j.t < f.t AND j.ok
+      WHERE f.t >= f.n_all - 24 WINDOW w AS (PARTITION BY f.series_id, f.target_kind, f.t)),
+g AS (SELECT *, count(*) OVER o AS n_le, sum(r) OVER o AS s_le, sum(r) OVER w AS s, sum(r * r) OVER w * 1e-12 AS noise,
+             min(x) OVER (o GROUPS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS x_next
+      FROM m WINDOW w AS (PARTITION BY series_id, target_kind, t), o AS (PARTITION BY series_id, target_kind, t ORDER BY x)),
+h AS (SELECT *, CASE WHEN n_le >= {min_leaf} AND n - n_le >= {min_leaf} THEN s_le * s_le / (n_le + {penalty})
+             + (s - s_le) * (s - s_le) / (n - n_le + {penalty}) - s * s / (n + {penalty}) END AS gain FROM g),
+i AS (SELECT *, max(gain) OVER (PARTITION BY series_id, target_kind, t) AS best FROM h),
+c AS (SELECT series_id, target_kind, t, any_value(mean) AS mean, any_value(n) AS n, any_value(s) AS s,
+             min((x + x_next) / 2) FILTER (WHERE best > noise AND gain >= best - noise) AS cut,
+             arg_min(n_le, x) FILTER (WHERE best > noise AND gain >= best - noise) AS n_le,
+             arg_min(s_le, x) FILTER (WHERE best > noise AND gain >= best - noise) AS s_le
+      FROM i GROUP BY 1, 2, 3),
+p AS (SELECT f.series_id, f.target_kind, f.target AS actual,
+             exp(CASE f.target_kind WHEN 'mom_logdiff' THEN log_lag1 WHEN 'yoy_logdiff' THEN log_lag12
+                 ELSE trend_next END + c.mean + {rate} * CASE WHEN c.cut IS NULL THEN c.s / (c.n + {penalty}) ELSE {side} END
+             ) AS predicted
+      FROM f JOIN c ON f.series_id = c.series_id AND f.target_kind = c.target_kind AND f.t = c.t WHERE f.x IS NOT NULL)
+SELECT series_id, target_kind, count(*) AS n,
+       round(CASE WHEN var_pop(actual) > 0
+             THEN 1 - sum((actual - predicted) ^ 2) / (var_pop(actual) * count(*)) END, 6) AS R2,
+       round(avg(CASE WHEN actual <> 0 THEN abs(actual - predicted) / abs(actual) END) * 100, 6) AS MAPE_pct,
+       round(sqrt(sum((actual - predicted) ^ 2) / count(*)), 2) AS RMSE
+FROM p WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY 1, 2"""
+
+
+@register("ml3_forest_one_split", with_views(_one_split_sql(1.0, 0.0, 3), "targets"))
+def ml3_one(spark, sf):
+    """The walk-forward forest of ML3 cut to one unsampled tree of one split
+    on one feature, which SQL can recompute per fold."""
+    return _one_feature_metrics(bt.series_tree_backtest(
+        _one_feature(spark, sf), ["series_id", "target_kind"], "forest", num_trees=1, max_depth=1, bootstrap=False))
+
+
+@register("ml4_boosting_one_round", with_views(_one_split_sql(0.05, 0.0, 1), "targets"))
+def ml4_one(spark, sf):
+    """The walk-forward boosting of ML4 after one round of one split on one feature."""
+    return _one_feature_metrics(bt.series_tree_backtest(
+        _one_feature(spark, sf), ["series_id", "target_kind"], "boosting", num_trees=1, max_depth=1))
+
+
+@register("ml5_boosting_one_round", with_views(_one_split_sql(0.03, 2.0, 1), "targets"))
+def ml5_one(spark, sf):
+    """The penalised boosting of ML5 after one round of one split on one
+    feature: gains and leaf values with the leaf penalty 2."""
+    return _one_feature_metrics(bt.series_tree_backtest(
+        _one_feature(spark, sf), ["series_id", "target_kind"], "boosting_colsample", profile="level", num_trees=1,
+        max_depth=1, subsample=1.0, feature_subset="all"))
+
+
 @register("ml8_walk_forward_suppliers")
 def ml8_supp(spark, sf):
     """The same ridge walk-forward grid over the supplier panel: one series
@@ -257,20 +332,20 @@ def ml8_supp(spark, sf):
 
 @register("ml3_forest")
 def ml3(spark, sf):
-    """Pooled forest at the published settings, 24 fold dates, three kinds."""
+    """Forest per nation at the published settings, 24 fold dates, three kinds."""
     return _wf_metrics(spark, sf, ["forest"])
 
 
 @register("ml4_boosting")
 def ml4(spark, sf):
-    """Pooled boosting at the published settings, 24 fold dates, three kinds."""
+    """Boosting per nation at the published settings, 24 fold dates, three kinds."""
     return _wf_metrics(spark, sf, ["boosting"])
 
 
 @register("ml5_boosting_colsample")
 def ml5(spark, sf):
-    """Pooled boosting with column sampling at the published settings, 24
-    fold dates, three kinds."""
+    """Boosting with column sampling and leaf penalty per nation at the
+    published settings, 24 fold dates, three kinds."""
     return _wf_metrics(spark, sf, ["boosting_colsample"], "level")
 
 
@@ -477,8 +552,8 @@ def ml15(spark, sf):
 # ------------------------------------------------------------------ ML13, ML16, ML19, SO6
 @register("ml13_auto_select")
 def ml13(spark, sf):
-    """Candidates (ridge per nation; pooled forest, boosting, and boosting
-    with column sampling) scored by block backtest on the train part; best
+    """Candidates (ridge, forest, boosting, and boosting with column sampling
+    and leaf penalty, per nation) scored by block backtest on the train part; best
     by RMSE; refit; train/hold-out metrics."""
     _, best, split_metrics, _ = auto_selection(spark, sf)
     return split_metrics
@@ -495,12 +570,11 @@ def ml19(spark, sf):
 
 @register("ml16_feature_effects")
 def ml16(spark, sf):
-    """Effects of each nation's chosen model (ML13): its own ridge
-    coefficients, or the importances of the pooled tree model."""
-    _, best, _, _ = auto_selection(spark, sf)
-    data, feats = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
-    data = lin.materialize(data.filter(F.col("split") != "error"), ["series_id"])
-    return sel.chosen_effects(data, feats, best, CANDIDATES, profile="level")
+    """Effects of each nation's chosen model (ML13): its ridge coefficients,
+    or its tree model's importances, kept from its refit."""
+    _, best, _, preds = auto_selection(spark, sf)
+    _, feats = sel.level_dataset(panels.rev_panel_dense(spark, sf), COVS)
+    return sel.chosen_effects(preds, feats, best)
 
 
 @register("so6_rank_features_two", with_views(f"""

@@ -282,8 +282,101 @@ def test_shared_selection_equals_auto_select(spark):
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want[1].collect()))
     assert sorted(map(tuple, by_split.collect())) == sorted(map(tuple, want[2].collect()))
     data, feats = sel.level_dataset(_panel(spark), ["c"], 6)
-    effects = sel.chosen_effects(data, feats, best, ["ridge", "forest"], num_trees=3).collect()
+    effects = sel.chosen_effects(allp, feats, best).collect()
     assert len(effects) == 2 * len(feats) and {r.model for r in effects} == {"ridge"}
-    forest = best.select("series_id", F.lit("forest").alias("best_model"))
-    effects = sel.chosen_effects(data, feats, forest, ["ridge", "forest"], num_trees=3).collect()
+    again = sel.feature_effects(data.filter("split <> 'error'"), feats, "ridge").collect()
+    assert {(r.series_id, r.feature): r.importance for r in effects} == pytest.approx(
+        {(r.series_id, r.feature): r.importance for r in again})
+    effects = sel.feature_effects(data, feats, "forest", num_trees=3).collect()
     assert {(r.series_id, r.model) for r in effects} == {("a", "forest"), ("b", "forest")}
+    for name in ("a", "b"):
+        assert sum(r.importance for r in effects if r.series_id == name) == pytest.approx(1.0)
+
+
+# ------------------------------------------------------------ trees per series
+def _cart(x, y, depth, least):
+    """A plain recursive tree: (feature, threshold, left, right) or a mean."""
+    best = None
+    for j in range(x.shape[1]):
+        o = np.argsort(x[:, j], kind="stable")
+        v, r = x[o, j], y[o] - y.mean()
+        for i in range(least - 1, len(y) - least):
+            if v[i] != v[i + 1]:
+                gain = r[:i + 1].sum() ** 2 / (i + 1) + r[i + 1:].sum() ** 2 / (len(y) - i - 1)
+                if gain > (best[0] if best else 0) + 1e-9:
+                    best = (gain, j, (v[i] + v[i + 1]) / 2)
+    if depth == 0 or best is None:
+        return y.mean()
+    side = x[:, best[1]] <= best[2]
+    return best[1], best[2], _cart(x[side], y[side], depth - 1, least), _cart(x[~side], y[~side], depth - 1, least)
+
+
+def _answer(tree, v):
+    while isinstance(tree, tuple):
+        tree = tree[2] if v[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def _tree_data(n=60, p=6, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, p)).round(1)
+    x[:, -1] = x[:, -1] > 0.5
+    y = 2 * x[:, 0] + np.where(x[:, 1] > 0, 1.0, -1.0) * x[:, -1] + 0.1 * rng.standard_normal(n)
+    cuts = np.arange(40, n, 5)
+    return x, y, np.arange(n)[None, :] < cuts[:, None]
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_one_tree_equals_plain_recursion(least):
+    from mensura.operators.trees import TreeSettings, fitted
+    x, y, train = _tree_data()
+    out, shares = fitted(x, y, train, TreeSettings(False, 1, 4, least, bootstrap=False))
+    for k, rows in enumerate(train):
+        tree = _cart(x[rows], y[rows], 4, least)
+        np.testing.assert_allclose(out[k], [_answer(tree, v) for v in x], atol=1e-12)
+    np.testing.assert_allclose(shares.sum(axis=1), 1)
+
+
+def test_boosting_equals_plain_rounds():
+    from mensura.operators.trees import TreeSettings, fitted
+    x, y, train = _tree_data()
+    out, _ = fitted(x, y, train, TreeSettings(True, 6, 2, 1, 0.3))
+    for k, rows in enumerate(train):
+        pred = np.full(len(y), y[rows].mean())
+        for _ in range(6):
+            tree = _cart(x[rows], (y - pred)[rows], 2, 1)
+            pred = pred + 0.3 * np.array([_answer(tree, v) for v in x])
+        np.testing.assert_allclose(out[k], pred, atol=1e-9)
+
+
+def test_leaf_penalty_shrinks_and_sampling_is_per_fold():
+    from dataclasses import replace
+    from mensura.operators.trees import TreeSettings, fitted
+    x, y, train = _tree_data()
+    s = TreeSettings(True, 1, 1, 1, 1.0, l2=2.0)
+    out, _ = fitted(x, y, train[:1], s)
+    rows, mean = train[0], y[train[0]].mean()
+    sides = [rows & (out[0] == v) for v in np.unique(out[0])]
+    assert len(sides) == 2
+    for side in sides:
+        assert out[0][side][0] == pytest.approx(mean + (y[side] - mean).sum() / (side.sum() + 2.0))
+    for s in (TreeSettings(False, 7, 3, 2, feature_subset="sqrt"), replace(s, num_trees=5, subsample=0.7, feature_subset="0.5")):
+        whole, _ = fitted(x, y, train, s)
+        part, _ = fitted(x, y, train[:2], s)
+        np.testing.assert_allclose(whole[:2], part, atol=1e-12)  # other folds change nothing
+        again, _ = fitted(x, y, train, s)
+        assert (whole == again).all() and not np.allclose(whole, fitted(x, y, train, replace(s, seed=1))[0])
+
+
+def test_trees_of_odd_series(spark):
+    """Gaps in features, a fold without training rows, a constant label, one row."""
+    rows = [("gap", t, [float(t % 5), None if t % 7 == 0 else 1.0], float(t % 3)) for t in range(20)]
+    rows += [("flat", t, [float(t), 0.0], 4.0) for t in range(20)]
+    rows += [("one", 0, [1.0, 2.0], 3.0), ("late", 0, [1.0, 2.0], None), ("late", 1, [1.0, 2.0], 3.0)]
+    df = spark.createDataFrame(rows, "series_id string, t int, x array<double>, y double").withColumn(
+        "eligible", F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
+    planned = bt.with_plan(df, bt.plan_walk_forward, ["series_id"], n_test=1)
+    for model in ("forest", "boosting", "boosting_colsample"):
+        got = {r.series_id: r for r in bt.series_tree_backtest(planned, ["series_id"], model, num_trees=3).collect()}
+        assert set(got) == {"gap", "flat"} and got["flat"].pred_target == pytest.approx(4.0)
+        assert 0 <= got["gap"].pred_target <= 2 and sum(got["flat"].importance) == 0

@@ -15,11 +15,6 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 QUERIES = entry.queries()
-#: Tree fits at the published settings take minutes each: MENSURA_SLOW=1 runs them.
-#: The same code runs with few trees in test_models.py.
-SLOW = {"ml3_forest", "ml4_boosting", "ml5_boosting_colsample", "ml10_grid", "ml13_auto_select", "ml16_feature_effects",
-        "ml19_summary", "fw7_auto_select_errors", "fw7_auto_select_report", "fw8_delevel_grid", "fw9_nowcast_forest",
-        "fw10_tree_comparison"}
 ORACLES = entry.oracle_sql()
 
 
@@ -45,8 +40,6 @@ def test_oracles_cover_sql_expressible_ids():
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("op") and n != "pipeline"))
 def test_query(spark, duck, name):
-    if name in SLOW and not os.environ.get("MENSURA_SLOW"):
-        pytest.skip("tree fits at the published settings")
     df = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     if name not in ORACLES:
