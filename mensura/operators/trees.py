@@ -272,8 +272,9 @@ def fold_predictions(df: DataFrame, keys: Sequence[str], s: TreeSettings, x: str
         out, shares = fitted(features, labels, train, s)
         scored = whole[None, :] & (at[None, :] >= cuts[:, None]) & (at[None, :] < cuts[:, None] + h)
         k, i = np.nonzero(scored & train.any(axis=1)[:, None])
-        return pd.DataFrame({c: [pdf[c].iloc[0]] * len(k) for c in keys} | {
-            "t": at[i], "k": k.astype("int32"), "pred_target": out[k, i], "importance": [shares[f].tolist() for f in k]})
+        return pd.DataFrame({c: pdf[c].to_numpy(dtype=object)[:1].repeat(len(k)) for c in keys} | {
+            "t": at[i], "k": k.astype("int32"), "pred_target": out[k, i],
+            "importance": pd.Series([shares[f].tolist() for f in k], dtype=object)})
 
     rows = df.select(*keys, F.col(t).cast("long").alias("t"), F.col(x).alias("x"), F.col(y).cast("double").alias("y"),
                      F.col(eligible).alias("eligible"), "c0", "step", "K", "h")
@@ -292,9 +293,9 @@ def split_predictions(df: DataFrame, keys: Sequence[str], s: TreeSettings, t: st
         train = ((pdf["split"] == "train").to_numpy() & whole & ~np.isnan(labels))[None, :]
         keep = whole if train.any() else np.zeros(len(pdf), dtype=bool)
         out, shares = fitted(features, labels, train, s)
-        return pd.DataFrame({c: [pdf[c].iloc[0]] * int(keep.sum()) for c in keys} | {
+        return pd.DataFrame({c: pdf[c].to_numpy(dtype=object)[:1].repeat(int(keep.sum())) for c in keys} | {
             "t": pdf["t"].to_numpy()[keep], "prediction": out[0][keep],
-            "importance": [shares[0].tolist()] * int(keep.sum())})
+            "importance": pd.Series([shares[0].tolist()] * int(keep.sum()), dtype=object)})
 
     rows = df.select(*keys, F.col(t).cast("long").alias("t"), "x", F.col("y").cast("double").alias("y"), "split")
     return _spread(rows, keys).groupBy(*keys).applyInPandas(
