@@ -34,7 +34,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold main text.
 ASIDE = frozenset(
     "head nav footer aside form button select option dialog menu noscript template svg math iframe object canvas "
-    "audio video figcaption".split()) - {"figcaption"}
+    "audio video".split())
 #: Words in class, id and role that mark what is not main text.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
@@ -46,6 +46,10 @@ MARKED = frozenset(
 OWN_ARTICLES = frozenset(
     "comment comments commentlist reply replies respond disqus discussion related recommended recommendations "
     "teaser teasers ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: Marked words that wrappers of running text have as well: a paragraph of text stays.
+WEAK = frozenset(
+    "search form tags share sharing social skip copyright widget toolbar banner menu nav navbar navigation alert "
+    "modal overlay popup".split())
 #: Names that begin so say something about an element and not what it is.
 QUALIFIERS = frozenset("has with no without not hide show".split())
 #: Opening one of these closes an open one of the same kind.
@@ -74,20 +78,21 @@ class Block:
     region: int       # number of the article or main element around it, 0 for none
     heading: bool
     paragraph: bool   # marked up as running or preformatted text
+    weak: bool        # aside only by names that are ``WEAK``
 
 
 def _marked(attributes: str, names: bool) -> int:
-    """2: never main text; 1: not main text but for an article or main inside; 0: not marked."""
+    """3: never main text; 2: not main text but for an article or main inside; 1: the same, by a weak name; 0: not marked."""
     if not attributes or attributes.isspace():
         return 0
     if _HIDDEN.search(attributes):
-        return 2
+        return 3
     out = 0
     for m in _NAMES.finditer(attributes) if names else ():
         for name in (m[2] or m[3] or m[4] or "").lower().split():
             words = re.findall(r"[a-z]+", name)
             if words and words[0] not in QUALIFIERS and not MARKED.isdisjoint(words):
-                out = max(out, 1 if OWN_ARTICLES.isdisjoint(words) else 2)
+                out = max(out, 3 if not OWN_ARTICLES.isdisjoint(words) else 2 if MARKED & set(words) - WEAK else 1)
     return out
 
 
@@ -105,7 +110,7 @@ def blocks(page: str, names: bool = True) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             out.append(Block(text, min(1.0, linked / len(text)), state[1] > 0, state[2], state[4],
-                             next((s[0] for s in reversed(stack) if s[0] not in INLINE), "") in PARAGRAPHS))
+                             next((s[0] for s in reversed(stack) if s[0] not in INLINE), "") in PARAGRAPHS, state[1] == 1))
         parts.clear()
         linked = 0
 
@@ -151,7 +156,7 @@ def blocks(page: str, names: bool = True) -> list[Block]:
             pos = end.end() if end else n
             continue
         block = tag not in INLINE
-        marked = 2 if tag in ASIDE or (tag == "header" and not state[2]) else _marked(attributes, names)
+        marked = 3 if tag in ASIDE or (tag == "header" and not state[2]) else _marked(attributes, names)
         if block or marked:
             close()
         if block and stack and stack[-1][0] == "p":
@@ -168,7 +173,7 @@ def blocks(page: str, names: bool = True) -> list[Block]:
             continue
         region = state[2]
         aside = max(state[1], 0 if tag in ("html", "body", "main") else marked)
-        if tag in ("article", "main") and aside < 2 and not region:
+        if tag in ("article", "main") and aside < 3 and not region:
             # names around it, or its own, do not take a page's article away
             aside = 0
             regions += 1
@@ -186,8 +191,19 @@ def labels(found: list[Block]) -> list[bool]:
     for b in found:
         words = [w.lower() for w in _WORD.findall(b.text)]
         counted.append((len(words), sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0))
-    plain = [not b.aside and b.links <= LINKS_HIGH for b in found]
-    good = [ok and n >= LONG and stops >= STOPS_HIGH for ok, (n, stops) in zip(plain, counted)]
+    full = [b.links <= LINKS_HIGH and n >= LONG and stops >= STOPS_HIGH for b, (n, stops) in zip(found, counted)]
+    # a weak name does not take away what has a paragraph with the stop words of text in it
+    aside = [b.aside for b in found]
+    at = 0
+    while at < len(found):
+        end = at + 1
+        if found[at].weak:
+            while end < len(found) and found[end].weak:
+                end += 1
+            if any(full[k] and found[k].paragraph for k in range(at, end)):
+                aside[at:end] = [False] * (end - at)
+        at = end
+    good = [ok and not off for ok, off in zip(full, aside)]
     # articles without any text may be teasers of a page whose text stands elsewhere
     textual = {b.region for b, yes in zip(found, good) if yes}
     # few stop words say something only where the page is in a language that has them here
@@ -195,10 +211,12 @@ def labels(found: list[Block]) -> list[bool]:
 
     def first(i: int) -> bool | None:
         b, (n, stops) = found[i], counted[i]
-        if b.aside:
+        if aside[i]:
             return False
         if b.links > LINKS_HIGH:
-            return None if b.heading and b.region else False
+            # one linked heading or paragraph goes with its neighbours, a run of links does not
+            alone = b.paragraph and not any(found[k].links > LINKS_HIGH for k in (i - 1, i + 1) if 0 <= k < len(found))
+            return None if b.region and (b.heading or alone) else False
         if good[i]:
             return b.region > 0 or "©" not in b.text
         if b.region and (b.region in textual or 0 not in textual):
@@ -208,9 +226,13 @@ def labels(found: list[Block]) -> list[bool]:
             return True if n >= SHORT or stops >= STOPS_HIGH else None
         if b.region or "©" in b.text:
             return False
-        return False if told or n >= LONG and stops < STOPS_LOW else None
+        if told:
+            return False
+        if n >= LONG and stops < STOPS_LOW:  # keywords, or a language that has no stop words here
+            return not textual
+        return None
 
-    told = any(b.region and not b.aside and (b.region in textual or 0 not in textual) for b in found)
+    told = any(b.region and not off and (b.region in textual or 0 not in textual) for b, off in zip(found, aside))
     known = [first(i) for i in range(len(found))]
     if not any(known):  # no block is decided to be main text: what is undecided is all there is
         return [k is None for k in known]
@@ -220,12 +242,12 @@ def labels(found: list[Block]) -> list[bool]:
     seen: dict[int, int] = {}
     for i in range(n):
         before[i] = seen.get(found[i].region)
-        if known[i] is not None and not (found[i].aside and found[i].region):
+        if known[i] is not None and not aside[i]:
             seen[found[i].region] = i
     seen = {}
     for i in range(n - 1, -1, -1):
         after[i] = seen.get(found[i].region)
-        if known[i] is not None and not (found[i].aside and found[i].region):
+        if known[i] is not None and not aside[i]:
             seen[found[i].region] = i
     out = []
     for i, b in enumerate(found):
@@ -259,8 +281,8 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every row of
-    ``pages`` (null html: empty). Rows are independent: repeated ones come
-    back repeated, an empty table gives an empty result, and other columns
+    ``pages`` (null html: empty; long pages are read whole). Rows are
+    independent: repeated ones come back repeated, an empty table gives an empty result, and other columns
     are ignored."""
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -46,6 +46,10 @@ NEAR = 6
 HELD = 1 << 14
 #: Counts of shingles, in so many slots, tell the rare ones.
 SLOTS = 1 << 20
+#: Bits of the sketches of sets that meet on their rarest shingles, in whole longs.
+BITS = 2048
+#: Pairs whose sketches a task compares at a time.
+PAIRS = 1 << 16
 #: A signature that agrees in so many standard deviations less than asked rules a pair out.
 DEVIATIONS = 6.0
 
@@ -96,6 +100,18 @@ def signatures(sets: list[np.ndarray], values: int, chunk: int = 1 << 15) -> np.
     return out
 
 
+def sketches(signature: np.ndarray) -> list[bytes]:
+    """One bit of every MinHash value, packed: sets at similarity s differ in
+    a bit with chance (1 - s) / 2."""
+    return [x.tobytes() for x in np.packbits((signature >> 15).astype(np.uint8), axis=1)]
+
+
+def most_bits(least: float, bits: int) -> int:
+    """Bits in which two sets of the similarity (per cent) differ at most, with room for chance."""
+    chance = (1 - least / 100) / 2
+    return int(bits * chance + DEVIATIONS * (bits * chance * (1 - chance)) ** 0.5)
+
+
 def neighbours(zones: np.ndarray, labels: np.ndarray, parts: np.ndarray, prefix: int = PREFIX, region: int = REGION,
                near: int = NEAR, rest: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of positions in sorted labels (rows of values), of
@@ -154,7 +170,7 @@ def neighbours(zones: np.ndarray, labels: np.ndarray, parts: np.ndarray, prefix:
 
 
 def _sets(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """``doc_id``, ``row_key``, ``n``, the set's 128-bit name and its labels."""
+    """``doc_id``, ``row_key``, ``n``, the set's 128-bit name, its labels and a sketch of them."""
     values = trees * depth
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,30 +181,31 @@ def _sets(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = signatures([sets[i] for i in full], values)
                 rows: list[bytes | None] = [None] * len(sets)
-                for k, i in enumerate(full):
-                    rows[i] = sig[k].astype(">u2").tobytes()
+                short: list[bytes | None] = [None] * len(sets)
+                for k, (i, sketch) in enumerate(zip(full, sketches(sig))):
+                    rows[i], short[i] = sig[k].astype(">u2").tobytes(), sketch
                 names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"),
                     "n": pa.array([len(s) for s in sets], pa.int64()), "name": pa.array(names, pa.binary()),
-                    "labels": pa.array(rows, pa.binary())})
+                    "labels": pa.array(rows, pa.binary()), "sketch": pa.array(short, pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"),
                        F.col("text").cast("string").alias("text")).mapInArrow(
-        one, "doc_id bigint, row_key bigint, n bigint, name binary, labels binary")
+        one, "doc_id bigint, row_key bigint, n bigint, name binary, labels binary, sketch binary")
 
 
 def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends: bool, held: int = HELD) -> DataFrame:
-    """What sorted ``rows`` (``zone``, ``label``, ``id``, ``n``, ``part``) give, by ``kind``:
+    """What sorted ``rows`` (``zone``, ``label``, ``id``, ``n``, ``part``, ``sketch``) give, by ``kind``:
 
-    0: pairs ``a`` < ``b`` of different parts ``pa`` and ``pb``.
+    0: pairs ``a`` < ``b`` of different parts ``pa`` and ``pb``, but for those that their sketches rule out.
     1: with ``ends``, labels that may go on in another partition: its first and
        last run (``a`` id, ``b`` zone, ``pa`` part), or with ``region`` 0 its
        first and last label, under the number of the end they stand at.
     2: sets in regions too large for their labels (``a`` id, ``pa`` part).
     3: labels, as in 1, of runs of more than ``held`` labels; none of their pairs are in 0.
     """
-    columns = ["kind", "a", "b", "pa", "pb", "label", "n"]
+    columns = ["kind", "a", "b", "pa", "pb", "label", "n", "sketch"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId()
@@ -210,18 +227,26 @@ def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends:
                 i, j = i[fit], j[fit]
                 fit = (np.abs(i - j) == 1) | (2 * (labels[i] == labels[j]).sum(axis=1) >= labels.shape[1])
             i, j = i[fit], j[fit]
+            if frame["sketch"].notna().all():
+                short = np.array([np.frombuffer(x, dtype=np.uint8) for x in frame["sketch"]])
+                fit = [np.bitwise_count(short[x] ^ short[y]).sum(axis=1, dtype=np.int64) for x, y in zip(
+                    np.array_split(i, len(i) // PAIRS + 1), np.array_split(j, len(j) // PAIRS + 1))]
+                fit = np.concatenate(fit) <= most_bits(least, 8 * short.shape[1])
+                i, j = i[fit], j[fit]
             i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
             out = pd.DataFrame({"a": ids[i], "b": ids[j], "pa": part[i], "pb": part[j]}).drop_duplicates()
-            out = out.assign(kind=0, label=None, n=None)
+            out = out.assign(kind=0, label=None, n=None, sketch=None)
             if rest:
                 at = np.concatenate(rest)
                 out = pd.concat([out, pd.DataFrame({"kind": 2, "a": ids[at], "b": ids[at], "pa": part[at],
-                                                    "pb": part[at], "label": None, "n": None})], ignore_index=True)
+                                                    "pb": part[at], "label": None, "n": None, "sketch": None})],
+                                ignore_index=True)
             return out[columns].astype({"kind": "int32"})
 
         def handed(frame: pd.DataFrame, kind: int, at: int = 0) -> pd.DataFrame:
             return pd.DataFrame({"kind": kind, "a": frame["id"], "b": at * 256 + frame["zone"], "pa": frame["part"],
-                                 "pb": 0, "label": frame["label"], "n": frame["n"]}).astype({"kind": "int32"})
+                                 "pb": 0, "label": frame["label"], "n": frame["n"], "sketch": frame["sketch"]}
+                                ).astype({"kind": "int32"})
 
         def adjacent() -> Iterator[pd.DataFrame]:
             last: pd.DataFrame | None = None
@@ -271,27 +296,29 @@ def _pairs_in_order(rows: DataFrame, least: int, prefix: int, region: int, ends:
 
         yield from regions() if region else adjacent()
 
-    return rows.mapInPandas(scan, "kind int, a bigint, b bigint, pa bigint, pb bigint, label binary, n bigint")
+    return rows.mapInPandas(scan, "kind int, a bigint, b bigint, pa bigint, pb bigint, label binary, n bigint, "
+                                 "sketch binary")
 
 
 def candidates(sets: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, prefix: int = PREFIX,
                region: int = REGION, held: int = HELD) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs ``a`` < ``b`` of ``sets`` (``id``, ``n``,
-    ``labels``, ``part``) of different parts ``pa`` and ``pb``; and the sets
+    ``labels``, ``part``, and ``sketch`` if there is one) of different parts ``pa`` and ``pb``; and the sets
     (``id``, ``part``) that the labels do not tell apart, or that stand in
     runs of more than ``held`` labels, whose pairs are for ``rarest_pairs``."""
     width = 2 * depth
-    rows = sets.select("id", "n", "part", F.posexplode(F.transform(
+    sketch = F.col("sketch") if "sketch" in sets.columns else F.lit(None).cast("binary").alias("sketch")
+    rows = sets.select("id", "n", "part", sketch, F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: F.substring("labels", t * width + 1, F.lit(width)))).alias("zone", "label"))
-    rows = rows.select(F.col("zone").cast("long").alias("zone"), "label", "id", "n", "part")
+    rows = rows.select(F.col("zone").cast("long").alias("zone"), "label", "id", "n", "part", "sketch")
     order = ["zone", "label", "id"]
     found = stage_table(_pairs_in_order(
         rows.repartitionByRange(*order).sortWithinPartitions(*order), least, prefix, region, True, held), "found")
 
     def handed(df: DataFrame, kind: int) -> DataFrame:
         return df.filter(F.col("kind") == kind).select(
-            F.col("b").alias("zone"), "label", F.col("a").alias("id"), "n", F.col("pa").alias("part"),
+            F.col("b").alias("zone"), "label", F.col("a").alias("id"), "n", F.col("pa").alias("part"), "sketch",
             F.substring("label", 1, 2 * prefix).alias("start"))
 
     run = ["zone", "start"]
@@ -300,7 +327,7 @@ def candidates(sets: DataFrame, trees: int = TREES, depth: int = DEPTH, least: i
     ends = handed(found, 1)
     short = ends.join(long, run, "left_anti") if region else ends
     keys = run if region else ["zone"]
-    across = stage_table(_pairs_in_order(short.repartition(*keys).sortWithinPartitions(*order).select(*order, "n", "part"),
+    across = stage_table(_pairs_in_order(short.repartition(*keys).sortWithinPartitions(*order).select(*order, "n", "part", "sketch"),
                                          least, prefix, region, False, held), "across")
     both = found.unionByName(across)
     pairs = both.filter("kind = 0").select("a", "b", "pa", "pb").distinct()
@@ -339,7 +366,10 @@ def rarest_pairs(docs: DataFrame, left: DataFrame, words: int = WORDS, least: in
     and y - need + 1. The smaller set so needs few shingles; in a family of
     pages with a common body those are its own. How rare a shingle is comes
     from counts in a fixed number of slots: any common order is right, and
-    clashes only make it less sharp.
+    clashes only make it less sharp. Where many sets share such shingles
+    (pages filled from common alternatives), the pairs that meet are still
+    many; a sketch of ``BITS`` bits goes along and rules out, inside the
+    join, those that chance cannot bring so far apart.
     """
     shingles = _shingles(docs, left, words)
     slot = F.col("s").bitwiseAND(F.lit(SLOTS - 1))
@@ -359,13 +389,17 @@ def rarest_pairs(docs: DataFrame, left: DataFrame, words: int = WORDS, least: in
                 first = [s[np.lexsort((s, often[s & (SLOTS - 1)]))[:k]] for s, k in zip(sets, held)]
                 place = np.concatenate([np.arange(k) for k in held])
                 each = pa.array(np.repeat(np.arange(len(sets)), held))
+                bits = [np.frombuffer(x, "<i8") for x in sketches(signatures([x.view(np.uint64) for x in sets], BITS))]
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * BITS // 64 + 1, BITS // 64), pa.int32()),
+                                                  pa.array(np.concatenate(bits)))
                 yield pa.RecordBatch.from_pydict({
                     "token": pa.array(np.concatenate(first)), "at": pa.array(place),
                     "id": batch.column("id").take(each), "part": batch.column("part").take(each),
-                    "n": pa.array(np.repeat(n, held)), "short": pa.array(place < np.repeat(short, held))})
+                    "n": pa.array(np.repeat(n, held)), "short": pa.array(place < np.repeat(short, held)),
+                    "sketch": sketch.take(each)})
 
     rows = stage_table(shingles.join(left.dropDuplicates(["id"]), "id").mapInArrow(
-        rare, "token bigint, at bigint, id bigint, part bigint, n bigint, short boolean"), "rarest")
+        rare, "token bigint, at bigint, id bigint, part bigint, n bigint, short boolean, sketch array<bigint>"), "rarest")
     # a part's sets need not meet each other: of the part most frequent at a shingle only the others are met
     most = (rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("_n"), F.max("short").alias("_short"))
             .groupBy("token").agg(F.max_by("part", F.struct("_n", "part")).alias("most"),
@@ -373,11 +407,14 @@ def rarest_pairs(docs: DataFrame, left: DataFrame, words: int = WORDS, least: in
             .filter("_parts > 1 AND _short").select("token", "most"))
     rows = stage_table(rows.join(most, "token"), "meeting")
 
+    differ = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(BITS // 64))
+
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
         need = f"(({least} * (x.n + y.n) + {99 + least}) div {100 + least})"
         return x.alias("x").join(y.alias("y"), F.expr(
             f"x.token = y.token AND x.part <> y.part AND (x.n < y.n OR (x.n = y.n AND x.id < y.id)) "
-            f"AND 100 * x.n >= {least} * y.n AND x.at <= x.n - {need} AND y.at <= y.n - {need}")).selectExpr(
+            f"AND 100 * x.n >= {least} * y.n AND x.at <= x.n - {need} AND y.at <= y.n - {need} "
+            f"AND {differ} <= {most_bits(least, BITS)}")).selectExpr(
             "least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b",
             "IF(x.id < y.id, x.part, y.part) AS pa", "IF(x.id < y.id, y.part, x.part) AS pb")
 
@@ -437,12 +474,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees:
     rows = stage_table(_sets(docs, words, trees, depth), "sets")
     # equal sets are one; their smallest doc_id stands for them
     sets = stage_table(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "name").agg(
-        F.min("doc_id").alias("id"), F.first("labels").alias("labels")), "classes")
+        F.min("doc_id").alias("id"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")), "classes")
     first, _ = candidates(sets.withColumn("part", F.col("id")), min(FIRST_TREES, trees), depth, least, prefix, 0)
     tried = stage_table(first, "tried")
     near = components(confirmed(docs, sets, tried.select("a", "b"), words, least, trees * depth))
     parts = stage_table(sets.join(near, sets["id"] == near["node"], "left").select(
-        "n", "name", "id", "labels", F.coalesce("label", "id").alias("part")), "parts")
+        "n", "name", "id", "labels", "sketch", F.coalesce("label", "id").alias("part")), "parts")
     rest, left = candidates(parts, trees, depth, least, prefix, region, held)
     left = stage_table(left, "left")
     if not left.isEmpty():
@@ -455,7 +492,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees:
         "labelled")
     on = (rows["n"] == classes["_n"]) & (rows["name"] == classes["_name"]) & rows["doc_id"].isNotNull()
     component = F.coalesce("_component", "doc_id")
-    return rows.drop("labels").join(classes, on, "left").select(
+    return rows.drop("labels", "sketch").join(classes, on, "left").select(
         "doc_id", "row_key", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -5,6 +5,11 @@ the source's words up to and with it, divided by the source's target. A
 second pass over a source goes on where the first one ended. Sorting all
 documents by that time interleaves the sources in proportion to their
 targets; the sorted queue is cut where its words reach the total budget.
+
+Word by word, sources served in proportion to their targets use up the budget
+at virtual time 1: a document in service then counts with the words before it
+(``taken``), so every source meets its target. Taken whole (``copies``), the
+documents are those that the sorted queue finishes within the budget.
 """
 
 from __future__ import annotations
@@ -62,9 +67,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     Returns one row per row of ``docs``: ``doc_id``, ``row_key``, ``size``
     (words; null text: 0), ``source_size``, ``target`` (of its source),
     ``copies`` (times the whole document is taken, 0 to ``most``) and
-    ``taken`` (``copies`` times ``size``). Documents are taken whole, so a
-    source's words miss its target by less than a document or so. A null
-    source is a source of its own. The shuffle is a hash of ``doc_id``, the
+    ``taken`` (words of it that come before virtual time 1, all passes
+    together). The ``taken`` words of a source are its target, rounded. Whole
+    documents miss it: a source whose next document is larger than what is
+    left of its target gets less, by up to that document, and the others'
+    copies fill the budget. A null source is a source of its own. A long text
+    is one document with many words. The shuffle is a hash of ``doc_id``, the
     content and ``seed``, so reruns agree; rows that repeat each other wholly
     are queued one after the other in any order. Documents without words get
     ``taken`` 0. An empty table gives an empty result.
@@ -84,14 +92,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     queued = counted.join(t, counted["source"].eqNullSafe(t["_source"])).drop("_source", "source")
     queued = stage_table(queued, "queued")
 
-    # virtual finish times, one per pass; what ends after time 2 is past any cut at the budget:
-    # by time 1 every source has had its target
+    # virtual finish times, one per pass
     ends = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: (
         k * F.col("source_size") + F.col("before") + F.col("size")).cast("double") / F.col("target"))
     queue = queued.filter("size > 0").select(
-        "size", F.posexplode(ends).alias("pass", "time"), "rank", "order", "doc_id", "row_key").filter("time <= 2")
+        "size", F.posexplode(ends).alias("pass", "time"), "rank", "order", "doc_id", "row_key")
     steps = max(1, math.isqrt(rows))
-    step = F.floor(F.col("time") * steps)
+
+    def step_of(time: Column) -> Column:
+        """Steps of equal length up to time 2, which the cut hardly ever
+        passes, and growing ones behind it: few, however late a document ends."""
+        return F.when(time <= 2, F.floor(time * steps)).otherwise(F.floor((F.log2(time) + 1) * steps))
+
+    step = step_of(F.col("time"))
     by_step = queue.groupBy(step.alias("step")).agg(F.sum("size").alias("words"))
     along = Window.orderBy("step")
     edge = (by_step.withColumn("upto", F.sum("words").over(along))
@@ -99,21 +112,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     place = ["time", "rank", "order", "doc_id", "row_key"]
     copies: Column
     if edge is None:  # the whole queue fits
-        taken = F.filter(ends, lambda x: x <= 2)
-        copies = F.size(taken)
+        copies = F.lit(most)
     else:
         inside = queue.filter(step == edge["step"]).withColumn(
             "upto", F.sum("size").over(Window.orderBy(*place)) + (edge["upto"] - edge["words"]))
         last = inside.filter(F.col("upto") <= budget).orderBy(F.col("upto").desc()).select(*place).first()
         if last is None:  # nothing of this step fits
-            copies = F.size(F.filter(ends, lambda x: F.floor(x * steps) < edge["step"]))
+            copies = F.size(F.filter(ends, lambda x: step_of(x) < edge["step"]))
         else:
             mark = F.struct(*[F.lit(v).alias(c) for c, v in last.asDict().items()])
             mark = mark.cast("struct<time:double,rank:bigint,order:bigint,doc_id:bigint,row_key:bigint>")
             copies = F.size(F.filter(ends, lambda x: F.struct(
                 x.alias("time"), F.col("rank"), F.col("order"), F.col("doc_id").cast("bigint").alias("doc_id"),
                 F.col("row_key")) <= mark))
+    rest = F.round("target").cast("long") - F.col("before")
+    taken = sum(F.greatest(F.lit(0), F.least(F.col("size"), rest - k * F.col("source_size"))) for k in range(most))
     copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("int")
     return queued.withColumn("copies", copies).select(
         "doc_id", "row_key", "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+        taken.cast("long").alias("taken"))

@@ -109,6 +109,15 @@ LINKS = "<ul>" + "".join(f'<li><a href="{i}">A link of number {i} to the other p
      f"{GOOD} {GOOD}"),
     # text before the article counts, menus without a mark do not
     (f"<p>{GOOD}</p><div>Log out</div><article><h1>Head</h1><p>{GOOD}</p></article><div>Top</div>", f"{GOOD} Head {GOOD}"),
+    # the same outside an article
+    ("<div>" + "слово " * 19 + "</div><div>Меню</div>", ("слово " * 19).strip() + " Меню"),
+    # a weak name around running text and one without, a paragraph that is a link, links in a row
+    (f'<article><div class="search-results-body"><p>{GOOD}</p><p>Find</p></div><p>{GOOD}</p><div class="search">Search the site</div>'
+     f'<p><a href="x">Read the full report of the storm here in the paper</a></p><p>{GOOD}</p></article>',
+     f"{GOOD} Find {GOOD} Read the full report of the storm here in the paper {GOOD}"),
+    (f'<article><p>{GOOD}</p><p><a href="x">One link to the other</a></p><p><a href="y">Two links to it</a></p></article>', GOOD),
+    # a short last line before comments
+    (f'<div><p>{GOOD}</p><p>Done.</p></div><div class="comments"><p>{GOOD}</p></div>', f"{GOOD} Done."),
     # a language without stop words here
     ("<article><p>" + "слово " * 30 + "</p><p>" + "дело " * 12 + "</p></article>", ("слово " * 30 + "дело " * 12).strip())])
 def test_rules_inside_and_outside_regions(page, text):
