@@ -452,6 +452,13 @@ def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int = W
             .filter(100 * both >= least * (F.size("_x") + F.size("_y") - both)).drop("_x", "_y"))
 
 
+def _joined(parts: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``parts`` with the ``part`` that ``links`` between parts (``a``, ``b``) lead to."""
+    found = components(links)
+    return stage_table(parts.join(found, parts["part"] == found["node"], "left").select(
+        *[c for c in parts.columns if c != "part"], F.coalesce("label", "part").alias("part")), name)
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees: int = TREES, depth: int = DEPTH,
                 prefix: int = PREFIX, region: int = REGION, held: int = HELD) -> DataFrame:
     """Groups of near copies.
@@ -477,19 +484,20 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees:
         F.min("doc_id").alias("id"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")), "classes")
     first, _ = candidates(sets.withColumn("part", F.col("id")), min(FIRST_TREES, trees), depth, least, prefix, 0)
     tried = stage_table(first, "tried")
-    near = components(confirmed(docs, sets, tried.select("a", "b"), words, least, trees * depth))
-    parts = stage_table(sets.join(near, sets["id"] == near["node"], "left").select(
-        "n", "name", "id", "labels", "sketch", F.coalesce("label", "id").alias("part")), "parts")
+    links = confirmed(docs, sets, tried.select("a", "b"), words, least, trees * depth)
+    parts = _joined(sets.withColumn("part", F.col("id")), links, "parts")
     rest, left = candidates(parts, trees, depth, least, prefix, region, held)
+    rest = stage_table(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     left = stage_table(left, "left")
-    if not left.isEmpty():
-        rest = rest.unionByName(rarest_pairs(docs, left, words, least)).distinct()
-    rest = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = confirmed(docs, parts, rest, words, least, trees * depth)
-    joined = components(more.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
-    classes = stage_table(parts.join(joined, parts["part"] == joined["node"], "left").select(
-        F.col("n").alias("_n"), F.col("name").alias("_name"), F.coalesce("label", "part").alias("_component")),
-        "labelled")
+    parts = _joined(parts, more.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "more_parts")
+    if not left.isEmpty():
+        # most of what is left has been joined by now, and need not meet again
+        known = tried.select("a", "b").unionByName(rest.select("a", "b"))
+        last = rarest_pairs(docs, left.select("id").join(parts.select("id", "part"), "id"), words, least)
+        last = confirmed(docs, parts, last.join(known, ["a", "b"], "left_anti"), words, least, trees * depth)
+        parts = _joined(parts, last.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "last_parts")
+    classes = parts.select(F.col("n").alias("_n"), F.col("name").alias("_name"), F.col("part").alias("_component"))
     on = (rows["n"] == classes["_n"]) & (rows["name"] == classes["_name"]) & rows["doc_id"].isNotNull()
     component = F.coalesce("_component", "doc_id")
     return rows.drop("labels", "sketch").join(classes, on, "left").select(
