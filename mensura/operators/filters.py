@@ -93,7 +93,7 @@ def keyword_filter(df: DataFrame, text: str, all_of=(), any_of=(), ts: str | Non
 
 
 def bbox_filter(df: DataFrame, box: Sequence[float], tag: str = "shop",
-                types: Sequence[str] = ("node", "way"), lon="lon", lat="lat",
+                types: Sequence[str] = ("node", "way", "relation"), lon="lon", lat="lat",
                 tags="tags", kind="osm_type") -> DataFrame:
     """FL9: objects inside ``(min_lon, min_lat, max_lon, max_lat)`` that carry
     ``tag`` and are of one of ``types``."""

@@ -64,31 +64,59 @@ def fold_layout_join(df: DataFrame, folds: DataFrame, keys=("series_id",), t: st
     return df.join(f, list(keys)).filter(F.col(t) < F.col(fold_t))
 
 
-def snapshot_counts(objs: DataFrame, first: str = "first_seen", last: str = "last_seen",
-                    keys: Sequence[str] = (), spine: DataFrame | None = None) -> DataFrame:
-    """JN6: objects alive at each month start (``first <= m <= last``).
+def merged_lifetimes(objs: DataFrame, obj: str, first: str = "first_seen", last: str = "last_seen",
+                     keys: Sequence[str] = ()) -> DataFrame:
+    """Lifetimes of objects that come in several versions (keys, ``obj``,
+    first, last): versions that overlap or follow on the next day are one. A
+    null ``last`` is an object that still exists. A window holds the versions
+    of one object."""
+    group = [*keys, obj]
+    end = F.coalesce(F.col(last).cast("date"), F.lit("9999-12-31").cast("date"))
+    d = objs.filter(F.col(first).isNotNull()).select(*group, F.col(first).cast("date").alias("_from"), end.alias("_to"))
+    d = d.filter(F.col("_from") <= F.col("_to"))
+    order = Window.partitionBy(*group).orderBy("_from", "_to")
+    before = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # the far end has no next day
+    apart = F.when(before.isNull(), 1).when(before >= F.lit("9999-12-31").cast("date"), 0).when(
+        F.col("_from") > F.date_add(before, 1), 1).otherwise(0)
+    d = d.withColumn("_apart", apart).withColumn("_island", F.sum("_apart").over(order))
+    out = d.groupBy(*group, "_island").agg(F.min("_from").alias(first), F.max("_to").alias("_to"))
+    return out.select(*group, first, F.when(F.col("_to") < F.lit("9999-12-31").cast("date"), F.col("_to")).alias(last))
+
 
-    Each object emits +1 at its first month and -1 the month after its last;
-    the deltas are summed per month (partial aggregation) and a running sum
-    over the month spine gives the alive count. This replaces the
-    O(objects x months) theta join by O(objects + months).
+def snapshot_counts(objs: DataFrame, first: str = "first_seen", last: str = "last_seen",
+                    keys: Sequence[str] = (), spine: DataFrame | None = None, obj: str | None = None) -> DataFrame:
+    """JN6: objects alive on each day of ``spine`` (keys, ``period``), by
+    default on the first of every month from the first to the last known one:
+    ``first <= day`` and ``last`` null (it still exists) or ``>= day``. With
+    ``obj``, rows are versions of objects and count once (``merged_lifetimes``).
+
+    Each object gives +1 on its first day and -1 on the day after its last;
+    the deltas are summed per day (partial aggregation), and a running sum
+    over the days with events and the asked ones gives the counts. This
+    replaces the O(objects x days) theta join by O(objects + days). Objects
+    without ``first``, or that end before they start, are never alive.
     """
     keys = list(keys)
-    deltas = objs.select(*keys, F.explode(F.array(
-        F.struct(F.col(first).alias("period"), F.lit(1).alias("d")),
-        F.struct(F.add_months(F.col(last), 1).alias("period"), F.lit(-1).alias("d")),
-    )).alias("e")).select(*keys, "e.period", "e.d")
-    per_month = deltas.groupBy(*keys, "period").agg(F.sum("d").alias("delta"))
+    if obj is not None:
+        objs = merged_lifetimes(objs, obj, first, last, keys)
+    life = objs.select(*keys, F.col(first).cast("date").alias("_from"), F.col(last).cast("date").alias("_to")).filter(
+        F.col("_from").isNotNull() & (F.col("_to").isNull() | (F.col("_from") <= F.col("_to"))))
     if spine is None:
-        bounds = objs.groupBy(*keys).agg(F.min(first).alias("_lo"), F.max(last).alias("_hi"))
-        spine = bounds.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month")))
-                              .alias("period"))
-    j = spine.join(per_month, [*keys, "period"], "full")
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("period") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    out = j.withColumn("alive", F.sum(F.coalesce("delta", F.lit(0))).over(w).cast("bigint"))
-    return out.join(spine.select(*keys, "period"), [*keys, "period"], "left_semi") \
-        .select(*keys, "period", "alive")
+        bounds = life.groupBy(*keys).agg(F.trunc(F.min("_from"), "MM").alias("_lo"), F.trunc(
+            F.greatest(F.max("_from"), F.max("_to")), "MM").alias("_hi"))
+        spine = bounds.filter(F.col("_lo").isNotNull()).select(*keys, F.explode(
+            F.sequence("_lo", "_hi", F.expr("interval 1 month"))).alias("period"))
+    events = F.array_compact(F.array(
+        F.struct(F.col("_from").alias("period"), F.lit(1).alias("d")),
+        F.when(F.col("_to").isNotNull(), F.struct(F.date_add("_to", 1).alias("period"), F.lit(-1).alias("d")))))
+    deltas = life.select(*keys, F.explode(events).alias("e")).groupBy(*keys, F.col("e.period").alias("period")).agg(
+        F.sum("e.d").alias("d"), F.lit(False).alias("asked"))
+    days = spine.select(*keys, F.col("period").cast("date").alias("period")).distinct()
+    both = deltas.unionByName(days.select(*keys, "period", F.lit(0).cast("bigint").alias("d"), F.lit(True).alias("asked")))
+    # days of a calendar: a window stays small, however many objects there are
+    w = Window.partitionBy(*keys).orderBy("period").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("alive", F.sum("d").over(w).cast("bigint")).filter("asked").select(*keys, "period", "alive")
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:

@@ -190,6 +190,32 @@ def jn6(spark, sf):
     return rs.snapshot_counts(panels.objs(spark, sf))
 
 
+def _versions(spark, sf):
+    """Orders as versions of a customer: some still open, any day of the month."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    return o.select(F.col("o_custkey").alias("obj_id"), F.col("o_orderdate").cast("date").alias("first_seen"),
+                    F.when(F.col("o_orderkey") % 97 != 0, F.date_add(F.col("o_orderdate").cast("date"),
+                                                                    (F.col("o_orderkey") % 90).cast("int"))).alias("last_seen"))
+
+
+@register("jn6_snapshot_versions", """
+WITH v AS (SELECT o_custkey AS obj_id, CAST(o_orderdate AS DATE) AS first_seen,
+    CASE WHEN o_orderkey % 97 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INTEGER) END AS last_seen FROM orders),
+m AS (SELECT unnest(generate_series(date_trunc('month', min(first_seen)), date_trunc('month', max(first_seen)),
+                                    INTERVAL 1 MONTH)) AS m FROM v),
+s AS (SELECT CAST(m AS DATE) AS period FROM m UNION ALL SELECT CAST(m AS DATE) + 14 FROM m)
+SELECT period, CAST(count(DISTINCT obj_id) AS BIGINT) AS alive
+FROM s LEFT JOIN v ON first_seen <= period AND (last_seen IS NULL OR last_seen >= period) GROUP BY 1""")
+def jn6_versions(spark, sf):
+    """Customers alive on the 1st and 15th of every month: overlapping
+    versions merged, open ends, lifetimes that start and end on any day."""
+    v = _versions(spark, sf)
+    months = v.agg(F.trunc(F.min("first_seen"), "MM").alias("lo"), F.trunc(F.max("first_seen"), "MM").alias("hi")).select(
+        F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("m"))
+    days = months.select(F.explode(F.array("m", F.date_add("m", 14))).alias("period"))
+    return rs.snapshot_counts(v, spine=days, obj="obj_id")
+
+
 # ------------------------------------------------------------------ set ops
 def _order_months(spark, sf):
     return table(spark, sf, "orders", "o_orderdate").select(F.trunc("o_orderdate", "MM").alias("period"))

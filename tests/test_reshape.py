@@ -51,3 +51,26 @@ def test_join_covariates_left_and_pruned(spark):
     out = rs.join_covariates(base, covs, ["period"], ["c1"])
     assert out.columns == ["period", "series_id", "c1"]
     assert sorted((r.period, r.c1) for r in out.collect()) == [(dt.date(2020, 1, 1), 1.0), (dt.date(2020, 2, 1), None)]
+
+
+def test_snapshot_open_ends_and_any_day(spark):
+    import datetime as dt
+    from mensura.operators.geo import density_series
+    from mensura.operators.reshape import merged_lifetimes, snapshot_counts
+    d = lambda m, day=1: dt.date(2020, m, day)
+    rows = [(1, d(1), None), (2, d(2), d(3)), (3, d(2), None), (4, d(3, 5), d(4)), (5, d(1), d(1, 15)), (6, None, d(2)),
+            (7, d(4), d(2)), (8, d(2, 3), d(2, 20))]
+    schema = "obj_id int, first_seen date, last_seen date"
+    objs = spark.createDataFrame(rows, schema)
+    assert [(r.period.month, r.alive) for r in snapshot_counts(objs).orderBy("period").collect()] == [(1, 2), (2, 3), (3, 3), (4, 3)]
+    days = spark.createDataFrame([(d(1, 15),), (d(1, 16),), (d(2, 20),), (dt.date(2019, 1, 1),), (dt.date(2031, 1, 1),)], "period date")
+    got = {r.period: r.alive for r in snapshot_counts(objs, spine=days).collect()}
+    assert got == {d(1, 15): 2, d(1, 16): 1, d(2, 20): 4, dt.date(2019, 1, 1): 0, dt.date(2031, 1, 1): 2}
+    versions = spark.createDataFrame([(1, d(1), d(1, 10)), (1, d(1, 11), d(2)), (1, d(1, 5), d(1, 6)), (1, d(4), None), (1, d(5), d(6)),
+                                      (2, d(3), d(3))], schema)
+    got = sorted((r.obj_id, r.first_seen, r.last_seen) for r in merged_lifetimes(versions, "obj_id").collect())
+    assert got == [(1, d(1), d(2)), (1, d(4), None), (2, d(3), d(3))]
+    assert snapshot_counts(objs.limit(0)).collect() == []
+    places = objs.selectExpr("*", "1.0D AS lon", "1.0D AS lat", "map('shop', 'x') AS tags",
+                             "element_at(array('node', 'way', 'relation'), 1 + obj_id % 3) AS osm_type")
+    assert [r.shop_count for r in density_series(places, (0, 0, 2, 2)).orderBy("period").collect()] == [2, 3, 3, 3]
