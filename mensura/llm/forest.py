@@ -6,8 +6,9 @@ side; a region is a run of labels with a common prefix. A small region gives
 all its pairs; a larger one gives its neighbours and is then looked at one
 value deeper, until its parts are small. The sets of those still large where
 the labels end meet in a join on their rarest shingles. Pairs whose sizes
-or signatures rule out the asked similarity go, the rest are compared on
-their full sets, and links are followed to connected components.
+or sketches (a bit of every MinHash value, carried along in the sort) rule out
+the asked similarity go, the rest are compared on their full sets, and links
+are followed to connected components.
 
 Sets that are equal are one set from the start, so a group of copies, however
 large, takes part once. A sort has no groups: partitions end anywhere, and
@@ -50,7 +51,7 @@ SLOTS = 1 << 20
 BITS = 2048
 #: Pairs whose sketches a task compares at a time.
 PAIRS = 1 << 16
-#: A signature that agrees in so many standard deviations less than asked rules a pair out.
+#: A sketch that differs in so many standard deviations more than asked rules a pair out.
 DEVIATIONS = 6.0
 
 
@@ -422,25 +423,11 @@ def rarest_pairs(docs: DataFrame, left: DataFrame, words: int = WORDS, least: in
         met(rows.filter("short AND part = most"), rows.filter("part <> most"))).distinct()
 
 
-def _agree(least: float):
-    @F.pandas_udf("boolean")
-    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([bool(np.mean(np.frombuffer(a, ">u2") == np.frombuffer(b, ">u2")) >= least)
-                          for a, b in zip(x, y)], dtype=bool)
-    return agree
-
-
-def confirmed(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int = WORDS, least: int = LEAST,
-              values: int = TREES * DEPTH) -> DataFrame:
-    """The ``pairs`` (ids ``a`` and ``b`` of ``sets``) that are at or above
-    the similarity: first by their signatures, with room for chance, then on
-    the full sets of the whole texts in ``docs``."""
-    agree = least / 100 - DEVIATIONS * (least / 100 * (1 - least / 100) / values) ** 0.5
-    signed = sets.select("id", "labels")
-    pairs = stage_table(
-        pairs.join(signed.select(F.col("id").alias("a"), F.col("labels").alias("_x")), "a")
-        .join(signed.select(F.col("id").alias("b"), F.col("labels").alias("_y")), "b")
-        .filter(_agree(agree)("_x", "_y")).drop("_x", "_y"), "pairs")
+def confirmed(docs: DataFrame, pairs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """The ``pairs`` (``a`` and ``b``) that are at or above the similarity on
+    the full sets of the whole texts in ``docs``. Sketches have ruled out
+    what is far from it."""
+    pairs = stage_table(pairs, "pairs")
     needed = stage_table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
                          .distinct(), "needed")
 
@@ -484,18 +471,18 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees:
         F.min("doc_id").alias("id"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")), "classes")
     first, _ = candidates(sets.withColumn("part", F.col("id")), min(FIRST_TREES, trees), depth, least, prefix, 0)
     tried = stage_table(first, "tried")
-    links = confirmed(docs, sets, tried.select("a", "b"), words, least, trees * depth)
+    links = confirmed(docs, tried.select("a", "b"), words, least)
     parts = _joined(sets.withColumn("part", F.col("id")), links, "parts")
     rest, left = candidates(parts, trees, depth, least, prefix, region, held)
     rest = stage_table(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     left = stage_table(left, "left")
-    more = confirmed(docs, parts, rest, words, least, trees * depth)
+    more = confirmed(docs, rest, words, least)
     parts = _joined(parts, more.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "more_parts")
     if not left.isEmpty():
         # most of what is left has been joined by now, and need not meet again
         known = tried.select("a", "b").unionByName(rest.select("a", "b"))
         last = rarest_pairs(docs, left.select("id").join(parts.select("id", "part"), "id"), words, least)
-        last = confirmed(docs, parts, last.join(known, ["a", "b"], "left_anti"), words, least, trees * depth)
+        last = confirmed(docs, last.join(known, ["a", "b"], "left_anti"), words, least)
         parts = _joined(parts, last.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "last_parts")
     classes = parts.select(F.col("n").alias("_n"), F.col("name").alias("_name"), F.col("part").alias("_component"))
     on = (rows["n"] == classes["_n"]) & (rows["name"] == classes["_name"]) & rows["doc_id"].isNotNull()
