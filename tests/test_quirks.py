@@ -78,3 +78,26 @@ def test_exclude_periods_and_select_resolved(spark):
     out = fl.select_resolved(df, ["series_id", "period"], ["target", "ridership", "missing"],
                              {"target": ["revenue_raw"], "ridership": ["CTA"]})
     assert out.columns == ["series_id", "period", "target", "ridership"]
+
+
+def test_sentence_rules_by_hand(spark):
+    from math import sqrt
+
+    from mensura.operators import text
+    lex = text.lexicon_frame(spark, [("good", 1.9), ("bad", -2.5), ("die", -2.9), ("to die for", 3.0)])
+    cases = {
+        "This is good": [1.9], "this is not very good": [(1.9 + 0.293) * -0.74], "It isn’t good": [1.9 * -0.74],
+        "GOOD!!!": [1.9 + 3 * 0.292], "it is GOOD!!!!!!": [1.9 + 0.733 + 4 * 0.292], "very, very good": [1.9 + 0.293 * 1.95],
+        "slightly bad": [-2.5 + 0.293], "it was good but the end was bad": [1.9 * 0.5 - 2.5 * 1.5],
+        "a cake to die for": [3.0], "we die": [-2.9], "Good. Bad?? Nothing here": [1.9, -2.5 - 0.36, 0.0],
+        "not one of these words reaches good": [1.9], "": [], "!!!": [], "word " * 50_000 + "good": [1.9],
+    }
+    rows = [(i, t, "x") for i, t in enumerate(cases)] + [(99, None, "x")]
+    df = spark.createDataFrame(rows, "post_id long, text string, valence string")
+    got = {r.post_id: r for r in text.sentence_sentiment(df, "text", lex).collect()}
+    assert len(got) == len(rows) and got[99].compound == 0.0 and got[99].n_sentences == 0
+    for i, sums in enumerate(cases.values()):
+        assert got[i].n_sentences == len(sums)
+        assert abs(got[i].raw_score - sum(sums)) < 1e-9
+        assert abs(got[i].compound - sum(v / sqrt(v * v + 15) for v in sums) / max(len(sums), 1)) < 1e-9
+    assert text.sentence_sentiment(df.limit(0), "text", lex).count() == 0
