@@ -63,6 +63,21 @@ def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     return out
 
 
+def apart(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``df`` with columns whose names begin with an underscore, as working
+    columns here do, under other names; and all its columns under their own
+    names, to be selected in the end."""
+    taken = {c.lower() for c in df.columns}
+    other = {}
+    for c in df.columns:
+        if c.startswith("_"):
+            other[c] = "x" + c
+            while other[c].lower() in taken:
+                other[c] = "x" + other[c]
+            taken.add(other[c].lower())
+    return df.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def running_totals(df: DataFrame, groups: Sequence[str], order: str, ties: Sequence[str],
                    value: str | None, rows: int, name: str = "before") -> DataFrame:
     """Add ``name``: the sum of ``value`` (rows, if None) over the rows of the
@@ -125,9 +140,9 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, once: bool = False) -> Data
               .agg(copies.cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
               .filter("_copies > 0"))
     wanted = stage_table(wanted, "wanted")
+    docs, columns = apart(docs)
     keyed = docs.withColumn("_row_key", row_key(docs))
     on = keyed["doc_id"].eqNullSafe(F.col("_doc")) & (keyed["_row_key"] == F.col("_key"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     repeat = F.explode(F.sequence(F.lit(1), F.col("_copies")))
     single = keyed.join(wanted.filter("_rows = 1"), on).withColumn("_copy", repeat).select(*columns)
     many = wanted.filter("_rows > 1")

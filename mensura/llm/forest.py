@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import row_key, stage_table
+from mensura.llm.common import apart, keep_rows, row_key, sorted_rank, stage_table
 from mensura.llm.graph import components
 
 WORDS = 3
@@ -500,3 +500,25 @@ def one_of_each(groups: DataFrame) -> DataFrame:
     return groups.join(first, F.col("doc_id") == F.col("_doc"), "left").select(
         "doc_id", "row_key", (F.col("kept") & (F.col("doc_id").isNull() | (F.col("row_key") == F.col("_first")))
                               ).cast("int").alias("copies"))
+
+
+def without_near_copies(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs``, unchanged, one of each group of near copies.
+
+    The document with the smallest doc_id of a group stays; texts without
+    words are in no group and stay. Where a doc_id is null or names several
+    rows, rows are numbered first (in the order of doc_id and content) and go
+    by their numbers, so unlike texts under one doc_id both stay, and of rows
+    that repeat each other one does. Whole texts are compared, however long.
+    An empty table gives an empty result.
+    """
+    unclear = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id IS NULL OR n > 1")
+    if unclear.isEmpty():
+        groups = stage_table(near_groups(docs, words, least), "near_groups")
+        return keep_rows(docs, one_of_each(groups), once=True)
+    rows, columns = apart(docs)
+    rows = sorted_rank(rows.withColumn("_content", row_key(rows)),
+                       [F.col("doc_id").asc_nulls_last(), F.col("_content")], "_number")
+    groups = near_groups(rows.select(F.col("_number").alias("doc_id"), "text"), words, least)
+    kept = stage_table(groups.filter("kept").select(F.col("doc_id").alias("_kept")), "near_groups")
+    return rows.join(kept, F.col("_number") == F.col("_kept"), "left_semi").select(*columns)

@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.common import SPACES, stage_table, text_or_empty
+from mensura.llm.common import apart, SPACES, stage_table, text_or_empty
 
 #: Bound of the labelled rows that a fit uses.
 MAX_LABELS = 20_000
@@ -71,7 +71,8 @@ NAMES = ["log_words", "word_length", "distinct_words", "variety", "distinct_line
 
 
 def with_statistics(docs: DataFrame, prefix: str = "_s_") -> DataFrame:
-    """Add the statistics of ``text`` (null: empty) to every row.
+    """Add the statistics of ``text`` (null: empty) to every row. Columns of
+    ``docs`` must not begin with an underscore (``common.apart``).
 
     They come out of a generator of one row, so that a filter on a score is
     never pushed below them, where each rule would compute its statistics
@@ -144,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, trees:
 
     ``labels``: ``doc_id`` and ``quality`` (0 or 1; others are ignored). With
     labels of one kind only, or none, every text gets the same score: the
-    share of label 1, or 1 without any label.
+    share of label 1, or 1 without any label. A null or empty text is learnt
+    from as an empty one, a long one whole; a labelled doc_id that several rows
+    have counts once for each, and one with both labels once for each label.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
                           ).select("doc_id", F.col("quality").cast("double").alias("label")).distinct()
@@ -177,14 +180,19 @@ def score(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> Da
     """``docs`` with ``held_out``, ``score`` and ``predicted`` (1 from
     ``threshold`` on). Every row is scored from its whole text alone; a null
     text counts as empty. Columns of those names are replaced."""
-    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    docs, names = apart(docs.drop("held_out", "score", "predicted"))
     scored = with_statistics(docs).withColumn("_score", model.score())
     return scored.select(
-        *[F.col(f"`{c}`") for c in names], held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
+        *names, held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
         (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, unchanged."""
+    """The rows of ``docs`` that score ``threshold`` or more, unchanged.
+
+    Each row is judged by its whole text, however long: repeated rows stay or
+    go together, a null text counts as empty, a null doc_id does not matter,
+    and an empty table gives an empty result."""
+    docs, columns = apart(docs)
     scored = with_statistics(docs).withColumn("_score", model.score())
-    return scored.filter(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored.filter(F.col("_score") >= threshold).select(*columns)

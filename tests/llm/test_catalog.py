@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -128,6 +129,58 @@ def test_pipeline_stage_by_stage(spark):
     assert {r[0] for r in packed} == {r[0] for r in taken}
 
 
+def odd_documents(spark):
+    """The smallest table with nulls, empty and long texts, repeats, one
+    doc_id for two texts, and columns named as the operators' own."""
+    docs = read(spark, SF, "documents")
+    first = docs.filter("n_chars > 400").orderBy("doc_id").limit(3).collect()
+    a, b, c = (r.text for r in first)
+    rows = [(None, None), (None, ""), (None, " \n"), (None, a + " more"), (None, b), (None, b), (7_000_001, a), (7_000_001, c),
+            (7_000_001, c), (7_000_002, c + " end"), (7_000_003, (a + " ") * 300), (7_000_004, "ok")]
+    odd = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows],
+                                "doc_id long, text string, lang string, source string, n_chars long")
+    every = docs.unionByName(odd.select(*[F.col(f.name).cast(f.dataType) for f in docs.schema.fields]))
+    for name in ("_text", "_words", "_score", "_s_upper", "_row_key", "_doc", "_key", "_copies", "_number", "x_key", "_content",
+                 "copies", "kept", "row_key", "size", "label", "id"):
+        every = every.withColumn(name, F.concat(F.lit(name), F.coalesce("text", F.lit(""))))
+    return every.withColumn("a.b", F.lit(1))
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_pipeline_stage_on_odd_rows(spark, name):
+    from collections import Counter
+
+    from tests.llm.test_dedup import WHITE, brute_near
+    docs = stage_table(odd_documents(spark), "odd")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, SF)
+    none = stage(spark, docs.limit(0), SF)
+    assert none.columns == out.columns and none.collect() == []
+    before, after = [tuple(r) for r in docs.collect()], [tuple(r) for r in out.collect()]
+    if name == "pack_sequences":
+        pieces = Counter((r[0], r[2]) for r in after if r[1] == 0)
+        assert sum(pieces.values()) == len(before) and all(0 < r.length <= 2048 for r in out.collect())
+        return
+    assert out.columns == docs.columns
+    had, has = Counter(before), Counter(after)
+    assert all(n <= had[r] * (2 if name == "mix_sources" else 1) for r, n in has.items())
+    if name == "keep_quality":
+        assert all(n == had[r] for r, n in has.items()) and len(has) > 0.5 * len(had)
+    elif name == "drop_copies":
+        assert Counter(WHITE.sub("", r[1] or "") for r in after) == Counter({WHITE.sub("", r[1] or "") for r in before})
+    elif name == "drop_near_copies":
+        rows = sorted(before, key=lambda r: (r[0] is None, r[0] or 0))
+        component, _ = brute_near([(i, r[1]) for i, r in enumerate(rows)], 5, 80)
+        of = {r: component[i] for i, r in enumerate(rows)}
+        assert len(after) == len(set(component.values()))
+        assert Counter(of[r] for r in after if (r[1] or "").split()) == Counter(
+            {component[i] for i, r in enumerate(rows) if (r[1] or "").split()})
+    else:
+        assert all((r[1] or "").split() for r in after)
+        words = [len((r[1] or "").split()) for r in before]  # whole documents: the cut falls before one
+        assert 0 <= 1.5 * sum(words) - sum(len((r[1] or "").split()) for r in after) <= max(words)
+
+
 def test_guard_hides_only_the_missing_package():
     text = open(entry.__file__).read()
     assert 'ex.name not in ("corpus_pipeline", "mensura.llm")' in text
