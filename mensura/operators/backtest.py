@@ -30,6 +30,8 @@ from pyspark.errors import PySparkException
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mensura.operators import linear as lin
 from mensura.operators import trees as tr
@@ -90,15 +92,20 @@ def fold_ridge(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", t
 
     Spark sums Gram contributions per (series, bucket) with partial
     aggregation (the O(rows p^2) part); each series' <= K+1 bucket Grams are
-    then added cumulatively and solved in one grouped pandas call."""
+    then one array, added cumulatively and solved for a whole Arrow batch of
+    series at once."""
     keys = list(keys)
     if p is None:
         p = int(df.select(F.max(F.size(x))).first()[0])
     tr = df.filter(F.col(eligible)).withColumn("b", _bucket(F.col(t))).filter(F.col("b") < F.col("K"))
     gb = lin.gram(tr, keys + ["K", "b"], x, y, p=p)
-    types = [df.schema[k].dataType.simpleString() for k in keys]
-    fn, schema = lin.prefix_ridge_solve(keys, p, float(alpha), types)
-    return gb.groupBy(*keys).applyInPandas(fn, schema)
+    of_series = gb.groupBy(*keys, "K").agg(F.sort_array(F.collect_list(F.struct("b", "gram"))).alias("_g"))
+    of_series = of_series.select(*keys, F.col("K").cast("int").alias("K"),
+                                 F.col("_g.b").cast("array<int>").alias("b"), F.flatten("_g.gram").alias("grams"))
+    schema = T.StructType([df.schema[k] for k in keys] + [
+        T.StructField("k", T.IntegerType()), T.StructField("p", T.IntegerType()),
+        T.StructField("coef", T.ArrayType(T.DoubleType()))])
+    return of_series.mapInArrow(lin.prefix_ridge_solve(p, float(alpha), to_arrow_schema(schema)), schema)
 
 
 def test_rows(df: DataFrame, t: str = "t") -> DataFrame:
@@ -244,9 +251,10 @@ def backtest(df: DataFrame, keys: Sequence[str], model: str, alpha: float = 5.0,
 
 # ------------------------------------------------------------ de-levelled walk-forward (ML8)
 def kind_rows(df: DataFrame, covariates: Sequence[str], kinds: Sequence[str],
-              keys: Sequence[str] = ("series_id",)) -> DataFrame:
+              keys: Sequence[str] = ("series_id",), features: Sequence[str] | None = None) -> DataFrame:
     """One row per (series, period, target kind) with the kind's feature
-    array ``x`` (raw), label ``y`` and ``eligible``.
+    array ``x`` (raw), label ``y`` and ``eligible``. ``features`` names the
+    columns of ``x``; by default they follow from the covariates.
 
     Features per kind: covariates, their 1-step changes, month dummies, and
     for ``yoy_logdiff`` also the 12-step changes (zeros for other kinds: a
@@ -260,6 +268,8 @@ def kind_rows(df: DataFrame, covariates: Sequence[str], kinds: Sequence[str],
     is_yoy = F.col("target_kind") == "yoy_logdiff"
     x = F.array(*[F.col(c).cast("double") for c in base],
                 *[F.when(is_yoy, F.col(c).cast("double")).otherwise(F.lit(0.0)) for c in yoy_extra])
+    if features is not None:
+        x = F.array(*[F.col(c).cast("double") for c in features])
     y = (F.when(F.col("target_kind") == "mom_logdiff", F.col("mom_logdiff"))
          .when(F.col("target_kind") == "yoy_logdiff", F.col("yoy_logdiff"))
          .when(F.col("target_kind") == "trend_dev", F.col("trend_dev")))
@@ -301,6 +311,7 @@ def walk_forward(dataset: DataFrame, covariates: Sequence[str], models: Sequence
     # once (reliable checkpoint) so the fit/score branches do not recompute it
     d = lin.materialize(d, kk)
     p = n_features(covariates)
+    d = lin.spread(d, kk, p + 2)
     outs = []
     for m in models:
         try:
@@ -321,21 +332,21 @@ def walk_forward(dataset: DataFrame, covariates: Sequence[str], models: Sequence
 # ------------------------------------------------------------ nowcast (ML18)
 def nowcast(dataset: DataFrame, covariates: Sequence[str], kind: str = "mom_logdiff",
             model: str = "ridge", alpha: float = 5.0, keys: Sequence[str] = ("series_id",),
-            **tree_params) -> DataFrame:
+            features: Sequence[str] | None = None, **tree_params) -> DataFrame:
     """ML18: refit on all history and predict the last row of each series,
     whose target is treated as unknown (its covariates are known: a nowcast).
 
     ``dataset`` must already contain that row (its features were computed
-    by the same windows from the previous rows). Returns (keys, period,
-    predicted, actual).
+    by the same windows from the previous rows). ``features`` as in
+    ``kind_rows``. Returns (keys, period, predicted, actual).
     """
     keys = list(keys)
     kk = keys + ["target_kind"]
-    d = kind_rows(dataset, covariates, [kind], keys)
+    d = kind_rows(dataset, covariates, [kind], keys, features)
     d = d.withColumn("trend_next", fold_trend(kk))
     d = lin.materialize(with_plan(d, plan_walk_forward, kk, n_test=1), kk)
-    scored = backtest(d, kk, model, alpha=alpha, group_by=["target_kind"], p=n_features(covariates),
-                      **tree_params)
+    p = n_features(covariates) if features is None else len(features)
+    scored = backtest(d, kk, model, alpha=alpha, group_by=["target_kind"], p=p, **tree_params)
     rec = reconstruct(scored, "target_kind", "pred_target", "trend_next")
     return rec.select(*keys, "period", "predicted", F.col("target").alias("actual"))
 

@@ -16,10 +16,11 @@ around 1e7 from losing digits. Trees get the raw features.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -84,30 +85,54 @@ def materialize(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (df.repartition(*keys) if keys else df).checkpoint(eager=True)
 
 
-def prefix_ridge_solve(keys: Sequence[str], p: int, alpha: float, key_types: Sequence[str]):
-    """Grouped function for ``applyInPandas``: for one group it receives the
-    bucket Grams (``b``, ``K``, ``gram``), adds them cumulatively (fold ``k``
-    uses buckets ``<= k``) and solves every fold. A group has at most K + 1
-    rows, however large the series."""
-    q = p + 2
+#: Element products that one task forms, above which a panel is spread further.
+TASK_PRODUCTS = 8_000_000
+
+
+def spread(df: DataFrame, keys: Sequence[str], q: int) -> DataFrame:
+    """``df``, a checkpointed panel, over as many partitions as its rows times
+    the products of a row of length ``q`` ask for. AQE packs partitions by
+    bytes, of which a panel has few next to the work its Grams make."""
+    products = df.count() * (q * (q + 1) // 2)
+    parts = -(-products // TASK_PRODUCTS)
+    return df.repartition(parts, *keys) if parts > 1 else df
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        K = int(pdf["K"].iloc[0])
-        acc = np.zeros((K, q * (q + 1) // 2))
-        np.add.at(acc, pdf["b"].to_numpy().astype(int), _stack(pdf["gram"]))
-        cum = np.cumsum(acc, axis=0)
-        ks = np.nonzero(cum[:, 0] > 0)[0]
-        out = {k: [pdf[k].iloc[0]] * len(ks) for k in keys}
-        if len(ks):
-            res = ridge_from_gram(unpack_upper(cum[ks], q), p, alpha)
-            coefs = [r.tolist() for r in res]
-        else:
-            coefs = []
-        out.update({"k": ks.astype("int32"), "p": np.full(len(ks), p, dtype="int32"), "coef": coefs})
-        return pd.DataFrame(out)
-
-    schema = ", ".join(f"{k} {t}" for k, t in zip(keys, key_types)) + ", k int, p int, coef array<double>"
-    return fn, schema
+
+def prefix_ridge_solve(p: int, alpha: float, out: pa.Schema, rows: int = 4096):
+    """Function for ``mapInArrow``: each row is a group with its bucket
+    numbers ``b`` and its bucket Grams, one after the other in ``grams``. They
+    are added cumulatively (fold ``k`` uses buckets ``<= k`` of ``K``) and
+    every fold of a batch of groups is solved at once. A group has at most
+    K + 1 buckets, however large the series; ``rows`` bounds the folds in hand.
+    """
+    q = p + 2
+    tri = q * (q + 1) // 2
+
+    def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
+        buckets, folds = batch.column("b"), batch.column("K").to_numpy(zero_copy_only=False)
+        group = np.repeat(np.arange(len(folds)), np.diff(buckets.offsets.to_numpy()))
+        sums = np.zeros((len(folds), int(folds.max()), tri))
+        sums[group, buckets.flatten().to_numpy(zero_copy_only=False)] = (
+            batch.column("grams").flatten().to_numpy(zero_copy_only=False).reshape(-1, tri))
+        sums = np.cumsum(sums, axis=1)
+        g, k = np.nonzero((sums[:, :, 0] > 0) & (np.arange(sums.shape[1]) < folds[:, None]))
+        coef = ridge_from_gram(unpack_upper(sums[g, k], q), p, alpha) if len(g) else np.zeros((0, 2 * p + 2))
+        columns = {c: batch.column(c).take(pa.array(g)) for c in out.names if c in batch.schema.names}
+        columns |= {"k": pa.array(k.astype(np.int32)), "p": pa.array(np.full(len(g), p, dtype=np.int32)),
+                    "coef": pa.ListArray.from_arrays(
+                        pa.array(np.arange(0, coef.size + 1, 2 * p + 2, dtype=np.int32)), pa.array(coef.ravel()))}
+        return pa.RecordBatch.from_arrays([columns[c].cast(out.field(c).type) for c in out.names], schema=out)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            most = max(batch.column("K").to_numpy(zero_copy_only=False).max(), 1)
+            step = max(1, rows // int(most))
+            for at in range(0, batch.num_rows, step):
+                yield solve(batch.slice(at, step))
+
+    return fn
 
 
 # ------------------------------------------------------------ centring / standardising

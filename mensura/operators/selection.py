@@ -6,11 +6,15 @@ the whole training part and scored on train and hold-out. All models are
 fitted per series: ridge by Gram aggregation and solve, trees by
 ``operators.trees``. What a refitted model makes of its features (ML16) is
 kept beside its predictions.
+
+A candidate is a model on all features, or a model on some of them: a
+mapping ``name -> (model, feature names)`` lets the same ridge compete with
+and without the local covariates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +28,12 @@ from mensura.plans.flows import level_features
 
 
 def level_dataset(panel: DataFrame, covariates: Sequence[str], test_months: int = 12,
-                  keys: Sequence[str] = ("series_id",)) -> tuple[DataFrame, list[str]]:
-    """FW5 + SO5: level features, ``split`` (last ``test_months`` = test),
-    time index ``t`` over usable rows, raw feature array ``x``, ``y``."""
-    d, feats = level_features(panel, covariates)
+                  keys: Sequence[str] = ("series_id",),
+                  optional: Mapping[str, Sequence[str]] | None = None) -> tuple[DataFrame, list[str]]:
+    """FW5 + SO5: level features (``optional`` as there), ``split`` (last
+    ``test_months`` = test), time index ``t`` over usable rows, raw feature
+    array ``x``, ``y``."""
+    d, feats = level_features(panel, covariates, keys=keys, optional=optional)
     d = time_split(d, test_months, keys)
     d = add_time_index(d, keys)
     d = d.withColumns({"x": F.array(*[F.col(c).cast("double") for c in feats]), "y": F.col("target"),
@@ -60,7 +66,10 @@ def refit_predict(data: DataFrame, model: str, keys: Sequence[str] = ("series_id
     return data.join(found, [*keys, "t"])
 
 
-def auto_select(panel: DataFrame, covariates: Sequence[str], candidates: Sequence[str] = ("ridge",),
+Candidates = Sequence[str] | Mapping[str, tuple[str, Sequence[str] | None]]
+
+
+def auto_select(panel: DataFrame, covariates: Sequence[str], candidates: Candidates = ("ridge",),
                 test_months: int = 12, keys: Sequence[str] = ("series_id",), **kw):
     """ML13: backtest candidates (ML7) -> best per series by RMSE (AG12) ->
     refit on train -> metrics on train and hold-out (AG9 by split).
@@ -71,24 +80,36 @@ def auto_select(panel: DataFrame, covariates: Sequence[str], candidates: Sequenc
     return metrics, *choose(metrics, allp, keys), allp
 
 
-def candidate_scores(panel: DataFrame, covariates: Sequence[str], candidates: Sequence[str] = ("ridge",),
-                     test_months: int = 12, keys: Sequence[str] = ("series_id",), **kw):
+def candidate_scores(panel: DataFrame, covariates: Sequence[str], candidates: Candidates = ("ridge",),
+                     test_months: int = 12, keys: Sequence[str] = ("series_id",),
+                     optional: Mapping[str, Sequence[str]] | None = None, **kw):
     """Block backtest metrics (keys, model, ...) and, refitted on the training
     rows, predictions of all rows (keys, period, split, y, prediction,
-    importance, model) of every candidate."""
+    importance, model) of every candidate. The importance of a feature that a
+    candidate does not use is null; with ``optional`` the column ``absent``
+    comes along."""
     keys = list(keys)
-    data, feats = level_dataset(panel, covariates, test_months, keys)
+    data, feats = level_dataset(panel, covariates, test_months, keys, optional)
+    if not isinstance(candidates, Mapping):
+        candidates = {m: (m, None) for m in candidates}
+    carried = ["absent"] if "absent" in data.columns else []
     # every candidate re-reads the same rows: materialise them once
     data = lin.materialize(data.filter(F.col("split") != "error"), keys)
-    train = data.filter(F.col("split") == "train")
     bm, preds = [], []
-    for m in candidates:
-        scored = block_backtest(train, m, keys, p=len(feats), **kw)
-        bm.append(forecast_metrics(scored.withColumn("model", F.lit(m)), "y", "pred_target",
+    for name, (m, used) in candidates.items():
+        at = [feats.index(f) for f in (feats if used is None else used)]
+        mine = data if used is None else data.withColumn("x", F.array(*[F.col("x")[i] for i in at]))
+        scored = block_backtest(mine.filter(F.col("split") == "train"), m, keys, p=len(at), **kw)
+        bm.append(forecast_metrics(scored.withColumn("model", F.lit(name)), "y", "pred_target",
                                    keys + ["model"], "A"))
-        preds.append(refit_predict(data, m, keys, p=len(feats), **{k: v for k, v in kw.items()
-                                                                    if k not in ("horizon", "min_train", "step")})
-                     .select(*keys, "period", "split", "y", "prediction", "importance").withColumn("model", F.lit(m)))
+        fitted = refit_predict(mine, m, keys, p=len(at), **{k: v for k, v in kw.items()
+                                                            if k not in ("horizon", "min_train", "step")})
+        if used is not None:
+            fitted = fitted.withColumn("importance", F.array(*[
+                F.col("importance")[at.index(i)] if i in at else F.lit(None).cast("double")
+                for i in range(len(feats))]))
+        preds.append(fitted.select(*keys, "period", "split", "y", "prediction", "importance", *carried)
+                     .withColumn("model", F.lit(name)))
     metrics = bm[0]
     for b in bm[1:]:
         metrics = metrics.unionByName(b)
@@ -116,11 +137,15 @@ def feature_effects(data: DataFrame, feats: Sequence[str], model: str = "ridge",
 
 def effects_of(preds: DataFrame, feats: Sequence[str], keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """(keys, model, feature, importance) of models whose predictions
-    (``refit_predict``, ``candidate_scores``) are at hand: no second fit."""
-    models = preds.groupBy(*keys, "model").agg(F.first("importance").alias("importance"))
+    (``refit_predict``, ``candidate_scores``) are at hand: no second fit.
+    Features that a model does not use, or a series does not have
+    (``absent``), give no row."""
+    absent = F.first("absent") if "absent" in preds.columns else F.array().cast("array<string>")
+    models = preds.groupBy(*keys, "model").agg(F.first("importance").alias("importance"), absent.alias("_absent"))
     names = F.array(*[F.lit(f) for f in feats])
-    z = models.select(*keys, "model", F.arrays_zip(names.alias("feature"), F.col("importance")).alias("z"))
-    return z.select(*keys, "model", F.inline("z"))
+    z = models.select(*keys, "model", "_absent", F.arrays_zip(names.alias("feature"), F.col("importance")).alias("z"))
+    z = z.select(*keys, "model", "_absent", F.inline("z"))
+    return z.filter(F.col("importance").isNotNull() & ~F.array_contains("_absent", F.col("feature"))).drop("_absent")
 
 
 def chosen_effects(preds: DataFrame, feats: Sequence[str], best: DataFrame,

@@ -85,34 +85,41 @@ def add_yoy_pct(df: DataFrame, col: str, keys=DEFAULT_KEYS, order="period") -> D
     return df.withColumn(f"{col}_yoy_pct", F.try_divide(F.col(col), lag_col(col, 12, keys, order)) - 1)
 
 
-def add_local_features(df: DataFrame, keys=DEFAULT_KEYS, order="period",
-                       ridership: Sequence[str] = (), shops: Sequence[str] = (), net_new: Sequence[str] = (),
-                       sentiment: Sequence[str] = ()) -> DataFrame:
-    """WN6: optional covariate block, built only from columns that exist.
+def local_features(columns: Sequence[str], keys=DEFAULT_KEYS, order="period",
+                   ridership: Sequence[str] = (), shops: Sequence[str] = (), net_new: Sequence[str] = (),
+                   sentiment: Sequence[str] = ()) -> dict[str, tuple[str, Column]]:
+    """WN6: features of the optional covariates among ``columns``, each with
+    the covariate it is made of.
 
     ridership: lag1, lag12, ``(lag1 - lag12)/(lag12 + 1e-9)``; shop count and
     net-new: lag1; sentiment: lag1 and trailing-3 mean. Each group takes the
     first of its names present in the frame; a group without names is left out.
     """
     def first_present(names):
-        return next((n for n in names if n in df.columns), None)
+        return next((n for n in names if n in columns), None)
 
     out = {}
     r = first_present(ridership)
     if r:
         l1, l12 = lag_col(r, 1, keys, order), lag_col(r, 12, keys, order)
-        out.update({"ridership_lag1": l1, "ridership_lag12": l12,
-                    "ridership_yoy": F.try_divide(l1 - l12, l12 + F.lit(1e-9))})
+        out.update({"ridership_lag1": (r, l1), "ridership_lag12": (r, l12),
+                    "ridership_yoy": (r, F.try_divide(l1 - l12, l12 + F.lit(1e-9)))})
     s = first_present(shops)
     if s:
-        out["shop_count_lag1"] = lag_col(s, 1, keys, order)
+        out["shop_count_lag1"] = (s, lag_col(s, 1, keys, order))
     nn = first_present(net_new)
     if nn:
-        out["net_new_lag1"] = lag_col(nn, 1, keys, order)
+        out["net_new_lag1"] = (nn, lag_col(nn, 1, keys, order))
     se = first_present(sentiment)
     if se:
-        out["sentiment_lag1"] = lag_col(se, 1, keys, order)
-        out["sentiment_roll3"] = trailing_mean(se, 3, keys, order)
+        out["sentiment_lag1"] = (se, lag_col(se, 1, keys, order))
+        out["sentiment_roll3"] = (se, trailing_mean(se, 3, keys, order))
+    return out
+
+
+def add_local_features(df: DataFrame, keys=DEFAULT_KEYS, order="period", **groups: Sequence[str]) -> DataFrame:
+    """WN6: the optional covariate block (``local_features``) as columns."""
+    out = {name: col for name, (_, col) in local_features(df.columns, keys, order, **groups).items()}
     return df.withColumns(out) if out else df
 
 

@@ -14,7 +14,7 @@ from mensura.plans import panels
 from mensura.plans.cte import with_views
 from mensura.plans.registry import register
 from mensura.session import scratch_dir
-from mensura.sources import csv_io, json_io
+from mensura.sources import csv_io, json_io, upsert
 from mensura.sources.interest import TIME_COL, normalize_interest
 from mensura.sources.upsert import read_partitions, upsert_periods, write_partitions
 
@@ -99,6 +99,33 @@ def snk3(spark, sf):
     return read_partitions(spark, path).select("series_id", "period", "target", "load_id")
 
 
+@register("snk3_generations", with_views("""
+WITH l1 AS (SELECT series_id, period, target, 1 AS load_id FROM rev_panel WHERE period < DATE '2000-01-01'),
+l2 AS (SELECT series_id, period,
+              CASE WHEN period = DATE '1999-06-01' THEN NULL ELSE target + 1 END AS target, 2 AS load_id
+       FROM rev_panel WHERE period >= DATE '1998-01-01'),
+u AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)
+SELECT series_id, period, arg_max(coalesce(target, -1), load_id) AS target, max(load_id) AS load_id,
+       count(*) AS attempts, count(*) - count(target) AS failures
+FROM u GROUP BY 1, 2""", "rev_panel"))
+def snk3_generations(spark, sf):
+    """Two loads collected as published generations. The second stops once
+    before it is published and is run again; a third run of it is known
+    already. The failed month (null, -1 here) keeps its count."""
+    p = panels.rev_panel(spark, sf).select("series_id", "period", "target", F.year("period").alias("year"))
+    l1 = p.filter(F.col("period") < "2000-01-01").withColumn("load_id", F.lit(1))
+    l2 = p.filter(F.col("period") >= "1998-01-01").withColumn("load_id", F.lit(2)).withColumn(
+        "target", F.when(F.col("period") != F.lit("1999-06-01").cast("date"), F.col("target") + 1))
+    base, keys = scratch_dir(spark, "snk3"), ["series_id", "period"]
+    upsert.collect_periods(spark, base, l1, keys, "target", partition_cols=["year"])
+    merged = upsert.with_attempts(upsert.current(spark, base), l2, keys, "target")
+    upsert.write_generation(merged, base, ["year"])  # stops here: not published
+    for _ in range(2):
+        upsert.collect_periods(spark, base, l2, keys, "target", partition_cols=["year"])
+    return upsert.current(spark, base).select(
+        *keys, F.coalesce("target", F.lit(-1.0)).alias("target"), "load_id", "attempts", "failures")
+
+
 @register("fl4_drop_unnamed", PANEL_SQL)
 def fl4(spark, sf):
     """CSV with three blank-named trailing columns and blank rows: drop the

@@ -32,5 +32,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every catalog module so their ``@register`` calls run."""
     from mensura.plans import (  # noqa: F401
-        q_core, q_clean, q_reshape, q_io, q_models, q_text, q_flows,
+        q_core, q_clean, q_reshape, q_io, q_models, q_text, q_flows, q_optional,
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mensura.sources import csv_io, json_io
 from mensura.sources.interest import normalize_interest
+from mensura.sources import upsert
 from mensura.sources.upsert import upsert_periods
 
 
@@ -84,6 +85,37 @@ def test_upsert_latest_wins_keeps_null(spark):
     assert got == {dt.date(2020, 1, 1): (1.0, 1), dt.date(2020, 2, 1): (None, 2), dt.date(2020, 3, 1): (3.0, 2)}
 
 
+def test_generation_stopped_before_publication_changes_nothing(spark):
+    base, keys = os.path.join(tmp(), "collected"), ["series_id", "period"]
+    jan, feb, mar = (dt.date(2020, m, 1) for m in (1, 2, 3))
+
+    def load(number, *rows):
+        return spark.createDataFrame([("s", p, v, number) for p, v in rows],
+                                     "series_id string, period date, v double, load_id int")
+
+    def state():
+        return {r.period: (r.v, r.load_id, r.attempts, r.failures) for r in upsert.current(spark, base).collect()}
+
+    assert upsert.current(spark, base) is None
+    first, second = load(1, (jan, 1.0), (feb, None)), load(2, (feb, None), (mar, 3.0))
+    assert upsert.collect_periods(spark, base, first, keys, "v") == 1
+    before = {jan: (1.0, 1, 1, 0), feb: (None, 1, 1, 1)}
+    assert state() == before
+    open_reader = upsert.current(spark, base)
+    folder = upsert.write_generation(upsert.with_attempts(upsert.current(spark, base), second, keys, "v"), base)
+    assert os.path.isdir(os.path.join(base, folder)) and state() == before  # written, not published
+    assert upsert.collect_periods(spark, base, second, keys, "v") == 2
+    after = {jan: (1.0, 1, 1, 0), feb: (None, 2, 2, 2), mar: (3.0, 2, 1, 0)}
+    assert state() == after
+    assert upsert.collect_periods(spark, base, second, keys, "v") == 3     # run again: known already
+    assert state() == after
+    assert {r.period for r in open_reader.collect()} == {jan, feb}         # an open reader keeps its state
+    upsert.collect_periods(spark, base, load(4, (feb, 2.0)), keys, "v")
+    assert state()[feb] == (2.0, 4, 3, 2)
+    upsert.collect_periods(spark, base, load(5).limit(0), keys, "v")       # nothing collected
+    assert len(state()) == 3
+
+
 def test_versioned_runs_side_by_side(spark):
     base = os.path.join(tmp(), "out")
     df = spark.createDataFrame([("s", 1.0)], "series_id string, v double")
