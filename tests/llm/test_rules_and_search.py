@@ -95,7 +95,7 @@ def test_top_k_matches_brute_force(spark, seed):
              (303, [float("inf")] * 6, 1, "r"), (None, [1.0] * 6, 1, "r"), (310, [1.0, 2.0], 1, "r"), (311, [3.0, 1.0], 1, "r"),
              (320, [], 1, "r"), (330, [5.0, 5.0, 5.0], 1, "r")] + [(10, same.tolist(), 1, "r"), (10, same.tolist(), 1, "r")]
     df = spark.createDataFrame(rows, VECTORS)
-    out = kdtree.top_k(df, F.col("vec_id") % 10 == 0, k=4, shard_rows=60, block=20)
+    out = kdtree.top_k(df, F.col("vec_id") % 10 == 0, k=4, shard_rows=30, cells=8)
     assert out.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(map(tuple, out.collect())) == brute(rows, 4, lambda i: i % 10 == 0)
 
@@ -105,10 +105,47 @@ def test_top_k_large_numbers_and_no_rows(spark):
     rows = [(1, [1.0e5, 2.0e9], 1, "r"), (2, [-1.0e7, 5.0], 1, "r"), (3, [-1.0e7, 5.5], 1, "r")]
     df = spark.createDataFrame(rows, VECTORS)
     out = kdtree.top_k(df, F.col("vec_id") == 1)
-    assert [tuple(r) for r in out.collect()] == brute(rows, 5, lambda i: i == 1)
+    assert sorted(map(tuple, out.collect())) == brute(rows, 5, lambda i: i == 1)
     assert kdtree.top_k(df.filter("false"), F.lit(True)).collect() == []
 
 
+def test_cells_rule_out_shards(spark):
+    """Clustered vectors: a query reaches the cells near its own only, and
+    nothing of the answer is lost; every vector is in a cell and its box."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(16, 8)) * 4
+    rows = [(i, (centres[i % 16] + rng.normal(size=8) * 0.1).tolist(), 1, "r") for i in range(1600)]
+    df = spark.createDataFrame(rows, VECTORS)
+    out = kdtree.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=100)
+    assert sorted(map(tuple, out.collect())) == brute(rows, 5, lambda i: i % 50 == 0)
+
+    codes = kdtree.quantised(df)
+    cells = kdtree._cut(codes, 100, 4096)
+    placed = kdtree._placed(codes, cells)
+    found = {b["cell"]: b for b in kdtree._boxes(placed).collect()}
+    assert sum(b["n"] for b in found.values()) == 1600 and len(found) == 16
+    whole = np.floor(np.array([r[1] for r in rows]) * 256).astype(np.int64)
+    of = cells[8].of(whole)
+    for cell, box in found.items():
+        lo, hi = (np.frombuffer(bytes(box[c]), dtype="<i8") for c in ("lo", "hi"))
+        assert (whole[of == cell].min(axis=0) == lo).all() and (whole[of == cell].max(axis=0) == hi).all()
+    own = [found[c] for c in sorted(found)]
+    ends = [np.array([np.frombuffer(bytes(b[c]), dtype="<i8") for b in own]) for c in ("lo", "hi")]
+    boxes = {8: (np.array(sorted(found), dtype=np.int32), *ends)}
+    scores = whole @ whole.T
+    np.fill_diagonal(scores, np.iinfo(np.int64).min)
+    at = np.arange(0, 1600, 50)
+    queries = placed.filter(F.col("vec_id") % 50 == 0).select(
+        "row", "vec_id", "dim", "code", F.lit(0).cast("bigint").alias("home"), F.lit(None).cast("bigint").alias("_score"),
+        F.lit(None).cast("bigint").alias("_minus"))
+    kth = spark.createDataFrame([(int(i), int(np.sort(scores[i])[-5])) for i in at], "vec_id bigint, fifth bigint")
+    queries = queries.join(kth, "vec_id").withColumn("_score", F.col("fifth")).select(*queries.columns)
+    reached = {r["vec_id"]: set(r["cells"]) for r in kdtree._reached(queries, boxes).collect()}
+    assert sum(map(len, reached.values())) < len(at) * 16 / 2
+    for i in at:
+        assert {int(c) for c in of[scores[i] >= np.sort(scores[i])[-5]]} <= reached[i]
+
+
 def test_box_bounds_hold():
     rng = np.random.default_rng(3)
     v = rng.integers(-50, 50, (500, 7))
