@@ -27,15 +27,15 @@ CANDIDATES = {"base": ("ridge", PAIR[:1]), "extended": ("ridge", PAIR)}
 
 
 def optional_panel(spark, sf):
-    """The nation panel with a covariate that only nations before 'J' have,
+    """The nation panel with a covariate that only nations before 'NATION_2' have,
     from July 1996 on (their order count)."""
-    known = (F.col("series_id") < "J") & (F.col("period") >= F.lit("1996-07-01").cast("date"))
+    known = (F.col("series_id") < "NATION_2") & (F.col("period") >= F.lit("1996-07-01").cast("date"))
     return panels.rev_panel_dense(spark, sf).withColumn("riders", F.when(known, F.col("n_orders").cast("double")))
 
 
 # usable rows: lags complete, and the covariate's too where the series has it
 _ROWS = f"""
-WITH v AS (SELECT series_id, period, target, CASE WHEN series_id < 'J' AND period >= DATE '1996-07-01'
+WITH v AS (SELECT series_id, period, target, CASE WHEN series_id < 'NATION_2' AND period >= DATE '1996-07-01'
              THEN CAST(n_orders AS DOUBLE) END AS riders FROM rev_panel_dense),
 l AS (SELECT *, bool_or(riders IS NOT NULL) OVER (PARTITION BY series_id) AS has,
              lag(target, 1) OVER ({W}) AS x1, lag(target, 13) OVER ({W}) AS l13,
