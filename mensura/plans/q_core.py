@@ -415,14 +415,12 @@ def ag6_stream_wm(spark, sf):
     from mensura.session import scratch_dir
     from mensura.streaming.resample import read_monthly_mean, run_monthly_mean_stream
     base = scratch_dir(spark, "ag6wm")
-    ev = shifted_events(spark, sf).withColumn("_m", F.date_trunc("month", "ts"))
+    # months as numbers: Python's dates end with the year 9999, Spark's do not
+    ev = shifted_events(spark, sf).withColumn("_m", F.year("ts") * 12 + F.month("ts"))
     lo, hi = ev.agg(F.min("_m"), F.max("_m")).first()
-    span = (hi.year - lo.year) * 12 + hi.month - lo.month + 1
-    step = -(-span // 4)
+    step = -(-(hi - lo + 1) // 4)
     for i in range(4):  # one landing per time range, oldest first
-        a = F.add_months(F.lit(lo).cast("date"), i * step)
-        b = F.add_months(F.lit(lo).cast("date"), (i + 1) * step)
-        part = ev.filter((F.to_date("_m") >= a) & (F.to_date("_m") < b)).drop("_m")
+        part = ev.filter((F.col("_m") >= lo + i * step) & (F.col("_m") < lo + (i + 1) * step)).drop("_m")
         part.write.parquet(f"{base}/src/part{i}")
         run_monthly_mean_stream(spark, f"{base}/src/*", "series_id string, ts timestamp_ntz, value double", "ts",
                                 "value", f"{base}/out", f"{base}/ckpt", late_delay="31 days")

@@ -163,3 +163,17 @@ def test_stream_watermark_drops_late_months(spark):
     assert got["31 days"][jan] == 1.0      # the late January row arrived after the watermark
     assert got[None][jan] == 50.5          # without a watermark January is updated
     assert got["31 days"][dt.date(2020, 6, 1)] == 6.0
+
+
+def test_watermark_query_past_the_year_9999(spark):
+    """Months that Python's dates do not reach come through as in the batch resample."""
+    from mensura.plans.registry import QUERIES, load_all
+    load_all()
+    base = tmp()
+    rows = [(dt.datetime(2024, 1, d, 5), u, e, float(u + d)) for d in (1, 9) for u in (0, 7, 30_000, 50_000) for e in "ab"]
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id bigint, event_type string, value double").write.parquet(
+        f"{base}/events.parquet")
+    got, want = (QUERIES[q](spark, base).selectExpr("series_id", "cast(period as string) AS period", "value")
+                 for q in ("ag6_resample_stream_watermark", "ag6_resample_monthly"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 2 * (2 * 50_000 + 1)
+    assert got.filter("value IS NOT NULL").count() == 8
