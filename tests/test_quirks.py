@@ -101,3 +101,26 @@ def test_sentence_rules_by_hand(spark):
         assert abs(got[i].raw_score - sum(sums)) < 1e-9
         assert abs(got[i].compound - sum(v / sqrt(v * v + 15) for v in sums) / max(len(sums), 1)) < 1e-9
     assert text.sentence_sentiment(df.limit(0), "text", lex).count() == 0
+
+
+def test_sentence_rules_move_texts_not_words(spark, monkeypatch):
+    """Many small shares that ask for their n-grams give what one share that
+    is told all phrases gives; no window moves the words of a sentence."""
+    from mensura.operators import text
+    lex = text.lexicon_frame(spark, [("good", 1.9), ("bad", -2.5), ("to die for", 3.0), ("die", -2.9), ("very good", 2.2)])
+    said = ["This is good. It is VERY good!!", "never a good day, but bad?? bad", "A cake to die for", "to die, for", "", None,
+            "die die for to die for good", "It isn't very good"] * 3
+    rows = [(i if i % 5 else None, t) for i, t in enumerate(said)] + [(1, said[1]), (1, said[0]), (2, said[2])]
+    df = spark.createDataFrame(rows, "post_id bigint, text string")
+
+    def scored():
+        out = text.sentence_sentiment(df, "text", lex)
+        assert "Window" not in out._jdf.queryExecution().toString()
+        return sorted((r.post_id is None, r.post_id or 0, r.n_sentences, round(r.raw_score, 9), round(r.compound, 9))
+                      for r in out.collect())
+
+    told = scored()
+    monkeypatch.setattr(text, "TEXT_SHARE", 40)
+    monkeypatch.setattr(text, "TOLD", 0)
+    assert scored() == told and len(told) == len({k for k, _ in rows})
+    assert [r[2] for r in told if not r[0] and r[1] == 1] == [6]
