@@ -153,11 +153,15 @@ def ml2_pooled(spark, sf):
 def walk_forward_predictions(spark, sf, models, profile="delevel"):
     """Walk-forward predictions over 24 fold dates and three target kinds.
     The fits of a model at the published settings take minutes, so the
-    queries of one application share them."""
+    queries of one application share them, and all models one dataset: its
+    panel is the part that grows with the tables."""
+    def rows():
+        return stored(spark, sf, "walk_forward_dataset", lambda: dataset(spark, sf))
+
     out = None
     for m in models:
         p = stored(spark, sf, f"walk_forward_{profile}_{m}",
-                   lambda m=m: bt.walk_forward(dataset(spark, sf), COVS, [m], n_test=24, profile=profile))
+                   lambda m=m: bt.walk_forward(rows(), COVS, [m], n_test=24, profile=profile))
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     return out
 

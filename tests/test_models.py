@@ -416,3 +416,18 @@ def test_optional_covariates_two_series(spark):
     effects = {(r.series_id, r.model, r.feature) for r in sel.effects_of(preds, feats).collect()}
     assert effects == {(s, m, "target_lag1") for s in ("with", "without") for m in candidates} | {
         ("with", "extended", "ridership_lag1")}
+
+
+def test_walk_forward_models_share_one_dataset(spark, monkeypatch):
+    from mensura.plans import q_models as q
+    built = []
+
+    def dataset(s, sf):
+        built.append(sf)
+        return s.createDataFrame([("a", 1.0)], "series_id string, y double")
+
+    monkeypatch.setattr(q, "dataset", dataset)
+    monkeypatch.setattr(q.bt, "walk_forward", lambda d, covs, models, **kw: d.selectExpr("*", f"'{models[0]}' AS model"))
+    got = q.walk_forward_predictions(spark, "tables of this test", ["ridge", "forest", "boosting"])
+    assert sorted((r.series_id, r.model) for r in got.collect()) == [("a", "boosting"), ("a", "forest"), ("a", "ridge")]
+    assert len(built) == 1
