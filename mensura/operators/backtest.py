@@ -12,9 +12,9 @@ Every backtest here is an expanding-window scheme: fold ``k`` trains on rows
 
 Ridge fits never materialise the (fold x row) expansion: each training row
 goes to the bucket of the first fold it belongs to, Gram sums are taken per
-bucket (partial aggregation), and only those small bucket Grams are expanded
-to the folds that include them (``bucket <= k``) and summed again. Cost per
-series is O(rows p^2 + folds^2 p^2) instead of O(rows folds p^2).
+bucket, and the Gram of a fold is the running sum of the buckets it includes
+(``bucket <= k``). Cost per series is O(rows p^2 + folds p^2) instead of
+O(rows folds p^2).
 
 Tree models are fitted per series, all folds together (``operators.trees``).
 With ``pooled`` they are pyspark.ml models over all series, one fit per fold
@@ -90,18 +90,18 @@ def fold_ridge(df: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", t
     """Ridge per (keys, fold k) under the plan columns; returns
     (keys, k, p, coef).
 
-    Spark sums Gram contributions per (series, bucket) with partial
-    aggregation (the O(rows p^2) part); each series' <= K+1 bucket Grams are
-    then one array, added cumulatively and solved for a whole Arrow batch of
-    series at once."""
+    A series' training rows (at most one per period, so the calendar bounds
+    them) are one array; a task forms the bucket Grams of a whole Arrow batch
+    of series, adds them cumulatively and solves every fold at once. A bucket
+    often holds one row, whose Gram is many times the row, so rows are moved."""
     keys = list(keys)
     if p is None:
         p = int(df.select(F.max(F.size(x))).first()[0])
     tr = df.filter(F.col(eligible)).withColumn("b", _bucket(F.col(t))).filter(F.col("b") < F.col("K"))
-    gb = lin.gram(tr, keys + ["K", "b"], x, y, p=p)
-    of_series = gb.groupBy(*keys, "K").agg(F.sort_array(F.collect_list(F.struct("b", "gram"))).alias("_g"))
-    of_series = of_series.select(*keys, F.col("K").cast("int").alias("K"),
-                                 F.col("_g.b").cast("array<int>").alias("b"), F.flatten("_g.gram").alias("grams"))
+    z = F.concat(F.array(F.lit(1.0)), F.col(x), F.array(F.col(y).cast("double")))
+    of_series = tr.groupBy(*keys, "K").agg(F.collect_list(F.struct(F.col(t).alias("t"), "b", z.alias("z"))).alias("_g"))
+    of_series = of_series.select(*keys, F.col("K").cast("int").alias("K"), F.col("_g.t").cast("array<long>").alias("t"),
+                                 F.col("_g.b").cast("array<int>").alias("b"), F.flatten("_g.z").alias("z"))
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("k", T.IntegerType()), T.StructField("p", T.IntegerType()),
         T.StructField("coef", T.ArrayType(T.DoubleType()))])

@@ -98,12 +98,27 @@ def spread(df: DataFrame, keys: Sequence[str], q: int) -> DataFrame:
     return df.repartition(parts, *keys) if parts > 1 else df
 
 
+#: Rows whose products are held at a time.
+PRODUCT_ROWS = 8192
+
+
+def products(z: np.ndarray) -> np.ndarray:
+    """Flattened upper triangle (row-major, diagonal included) of z z' of every row of ``z``."""
+    n, q = z.shape
+    out = np.empty((n, q * (q + 1) // 2))
+    at = 0
+    for i in range(q):
+        np.multiply(z[:, i:i + 1], z[:, i:], out=out[:, at:at + q - i])
+        at += q - i
+    return out
+
+
 def prefix_ridge_solve(p: int, alpha: float, out: pa.Schema, rows: int = 4096):
-    """Function for ``mapInArrow``: each row is a group with its bucket
-    numbers ``b`` and its bucket Grams, one after the other in ``grams``. They
-    are added cumulatively (fold ``k`` uses buckets ``<= k`` of ``K``) and
-    every fold of a batch of groups is solved at once. A group has at most
-    K + 1 buckets, however large the series; ``rows`` bounds the folds in hand.
+    """Function for ``mapInArrow``: each row is a group with the places ``t``
+    and buckets ``b`` of its training rows, and their ``[1, x, y]`` one after
+    the other in ``z``. Bucket Grams are added cumulatively (fold ``k`` uses
+    buckets ``<= k`` of ``K``) and every fold of a batch of groups is solved
+    at once. ``rows`` bounds the folds in hand, ``PRODUCT_ROWS`` the products.
     """
     q = p + 2
     tri = q * (q + 1) // 2
@@ -111,9 +126,15 @@ def prefix_ridge_solve(p: int, alpha: float, out: pa.Schema, rows: int = 4096):
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
         buckets, folds = batch.column("b"), batch.column("K").to_numpy(zero_copy_only=False)
         group = np.repeat(np.arange(len(folds)), np.diff(buckets.offsets.to_numpy()))
+        bucket = buckets.flatten().to_numpy(zero_copy_only=False)
+        t = batch.column("t").flatten().to_numpy(zero_copy_only=False)
+        z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(-1, q)
         sums = np.zeros((len(folds), int(folds.max()), tri))
-        sums[group, buckets.flatten().to_numpy(zero_copy_only=False)] = (
-            batch.column("grams").flatten().to_numpy(zero_copy_only=False).reshape(-1, tri))
+        order = np.lexsort((t, bucket, group))
+        for at in range(0, len(order), PRODUCT_ROWS):
+            some = order[at:at + PRODUCT_ROWS]
+            starts = np.flatnonzero((np.diff(group[some], prepend=-1) != 0) | (np.diff(bucket[some], prepend=-1) != 0))
+            sums[group[some][starts], bucket[some][starts]] += np.add.reduceat(products(z[some]), starts, axis=0)
         sums = np.cumsum(sums, axis=1)
         g, k = np.nonzero((sums[:, :, 0] > 0) & (np.arange(sums.shape[1]) < folds[:, None]))
         coef = ridge_from_gram(unpack_upper(sums[g, k], q), p, alpha) if len(g) else np.zeros((0, 2 * p + 2))

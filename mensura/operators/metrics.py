@@ -30,31 +30,29 @@ def forecast_metrics(df: DataFrame, actual: str = "actual", pred: str = "predict
     with actual 0 (null if all are 0); R2 is null for a constant actual.
     sMAPE adds 1e-9 to its denominator.
     """
-    a, p = F.col(actual), F.col(pred)
-    d = df.filter(a.isNotNull() & p.isNotNull())
+    errors = "error" in df.columns
+    scored = F.col(actual).isNotNull() & F.col(pred).isNotNull()
+    # with errors, rows that are not scored stay, with nulls that no aggregate counts: ``df`` is read once
+    a, p = (F.when(scored, F.col(c)) if errors else F.col(c) for c in (actual, pred))
     err = a - p
-    agg = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
+    agg = (df if errors else df.filter(scored)).groupBy(*keys).agg(
+        F.count(a).alias("n"),
         F.sum(err * err).alias("_sse"),
-        (F.var_pop(a) * F.count(F.lit(1))).alias("_sst"),
+        (F.var_pop(a) * F.count(a)).alias("_sst"),
         F.avg(F.abs(err)).alias("MAE"),
         (F.avg(F.when(a != 0, F.abs(err) / F.abs(a))) * 100).alias("MAPE_pct"),
         (F.avg(2 * F.abs(p - a) / (F.abs(a) + F.abs(p) + F.lit(1e-9))) * 100).alias("sMAPE_pct"),
+        *([F.min("error").alias("error")] if errors else []),
     )
     agg = agg.withColumns({
         "R2": F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst")),
         "RMSE": F.sqrt(F.col("_sse") / F.col("n")),
     })
     names = METRIC_NAMES_A if which == "A" else METRIC_NAMES_B
-    out = agg.select(*keys, "n", *names)
-    if "error" not in df.columns:
-        return out
-    # a group without errors has a null one; one with errors alone is not in ``out``
-    failed = df.groupBy(*keys).agg(F.min("error").alias("error"), F.count(F.when(a.isNotNull() & p.isNotNull(), 1))
-                                   .alias("_n")).filter("_n = 0 AND error IS NOT NULL").drop("_n")
-    failed = failed.select(*keys, F.lit(0).cast("long").alias("n"),
-                           *[F.lit(None).cast("double").alias(m) for m in names], "error")
-    return out.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
+    if not errors:
+        return agg.select(*keys, "n", *names)
+    return agg.filter("n > 0 OR error IS NOT NULL").select(
+        *keys, "n", *names, F.when(F.col("n") == 0, F.col("error")).alias("error"))
 
 
 def macro_micro_metrics(df: DataFrame, fold: str = "fold", actual="actual", pred="predicted",

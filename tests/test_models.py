@@ -431,3 +431,37 @@ def test_walk_forward_models_share_one_dataset(spark, monkeypatch):
     got = q.walk_forward_predictions(spark, "tables of this test", ["ridge", "forest", "boosting"])
     assert sorted((r.series_id, r.model) for r in got.collect()) == [("a", "boosting"), ("a", "forest"), ("a", "ridge")]
     assert len(built) == 1
+
+
+def test_prefix_solve_takes_rows_across_chunks(monkeypatch):
+    """Training rows in any order, more than are multiplied at a time, give the models of direct fits."""
+    import pyarrow as pa
+    monkeypatch.setattr(lin, "PRODUCT_ROWS", 7)
+    rng = np.random.default_rng(11)
+    sizes, p, folds = (30, 23), 2, 4
+    data = [(rng.normal(size=(n, p)), rng.normal(size=n), rng.permutation(n)) for n in sizes]
+    z = [np.column_stack([np.ones(len(y)), X, y])[order] for X, y, order in data]
+    bucket = [np.clip((order - 10) // 2 + 1, 0, folds - 1) for _, _, order in data]
+    batch = pa.RecordBatch.from_pydict({
+        "series_id": pa.array(["a", "b"]), "K": pa.array([folds, folds], pa.int32()),
+        "t": pa.array([order.tolist() for _, _, order in data], pa.list_(pa.int64())),
+        "b": pa.array([b.tolist() for b in bucket], pa.list_(pa.int32())),
+        "z": pa.array([v.ravel().tolist() for v in z], pa.list_(pa.float64()))})
+    schema = pa.schema([("series_id", pa.string()), ("k", pa.int32()), ("p", pa.int32()), ("coef", pa.list_(pa.float64()))])
+    rows = [r for out in lin.prefix_ridge_solve(p, 5.0, schema)(iter([batch])) for r in out.to_pylist()]
+    assert [(r["series_id"], r["k"]) for r in rows] == [(s, k) for s in "ab" for k in range(folds)]
+    for r in rows:
+        X, y, _ = data["ab".index(r["series_id"])]
+        cut = 10 + 2 * r["k"] if r["k"] < folds - 1 else len(y)
+        b0, beta = np_ridge(X[:cut], y[:cut], 5.0)
+        assert r["coef"][0] == pytest.approx(b0) and np.allclose(r["coef"][1:p + 1], beta)
+
+
+def test_metrics_with_errors_read_their_input_once(spark):
+    df = spark.createDataFrame([("s", "ridge", 5.0, 4.0, None), ("s", "ridge", 7.0, None, "late"),
+                                ("s", "nosuch", None, None, "unknown"), ("s", "empty", None, None, None)],
+                               "series_id string, model string, actual double, predicted double, error string")
+    m = mt.forecast_metrics(df, keys=["series_id", "model"])
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {r.model: (r["n"], r.error, r.MAE) for r in m.collect()}
+    assert got == {"ridge": (1, None, 1.0), "nosuch": (0, "unknown", None)}
