@@ -149,3 +149,21 @@ def test_zero_and_negative_targets_do_not_fail(spark):
     m = mt.forecast_metrics(df.select("series_id", F.col("target").alias("actual"),
                                       (F.col("target") + 1).alias("predicted"))).first()
     assert m.MAPE_pct is not None and m.RMSE == 1.0
+
+
+def test_line_amounts_equal_their_decimal_casts(spark):
+    """Hundredths are the decimal casts' also for doubles that no number of
+    hundredths is nearest to, and are mostly had without the cast."""
+    from pyspark.sql import functions as F
+
+    from mensura.plans import panels
+    values = [0.0, 0.01, 0.07, 1.005, 2.675, -1.005, 12345.67, 104949.5, 9999999999.99, 0.29, 1.1 + 2.2, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    want = (F.col("v").cast("decimal(12,2)") * 100).cast("bigint")
+    rows = df.select("v", panels._hundredths("v", "decimal(12,2)", 10**12).alias("got"), want.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and rows[3].got == 101
+    lines = spark.createDataFrame([(10.05, 0.06), (99.99, 0.1), (1.005, 0.005)], "l_extendedprice double, l_discount double")
+    price, disc = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(4,2)")
+    r = lines.agg(panels._revenue(F.sum(panels._line_revenue())).alias("got"),
+                  F.sum(price * (F.lit(1).cast("decimal(1,0)") - disc)).alias("want")).first()
+    assert r.got == r.want
