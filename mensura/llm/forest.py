@@ -49,6 +49,8 @@ HELD = 1 << 14
 SLOTS = 1 << 20
 #: Bits of the sketches of sets that meet on their rarest shingles, in whole longs.
 BITS = 2048
+#: Bits of the parity sketches of sets to be confirmed, in whole longs.
+PARITY = 1024
 #: Pairs whose sketches a task compares at a time.
 PAIRS = 1 << 16
 #: A sketch that differs in so many standard deviations more than asked rules a pair out.
@@ -340,20 +342,34 @@ def candidates(sets: DataFrame, trees: int = TREES, depth: int = DEPTH, least: i
     return pairs, left.distinct()
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Per set, whether an odd number of its shingles fall on each of ``PARITY``
+    places, as longs. What two sets share cancels out, so they differ in at
+    most as many bits as there are shingles in one of them only."""
+    place = np.concatenate([s & np.uint64(PARITY - 1) for s in sets]).astype(np.int64)
+    place += np.repeat(np.arange(len(sets)) * PARITY, [len(s) for s in sets])
+    odd = (np.bincount(place, minlength=len(sets) * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8").reshape(len(sets), -1)
+
+
 def _shingles(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """``id`` and ``shingles`` of the rows of ``docs`` named in ``needed`` (``id``)."""
+    """``id``, ``shingles``, their number ``n`` and ``parity`` of the rows of ``docs`` named in ``needed`` (``id``)."""
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 batch = big.slice(at, 512)
                 some = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
                 ends = np.cumsum([0] + [len(s) for s in some])
-                yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "shingles": pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.concatenate(some).view(np.int64)))})
+                parity = parities(some)
+                yield pa.RecordBatch.from_pydict({
+                    "id": batch.column("id"), "shingles": pa.ListArray.from_arrays(
+                        pa.array(ends, pa.int32()), pa.array(np.concatenate(some).view(np.int64))),
+                    "n": pa.array(np.diff(ends), pa.int64()), "parity": pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(some) + 1) * parity.shape[1], pa.int32()), pa.array(parity.ravel()))})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return stage_table(texts.join(needed, "id", "left_semi").mapInArrow(full, "id bigint, shingles array<bigint>"),
-                       "shingles")
+    return stage_table(texts.join(needed, "id", "left_semi").mapInArrow(
+        full, "id bigint, shingles array<bigint>, n bigint, parity array<bigint>"), "shingles")
 
 
 def rarest_pairs(docs: DataFrame, left: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -372,7 +388,7 @@ def rarest_pairs(docs: DataFrame, left: DataFrame, words: int = WORDS, least: in
     many; a sketch of ``BITS`` bits goes along and rules out, inside the
     join, those that chance cannot bring so far apart.
     """
-    shingles = _shingles(docs, left, words)
+    shingles = _shingles(docs, left, words).select("id", "shingles")
     slot = F.col("s").bitwiseAND(F.lit(SLOTS - 1))
     seen = (shingles.select(F.explode("shingles").alias("s")).groupBy(slot.alias("slot"))
             .agg(F.count(F.lit(1)).alias("n")).toPandas())
@@ -426,12 +442,23 @@ def rarest_pairs(docs: DataFrame, left: DataFrame, words: int = WORDS, least: in
 def confirmed(docs: DataFrame, pairs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """The ``pairs`` (``a`` and ``b``) that are at or above the similarity on
     the full sets of the whole texts in ``docs``. Sketches have ruled out
-    what is far from it."""
+    what is far from it. Sets of x and y shingles at the similarity have at
+    most (100 - least) (x + y) / (100 + least) that are in one of them only; pairs whose parities
+    differ in more bits are not links, for certain, and their sets, many
+    times longer, are not moved."""
     pairs = stage_table(pairs, "pairs")
     needed = stage_table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
                          .distinct(), "needed")
 
     shingles = _shingles(docs, needed, words)
+    differ = " + ".join(f"bit_count(_p[{k}] ^ _q[{k}])" for k in range(PARITY // 64))
+    columns = pairs.columns
+    pairs = stage_table(
+        pairs.join(shingles.select(F.col("id").alias("a"), F.col("n").alias("_x"), F.col("parity").alias("_p")), "a")
+        .join(shingles.select(F.col("id").alias("b"), F.col("n").alias("_y"), F.col("parity").alias("_q")), "b")
+        .filter(F.expr(f"{100 + least} * ({differ}) <= {100 - least} * (_x + _y)")).select(*columns).distinct(), "close")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    shingles = shingles.select("id", "shingles").join(ids, "id", "left_semi")
     # in the JVM, row by row: Arrow batches of two whole sets a row could be large
     both = F.size(F.array_intersect("_x", "_y"))
     return (pairs.join(shingles.select(F.col("id").alias("a"), F.col("shingles").alias("_x")), "a")

@@ -209,3 +209,23 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 19: 19, 20: 19, 7: 7} | {100 + i: 7 for i in range(61)}
     assert out == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_parities_rule_out_no_link_and_most_other_pairs(spark):
+    """Sets differ in at most as many parity bits as shingles are in one of
+    them only; pairs far from the similarity are gone before their sets move."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 40, 300, 5000)]
+    for s in sets:
+        for gone in (0, 1, len(s) // 12, len(s) // 3, len(s)):
+            other = np.concatenate([s[gone:], rng.integers(0, 2**63, gone // 2).astype(np.uint64)])
+            x, y = forest.parities([s, other]).view(np.uint64)
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(s, other))
+    words = [f"w{i}" for i in range(300)]
+    texts = {1: words, 2: words[:290] + ["new"] * 3, 3: words[:220] + [f"x{i}" for i in range(80)], 4: []}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    a, b, c = (forest.parities([forest.shingle_set(" ".join(texts[i]))]).view(np.uint64) for i in (1, 2, 3))
+    most = 15 * 2 * 298 / 185
+    assert np.bitwise_count(a ^ b).sum() <= most < np.bitwise_count(a ^ c).sum()
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4)], "a long, b long")
+    assert [(r.a, r.b) for r in forest.confirmed(docs, pairs).collect()] == [(1, 2)]
