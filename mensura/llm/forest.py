@@ -51,6 +51,8 @@ SLOTS = 1 << 20
 BITS = 2048
 #: Bits of the parity sketches of sets to be confirmed, in whole longs.
 PARITY = 1024
+#: Slots, in whole bitmaps of 4 KB, that tell the texts to be read again from most others.
+NAMED = 1 << 25
 #: Pairs whose sketches a task compares at a time.
 PAIRS = 1 << 16
 #: A sketch that differs in so many standard deviations more than asked rules a pair out.
@@ -352,8 +354,22 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd).view("<i8").reshape(len(sets), -1)
 
 
+def _named(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose ``id`` is in ``needed``, and a few others
+    that fall on the same slots. Bitmaps of the slots, 4 MB at most, go to all
+    tasks, so no text moves however many are needed."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(NAMED).cast("long"))
+    bitmaps = needed.select(slot.alias("_slot")).groupBy(F.expr("shiftright(_slot, 15)").alias("_bitmap")).agg(
+        F.expr("bitmap_construct_agg(_slot & 32767)").alias("_bits"))
+    on = F.expr("shiftright(_slot, 15) = _bitmap AND "
+                "shiftright(cast(conv(hex(substring(_bits, cast((_slot & 32767) div 8 + 1 AS int), 1)), 16, 10) AS int), "
+                "cast(_slot & 7 AS int)) & 1 = 1")
+    return texts.withColumn("_slot", slot).join(F.broadcast(bitmaps), on, "left_semi").drop("_slot")
+
+
 def _shingles(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """``id``, ``shingles``, their number ``n`` and ``parity`` of the rows of ``docs`` named in ``needed`` (``id``)."""
+    """``id``, ``shingles``, their number ``n`` and ``parity`` of the rows of
+    ``docs`` named in ``needed`` (``id``), and of a few others (``_named``)."""
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 512):
@@ -368,7 +384,7 @@ def _shingles(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
                         pa.array(np.arange(len(some) + 1) * parity.shape[1], pa.int32()), pa.array(parity.ravel()))})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return stage_table(texts.join(needed, "id", "left_semi").mapInArrow(
+    return stage_table(_named(texts, needed).mapInArrow(
         full, "id bigint, shingles array<bigint>, n bigint, parity array<bigint>"), "shingles")
 
 
@@ -388,6 +404,7 @@ def rarest_pairs(docs: DataFrame, left: DataFrame, words: int = WORDS, least: in
     many; a sketch of ``BITS`` bits goes along and rules out, inside the
     join, those that chance cannot bring so far apart.
     """
+    left = stage_table(left.dropDuplicates(["id"]), "left_parts")
     shingles = _shingles(docs, left, words).select("id", "shingles")
     slot = F.col("s").bitwiseAND(F.lit(SLOTS - 1))
     seen = (shingles.select(F.explode("shingles").alias("s")).groupBy(slot.alias("slot"))
@@ -415,7 +432,7 @@ def rarest_pairs(docs: DataFrame, left: DataFrame, words: int = WORDS, least: in
                     "n": pa.array(np.repeat(n, held)), "short": pa.array(place < np.repeat(short, held)),
                     "sketch": sketch.take(each)})
 
-    rows = stage_table(shingles.join(left.dropDuplicates(["id"]), "id").mapInArrow(
+    rows = stage_table(shingles.join(left, "id").mapInArrow(
         rare, "token bigint, at bigint, id bigint, part bigint, n bigint, short boolean, sketch array<bigint>"), "rarest")
     # a part's sets need not meet each other: of the part most frequent at a shingle only the others are met
     most = (rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("_n"), F.max("short").alias("_short"))
@@ -461,9 +478,10 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int = WORDS, least: int
     shingles = shingles.select("id", "shingles").join(ids, "id", "left_semi")
     # in the JVM, row by row: Arrow batches of two whole sets a row could be large
     both = F.size(F.array_intersect("_x", "_y"))
-    return (pairs.join(shingles.select(F.col("id").alias("a"), F.col("shingles").alias("_x")), "a")
-            .join(shingles.select(F.col("id").alias("b"), F.col("shingles").alias("_y")), "b")
-            .filter(100 * both >= least * (F.size("_x") + F.size("_y") - both)).drop("_x", "_y"))
+    return stage_table(
+        pairs.join(shingles.select(F.col("id").alias("a"), F.col("shingles").alias("_x")), "a")
+        .join(shingles.select(F.col("id").alias("b"), F.col("shingles").alias("_y")), "b")
+        .filter(100 * both >= least * (F.size("_x") + F.size("_y") - both)).drop("_x", "_y"), "links")
 
 
 def _joined(parts: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -504,7 +522,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, least: int = LEAST, trees:
     rest = stage_table(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     left = stage_table(left, "left")
     more = confirmed(docs, rest, words, least)
-    parts = _joined(parts, more.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "more_parts")
+    # labels and sketches have done their work
+    parts = _joined(parts.drop("labels", "sketch"), more.select(F.col("pa").alias("a"), F.col("pb").alias("b")), "more_parts")
     if not left.isEmpty():
         # most of what is left has been joined by now, and need not meet again
         known = tried.select("a", "b").unionByName(rest.select("a", "b"))

@@ -229,3 +229,40 @@ def test_parities_rule_out_no_link_and_most_other_pairs(spark):
     assert np.bitwise_count(a ^ b).sum() <= most < np.bitwise_count(a ^ c).sum()
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (1, 4)], "a long, b long")
     assert [(r.a, r.b) for r in forest.confirmed(docs, pairs).collect()] == [(1, 2)]
+
+
+def test_named_texts_are_all_there_with_few_others(spark):
+    ids = [-2**63, -7, 0, 1, 2**63 - 1] + [i * 1_000_003 for i in range(1, 400)]
+    texts = spark.createDataFrame([(i, "x") for i in ids + list(range(10_000, 20_000))] + [(None, "x"), (0, "y")],
+                                  "id long, text string")
+    out = forest._named(texts, spark.createDataFrame([(i,) for i in ids], "id long"))
+    got = sorted((r.id, r.text) for r in out.filter("id IS NOT NULL").collect())
+    assert {(i, "x") for i in ids} | {(0, "y")} <= set(got) and len(got) < len(ids) + 20
+    assert out.columns == ["id", "text"]
+    assert forest._named(texts, spark.createDataFrame([], "id long")).isEmpty()
+
+
+def test_whole_texts_are_not_shuffled(spark, monkeypatch):
+    """However many sets are compared in full, texts are read where they are;
+    labels are not written again once they have done their work."""
+    written, stage = [], forest.stage_table
+
+    def seen(df, name, *more):
+        written.append((name, df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return stage(df, name, *more)
+
+    monkeypatch.setattr(forest, "stage_table", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for more sets than can be sent to all
+        rows = family(300, {60, 190})
+        out = forest.near_groups(table(spark, rows), region=1).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.doc_id: r.component_id for r in out} == {i: 60 if i == 190 else i for i, _ in rows}
+    plans = [plan for name, _, plan in written if name == "shingles"]
+    assert len(plans) == 4
+    for plan in plans:
+        assert "hashpartitioning(id" not in plan and "SortMergeJoin" not in plan
+    for name, columns, _ in written:
+        assert name not in ("more_parts", "last_parts") or "labels" not in columns
